@@ -36,36 +36,52 @@ def _with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]
     return df.withColumn(_CONST_KEY, F.lit(0)), [_CONST_KEY], True
 
 
+def assign_buckets(df: DataFrame, keys: Sequence[str], order: str,
+                   buckets: int = DEFAULT_BUCKETS, out: str = "_b") -> DataFrame:
+    """Add a bucket index (0..buckets-1) that is monotone in ``order`` within keys.
+
+    Cut points are approximate quantiles per key, so buckets are roughly
+    equal in size; they never influence results, only how work is split.
+    """
+    df, keys, const = _with_keys(df, keys)
+    fractions = [i / buckets for i in range(1, buckets)]
+    cuts = df.groupBy(*keys).agg(
+        F.percentile_approx(order, fractions, _ACCURACY).alias("_cuts"))
+    # One row when there are no keys: a proven size bound, so broadcast it.
+    cuts = F.broadcast(cuts) if const else cuts
+    out_df = (df.join(cuts, keys)
+              .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col(order))))
+              .drop("_cuts"))
+    return out_df.drop(_CONST_KEY) if const else out_df
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: str,
                  sums: Mapping[str, str | Column], *, reverse: bool = False,
                  inclusive: bool = True, totals: Mapping[str, str | Column] | None = None,
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int = DEFAULT_BUCKETS, bucket_col: str | None = None) -> DataFrame:
     """Add running sums ordered by ``order`` within ``keys``.
 
     ``df`` must hold at most one row per (keys, order value). ``sums`` maps an
     output name to a column (name or expression) to accumulate; ``reverse``
     sums from the largest order value down (at-risk counts), ``inclusive``
     includes the current row. ``totals`` maps output names to columns whose
-    per-key grand total is attached as well.
+    per-key grand total is attached as well. ``bucket_col`` names an existing
+    bucket column from :func:`assign_buckets` (reused across iterations).
     """
     totals = dict(totals or {})
-    base_cols = df.columns
+    base_cols = [c for c in df.columns if c != bucket_col]
     src = {out: (F.col(c) if isinstance(c, str) else c) for out, c in sums.items()}
     src.update({f"_tot_src_{out}": (F.col(c) if isinstance(c, str) else c)
                 for out, c in totals.items()})
-    df = df.select(*base_cols, *[col.alias(f"_v_{out}") for out, col in src.items()])
+    keep = [bucket_col] if bucket_col else []
+    df = df.select(*base_cols, *keep, *[col.alias(f"_v_{out}") for out, col in src.items()])
+    if bucket_col:
+        df = df.withColumnRenamed(bucket_col, "_b")
+    else:
+        df = assign_buckets(df, keys, order, buckets)
     df, keys, const = _with_keys(df, keys)
 
-    fractions = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(order, fractions, _ACCURACY).alias("_cuts"))
-    # One row when there are no keys: a proven size bound, so broadcast it.
-    cuts = F.broadcast(cuts) if const else cuts
-    bucketed = (df.join(cuts, keys)
-                .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
-                .drop("_cuts"))
-
-    per_bucket = bucketed.groupBy(*keys, "_b").agg(
+    per_bucket = df.groupBy(*keys, "_b").agg(
         *[F.sum(f"_v_{out}").alias(f"_bt_{out}") for out in src])
     wb = Window.partitionBy(*keys).orderBy("_b")
     before = (wb.rowsBetween(1, Window.unboundedFollowing) if reverse
@@ -76,9 +92,10 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
         *[F.coalesce(F.sum(f"_bt_{out}").over(before), F.lit(0)).alias(f"_off_{out}")
           for out in sums],
         *[F.sum(f"_bt__tot_src_{out}").over(whole).alias(out) for out in totals])
+    # keys x buckets rows; with no keys at most ``buckets`` rows.
     offsets = F.broadcast(offsets) if const else offsets
 
-    joined = bucketed.join(offsets, keys + ["_b"])
+    joined = df.join(offsets, keys + ["_b"])
     wr = Window.partitionBy(*keys, "_b").orderBy(order)
     if reverse:
         frame = wr.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)

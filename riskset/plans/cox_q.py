@@ -1 +1,226 @@
-"""Queries of this family (filled in below)."""
+"""Cox regression queries (C1-C8, J2) with SQL oracles where expressible."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskset.functions.stats import Z95, norm_sf2_sql
+from riskset.operators import concordance as cc
+from riskset.operators import cox
+from riskset.operators.prepare import standardize
+from riskset.plans.registry import query, round_doubles
+from riskset.plans.sql import CHURN, r
+from riskset.sources import cohorts
+
+UNI_VARS = ["n_orders", "acctbal", "mean_price"]
+NEWTON_STEPS = 10
+
+
+def _std_churn(spark, sf):
+    return standardize(cohorts.churn(spark, sf), UNI_VARS)
+
+
+def _long_sql(variables: list[str]) -> str:
+    stats = ", ".join(f"avg({v}) AS m_{v}, stddev_pop({v}) AS s_{v}" for v in variables)
+    parts = " UNION ALL ".join(
+        f"SELECT '{v}' AS variable, duration AS t, event AS e, (CAST({v} AS DOUBLE) - m_{v}) / s_{v} AS x "
+        f"FROM churn, stats" for v in variables)
+    return f"stats AS (SELECT {stats} FROM churn), long AS ({parts})"
+
+
+def _efron(d: str, expr: str) -> str:
+    """SQL fold over the d tied events, phi = l / d."""
+    return f"list_sum(list_transform(range(CAST({d} AS BIGINT)), lambda l: {expr.replace('PHI', f'(l / {d})')}))"
+
+
+def _newton_sql(steps: int) -> tuple[str, int]:
+    ctes = ["b0 AS (SELECT DISTINCT variable, 0.0::DOUBLE AS beta FROM long)"]
+    s0 = "(s0 - PHI * d0)"
+    s1 = "(s1 - PHI * d1)"
+    s2 = "(s2 - PHI * d2)"
+    for k in range(1, steps + 2):
+        ctes.append(f"""a{k} AS (SELECT l.variable, l.t, sum(exp(b.beta * l.x)) AS a0,
+  sum(l.x * exp(b.beta * l.x)) AS a1, sum(l.x * l.x * exp(b.beta * l.x)) AS a2,
+  CAST(sum(l.e) AS DOUBLE) AS d, sum(l.e * l.x) AS e1, sum(l.e * b.beta * l.x) AS el,
+  sum(l.e * exp(b.beta * l.x)) AS d0, sum(l.e * l.x * exp(b.beta * l.x)) AS d1,
+  sum(l.e * l.x * l.x * exp(b.beta * l.x)) AS d2
+  FROM long l JOIN b{k - 1} b ON l.variable = b.variable GROUP BY l.variable, l.t)""")
+        ctes.append(f"""c{k} AS (SELECT *, sum(a0) OVER w AS s0, sum(a1) OVER w AS s1, sum(a2) OVER w AS s2
+  FROM a{k} WINDOW w AS (PARTITION BY variable ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
+        ctes.append(f"""u{k} AS (SELECT variable,
+  sum(e1 - {_efron('d', f'{s1} / {s0}')}) AS U,
+  sum({_efron('d', f'{s2} / {s0} - ({s1} / {s0}) * ({s1} / {s0})')}) AS I,
+  sum(el - {_efron('d', f'ln({s0})')}) AS ll
+  FROM c{k} WHERE d > 0 GROUP BY variable)""")
+        if k <= steps:
+            ctes.append(f"b{k} AS (SELECT b.variable, b.beta + u.U / u.I AS beta FROM b{k - 1} b "
+                        f"JOIN u{k} u ON b.variable = u.variable)")
+    return ", ".join(ctes), steps + 1
+
+
+def _c1_core_sql() -> str:
+    """Unrounded univariate inference table (variable, coef, se_coef, hr, ...)."""
+    newton, last = _newton_sql(NEWTON_STEPS)
+    z = Z95
+    se = "(1.0 / sqrt(u.I))"
+    zval = f"(b.beta / {se})"
+    p = norm_sf2_sql(zval)
+    return f"""WITH {CHURN}, {_long_sql(UNI_VARS)}, {newton}
+SELECT b.variable, b.beta AS coef, {se} AS se_coef, exp(b.beta) AS hr,
+  exp(b.beta - {z} * {se}) AS hr_low, exp(b.beta + {z} * {se}) AS hr_high,
+  {zval} AS z, {p} AS p_value, {p} < 0.05 AS significant
+FROM b{NEWTON_STEPS} b JOIN u{last} u ON b.variable = u.variable"""
+
+
+def _c1_sql() -> str:
+    cols = ", ".join(r(c, c) for c in ["coef", "se_coef", "hr", "hr_low", "hr_high", "z", "p_value"])
+    return f"SELECT variable, {cols}, significant FROM ({_c1_core_sql()}) q"
+
+
+@query("C1_cox_univariate", _c1_sql())
+def c1(spark, sf):
+    return round_doubles(cox.cox_univariate(_std_churn(spark, sf), UNI_VARS))
+
+
+@query("C3_cox_inference_significant", f"""WITH q AS ({_c1_core_sql()})
+SELECT variable, {r('coef', 'coef')}, {r('hr', 'hr')}, {r('hr_low', 'hr_low')}, {r('hr_high', 'hr_high')},
+       {r('p_value', 'p_value')}, CASE WHEN hr > 1 THEN 'risk' ELSE 'protective' END AS direction
+FROM q WHERE significant""")
+def c3(spark, sf):
+    t = cox.cox_univariate(_std_churn(spark, sf), UNI_VARS)
+    return round_doubles(t.where("significant").select(
+        "variable", "coef", "hr", "hr_low", "hr_high", "p_value",
+        F.when(F.col("hr") > 1, "risk").otherwise("protective").alias("direction")))
+
+
+def _c7_sql() -> str:
+    # Two univariate batches stacked (J2), then the forest-plot rows.
+    return f"""WITH q AS ({_c1_core_sql()})
+SELECT 'batch_a' AS batch, variable, {r('hr', 'hr')}, {r('hr_low', 'hr_low')}, {r('hr_high', 'hr_high')},
+       {r('ln(hr)', 'log_hr')}, {r('ln(hr_low)', 'log_hr_low')}, {r('ln(hr_high)', 'log_hr_high')},
+       significant, CASE WHEN hr > 1 THEN 'risk' ELSE 'protective' END AS direction
+FROM q WHERE variable IN ('n_orders', 'acctbal')
+UNION ALL
+SELECT 'batch_b' AS batch, variable, {r('hr', 'hr')}, {r('hr_low', 'hr_low')}, {r('hr_high', 'hr_high')},
+       {r('ln(hr)', 'log_hr')}, {r('ln(hr_low)', 'log_hr_low')}, {r('ln(hr_high)', 'log_hr_high')},
+       significant, CASE WHEN hr > 1 THEN 'risk' ELSE 'protective' END AS direction
+FROM q WHERE variable IN ('mean_price')"""
+
+
+@query("C7_forest_table", _c7_sql())
+def c7(spark, sf):
+    c = _std_churn(spark, sf)
+    a = cox.cox_univariate(c, ["n_orders", "acctbal"]).withColumn("batch", F.lit("batch_a"))
+    b = cox.cox_univariate(c, ["mean_price"]).withColumn("batch", F.lit("batch_b"))
+    stacked = a.unionByName(b)                      # J2
+    return round_doubles(stacked.select(
+        "batch", "variable", "hr", "hr_low", "hr_high",
+        F.log("hr").alias("log_hr"), F.log("hr_low").alias("log_hr_low"), F.log("hr_high").alias("log_hr_high"),
+        "significant", F.when(F.col("hr") > 1, "risk").otherwise("protective").alias("direction")))
+
+
+def _c2_score_sql() -> str:
+    """Efron log-likelihood, score and information at beta = 0 (raw covariates)."""
+    xs = UNI_VARS
+    p = len(xs)
+    pairs = [(j, k) for j in range(p) for k in range(j, p)]
+    a = [f"CAST(count(*) AS DOUBLE) AS a0", "CAST(sum(event) AS DOUBLE) AS d"]
+    a += [f"sum(CAST({x} AS DOUBLE)) AS a1_{j}" for j, x in enumerate(xs)]
+    a += [f"sum(event * CAST({x} AS DOUBLE)) AS d1_{j}" for j, x in enumerate(xs)]
+    a += [f"sum(CAST({xs[j]} AS DOUBLE) * {xs[k]}) AS a2_{j}_{k}" for j, k in pairs]
+    a += [f"sum(event * CAST({xs[j]} AS DOUBLE) * {xs[k]}) AS d2_{j}_{k}" for j, k in pairs]
+    runs = ["sum(a0) OVER w AS s0"] + [f"sum(a1_{j}) OVER w AS s1_{j}" for j in range(p)] + \
+        [f"sum(a2_{j}_{k}) OVER w AS s2_{j}_{k}" for j, k in pairs]
+    s0 = "(s0 - PHI * d)"
+    terms = [f"sum(0.0 - {_efron('d', f'ln({s0})')}) AS ll"]
+    terms += [f"sum(d1_{j} - {_efron('d', f'(s1_{j} - PHI * d1_{j}) / {s0}')}) AS U{j}" for j in range(p)]
+    terms += [f"sum({_efron('d', f'(s2_{j}_{k} - PHI * d2_{j}_{k}) / {s0} - (s1_{j} - PHI * d1_{j}) * (s1_{k} - PHI * d1_{k}) / ({s0} * {s0})')}) AS I{j}_{k}"
+              for j, k in pairs]
+    names = ["ll"] + [f"U{j}" for j in range(p)] + [f"I{j}_{k}" for j, k in pairs]
+    unpiv = " UNION ALL ".join(f"SELECT '{n}' AS term, {r(n, 'value')} FROM s" for n in names)
+    stats = ", ".join(f"avg({v}) AS m_{v}, stddev_pop({v}) AS s_{v}" for v in xs)
+    zcols = ", ".join(f"(CAST({v} AS DOUBLE) - m_{v}) / s_{v} AS {v}" for v in xs)
+    return f"""WITH {CHURN}, stats AS (SELECT {stats} FROM churn),
+zc AS (SELECT duration, event, {zcols} FROM churn, stats),
+a AS (SELECT duration AS t, {', '.join(a)} FROM zc GROUP BY duration),
+c AS (SELECT *, {', '.join(runs)} FROM a WINDOW w AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT {', '.join(terms)} FROM c WHERE d > 0)
+{unpiv}"""
+
+
+@query("C2_score_at_zero", _c2_score_sql())
+def c2_score(spark, sf):
+    return round_doubles(cox.score_at(_std_churn(spark, sf), UNI_VARS, [0.0, 0.0, 0.0]))
+
+
+@query("C2_cox_multivariate")
+def c2(spark, sf):
+    c = _std_churn(spark, sf)
+    _, table = cox.cox_multivariate(c, UNI_VARS)
+    return round_doubles(table)
+
+
+@query("C5_model_fit")
+def c5(spark, sf):
+    c = _std_churn(spark, sf)
+    fit_, _ = cox.cox_multivariate(c, UNI_VARS)
+    return round_doubles(fit_.model_table(spark))
+
+
+@query("C5_loglik_null", f"WITH q AS ({_c2_score_sql()}) SELECT value AS loglik_null FROM q WHERE term = 'll'")
+def c5_null(spark, sf):
+    s = cox.score_at(_std_churn(spark, sf), UNI_VARS, [0.0, 0.0, 0.0])
+    return s.where(F.col("term") == "ll").select(F.round("value", 6).alias("loglik_null"))
+
+
+@query("C6_schoenfeld_at_zero", f"""WITH {CHURN},
+a AS (SELECT duration AS t, CAST(count(*) AS DOUBLE) AS a0, sum(CAST(n_orders AS DOUBLE)) AS a1 FROM churn GROUP BY duration),
+c AS (SELECT t, sum(a0) OVER w AS s0, sum(a1) OVER w AS s1 FROM a
+      WINDOW w AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT ch.subject_id AS id, {r('ch.duration', 't')}, {r('ch.n_orders - c.s1 / c.s0', 'r0')}
+FROM churn ch JOIN c ON ch.duration = c.t WHERE ch.event = 1""")
+def c6_resid(spark, sf):
+    return round_doubles(cox.schoenfeld_residuals(cohorts.churn(spark, sf), ["n_orders"], [0.0]))
+
+
+@query("C6_ph_test")
+def c6(spark, sf):
+    c = _std_churn(spark, sf)
+    fit_, _ = cox.cox_multivariate(c, UNI_VARS)
+    return round_doubles(cox.ph_test(c, fit_, UNI_VARS))
+
+
+@query("C8_events_per_variable", f"""WITH {CHURN}
+SELECT CAST(sum(event) AS BIGINT) AS n_events, CAST(floor(sum(event) / 10) AS BIGINT) AS max_covariates FROM churn""")
+def c8(spark, sf):
+    return cox.events_per_variable(cohorts.churn(spark, sf))
+
+
+def _c4_sql(score: str) -> str:
+    return f"""WITH {CHURN}, s AS (SELECT subject_id, duration AS t, event AS e, {score} AS risk FROM churn)
+SELECT CAST(sum(CASE WHEN a.risk > b.risk THEN 1 ELSE 0 END) AS BIGINT) AS concordant,
+       CAST(sum(CASE WHEN a.risk < b.risk THEN 1 ELSE 0 END) AS BIGINT) AS discordant,
+       CAST(sum(CASE WHEN a.risk = b.risk THEN 1 ELSE 0 END) AS BIGINT) AS tied_risk,
+       CAST(count(*) AS BIGINT) AS comparable,
+       {r('(sum(CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END)) / count(*)', 'c_index')}
+FROM s a JOIN s b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0))"""
+
+
+@query("C4_concordance", _c4_sql("CAST(n_orders AS DOUBLE)"))
+def c4(spark, sf):
+    c = cohorts.churn(spark, sf).withColumn("risk", F.col("n_orders").cast("double"))
+    return round_doubles(cc.concordance(c, "risk"))
+
+
+@query("C4_concordance_acctbal", _c4_sql("-acctbal"))
+def c4b(spark, sf):
+    c = cohorts.churn(spark, sf).withColumn("risk", -F.col("acctbal"))
+    return round_doubles(cc.concordance(c, "risk"))
+
+
+@query("C4_concordance_fitted")
+def c4_fit(spark, sf):
+    c = _std_churn(spark, sf)
+    fit_, _ = cox.cox_multivariate(c, UNI_VARS)
+    scored = c.withColumn("risk", cox.linear_predictor(c, fit_, UNI_VARS))
+    return round_doubles(cc.concordance(scored, "risk"))
