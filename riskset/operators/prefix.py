@@ -157,3 +157,11 @@ def quantile_columns(df: DataFrame, keys: Sequence[str], value: str,
     if keys:
         return q.groupBy(*keys).agg(*aggs)
     return q.agg(*aggs)
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a global aggregate (exactly one row: a proven size
+    bound) to every row of ``df`` via a broadcast hash join on a constant key."""
+    left = df.withColumn("_one", F.lit(1))
+    right = F.broadcast(one_row.withColumn("_one", F.lit(1)))
+    return left.join(right, "_one").drop("_one")
