@@ -76,3 +76,12 @@ def wide_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb.select("vec_id", "label", F.posexplode("embedding").alias("_pos", "_v")).select(
         "vec_id", (F.col("_pos") + 1).cast("int").alias("feature"),
         F.col("_v").cast("double").alias("value"), "label")
+
+
+def landmark(spark: SparkSession, sf_dir: str, mode: str = "as_documented",
+             days: float = LANDMARK_DAYS) -> DataFrame:
+    """X_LAND: X_CHURN minus subjects censored before the landmark, with the
+    0/1 label 'still active at the landmark' (``mode`` as in SURVEY D3)."""
+    from riskset.operators.relational import landmark_eligible, landmark_label
+    c = landmark_eligible(churn(spark, sf_dir), days)
+    return c.withColumn("label", landmark_label(days, mode))
