@@ -147,9 +147,11 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
         F.struct(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
                  F.lit(None).cast("double").alias("recall"), (F.col("_tp") / F.col("_n")).alias("f1"),
                  F.col("_n").cast("long").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("_mp"), F.col("_mr"), F.col("_mf"), F.col("_n").cast("long")),
-        F.struct(F.lit("weighted avg"), F.col("_wp") / F.col("_n"), F.col("_wr") / F.col("_n"),
-                 F.col("_wf") / F.col("_n"), F.col("_n").cast("long")))))
+        F.struct(F.lit("macro avg").alias("label"), F.col("_mp").alias("precision"), F.col("_mr").alias("recall"),
+                 F.col("_mf").alias("f1"), F.col("_n").cast("long").alias("support")),
+        F.struct(F.lit("weighted avg").alias("label"), (F.col("_wp") / F.col("_n")).alias("precision"),
+                 (F.col("_wr") / F.col("_n")).alias("recall"), (F.col("_wf") / F.col("_n")).alias("f1"),
+                 F.col("_n").cast("long").alias("support")))))
     return rows.unionByName(summary)
 
 

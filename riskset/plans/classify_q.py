@@ -1 +1,218 @@
-"""Queries of this family (filled in below)."""
+"""Landmark classification queries."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from riskset.operators import classify as cl
+from riskset.operators import prepare as pp
+from riskset.operators import profile as pf
+from riskset.operators import survival as sv
+from riskset.operators.prefix import attach_one_row
+from riskset.plans.prepare_q import E9_PLAN
+from riskset.plans.registry import query, round_doubles
+from riskset.plans.sql import CHURN, km_sql, r
+from riskset.session import ensure_checkpoint_dir, materialize
+from riskset.sources import cohorts
+from riskset.sources.io import driver_table
+
+SEED = 42
+LAND_SQL = f"""{CHURN}, land AS (SELECT *, CAST(CASE WHEN duration >= 1825 THEN 1 ELSE 0 END AS INTEGER) AS label
+  FROM churn WHERE NOT (duration < 1825 AND event = 0))"""
+SPLIT_SQL = f"""{LAND_SQL},
+hk AS (SELECT *, md5(CAST(subject_id AS VARCHAR) || '-{SEED}') AS hh FROM land),
+rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY hh, subject_id) AS rnk,
+              count(*) OVER (PARTITION BY label) AS ny FROM hk),
+split AS (SELECT *, CASE WHEN rnk <= round(0.2 * ny) THEN 'test' ELSE 'train' END AS split FROM rk)"""
+
+# Text-score fixture: documents with a toxicity label, score from length.
+DOC_SCORE_SQL = """docs AS (SELECT d.doc_id, l.toxic AS label, 1.0 - exp(-d.n_chars / 5000.0) AS prob,
+  CASE WHEN 1.0 - exp(-d.n_chars / 5000.0) >= 0.5 THEN 1 ELSE 0 END AS prediction
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
+def _land_split(spark, sf):
+    return cl.stratified_split(cohorts.landmark(spark, sf), "label", "subject_id", 0.2, SEED)
+
+
+def _doc_scores(spark, sf):
+    d = driver_table(spark, sf, "documents").select("doc_id", "n_chars")
+    lab = driver_table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    prob = F.lit(1.0) - F.exp(-F.col("n_chars") / 5000.0)
+    return d.join(lab, "doc_id").select("doc_id", "label", prob.alias("prob"),
+                                        (prob >= 0.5).cast("int").alias("prediction"))
+
+
+@query("M1_stratified_split", f"WITH {SPLIT_SQL} SELECT subject_id, label, split FROM split")
+def m1(spark, sf):
+    return _land_split(spark, sf).select("subject_id", "label", "split")
+
+
+@query("A21_class_balance", f"""WITH {LAND_SQL}
+SELECT label, CASE label WHEN 0 THEN 'not reached' WHEN 1 THEN 'reached landmark' END AS name, count(*) AS n,
+  {r('100.0 * count(*) / sum(count(*)) OVER ()', 'pct')},
+  {r('sum(CASE WHEN label = 1 THEN count(*) ELSE 0 END) OVER () / sum(count(*)) OVER ()', 'positive_rate')}
+FROM land GROUP BY label""")
+def a21(spark, sf):
+    return round_doubles(pf.class_balance(cohorts.landmark(spark, sf), "label",
+                                          {0: "not reached", 1: "reached landmark"}))
+
+
+@query("A22_split_summary", f"""WITH {SPLIT_SQL}
+SELECT split, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_positive, CAST(sum(1 - label) AS BIGINT) AS n_negative,
+  {r('avg(label)', 'positive_rate')} FROM split GROUP BY split""")
+def a22(spark, sf):
+    return round_doubles(pf.split_summary(_land_split(spark, sf), "split", "label"))
+
+
+@query("M2_majority_baseline", f"""WITH {SPLIT_SQL},
+maj AS (SELECT label AS m FROM split WHERE split = 'train' GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)
+SELECT subject_id, label, CAST(m AS DOUBLE) AS prob, m AS prediction FROM split, maj WHERE split = 'test'""")
+def m2(spark, sf):
+    s = _land_split(spark, sf)
+    maj = cl.majority_class(s.where("split = 'train'"), "label")
+    return cl.baseline_scores(s.where("split = 'test'").select("subject_id", "label"), maj)
+
+
+@query("M3_class_weights", f"""WITH {SPLIT_SQL}, per AS (SELECT label, count(*) AS n FROM split WHERE split = 'train' GROUP BY label)
+SELECT label, n, {r('CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n)', 'weight')},
+  {r('CAST(sum(CASE WHEN label = 0 THEN n ELSE 0 END) OVER () AS DOUBLE) / sum(CASE WHEN label = 1 THEN n ELSE 0 END) OVER ()', 'neg_pos_ratio')}
+FROM per""")
+def m3(spark, sf):
+    return round_doubles(cl.class_weights(_land_split(spark, sf).where("split = 'train'"), "label"))
+
+
+def _model_frame(spark, sf):
+    """Landmark table with the fitted E9 column plan (fit on train rows only)."""
+    s = _land_split(spark, sf)
+    params = pp.fit_columns(s.where("split = 'train'"), E9_PLAN)
+    plan = pp.ColumnPlan(median_scale=E9_PLAN.median_scale, ordinal=E9_PLAN.ordinal,
+                         onehot_if_binary=E9_PLAN.onehot_if_binary, onehot_all=E9_PLAN.onehot_all,
+                         passthrough=list(E9_PLAN.passthrough) + ["label", "split"])
+    # Cut lineage once: every tree-building pass re-reads this table.
+    table = materialize(pp.transform_columns(s, plan, params))
+    features = [c for c in table.columns if c not in ("subject_id", "duration", "event", "label", "split")]
+    return table, features
+
+
+def _rf(spark, sf):
+    table, features = _model_frame(spark, sf)
+    train = table.where("split = 'train'")
+    w = cl.class_weights(train, "label")
+    model = cl.random_forest(cl.with_weights(train, w, "label"), features, "label")
+    return table, features, model
+
+
+@query("M4_random_forest")
+def m4(spark, sf):
+    table, _, model = _rf(spark, sf)
+    return round_doubles(cl.score(model, table.where("split = 'test'"), ["subject_id", "label"]))
+
+
+@query("M5_boosting")
+def m5(spark, sf):
+    table, features = _model_frame(spark, sf)
+    train = table.where("split = 'train'")
+    ratio = cl.class_weights(train, "label").select("neg_pos_ratio").first()[0]
+    weighted = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(ratio))).otherwise(1.0))
+    model = cl.boosting(weighted, features, "label")
+    return round_doubles(cl.score(model, table.where("split = 'test'"), ["subject_id", "label"]))
+
+
+@query("M10_feature_importances")
+def m10(spark, sf):
+    _, features, model = _rf(spark, sf)
+    return round_doubles(cl.importances(model, features, top=10))
+
+
+@query("S5_model_save_load")
+def s5(spark, sf):
+    table, _, model = _rf(spark, sf)
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    cl.save_model(model, path)
+    loaded = cl.load_model(path)
+    return round_doubles(cl.score(loaded, table.where("split = 'test'"), ["subject_id", "label"]))
+
+
+@query("M6_classification_report", f"""WITH {DOC_SCORE_SQL},
+cm AS (SELECT label AS actual, prediction AS predicted, count(*) AS n FROM docs GROUP BY 1, 2),
+cls AS (SELECT actual AS c FROM cm UNION SELECT predicted FROM cm),
+per AS (SELECT c, coalesce((SELECT sum(n) FROM cm WHERE actual = c), 0) AS support,
+               coalesce((SELECT sum(n) FROM cm WHERE predicted = c), 0) AS npred,
+               coalesce((SELECT sum(n) FROM cm WHERE actual = c AND predicted = c), 0) AS tp FROM cls),
+pr AS (SELECT c, support, tp, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS p,
+              CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rc FROM per),
+f AS (SELECT *, CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0.0 END AS f1 FROM pr)
+SELECT CAST(c AS VARCHAR) AS label, {r('p', 'precision')}, {r('rc', 'recall')}, {r('f1', 'f1')}, CAST(support AS BIGINT) AS support FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, {r('sum(tp) / sum(support)', 'f1')}, CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', {r('avg(p)', 'p')}, {r('avg(rc)', 'r')}, {r('avg(f1)', 'f')}, CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', {r('sum(p * support) / sum(support)', 'p')}, {r('sum(rc * support) / sum(support)', 'r')},
+  {r('sum(f1 * support) / sum(support)', 'f')}, CAST(sum(support) AS BIGINT) FROM f""")
+def m6(spark, sf):
+    return round_doubles(cl.classification_report(_doc_scores(spark, sf)))
+
+
+_AUC_SQL = """(SELECT sum(pos * (coalesce(negb, 0) + neg / 2.0)) / (sum(pos) * sum(neg)) FROM (
+  SELECT pos, neg, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS negb
+  FROM (SELECT {score} AS score, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg
+        FROM {src} GROUP BY 1)))"""
+
+
+@query("M7_roc_auc", f"WITH {DOC_SCORE_SQL} SELECT {r(_AUC_SQL.format(score='prob', src='docs'), 'auc')}")
+def m7(spark, sf):
+    return round_doubles(cl.roc_auc(_doc_scores(spark, sf)))
+
+
+@query("M8_roc_curve", f"""WITH {DOC_SCORE_SQL},
+s AS (SELECT prob AS score, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg FROM docs GROUP BY prob),
+c AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS P, sum(neg) OVER () AS N
+      FROM s WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT {r('score', 'threshold')}, {r('fp / N', 'fpr')}, {r('tp / P', 'tpr')} FROM c
+UNION ALL SELECT NULL, 0.0, 0.0""")
+def m8(spark, sf):
+    return round_doubles(cl.roc_curve(_doc_scores(spark, sf)))
+
+
+@query("M9_model_comparison", f"""WITH {DOC_SCORE_SQL},
+inv AS (SELECT doc_id, label, 1.0 - prob AS prob, 1 - prediction AS prediction FROM docs),
+base AS (SELECT doc_id, label, 0.0 AS prob, 0 AS prediction FROM docs)
+SELECT 'length_score' AS model, {r(_AUC_SQL.format(score='prob', src='docs'), 'auc')},
+       {r('(SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FROM docs)', 'accuracy')}
+UNION ALL SELECT 'inverted_score', {r(_AUC_SQL.format(score='prob', src='inv'), 'auc')},
+       {r('(SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FROM inv)', 'accuracy')}
+UNION ALL SELECT 'majority_baseline', {r(_AUC_SQL.format(score='prob', src='base'), 'auc')},
+       {r('(SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FROM base)', 'accuracy')}""")
+def m9(spark, sf):
+    d = _doc_scores(spark, sf)
+    inv = d.select("doc_id", "label", (1.0 - F.col("prob")).alias("prob"), (1 - F.col("prediction")).alias("prediction"))
+    base = cl.baseline_scores(d.select("doc_id", "label"), 0)
+    return round_doubles(cl.compare_models({"length_score": d, "inverted_score": inv, "majority_baseline": base}))
+
+
+@query("M11_verdicts", f"""WITH {DOC_SCORE_SQL}
+SELECT doc_id, {r('prob', 'prob')}, CAST(trunc(prob * 100) AS INTEGER) AS pct,
+  CASE WHEN prob >= 0.5 THEN 'Favorable profile' ELSE 'Unfavorable profile' END AS verdict,
+  CASE WHEN trunc(prob * 100) < 40 THEN 'unfavorable' WHEN trunc(prob * 100) < 60 THEN 'intermediate' ELSE 'favorable' END AS band
+FROM docs""")
+def m11(spark, sf):
+    return round_doubles(cl.verdicts(_doc_scores(spark, sf).select("doc_id", "prob")))
+
+
+@query("M12_confusion_matrix", f"WITH {DOC_SCORE_SQL} SELECT label AS actual, prediction AS predicted, count(*) AS n FROM docs GROUP BY 1, 2")
+def m12(spark, sf):
+    return cl.confusion(_doc_scores(spark, sf))
+
+
+@query("A23_kpi_row", f"""WITH {CHURN}, {km_sql('churn', [])},
+au AS (SELECT {_AUC_SQL.format(score='CAST(n_orders AS DOUBLE)', src='(SELECT n_orders, event AS label FROM churn)')} AS auc)
+SELECT (SELECT count(*) FROM churn) AS n, {r('(SELECT avg(event) FROM churn)', 'event_rate')},
+       {r('(SELECT min(CASE WHEN survival <= 0.5 THEN t END) FROM km)', 'median_survival')}, {r('auc', 'auc')} FROM au""")
+def a23(spark, sf):
+    c = cohorts.churn(spark, sf)
+    head = c.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("event").cast("double")).alias("event_rate"))
+    med = sv.survival_quantile(sv.kaplan_meier(c), None, 0.5, "median_survival")
+    auc = cl.roc_auc(c.select(F.col("event").alias("label"), F.col("n_orders").cast("double").alias("prob")))
+    return round_doubles(attach_one_row(attach_one_row(head, med), auc))

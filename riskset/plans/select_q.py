@@ -1 +1,71 @@
-"""Queries of this family (filled in below)."""
+"""Feature selection queries (F1-F5) over the exploded embedding table."""
+
+from __future__ import annotations
+
+from riskset.operators import select as fs
+from riskset.plans.registry import query, round_doubles
+from riskset.plans.sql import WIDE, r
+from riskset.sources import cohorts
+
+THRESHOLD = 0.01          # the reference's variance threshold
+THRESHOLD_STRICT = 0.016  # a cut that actually removes part of these features
+TOP_K = 10
+
+
+@query("F1_variance_filter", f"""WITH {WIDE}
+SELECT feature, {r('var_pop(value)', 'variance')}, var_pop(value) > {THRESHOLD} AS keep FROM wide GROUP BY feature""")
+def f1(spark, sf):
+    return round_doubles(fs.feature_variance(cohorts.wide_long(spark, sf), THRESHOLD))
+
+
+@query("F1_variance_filter_strict", f"""WITH {WIDE}
+SELECT feature, {r('var_pop(value)', 'variance')}, var_pop(value) > {THRESHOLD_STRICT} AS keep FROM wide GROUP BY feature""")
+def f1s(spark, sf):
+    return round_doubles(fs.feature_variance(cohorts.wide_long(spark, sf), THRESHOLD_STRICT))
+
+
+@query("F2_target_correlation", f"""WITH {WIDE}
+SELECT feature, {r('corr(value, CAST(label AS DOUBLE))', 'corr')}, {r('abs(corr(value, CAST(label AS DOUBLE)))', 'abs_corr')}
+FROM wide GROUP BY feature""")
+def f2(spark, sf):
+    return round_doubles(fs.target_correlation(cohorts.wide_long(spark, sf), "label"))
+
+
+_TOPK_SQL = f"""WITH {WIDE}, k AS (SELECT feature, var_pop(value) AS v FROM wide GROUP BY feature HAVING var_pop(value) > {THRESHOLD_STRICT}),
+c AS (SELECT w.feature, corr(w.value, CAST(w.label AS DOUBLE)) AS corr FROM wide w JOIN k ON k.feature = w.feature GROUP BY w.feature),
+top AS (SELECT feature, corr, abs(corr) AS abs_corr FROM c WHERE corr IS NOT NULL ORDER BY abs(corr) DESC, feature LIMIT {TOP_K})"""
+
+
+def _selected(spark, sf):
+    long = cohorts.wide_long(spark, sf)
+    kept = fs.feature_variance(long, THRESHOLD_STRICT).where("keep").select("feature")
+    corr = fs.target_correlation(long.join(kept, "feature", "left_semi"), "label")
+    return long, fs.top_k(corr, TOP_K)
+
+
+@query("F3_top_k", f"{_TOPK_SQL} SELECT feature, {r('corr', 'corr')}, {r('abs_corr', 'abs_corr')} FROM top")
+def f3(spark, sf):
+    _, top = _selected(spark, sf)
+    return round_doubles(top)
+
+
+@query("F4_selection_funnel", f"""WITH {WIDE}, v AS (SELECT feature, var_pop(value) > {THRESHOLD_STRICT} AS keep FROM wide GROUP BY feature)
+SELECT 1 AS step, 'all features' AS stage, count(*) AS n_features FROM v
+UNION ALL SELECT 2, 'variance > {THRESHOLD_STRICT}', CAST(sum(CASE WHEN keep THEN 1 ELSE 0 END) AS BIGINT) FROM v
+UNION ALL SELECT 3, 'top 5', CAST(least(sum(CASE WHEN keep THEN 1 ELSE 0 END), 5) AS BIGINT) FROM v
+UNION ALL SELECT 4, 'top 10', CAST(least(sum(CASE WHEN keep THEN 1 ELSE 0 END), 10) AS BIGINT) FROM v""")
+def f4(spark, sf):
+    return fs.selection_funnel(cohorts.wide_long(spark, sf), "label", THRESHOLD_STRICT, [5, 10])
+
+
+@query("F5_assemble_long", f"""{_TOPK_SQL}
+SELECT w.vec_id, w.label, w.feature, {r('w.value', 'value')} FROM wide w JOIN top t ON t.feature = w.feature""")
+def f5(spark, sf):
+    long, top = _selected(spark, sf)
+    return round_doubles(fs.assemble(long, top, "vec_id", ["label"]))
+
+
+@query("F5_assemble_wide")
+def f5w(spark, sf):
+    long, top = _selected(spark, sf)
+    return round_doubles(fs.assemble_wide(long, top, "vec_id", ["label"]))
