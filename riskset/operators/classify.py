@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskset.operators.prefix import attach_one_row, running_sums
+from riskset.session import materialize
 
 # Fixed values of the scoring page: verdict at 0.5, gauge bands 0-40-60-100.
 VERDICT_CUT = 0.5
@@ -41,9 +42,9 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
     ordered by the full hash and the id.
     """
     h, h60 = _hash_key(id_col, seed)
-    rows = df.withColumn("_h", h).withColumn("_h60", h60)
+    rows = materialize(df.withColumn("_h", h).withColumn("_h60", h60))   # counted, then joined back
     per = rows.groupBy(label, "_h60").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sums(per, [label], "_h60", {"_cum": "_n"}, totals={"_ny": "_n"})
+    ranked = running_sums(per, [label], "_h60", {"_cum": "_n"}, totals={"_ny": "_n"}, few_keys=True)
     joined = rows.join(ranked, [label, "_h60"])
     single = joined.where(F.col("_n") == 1).withColumn("_rank", F.col("_cum"))
     tie_w = Window.partitionBy(label, "_h60").orderBy("_h", id_col)   # only tied prefixes

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskset.operators.prefix import dense_rank, running_sums
+from riskset.session import materialize
 
 
 def concordance(df: DataFrame, risk: str, duration: str = "duration", event: str = "event") -> DataFrame:
@@ -29,7 +30,8 @@ def concordance(df: DataFrame, risk: str, duration: str = "duration", event: str
     base = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
                      F.col(risk).cast("double").alias("risk")).where(
         F.col("t").isNotNull() & F.col("e").isNotNull() & F.col("risk").isNotNull())
-    ranked = dense_rank(base, [], "risk", "rank").select("t", "e", (F.col("rank") - 1).alias("rank"))
+    base = materialize(base)          # read by three branches below
+    ranked = materialize(dense_rank(base, [], "risk", "rank").select("t", "e", (F.col("rank") - 1).alias("rank")))
 
     # comparable pairs: per t, events x (later subjects + censored at t)
     per_t = base.groupBy("t").agg(F.count(F.lit(1)).alias("m"),

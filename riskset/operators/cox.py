@@ -108,7 +108,7 @@ def prepare(cohort: DataFrame, covariates: Sequence[str], duration: str = "durat
     cond = F.col("t").isNotNull() & F.col("e").isNotNull()
     for x in xcols:
         cond = cond & F.col(x).isNotNull() & ~F.isnan(x)
-    base = base.where(cond)
+    base = materialize(base.where(cond))
     # Centre x per model (beta and the partial likelihood are unchanged);
     # the means are p numbers per model, read once.
     mean_aggs = [F.avg(x).alias(x) for x in xcols]
@@ -120,7 +120,7 @@ def prepare(cohort: DataFrame, covariates: Sequence[str], duration: str = "durat
         row = base.agg(*mean_aggs).collect()[0]
         shift = [F.lit(float(row[x] or 0.0)) for x in xcols]
     base = base.select(*keys, "t", "e", *[(F.col(x) - shift[j]).alias(x) for j, x in enumerate(xcols)])
-    return materialize(assign_buckets(base, keys, "t")), keys, xcols
+    return materialize(assign_buckets(base, keys, "t", few_keys=True)), keys, xcols
 
 
 def step_sums(base: DataFrame, keys: list[str], xcols: list[str], lin: Column,
@@ -143,7 +143,7 @@ def step_sums(base: DataFrame, keys: list[str], xcols: list[str], lin: Column,
     sums = {"s0": "a0", **{f"s1_{j}": f"a1_{j}" for j in range(p)},
             **{f"s2_{j}_{k}": f"a2_{j}_{k}" for j, k in _pairs(p)}}
     risk = running_sums(per_t, keys, "t", sums, reverse=True, bucket_col="_b",
-                        totals={"n": "_cnt", "n_events": "d"})
+                        totals={"n": "_cnt", "n_events": "d"}, few_keys=True)
     d = F.col("d")
 
     def s0(phi):

@@ -24,6 +24,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskset.session import materialize
+
 DEFAULT_BUCKETS = 64
 _ACCURACY = 10000
 _CONST_KEY = "_rs_all"
@@ -37,7 +39,7 @@ def _with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]
 
 
 def assign_buckets(df: DataFrame, keys: Sequence[str], order: str,
-                   buckets: int = DEFAULT_BUCKETS, out: str = "_b") -> DataFrame:
+                   buckets: int = DEFAULT_BUCKETS, out: str = "_b", few_keys: bool = False) -> DataFrame:
     """Add a bucket index (0..buckets-1) that is monotone in ``order`` within keys.
 
     Cut points are approximate quantiles per key, so buckets are roughly
@@ -47,8 +49,9 @@ def assign_buckets(df: DataFrame, keys: Sequence[str], order: str,
     fractions = [i / buckets for i in range(1, buckets)]
     cuts = df.groupBy(*keys).agg(
         F.percentile_approx(order, fractions, _ACCURACY).alias("_cuts"))
-    # One row when there are no keys: a proven size bound, so broadcast it.
-    cuts = F.broadcast(cuts) if const else cuts
+    # One row per key: broadcast when there are no keys (one row) or the
+    # caller vouches for a small key set (strata levels, model variables).
+    cuts = F.broadcast(cuts) if const or few_keys else cuts
     out_df = (df.join(cuts, keys)
               .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col(order))))
               .drop("_cuts"))
@@ -58,7 +61,8 @@ def assign_buckets(df: DataFrame, keys: Sequence[str], order: str,
 def running_sums(df: DataFrame, keys: Sequence[str], order: str,
                  sums: Mapping[str, str | Column], *, reverse: bool = False,
                  inclusive: bool = True, totals: Mapping[str, str | Column] | None = None,
-                 buckets: int = DEFAULT_BUCKETS, bucket_col: str | None = None) -> DataFrame:
+                 buckets: int = DEFAULT_BUCKETS, bucket_col: str | None = None,
+                 materialized: bool = False, few_keys: bool = False) -> DataFrame:
     """Add running sums ordered by ``order`` within ``keys``.
 
     ``df`` must hold at most one row per (keys, order value). ``sums`` maps an
@@ -67,6 +71,12 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
     includes the current row. ``totals`` maps output names to columns whose
     per-key grand total is attached as well. ``bucket_col`` names an existing
     bucket column from :func:`assign_buckets` (reused across iterations).
+
+    The input is read three times (cut points, bucket totals, final window),
+    so it is checkpointed once first unless ``materialized`` says it already
+    is; otherwise each read would re-run the scan and aggregation behind it
+    (column pruning makes the three partial aggregates differ, so Spark
+    cannot reuse one exchange for them).
     """
     totals = dict(totals or {})
     base_cols = [c for c in df.columns if c != bucket_col]
@@ -75,10 +85,12 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
                 for out, c in totals.items()})
     keep = [bucket_col] if bucket_col else []
     df = df.select(*base_cols, *keep, *[col.alias(f"_v_{out}") for out, col in src.items()])
+    if not materialized:
+        df = materialize(df)
     if bucket_col:
         df = df.withColumnRenamed(bucket_col, "_b")
     else:
-        df = assign_buckets(df, keys, order, buckets)
+        df = assign_buckets(df, keys, order, buckets, few_keys=few_keys)
     df, keys, const = _with_keys(df, keys)
 
     per_bucket = df.groupBy(*keys, "_b").agg(
@@ -92,8 +104,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
         *[F.coalesce(F.sum(f"_bt_{out}").over(before), F.lit(0)).alias(f"_off_{out}")
           for out in sums],
         *[F.sum(f"_bt__tot_src_{out}").over(whole).alias(out) for out in totals])
-    # keys x buckets rows; with no keys at most ``buckets`` rows.
-    offsets = F.broadcast(offsets) if const else offsets
+    # keys x buckets rows: bounded by ``buckets`` times a small key set.
+    offsets = F.broadcast(offsets) if const or few_keys else offsets
 
     joined = df.join(offsets, keys + ["_b"])
     wr = Window.partitionBy(*keys, "_b").orderBy(order)
@@ -127,7 +139,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     counts = (df.select(*keys, F.col(value).cast("double").alias("_x"))
               .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
               .groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n")))
-    ranked = running_sums(counts, keys, "_x", {"_cum": "_n"}, totals={"_tot": "_n"})
+    ranked = running_sums(counts, keys, "_x", {"_cum": "_n"}, totals={"_tot": "_n"}, few_keys=True)
     probs_col = F.array(*[F.lit(float(p)) for p in probs])
     first = F.col("_cum") - F.col("_n")          # 0-based first rank of the value
     last = F.col("_cum") - 1                     # 0-based last rank of the value

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from riskset.functions.stats import Z95, chi2_sf_col
 from riskset.operators.prefix import running_sums
+from riskset.session import materialize
 
 MAX_GROUPS = 256  # a log-rank test builds a k x k covariance; k is a level count
 
@@ -45,7 +46,7 @@ def event_table(cohort: DataFrame, duration: str = "duration", event: str = "eve
         cond = cond & F.col(k).isNotNull()
     per_t = rows.where(cond).groupBy(*keys, "t").agg(
         F.sum("_e").cast("long").alias("n_event"), F.count(F.lit(1)).alias("_m"))
-    at_risk = running_sums(per_t, keys, "t", {"n_at_risk": "_m"}, reverse=True)
+    at_risk = running_sums(per_t, keys, "t", {"n_at_risk": "_m"}, reverse=True, few_keys=True)
     return at_risk.select(*keys, "t", "n_at_risk", "n_event",
                           (F.col("_m") - F.col("n_event")).alias("n_censor"))
 
@@ -68,7 +69,8 @@ def kaplan_meier(cohort: DataFrame, duration: str = "duration", event: str = "ev
         F.when(alive, F.log1p(-d / n)).otherwise(F.lit(0.0)).alias("_log"),
         F.when(alive, d / (n * (n - d))).otherwise(F.lit(0.0)).alias("_gw"),
         F.when(alive, F.lit(0)).otherwise(F.lit(1)).alias("_zero"))
-    acc = running_sums(terms, keys, "t", {"_cum_log": "_log", "_cum_gw": "_gw", "_cum_zero": "_zero"})
+    acc = running_sums(terms, keys, "t", {"_cum_log": "_log", "_cum_gw": "_gw", "_cum_zero": "_zero"},
+                       few_keys=True)
     return acc.select(*keys, "t", "n_at_risk", "n_event", "n_censor",
                       *survival_band(F.col("_cum_log"), F.col("_cum_gw"), F.col("_cum_zero"), z))
 
@@ -152,8 +154,11 @@ def _logrank_sums(cohort: DataFrame, variables: Sequence[str], duration: str, ev
     grid is a conditional aggregate per distinct time, not a join.
     """
     long = _melt_strata(cohort, variables, duration, event, ignore_censoring)
+    # One pass over the cohort: counts per (variable, level, t), kept once.
+    reduced = materialize(long.groupBy("variable", "level", "t").agg(
+        F.sum("_e").cast("double").alias("_d"), F.count(F.lit(1)).cast("double").alias("_m")))
     levels = sorted((r["variable"], r["level"]) for r in
-                    long.select("variable", "level").distinct().collect())
+                    reduced.select("variable", "level").distinct().collect())
     by_var: dict[str, list[str]] = {}
     for v, lv in levels:
         by_var.setdefault(v, []).append(lv)
@@ -163,14 +168,12 @@ def _logrank_sums(cohort: DataFrame, variables: Sequence[str], duration: str, ev
     index = F.create_map(*[x for v, lvs in by_var.items() for i, lv in enumerate(lvs)
                            for x in (F.lit(f"{v}\u0000{lv}"), F.lit(i))])
     idx = index[F.concat(F.col("variable"), F.lit("\u0000"), F.col("level"))]
-    per_t = long.withColumn("_g", idx).groupBy("variable", "t").agg(
-        F.sum("_e").cast("double").alias("_d"), F.count(F.lit(1)).cast("double").alias("_m"),
-        *[F.sum(F.when(F.col("_g") == j, F.col("_e")).otherwise(0)).cast("double").alias(f"_d{j}")
-          for j in range(k)],
-        *[F.sum(F.when(F.col("_g") == j, 1).otherwise(0)).cast("double").alias(f"_m{j}")
-          for j in range(k)])
+    per_t = reduced.withColumn("_g", idx).groupBy("variable", "t").agg(
+        F.sum("_d").alias("_d"), F.sum("_m").alias("_m"),
+        *[F.sum(F.when(F.col("_g") == j, F.col("_d")).otherwise(0.0)).alias(f"_d{j}") for j in range(k)],
+        *[F.sum(F.when(F.col("_g") == j, F.col("_m")).otherwise(0.0)).alias(f"_m{j}") for j in range(k)])
     risk = running_sums(per_t, ["variable"], "t",
-                        {"_n": "_m", **{f"_n{j}": f"_m{j}" for j in range(k)}}, reverse=True)
+                        {"_n": "_m", **{f"_n{j}": f"_m{j}" for j in range(k)}}, reverse=True, few_keys=True)
     n, d = F.col("_n"), F.col("_d")
     w = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(F.lit(0.0))
     aggs = []
