@@ -45,17 +45,21 @@ def assign_buckets(df: DataFrame, keys: Sequence[str], order: str,
     Cut points are approximate quantiles per key, so buckets are roughly
     equal in size; they never influence results, only how work is split.
     """
-    df, keys, const = _with_keys(df, keys)
     fractions = [i / buckets for i in range(1, buckets)]
+    if not list(keys):
+        # One key: the cut points are one bounded array, inlined as a literal.
+        cuts = df.agg(F.percentile_approx(order, fractions, _ACCURACY).alias("_cuts")).first()["_cuts"] or []
+        lit_cuts = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+        return df.withColumn(out, F.size(F.filter(lit_cuts, lambda c: c < F.col(order))))
+    keys = list(keys)
     cuts = df.groupBy(*keys).agg(
         F.percentile_approx(order, fractions, _ACCURACY).alias("_cuts"))
-    # One row per key: broadcast when there are no keys (one row) or the
-    # caller vouches for a small key set (strata levels, model variables).
-    cuts = F.broadcast(cuts) if const or few_keys else cuts
-    out_df = (df.join(cuts, keys)
-              .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col(order))))
-              .drop("_cuts"))
-    return out_df.drop(_CONST_KEY) if const else out_df
+    # One row per key: broadcast when the caller vouches for a small key set
+    # (strata levels, model variables, classes); otherwise AQE decides.
+    cuts = F.broadcast(cuts) if few_keys else cuts
+    return (df.join(cuts, keys)
+            .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col(order))))
+            .drop("_cuts"))
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: str,
@@ -95,6 +99,10 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
 
     per_bucket = df.groupBy(*keys, "_b").agg(
         *[F.sum(f"_v_{out}").alias(f"_bt_{out}") for out in src])
+    if const:
+        # One key: at most ``buckets`` totals; offsets are prefix sums of a
+        # bounded list, inlined as literal maps (no global window).
+        return _running_sums_one_key(df, per_bucket, base_cols, order, sums, totals, reverse, inclusive)
     wb = Window.partitionBy(*keys).orderBy("_b")
     before = (wb.rowsBetween(1, Window.unboundedFollowing) if reverse
               else wb.rowsBetween(Window.unboundedPreceding, -1))
@@ -105,7 +113,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
           for out in sums],
         *[F.sum(f"_bt__tot_src_{out}").over(whole).alias(out) for out in totals])
     # keys x buckets rows: bounded by ``buckets`` times a small key set.
-    offsets = F.broadcast(offsets) if const or few_keys else offsets
+    offsets = F.broadcast(offsets) if few_keys else offsets
 
     joined = df.join(offsets, keys + ["_b"])
     wr = Window.partitionBy(*keys, "_b").orderBy(order)
@@ -118,6 +126,31 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
     return joined.select(*base_cols, *out_cols, *[F.col(out) for out in totals])
 
 
+def _running_sums_one_key(df: DataFrame, per_bucket: DataFrame, base_cols: list[str], order: str,
+                          sums: Mapping, totals: Mapping, reverse: bool, inclusive: bool) -> DataFrame:
+    rows = sorted(per_bucket.collect(), key=lambda r: r["_b"])
+    cols = []
+    for out in sums:
+        vals = [r[f"_bt_{out}"] or 0 for r in rows]
+        offs, acc = [], 0
+        for v in (reversed(vals) if reverse else vals):
+            offs.append(acc)
+            acc = acc + v
+        if reverse:
+            offs.reverse()
+        m = F.create_map(*[x for r, o in zip(rows, offs) for x in (F.lit(r["_b"]), F.lit(o))])
+        cols.append((out, m[F.col("_b")]))
+    tot_cols = [F.lit(sum((r[f"_bt__tot_src_{out}"] or 0) for r in rows)).alias(out) for out in totals]
+    wr = Window.partitionBy("_b").orderBy(order)
+    if reverse:
+        frame = wr.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
+    else:
+        frame = wr.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out_cols = [(F.coalesce(F.sum(f"_v_{out}").over(frame), F.lit(0)) + off).alias(out) for out, off in cols]
+    return df.select(*base_cols, "_b", *[f"_v_{o}" for o in list(sums)]).select(
+        *base_cols, *out_cols, *tot_cols)
+
+
 def dense_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """1-based dense rank of ``value`` within ``keys`` without a global sort task."""
     distinct = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
@@ -172,8 +205,15 @@ def quantile_columns(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a global aggregate (exactly one row: a proven size
-    bound) to every row of ``df`` via a broadcast hash join on a constant key."""
-    left = df.withColumn("_one", F.lit(1))
-    right = F.broadcast(one_row.withColumn("_one", F.lit(1)))
-    return left.join(right, "_one").drop("_one")
+    """Add the columns of a global aggregate (exactly one row, a proven bound)
+    to every row of ``df`` as typed literals.
+
+    The row is read once on the driver; inlining avoids a cartesian join,
+    and the consumer stays a narrow projection.
+    """
+    rows = one_row.collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected one row, got {len(rows)}")
+    row = rows[0]
+    cols = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema.fields]
+    return df.select("*", *cols)
