@@ -171,3 +171,20 @@ def _erfc(z: float) -> float:
 
 def norm_sf2(z: float) -> float:
     return _erfc(abs(z) / math.sqrt(2.0))
+
+
+def round_half_up_col(x: Column, digits: int) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d in binary floating point.
+
+    Spark's ``round`` rounds the exact decimal expansion of the double, DuckDB
+    rounds ``x * 10^d``; at exact decimal ties (a mean of two prices) they can
+    differ in the last digit. This explicit formula is evaluated identically
+    by any IEEE-754 engine.
+    """
+    scale = float(10 ** digits)
+    return F.floor(x.cast("double") * scale + 0.5) / scale
+
+
+def round_half_up_sql(x: str, digits: int) -> str:
+    scale = float(10 ** digits)
+    return f"(floor(CAST({x} AS DOUBLE) * {scale!r} + 0.5) / {scale!r})"

@@ -23,7 +23,6 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskset.functions.stats import Z95, chi2_sf, chi2_sf_col, norm_sf2_col
 from riskset.operators.prefix import assign_buckets, running_sums
@@ -142,8 +141,10 @@ def step_sums(base: DataFrame, keys: list[str], xcols: list[str], lin: Column,
     per_t = rows.groupBy(*keys, "_b", "t").agg(*aggs)
     sums = {"s0": "a0", **{f"s1_{j}": f"a1_{j}" for j in range(p)},
             **{f"s2_{j}_{k}": f"a2_{j}_{k}" for j, k in _pairs(p)}}
+    # ``base`` is checkpointed and bucketed once per fit; re-aggregating it is
+    # cheaper than writing a checkpoint of ``per_t`` at every Newton step.
     risk = running_sums(per_t, keys, "t", sums, reverse=True, bucket_col="_b",
-                        totals={"n": "_cnt", "n_events": "d"}, few_keys=True)
+                        totals={"n": "_cnt", "n_events": "d"}, few_keys=True, materialized=True)
     d = F.col("d")
 
     def s0(phi):
@@ -362,5 +363,3 @@ def events_per_variable(cohort: DataFrame, event: str = "event", per_variable: i
     return cohort.agg(F.sum(F.col(event).cast("long")).alias("n_events")).select(
         "n_events", F.floor(F.col("n_events") / per_variable).cast("long").alias("max_covariates"))
 
-
-_ = T

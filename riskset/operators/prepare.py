@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskset.operators.prefix import quantile_columns
+from riskset.session import materialize
 
 
 @dataclass
@@ -237,7 +238,11 @@ class ColumnPlan:
 
 
 def fit_columns(df: DataFrame, plan: ColumnPlan) -> Params:
-    """Fit every step of the plan: medians, modes, scaler, levels."""
+    """Fit every step of the plan: medians, modes, scaler, levels.
+
+    The input is read by four fits, so it is checkpointed once first.
+    """
+    df = materialize(df)
     params = Params()
     if plan.median_scale:
         params = params.merge(fit_median(df, plan.median_scale))

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskset.functions.stats import chi2_sf_col
+from riskset.functions.stats import chi2_sf_col, round_half_up_col
 from riskset.operators.prefix import attach_one_row, quantile_columns
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -192,13 +192,13 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def group_mean(df: DataFrame, by: str, col: str, digits: int = 2) -> DataFrame:
     """Mean per group, rounded; null keys dropped (pandas default)."""
     return df.where(_c(by).isNotNull()).groupBy(_c(by).alias(by)).agg(
-        F.round(F.avg(_c(col)), digits).alias(f"mean_{col}"))
+        round_half_up_col(F.avg(_c(col)), digits).alias(f"mean_{col}"))
 
 
 def group_median(df: DataFrame, by: str, col: str, digits: int = 2) -> DataFrame:
     """Exact median per group, rounded."""
     q = quantile_columns(df.where(_c(by).isNotNull()), [by], col, {"median": 0.5})
-    return q.select(by, F.round("median", digits).alias(f"median_{col}"))
+    return q.select(by, round_half_up_col(F.col("median"), digits).alias(f"median_{col}"))
 
 
 def value_counts(df: DataFrame, col: str, by_key: bool = False) -> DataFrame:

@@ -172,8 +172,10 @@ def _logrank_sums(cohort: DataFrame, variables: Sequence[str], duration: str, ev
         F.sum("_d").alias("_d"), F.sum("_m").alias("_m"),
         *[F.sum(F.when(F.col("_g") == j, F.col("_d")).otherwise(0.0)).alias(f"_d{j}") for j in range(k)],
         *[F.sum(F.when(F.col("_g") == j, F.col("_m")).otherwise(0.0)).alias(f"_m{j}") for j in range(k)])
+    # per_t is a cheap aggregate of the checkpointed ``reduced`` table.
     risk = running_sums(per_t, ["variable"], "t",
-                        {"_n": "_m", **{f"_n{j}": f"_m{j}" for j in range(k)}}, reverse=True, few_keys=True)
+                        {"_n": "_m", **{f"_n{j}": f"_m{j}" for j in range(k)}}, reverse=True, few_keys=True,
+                        materialized=True)
     n, d = F.col("_n"), F.col("_d")
     w = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(F.lit(0.0))
     aggs = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskset.functions.stats import round_half_up_sql
 from riskset.operators import profile as pf
 from riskset.operators.prefix import attach_one_row
 from riskset.plans.registry import query, round_doubles
@@ -204,13 +205,13 @@ def a13b(spark, sf):
     return round_doubles(pf.correlation_matrix(cohorts.missing(spark, sf), MISS_NUM))
 
 
-@query("A14_group_mean", """SELECT o_orderpriority, round(avg(o_totalprice), 2) AS mean_o_totalprice
+@query("A14_group_mean", f"""SELECT o_orderpriority, {round_half_up_sql('avg(o_totalprice)', 2)} AS mean_o_totalprice
 FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority""")
 def a14(spark, sf):
     return pf.group_mean(driver_table(spark, sf, "orders"), "o_orderpriority", "o_totalprice")
 
 
-@query("A15_group_median", """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 2) AS median_l_extendedprice
+@query("A15_group_median", f"""SELECT l_returnflag, {round_half_up_sql('quantile_cont(l_extendedprice, 0.5)', 2)} AS median_l_extendedprice
 FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag""")
 def a15(spark, sf):
     return pf.group_median(driver_table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice")
