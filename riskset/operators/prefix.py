@@ -29,6 +29,18 @@ from riskset.session import materialize
 DEFAULT_BUCKETS = 64
 _ACCURACY = 10000
 _CONST_KEY = "_rs_all"
+# Per-key side tables (cut points, bucket offsets) are broadcast only when
+# the number of keys is checked to be at most this many.
+BROADCAST_KEY_LIMIT = 4096
+
+
+def keys_bounded(df: DataFrame, keys: Sequence[str], limit: int = BROADCAST_KEY_LIMIT) -> bool:
+    """True when ``df`` has at most ``limit`` distinct key tuples.
+
+    The check reads at most ``limit + 1`` distinct keys, so its cost does
+    not grow with the data beyond one pass over an already reduced table.
+    """
+    return df.select(*keys).distinct().limit(limit + 1).count() <= limit
 
 
 def _with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
@@ -39,7 +51,8 @@ def _with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]
 
 
 def assign_buckets(df: DataFrame, keys: Sequence[str], order: str,
-                   buckets: int = DEFAULT_BUCKETS, out: str = "_b", few_keys: bool = False) -> DataFrame:
+                   buckets: int = DEFAULT_BUCKETS, out: str = "_b", few_keys: bool = False,
+                   verified: bool = False) -> DataFrame:
     """Add a bucket index (0..buckets-1) that is monotone in ``order`` within keys.
 
     Cut points are approximate quantiles per key, so buckets are roughly
@@ -54,8 +67,10 @@ def assign_buckets(df: DataFrame, keys: Sequence[str], order: str,
     keys = list(keys)
     cuts = df.groupBy(*keys).agg(
         F.percentile_approx(order, fractions, _ACCURACY).alias("_cuts"))
-    # One row per key: broadcast when the caller vouches for a small key set
-    # (strata levels, model variables, classes); otherwise AQE decides.
+    # One row per key: broadcast only a checked small key set (strata levels,
+    # model variables, classes); beyond the limit AQE picks the join.
+    if few_keys and not verified:
+        few_keys = keys_bounded(df, keys)
     cuts = F.broadcast(cuts) if few_keys else cuts
     return (df.join(cuts, keys)
             .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col(order))))
@@ -91,10 +106,13 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
     df = df.select(*base_cols, *keep, *[col.alias(f"_v_{out}") for out, col in src.items()])
     if not materialized:
         df = materialize(df)
+    if few_keys and keys:
+        # The caller expects few keys; broadcast only if that is verified.
+        few_keys = keys_bounded(df, keys)
     if bucket_col:
         df = df.withColumnRenamed(bucket_col, "_b")
     else:
-        df = assign_buckets(df, keys, order, buckets, few_keys=few_keys)
+        df = assign_buckets(df, keys, order, buckets, few_keys=few_keys, verified=True)
     df, keys, const = _with_keys(df, keys)
 
     per_bucket = df.groupBy(*keys, "_b").agg(
@@ -112,7 +130,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
         *[F.coalesce(F.sum(f"_bt_{out}").over(before), F.lit(0)).alias(f"_off_{out}")
           for out in sums],
         *[F.sum(f"_bt__tot_src_{out}").over(whole).alias(out) for out in totals])
-    # keys x buckets rows: bounded by ``buckets`` times a small key set.
+    # keys x buckets rows: bounded by ``buckets`` times the checked key count.
     offsets = F.broadcast(offsets) if few_keys else offsets
 
     joined = df.join(offsets, keys + ["_b"])
