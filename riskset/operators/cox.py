@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskset.functions.stats import Z95, chi2_sf, chi2_sf_col, norm_sf2_col
-from riskset.operators.prefix import assign_buckets, running_sums
+from riskset.operators.prefix import BROADCAST_KEY_LIMIT, assign_buckets, running_sums
 from riskset.session import materialize
 
 MAX_STEPS = 50
@@ -119,7 +119,8 @@ def prepare(cohort: DataFrame, covariates: Sequence[str], duration: str = "durat
         row = base.agg(*mean_aggs).collect()[0]
         shift = [F.lit(float(row[x] or 0.0)) for x in xcols]
     base = base.select(*keys, "t", "e", *[(F.col(x) - shift[j]).alias(x) for j, x in enumerate(xcols)])
-    return materialize(assign_buckets(base, keys, "t", few_keys=True)), keys, xcols
+    few = len(covariates) <= BROADCAST_KEY_LIMIT          # keys = the covariate list
+    return materialize(assign_buckets(base, keys, "t", few_keys=few, verified=True)), keys, xcols
 
 
 def step_sums(base: DataFrame, keys: list[str], xcols: list[str], lin: Column,
@@ -144,7 +145,8 @@ def step_sums(base: DataFrame, keys: list[str], xcols: list[str], lin: Column,
     # ``base`` is checkpointed and bucketed once per fit; re-aggregating it is
     # cheaper than writing a checkpoint of ``per_t`` at every Newton step.
     risk = running_sums(per_t, keys, "t", sums, reverse=True, bucket_col="_b",
-                        totals={"n": "_cnt", "n_events": "d"}, few_keys=True, materialized=True)
+                        totals={"n": "_cnt", "n_events": "d"}, few_keys=True, materialized=True,
+                        keys_verified=True)  # keys = the driver's covariate list
     d = F.col("d")
 
     def s0(phi):

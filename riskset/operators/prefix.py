@@ -81,7 +81,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
                  sums: Mapping[str, str | Column], *, reverse: bool = False,
                  inclusive: bool = True, totals: Mapping[str, str | Column] | None = None,
                  buckets: int = DEFAULT_BUCKETS, bucket_col: str | None = None,
-                 materialized: bool = False, few_keys: bool = False) -> DataFrame:
+                 materialized: bool = False, few_keys: bool = False,
+                 keys_verified: bool = False) -> DataFrame:
     """Add running sums ordered by ``order`` within ``keys``.
 
     ``df`` must hold at most one row per (keys, order value). ``sums`` maps an
@@ -96,6 +97,10 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
     is; otherwise each read would re-run the scan and aggregation behind it
     (column pruning makes the three partial aggregates differ, so Spark
     cannot reuse one exchange for them).
+
+    ``few_keys`` asks for broadcast side tables; it is honoured after a
+    bounded distinct-key check, or directly when ``keys_verified`` says the
+    caller holds the key list on the driver (model variables, levels).
     """
     totals = dict(totals or {})
     base_cols = [c for c in df.columns if c != bucket_col]
@@ -106,7 +111,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
     df = df.select(*base_cols, *keep, *[col.alias(f"_v_{out}") for out, col in src.items()])
     if not materialized:
         df = materialize(df)
-    if few_keys and keys:
+    if few_keys and keys and not keys_verified:
         # The caller expects few keys; broadcast only if that is verified.
         few_keys = keys_bounded(df, keys)
     if bucket_col:

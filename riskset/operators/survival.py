@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskset.functions.stats import Z95, chi2_sf_col
-from riskset.operators.prefix import running_sums
+from riskset.operators.prefix import BROADCAST_KEY_LIMIT, running_sums
 from riskset.session import materialize
 
 MAX_GROUPS = 256  # a log-rank test builds a k x k covariance; k is a level count
@@ -174,8 +174,8 @@ def _logrank_sums(cohort: DataFrame, variables: Sequence[str], duration: str, ev
         *[F.sum(F.when(F.col("_g") == j, F.col("_m")).otherwise(0.0)).alias(f"_m{j}") for j in range(k)])
     # per_t is a cheap aggregate of the checkpointed ``reduced`` table.
     risk = running_sums(per_t, ["variable"], "t",
-                        {"_n": "_m", **{f"_n{j}": f"_m{j}" for j in range(k)}}, reverse=True, few_keys=True,
-                        materialized=True)
+                        {"_n": "_m", **{f"_n{j}": f"_m{j}" for j in range(k)}}, reverse=True,
+                        few_keys=len(by_var) <= BROADCAST_KEY_LIMIT, keys_verified=True, materialized=True)
     n, d = F.col("_n"), F.col("_d")
     w = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(F.lit(0.0))
     aggs = []
