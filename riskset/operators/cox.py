@@ -30,6 +30,7 @@ from riskset.session import materialize
 
 MAX_STEPS = 50
 STEP_TOL = 1e-10
+EFRON_CHUNK = 4096   # tied events folded per row; larger tie groups are split
 
 
 @dataclass
@@ -79,11 +80,31 @@ def _pairs(p: int) -> list[tuple[int, int]]:
 
 
 def _fold(d: Column, ties: str, f) -> Column:
-    """Sum of f(phi) over the d tied events; phi = l/d (Efron) or 0 (Breslow)."""
+    """Sum of f(phi) over this row's share of the d tied events.
+
+    Breslow: d * f(0). Efron: phi = l/d for l in the row's chunk
+    [_lo, _hi) (see :func:`_efron_chunks`), folded with an array
+    ``aggregate``; a chunk holds at most ``EFRON_CHUNK`` terms.
+    """
     if ties == "breslow":
         return d * f(F.lit(0.0))
-    return F.aggregate(F.sequence(F.lit(0), (d - 1).cast("int")), F.lit(0.0),
-                       lambda acc, l: acc + f(l / d))
+    seq = F.sequence(F.col("_lo"), F.col("_hi") - 1)
+    return F.aggregate(seq, F.lit(0.0), lambda acc, l: acc + f(l / d))
+
+
+def _efron_chunks(rows: DataFrame, ties: str) -> DataFrame:
+    """Split each event time's tie group into chunks of at most EFRON_CHUNK
+    events, so one time holding a third of all events is folded by many
+    tasks instead of one giant array. Terms outside the fold (counted once
+    per time) are taken on chunk 0 only (``_first``)."""
+    if ties == "breslow":
+        return rows.withColumn("_first", F.lit(True))
+    d = F.col("d").cast("long")
+    n_chunks = F.floor((d - 1) / EFRON_CHUNK).cast("int")
+    out = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), n_chunks)))
+    lo = F.col("_chunk").cast("long") * EFRON_CHUNK
+    return out.withColumn("_lo", lo).withColumn("_hi", F.least(lo + EFRON_CHUNK, d)) \
+        .withColumn("_first", F.col("_chunk") == 0)
 
 
 def prepare(cohort: DataFrame, covariates: Sequence[str], duration: str = "duration",
@@ -158,9 +179,14 @@ def step_sums(base: DataFrame, keys: list[str], xcols: list[str], lin: Column,
     def s2(j, k, phi):
         return F.col(f"s2_{j}_{k}") - phi * F.col(f"d2_{j}_{k}")
 
-    ev = risk.where(d > 0)
-    terms = [(F.col("el") - _fold(d, ties, lambda phi: F.log(s0(phi)))).alias("ll")]
-    terms += [(F.col(f"e1_{j}") - _fold(d, ties, lambda phi, j=j: s1(j, phi) / s0(phi))).alias(f"U{j}")
+    ev = _efron_chunks(risk.where(d > 0), ties)
+    once = F.col("_first")
+
+    def first_only(c: Column) -> Column:
+        return F.when(once, c).otherwise(F.lit(0.0))
+
+    terms = [(first_only(F.col("el")) - _fold(d, ties, lambda phi: F.log(s0(phi)))).alias("ll")]
+    terms += [(first_only(F.col(f"e1_{j}")) - _fold(d, ties, lambda phi, j=j: s1(j, phi) / s0(phi))).alias(f"U{j}")
               for j in range(p)]
     terms += [_fold(d, ties, lambda phi, j=j, k=k: s2(j, k, phi) / s0(phi)
                     - s1(j, phi) * s1(k, phi) / (s0(phi) * s0(phi))).alias(f"I{j}_{k}")
