@@ -362,23 +362,42 @@ def ph_test(cohort: DataFrame, fit_: CoxFit, covariates: Sequence[str], duration
     Scaled residuals r* = d * Var(beta) r; per covariate
     T = (sum (g - gbar) r*_j)^2 / (d * Var_jj * sum (g - gbar)^2), g = average
     rank of the event time among event times; chi-square with 1 df.
+
+    Events at one time share g and the risk-set mean, so every sum is taken
+    per distinct time: sum_i (g_i - gbar) r_ij = sum_t (g_t - gbar)
+    (sum_{events at t} x_ij - d_t m_j(t)). No per-event row is joined, so a
+    time holding a large share of all events is just one aggregated row.
     """
     p = len(covariates)
     b = fit_.beta["model"]
     var = fit_.covariance("model")
-    res = schoenfeld_residuals(cohort, covariates, b, duration, event, id_col)
+    xcols = [f"x{j}" for j in range(p)]
+    base = cohort.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
+                         *[F.col(c).cast("double").alias(x) for c, x in zip(covariates, xcols)])
+    cond = F.col("t").isNotNull() & F.col("e").isNotNull()
+    for x in xcols:
+        cond = cond & F.col(x).isNotNull()
+    base = base.where(cond)
+    lin = F.lit(0.0)
+    for j, x in enumerate(xcols):
+        lin = lin + F.lit(float(b[j])) * F.col(x)
+    r = F.exp(lin)
+    per_t = base.groupBy("t").agg(
+        F.sum(r).alias("a0"), F.sum("e").cast("double").alias("d"),
+        *[F.sum(F.col(x) * r).alias(f"a1_{j}") for j, x in enumerate(xcols)],
+        *[F.sum(F.col("e") * F.col(x)).alias(f"ex_{j}") for j, x in enumerate(xcols)])
+    risk = running_sums(per_t, [], "t", {"s0": "a0", "rd": "d", **{f"s1_{j}": f"a1_{j}" for j in range(p)}},
+                        reverse=True, totals={"_d_total": "d"})
+    ev = risk.where(F.col("d") > 0)
     n_ev = float(fit_.n_events["model"])
-    counts = res.groupBy("t").agg(F.count(F.lit(1)).alias("_c"))
-    ranks = running_sums(counts, [], "t", {"_cum": "_c"}).select(
-        "t", (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias("g"))
     gbar = (n_ev + 1.0) / 2.0
-    scaled = [sum((F.col(f"r{k}") * float(var[k, j]) for k in range(p)), F.lit(0.0)) * n_ev
-              for j in range(p)]
-    sums = res.join(ranks, "t").agg(
-        F.sum((F.col("g") - gbar) ** 2).alias("_gg"),
-        *[F.sum((F.col("g") - gbar) * scaled[j]).alias(f"_s{j}") for j in range(p)])
+    g = F.col("_d_total") - F.col("rd") + (F.col("d") + 1.0) / 2.0   # average rank among event times
+    resid = [F.col(f"ex_{j}") - F.col("d") * F.col(f"s1_{j}") / F.col("s0") for j in range(p)]
+    sums = ev.agg(F.sum(F.col("d") * (g - gbar) ** 2).alias("_gg"),
+                  *[F.sum((g - gbar) * resid[j]).alias(f"_r{j}") for j in range(p)])
+    scaled = [sum((F.col(f"_r{k}") * float(var[k, j]) for k in range(p)), F.lit(0.0)) * n_ev for j in range(p)]
     rows = F.array(*[F.struct(F.lit(c).alias("variable"),
-                              (F.col(f"_s{j}") ** 2 / (F.lit(n_ev * float(var[j, j])) * F.col("_gg")))
+                              (scaled[j] ** 2 / (F.lit(n_ev * float(var[j, j])) * F.col("_gg")))
                               .alias("test_statistic")) for j, c in enumerate(covariates)])
     out = sums.select(F.inline(rows))
     return out.select("variable", "test_statistic",

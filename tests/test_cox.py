@@ -83,3 +83,18 @@ def test_efron_chunked_tie_groups_match(spark, monkeypatch):
     got = {r["variable"]: r for r in table.collect()}
     assert np.allclose([got["x0"]["coef"], got["x1"]["coef"]], beta, atol=1e-8)
     assert np.allclose([got["x0"]["se_coef"], got["x1"]["se_coef"]], se, atol=1e-8)
+
+
+def test_ph_test_per_time_equals_per_event(spark):
+    df, *_ = _data(spark, n=150, seed=8)
+    fit, _ = cox.cox_multivariate(df, ["x0", "x1"])
+    got = {r["variable"]: r["test_statistic"] for r in cox.ph_test(df, fit, ["x0", "x1"], id_col="id").collect()}
+    res = cox.schoenfeld_residuals(df, ["x0", "x1"], fit.beta["model"], id_col="id").toPandas()
+    g = res["t"].rank(method="average").to_numpy()
+    var = fit.covariance("model")
+    d = len(res)
+    scaled = d * res[["r0", "r1"]].to_numpy() @ var
+    gg = g - g.mean()
+    for j, name in enumerate(["x0", "x1"]):
+        ref = (gg @ scaled[:, j]) ** 2 / (d * var[j, j] * (gg ** 2).sum())
+        assert abs(got[name] - ref) < 1e-9 * max(1.0, ref)
