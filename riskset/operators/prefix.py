@@ -181,6 +181,14 @@ def dense_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank"
     return df.join(ranked, list(keys) + [value], "left")
 
 
+def value_counts_table(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys..., _x, _n): non-null values as double with their multiplicity."""
+    keys = list(keys)
+    return (df.select(*keys, F.col(value).cast("double").alias("_x"))
+            .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+            .groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n")))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], out: str = "quantile") -> DataFrame:
     """Exact linearly interpolated quantiles (same definition as pandas,
@@ -191,11 +199,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     :func:`running_sums` and picks the two neighbours of each rank position.
     Returns (keys..., prob, ``out``). Nulls are ignored.
     """
+    return quantiles_from_counts(value_counts_table(df, keys, value), keys, probs, out)
+
+
+def quantiles_from_counts(counts: DataFrame, keys: Sequence[str], probs: Sequence[float],
+                          out: str = "quantile", materialized: bool = False) -> DataFrame:
+    """:func:`exact_quantiles` on a (keys..., _x, _n) table of value counts."""
     keys = list(keys)
-    counts = (df.select(*keys, F.col(value).cast("double").alias("_x"))
-              .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-              .groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n")))
-    ranked = running_sums(counts, keys, "_x", {"_cum": "_n"}, totals={"_tot": "_n"}, few_keys=True)
+    ranked = running_sums(counts, keys, "_x", {"_cum": "_n"}, totals={"_tot": "_n"}, few_keys=True,
+                          materialized=materialized)
     probs_col = F.array(*[F.lit(float(p)) for p in probs])
     first = F.col("_cum") - F.col("_n")          # 0-based first rank of the value
     last = F.col("_cum") - 1                     # 0-based last rank of the value

@@ -46,12 +46,16 @@ def column_info(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """A3/A4: n, mean, sd (sample), min, q1, median, q3, max per column
-    (and per group). Quantiles are exact (linear interpolation)."""
+    (and per group). Quantiles are exact (linear interpolation).
+
+    Two passes over the input: moments come from the raw values (so the
+    mean is the plain floating average every engine computes), quartiles
+    from the (group, column, value, count) table.
+    """
     keys = list(by)
     long = melt(df, cols, keys).where(F.col("value").isNotNull())
-    if keys:
-        for k in keys:
-            long = long.where(F.col(k).isNotNull())
+    for k in keys:
+        long = long.where(F.col(k).isNotNull())
     stats = long.groupBy(*keys, "column").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
         F.min("value").alias("min"), F.max("value").alias("max"))
