@@ -42,7 +42,9 @@ def concordance(df: DataFrame, risk: str, duration: str = "duration", event: str
     # tied risks: same computation inside each rank
     per_rt = ranked.groupBy("rank", "t").agg(F.count(F.lit(1)).alias("m"),
                                              F.sum("e").cast("long").alias("d"))
-    later_r = running_sums(per_rt, ["rank"], "t", {"later": "m"}, reverse=True, inclusive=False)
+    # one key per distinct risk on a common time axis: shared cut points
+    later_r = running_sums(per_rt, ["rank"], "t", {"later": "m"}, reverse=True, inclusive=False,
+                           shared_cuts=True)
     tied = later_r.agg(F.sum(F.col("d") * (F.col("later") + F.col("m") - F.col("d"))).alias("tied_risk"))
 
     # concordant: dyadic levels; the level count comes from the rank range.
@@ -57,7 +59,11 @@ def concordance(df: DataFrame, risk: str, duration: str = "duration", event: str
         F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).cast("long").alias("m0"),
         F.sum(F.when((F.col("side") == 0) & (F.col("e") == 0), 1).otherwise(0)).cast("long").alias("c0"),
         F.sum(F.when((F.col("side") == 1) & (F.col("e") == 1), 1).otherwise(0)).cast("long").alias("d1"))
-    later_left = running_sums(per_node, ["level", "node"], "t", {"later0": "m0"}, reverse=True, inclusive=False)
+    # one key per tree node on a common time axis: shared cut points split the
+    # large nodes near the root; the offsets table has one row per non-empty
+    # (node, bucket), never more than the node table itself
+    later_left = running_sums(per_node, ["level", "node"], "t", {"later0": "m0"}, reverse=True, inclusive=False,
+                              shared_cuts=True)
     concordant = later_left.agg(F.sum(F.col("d1") * (F.col("later0") + F.col("c0"))).alias("concordant"))
 
     # three one-row aggregates combined by a one-row union + max (no join)

@@ -19,6 +19,7 @@ what is summed. Callers reduce rows to one per (key, order value) first
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,20 +51,49 @@ def _with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]
     return df.withColumn(_CONST_KEY, F.lit(0)), [_CONST_KEY], True
 
 
+def default_buckets(df: DataFrame) -> int:
+    """Buckets per key: twice the shuffle partitions, clamped to [64, 4096]
+    (``riskset.buckets`` in the session config overrides)."""
+    conf = df.sparkSession.conf
+    explicit = conf.get("riskset.buckets", None)
+    if explicit:
+        return int(explicit)
+    parts = int(conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(DEFAULT_BUCKETS, min(4096, 2 * parts))
+
+
+def bucket_of(cuts: Column, value: Column, n_cuts: int) -> Column:
+    """Number of cut points below ``value`` (a lower bound) by binary search
+    over the sorted ``cuts`` array: log2(n) steps instead of n comparisons."""
+    steps = max(1, math.ceil(math.log2(n_cuts + 1)))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        go_right = F.element_at(cuts, mid + 1) < value
+        nxt = F.when(go_right, F.struct((mid + 1).alias("lo"), hi.alias("hi"))) \
+            .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo < hi, nxt).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: acc["lo"])
+
+
 def assign_buckets(df: DataFrame, keys: Sequence[str], order: str,
-                   buckets: int = DEFAULT_BUCKETS, out: str = "_b", few_keys: bool = False,
+                   buckets: int | None = None, out: str = "_b", few_keys: bool = False,
                    verified: bool = False) -> DataFrame:
     """Add a bucket index (0..buckets-1) that is monotone in ``order`` within keys.
 
     Cut points are approximate quantiles per key, so buckets are roughly
     equal in size; they never influence results, only how work is split.
     """
+    buckets = buckets or default_buckets(df)
     fractions = [i / buckets for i in range(1, buckets)]
     if not list(keys):
         # One key: the cut points are one bounded array, inlined as a literal.
         cuts = df.agg(F.percentile_approx(order, fractions, _ACCURACY).alias("_cuts")).first()["_cuts"] or []
         lit_cuts = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-        return df.withColumn(out, F.size(F.filter(lit_cuts, lambda c: c < F.col(order))))
+        return df.withColumn(out, bucket_of(lit_cuts, F.col(order), len(cuts)))
     keys = list(keys)
     cuts = df.groupBy(*keys).agg(
         F.percentile_approx(order, fractions, _ACCURACY).alias("_cuts"))
@@ -73,16 +103,16 @@ def assign_buckets(df: DataFrame, keys: Sequence[str], order: str,
         few_keys = keys_bounded(df, keys)
     cuts = F.broadcast(cuts) if few_keys else cuts
     return (df.join(cuts, keys)
-            .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col(order))))
+            .withColumn(out, bucket_of(F.col("_cuts"), F.col(order), buckets - 1))
             .drop("_cuts"))
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: str,
                  sums: Mapping[str, str | Column], *, reverse: bool = False,
                  inclusive: bool = True, totals: Mapping[str, str | Column] | None = None,
-                 buckets: int = DEFAULT_BUCKETS, bucket_col: str | None = None,
+                 buckets: int | None = None, bucket_col: str | None = None,
                  materialized: bool = False, few_keys: bool = False,
-                 keys_verified: bool = False) -> DataFrame:
+                 keys_verified: bool = False, shared_cuts: bool = False) -> DataFrame:
     """Add running sums ordered by ``order`` within ``keys``.
 
     ``df`` must hold at most one row per (keys, order value). ``sums`` maps an
@@ -101,6 +131,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
     ``few_keys`` asks for broadcast side tables; it is honoured after a
     bounded distinct-key check, or directly when ``keys_verified`` says the
     caller holds the key list on the driver (model variables, levels).
+    ``shared_cuts`` uses one set of cut points for all keys (many keys on a
+    common axis, e.g. tree nodes): no per-key sketch table is built.
     """
     totals = dict(totals or {})
     base_cols = [c for c in df.columns if c != bucket_col]
@@ -116,6 +148,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
         few_keys = keys_bounded(df, keys)
     if bucket_col:
         df = df.withColumnRenamed(bucket_col, "_b")
+    elif shared_cuts:
+        df = assign_buckets(df, [], order, buckets)
     else:
         df = assign_buckets(df, keys, order, buckets, few_keys=few_keys, verified=True)
     df, keys, const = _with_keys(df, keys)
