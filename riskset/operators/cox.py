@@ -313,6 +313,32 @@ def score_at(cohort: DataFrame, covariates: Sequence[str], beta: Sequence[float]
     return sums.select(F.inline(pairs))
 
 
+def fixed_fit(cohort: DataFrame, covariates: Sequence[str], beta: Sequence[float],
+              duration: str = "duration", event: str = "event", ties: str = "efron") -> CoxFit:
+    """A CoxFit evaluated at a given beta (no iterations): information,
+    log-likelihood and counts at that point, e.g. for score and PH tests
+    under the null model."""
+    t = F.col(duration).cast("double").alias("t")
+    e = F.col(event).cast("int").alias("e")
+    xcols = [f"x{j}" for j in range(len(covariates))]
+    base = cohort.select(t, e, *[F.col(c).cast("double").alias(x) for c, x in zip(covariates, xcols)])
+    cond = F.col("t").isNotNull() & F.col("e").isNotNull()
+    for x in xcols:
+        cond = cond & F.col(x).isNotNull()
+    base = assign_buckets(base.where(cond), [], "t")
+    b = np.array(beta, dtype=float)
+    row = step_sums(base, [], xcols, _linear([], xcols, {"model": b}), ties).collect()[0]
+    p = len(xcols)
+    info = np.zeros((p, p))
+    for j, k in _pairs(p):
+        info[j, k] = info[k, j] = row[f"I{j}_{k}"]
+    out = CoxFit(covariates=list(covariates), keys=[], ties=ties)
+    out.beta["model"], out.information["model"] = b, info
+    out.loglik["model"] = out.loglik_null["model"] = row["ll"]
+    out.n["model"], out.n_events["model"] = row["n"], row["n_events"]
+    return out
+
+
 def linear_predictor(cohort: DataFrame, fit_: CoxFit, covariates: Sequence[str]) -> Column:
     b = fit_.beta["model"]
     lin = F.lit(0.0)

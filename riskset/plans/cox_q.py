@@ -224,3 +224,32 @@ def c4_fit(spark, sf):
     fit_, _ = cox.cox_multivariate(c, UNI_VARS)
     scored = c.withColumn("risk", cox.linear_predictor(c, fit_, UNI_VARS))
     return round_doubles(cc.concordance(scored, "risk"))
+
+
+def _c6_zero_sql() -> str:
+    from riskset.functions.stats import chi2_sf_sql
+    s0, s1, s2 = "(s0 - PHI * d)", "(s1 - PHI * ex)", "(s2 - PHI * ex2)"
+    info = _efron('d', f'{s2} / {s0} - ({s1} / {s0}) * ({s1} / {s0})')
+    stat = "(dtot / i.I) * s.r * s.r / s.gg"
+    return f"""WITH {CHURN},
+a AS (SELECT duration AS t, CAST(count(*) AS DOUBLE) AS a0, CAST(sum(n_orders) AS DOUBLE) AS a1,
+             CAST(sum(n_orders * n_orders) AS DOUBLE) AS a2, CAST(sum(event) AS DOUBLE) AS d,
+             CAST(sum(event * n_orders) AS DOUBLE) AS ex, CAST(sum(event * n_orders * n_orders) AS DOUBLE) AS ex2
+      FROM churn GROUP BY duration),
+c AS (SELECT *, sum(a0) OVER w AS s0, sum(a1) OVER w AS s1, sum(a2) OVER w AS s2, sum(d) OVER w AS rd,
+             sum(d) OVER () AS dtot
+      FROM a WINDOW w AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+i AS (SELECT sum({info}) AS I FROM c WHERE d > 0),
+ev AS (SELECT *, dtot - rd + (d + 1) / 2.0 AS g FROM c WHERE d > 0),
+s AS (SELECT sum(d * power(g - (dtot + 1) / 2.0, 2)) AS gg,
+             sum((g - (dtot + 1) / 2.0) * (ex - d * s1 / s0)) AS r, any_value(dtot) AS dtot FROM ev)
+SELECT 'n_orders' AS variable, {r(stat, 'test_statistic')}, {r(chi2_sf_sql(stat, 1), 'p_value')},
+       {r(f'-log2({chi2_sf_sql(stat, 1)})', 'neg_log2_p')}
+FROM s, i"""
+
+
+@query("C6_ph_test_at_zero", _c6_zero_sql())
+def c6_zero(spark, sf):
+    c = cohorts.churn(spark, sf)
+    fit0 = cox.fixed_fit(c, ["n_orders"], [0.0])
+    return round_doubles(cox.ph_test(c, fit0, ["n_orders"]))
