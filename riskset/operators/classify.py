@@ -170,12 +170,26 @@ def roc_auc(df: DataFrame, label: str = "label", score_col: str = "prob") -> Dat
                     (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
-def roc_curve(df: DataFrame, label: str = "label", score_col: str = "prob") -> DataFrame:
+def roc_curve(df: DataFrame, label: str = "label", score_col: str = "prob",
+              drop_intermediate: bool = False) -> DataFrame:
     """M8: one point per distinct threshold (score >= threshold is positive):
-    (threshold, fpr, tpr), plus the (0, 0) origin with a null threshold."""
+    (threshold, fpr, tpr), plus the (0, 0) origin with a null threshold.
+
+    ``drop_intermediate`` removes interior points whose false- and
+    true-positive counts both have a zero second difference (collinear with
+    their neighbours). Neighbours are found by numbering the points with a
+    running count and joining on index +/- 1, not by a global lag/lead.
+    """
     per = _score_counts(df, label, score_col)
-    cum = running_sums(per, [], "score", {"tp": "pos", "fp": "neg"}, reverse=True,
+    cum = running_sums(per, [], "score", {"tp": "pos", "fp": "neg", "_i": F.lit(1)}, reverse=True,
                        totals={"P": "pos", "N": "neg"})
+    if drop_intermediate:
+        prev = cum.select((F.col("_i") + 1).alias("_i"), F.col("tp").alias("_tp_prev"), F.col("fp").alias("_fp_prev"))
+        nxt = cum.select((F.col("_i") - 1).alias("_i"), F.col("tp").alias("_tp_next"), F.col("fp").alias("_fp_next"))
+        both = cum.join(prev, "_i", "left").join(nxt, "_i", "left")
+        bend = ((F.col("_fp_next") - 2 * F.col("fp") + F.col("_fp_prev")) != 0) | \
+               ((F.col("_tp_next") - 2 * F.col("tp") + F.col("_tp_prev")) != 0)
+        cum = both.where(F.col("_fp_prev").isNull() | F.col("_fp_next").isNull() | bend)
     pts = cum.select(F.col("score").alias("threshold"), (F.col("fp") / F.col("N")).alias("fpr"),
                      (F.col("tp") / F.col("P")).alias("tpr"))
     origin = per.agg(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))

@@ -176,6 +176,19 @@ def m8(spark, sf):
     return round_doubles(cl.roc_curve(_doc_scores(spark, sf)))
 
 
+@query("M8_roc_curve_drop_intermediate", f"""WITH {DOC_SCORE_SQL},
+s AS (SELECT prob AS score, sum(label) AS pos, sum(1 - label) AS neg FROM docs GROUP BY prob),
+c AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS P, sum(neg) OVER () AS N
+      FROM s WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+l AS (SELECT *, lag(fp) OVER o AS fp_prev, lead(fp) OVER o AS fp_next, lag(tp) OVER o AS tp_prev,
+             lead(tp) OVER o AS tp_next FROM c WINDOW o AS (ORDER BY score DESC))
+SELECT {r('score', 'threshold')}, {r('CAST(fp AS DOUBLE) / N', 'fpr')}, {r('CAST(tp AS DOUBLE) / P', 'tpr')} FROM l
+WHERE fp_prev IS NULL OR fp_next IS NULL OR fp_next - 2 * fp + fp_prev <> 0 OR tp_next - 2 * tp + tp_prev <> 0
+UNION ALL SELECT NULL, 0.0, 0.0""")
+def m8d(spark, sf):
+    return round_doubles(cl.roc_curve(_doc_scores(spark, sf), drop_intermediate=True))
+
+
 @query("M9_model_comparison", f"""WITH {DOC_SCORE_SQL},
 inv AS (SELECT doc_id, label, 1.0 - prob AS prob, 1 - prediction AS prediction FROM docs),
 base AS (SELECT doc_id, label, 0.0 AS prob, 0 AS prediction FROM docs)
