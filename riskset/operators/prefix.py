@@ -280,7 +280,7 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     The row is read once on the driver; inlining avoids a cartesian join,
     and the consumer stays a narrow projection.
     """
-    rows = one_row.collect()
+    rows = one_row.limit(2).collect()
     if len(rows) != 1:
         raise ValueError(f"expected one row, got {len(rows)}")
     row = rows[0]

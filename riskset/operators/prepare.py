@@ -53,6 +53,9 @@ class Params:
         return Params(rows)
 
 
+MAX_LEVELS = 10000   # one-hot output columns per input column
+
+
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -201,7 +204,10 @@ def fit_levels(df: DataFrame, cols: Sequence[str]) -> Params:
     """Distinct levels per column, ascending (a bounded list per column)."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _c(c).cast("string").alias("level"))
                                          for c in cols])).alias("_p")).select("_p.*").where(F.col("level").isNotNull())
-    levels = long.distinct().collect()
+    cap = MAX_LEVELS * len(cols)
+    levels = long.distinct().limit(cap + 1).collect()
+    if len(levels) > cap:
+        raise ValueError(f"more than {MAX_LEVELS} levels per column: not a categorical to one-hot encode")
     rows = sorted((r["column"], r["level"]) for r in levels)
     return Params([(c, "onehot", "level", lv) for c, lv in rows])
 

@@ -157,8 +157,12 @@ def _logrank_sums(cohort: DataFrame, variables: Sequence[str], duration: str, ev
     # One pass over the cohort: counts per (variable, level, t), kept once.
     reduced = materialize(long.groupBy("variable", "level", "t").agg(
         F.sum("_e").cast("double").alias("_d"), F.count(F.lit(1)).cast("double").alias("_m")))
-    levels = sorted((r["variable"], r["level"]) for r in
-                    reduced.select("variable", "level").distinct().collect())
+    # Read at most MAX_GROUPS levels per variable (+1 to detect overflow).
+    cap = MAX_GROUPS * len(variables)
+    rows = reduced.select("variable", "level").distinct().limit(cap + 1).collect()
+    if len(rows) > cap:
+        raise ValueError(f"more than {MAX_GROUPS} levels per variable: stratify on a coarser variable")
+    levels = sorted((r["variable"], r["level"]) for r in rows)
     by_var: dict[str, list[str]] = {}
     for v, lv in levels:
         by_var.setdefault(v, []).append(lv)
