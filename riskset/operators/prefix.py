@@ -224,7 +224,7 @@ def value_counts_table(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: Sequence[float], out: str = "quantile") -> DataFrame:
+                    probs: Sequence[float], out: str = "quantile", keys_verified: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles (same definition as pandas,
     DuckDB ``quantile_cont`` and Spark ``percentile``) per key.
 
@@ -233,15 +233,18 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     :func:`running_sums` and picks the two neighbours of each rank position.
     Returns (keys..., prob, ``out``). Nulls are ignored.
     """
-    return quantiles_from_counts(value_counts_table(df, keys, value), keys, probs, out)
+    return quantiles_from_counts(value_counts_table(df, keys, value), keys, probs, out,
+                                 keys_verified=keys_verified)
 
 
 def quantiles_from_counts(counts: DataFrame, keys: Sequence[str], probs: Sequence[float],
-                          out: str = "quantile", materialized: bool = False) -> DataFrame:
-    """:func:`exact_quantiles` on a (keys..., _x, _n) table of value counts."""
+                          out: str = "quantile", materialized: bool = False,
+                          keys_verified: bool = False) -> DataFrame:
+    """:func:`exact_quantiles` on a (keys..., _x, _n) table of value counts.
+    ``keys_verified``: the key values are a driver-held list (column names)."""
     keys = list(keys)
     ranked = running_sums(counts, keys, "_x", {"_cum": "_n"}, totals={"_tot": "_n"}, few_keys=True,
-                          materialized=materialized)
+                          materialized=materialized, keys_verified=keys_verified)
     probs_col = F.array(*[F.lit(float(p)) for p in probs])
     first = F.col("_cum") - F.col("_n")          # 0-based first rank of the value
     last = F.col("_cum") - 1                     # 0-based last rank of the value
@@ -263,9 +266,9 @@ def quantiles_from_counts(counts: DataFrame, keys: Sequence[str], probs: Sequenc
 
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str,
-                     named: Mapping[str, float]) -> DataFrame:
+                     named: Mapping[str, float], keys_verified: bool = False) -> DataFrame:
     """Exact quantiles pivoted to one column per name: (keys..., name...)."""
-    q = exact_quantiles(df, keys, value, list(named.values()))
+    q = exact_quantiles(df, keys, value, list(named.values()), keys_verified=keys_verified)
     aggs = [F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(name)
             for name, p in named.items()]
     if keys:

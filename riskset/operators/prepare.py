@@ -92,7 +92,7 @@ def fit_median(df: DataFrame, cols: Sequence[str]) -> Params:
     """E3 fit: exact medians (interpolated), one distributed job per column set."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _c(c).cast("double").alias("value"))
                                          for c in cols])).alias("_p")).select("_p.*")
-    med = quantile_columns(long, ["column"], "value", {"median": 0.5}).collect()
+    med = quantile_columns(long, ["column"], "value", {"median": 0.5}, keys_verified=True).collect()
     return Params([(r["column"], "impute", "fill", r["median"]) for r in med])
 
 
