@@ -153,7 +153,6 @@ def c2_score(spark, sf):
     return round_doubles(cox.score_at(_std_churn(spark, sf), UNI_VARS, [0.0, 0.0, 0.0]))
 
 
-@query("C2_cox_multivariate")
 def c2(spark, sf):
     c = _std_churn(spark, sf)
     _, table = cox.cox_multivariate(c, UNI_VARS)
@@ -253,3 +252,76 @@ def c6_zero(spark, sf):
     c = cohorts.churn(spark, sf)
     fit0 = cox.fixed_fit(c, ["n_orders"], [0.0])
     return round_doubles(cox.ph_test(c, fit0, ["n_orders"]))
+
+
+def _multi_newton_sql(steps: int = NEWTON_STEPS) -> str:
+    """Efron Newton-Raphson for the 3-covariate model, unrolled, with the
+    3 x 3 system solved by an unrolled Cholesky factorisation."""
+    xs = UNI_VARS
+    p = len(xs)
+    pairs = [(j, k) for j in range(p) for k in range(j, p)]
+    stats = ", ".join(f"avg({v}) AS m_{v}, stddev_pop({v}) AS s_{v}" for v in xs)
+    zcols = ", ".join(f"(CAST({v} AS DOUBLE) - m_{v}) / s_{v} AS x{j}" for j, v in enumerate(xs))
+    ctes = [CHURN, f"stats AS (SELECT {stats} FROM churn)",
+            f"zc AS (SELECT duration, event, {zcols} FROM churn, stats)",
+            "b0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"]
+    s0 = "(s0 - PHI * d0)"
+
+    def s1(j):
+        return f"(s1_{j} - PHI * d1_{j})"
+
+    def s2(j, k):
+        return f"(s2_{j}_{k} - PHI * d2_{j}_{k})"
+
+    for k in range(1, steps + 2):
+        lin = " + ".join(f"b.b{j} * x{j}" for j in range(p))
+        a = ["sum(exp(lin)) AS a0", "CAST(sum(event) AS DOUBLE) AS d", "sum(event * lin) AS el",
+             "sum(event * exp(lin)) AS d0"]
+        a += [f"sum(x{j} * exp(lin)) AS a1_{j}, sum(event * x{j}) AS e1_{j}, sum(event * x{j} * exp(lin)) AS d1_{j}"
+              for j in range(p)]
+        a += [f"sum(x{j} * x{l} * exp(lin)) AS a2_{j}_{l}, sum(event * x{j} * x{l} * exp(lin)) AS d2_{j}_{l}"
+              for j, l in pairs]
+        ctes.append(f"a{k} AS (SELECT duration AS t, {', '.join(a)} FROM (SELECT zc.*, {lin} AS lin "
+                    f"FROM zc, b{k - 1} b) z GROUP BY duration)")
+        runs = ["sum(a0) OVER w AS s0"] + [f"sum(a1_{j}) OVER w AS s1_{j}" for j in range(p)] + \
+            [f"sum(a2_{j}_{l}) OVER w AS s2_{j}_{l}" for j, l in pairs]
+        ctes.append(f"c{k} AS (SELECT *, {', '.join(runs)} FROM a{k} "
+                    f"WINDOW w AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))")
+        terms = [f"sum(e1_{j} - {_efron('d', f'{s1(j)} / {s0}')}) AS U{j}" for j in range(p)]
+        terms += [f"sum({_efron('d', f'{s2(j, l)} / {s0} - {s1(j)} * {s1(l)} / ({s0} * {s0})')}) AS I{j}{l}"
+                  for j, l in pairs]
+        ctes.append(f"u{k} AS (SELECT {', '.join(terms)} FROM c{k} WHERE d > 0)")
+        ctes.append(f"""l{k} AS (SELECT *, sqrt(I00) AS L00 FROM u{k})""")
+        ctes.append(f"""m{k} AS (SELECT *, I01 / L00 AS L10, I02 / L00 AS L20 FROM l{k})""")
+        ctes.append(f"""n{k} AS (SELECT *, sqrt(I11 - L10 * L10) AS L11 FROM m{k})""")
+        ctes.append(f"""o{k} AS (SELECT *, (I12 - L20 * L10) / L11 AS L21 FROM n{k})""")
+        ctes.append(f"""q{k} AS (SELECT *, sqrt(I22 - L20 * L20 - L21 * L21) AS L22 FROM o{k})""")
+        ctes.append(f"""y{k} AS (SELECT *, U0 / L00 AS y0 FROM q{k})""")
+        ctes.append(f"""yy{k} AS (SELECT *, (U1 - L10 * y0) / L11 AS y1 FROM y{k})""")
+        ctes.append(f"""yyy{k} AS (SELECT *, (U2 - L20 * y0 - L21 * y1) / L22 AS y2 FROM yy{k})""")
+        ctes.append(f"""g{k} AS (SELECT *, y2 / L22 AS g2 FROM yyy{k})""")
+        ctes.append(f"""gg{k} AS (SELECT *, (y1 - L21 * g2) / L11 AS g1 FROM g{k})""")
+        ctes.append(f"""ggg{k} AS (SELECT *, (y0 - L10 * g1 - L20 * g2) / L00 AS g0 FROM gg{k})""")
+        if k <= steps:
+            ctes.append(f"b{k} AS (SELECT b.b0 + s.g0 AS b0, b.b1 + s.g1 AS b1, b.b2 + s.g2 AS b2 "
+                        f"FROM b{k - 1} b, ggg{k} s)")
+    last = steps + 1
+    # inverse diagonal from M = L^-1
+    ctes.append(f"""inv AS (SELECT *, 1.0 / L00 AS M00, 1.0 / L11 AS M11, 1.0 / L22 AS M22 FROM ggg{last})""")
+    ctes.append("""inv2 AS (SELECT *, -L10 * M00 / L11 AS M10, -L21 * M11 / L22 AS M21 FROM inv)""")
+    ctes.append("""inv3 AS (SELECT *, -(L20 * M00 + L21 * M10) / L22 AS M20 FROM inv2)""")
+    ctes.append(f"""est AS (SELECT b.b0, b.b1, b.b2, sqrt(M00 * M00 + M10 * M10 + M20 * M20) AS se0,
+  sqrt(M11 * M11 + M21 * M21) AS se1, sqrt(M22 * M22) AS se2 FROM b{steps} b, inv3)""")
+    parts = []
+    z = Z95
+    for j, v in enumerate(xs):
+        zval = f"(b{j} / se{j})"
+        pv = norm_sf2_sql(zval)
+        parts.append(f"""SELECT '{v}' AS variable, {r(f'b{j}', 'coef')}, {r(f'se{j}', 'se_coef')}, {r(f'exp(b{j})', 'hr')},
+  {r(f'exp(b{j} - {z} * se{j})', 'hr_low')}, {r(f'exp(b{j} + {z} * se{j})', 'hr_high')}, {r(zval, 'z')},
+  {r(pv, 'p_value')}, {pv} < 0.05 AS significant FROM est""")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(parts)
+
+
+# Registered here: the oracle text is generated by the function above.
+query("C2_cox_multivariate", _multi_newton_sql())(c2)
