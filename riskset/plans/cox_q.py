@@ -159,7 +159,6 @@ def c2(spark, sf):
     return round_doubles(table)
 
 
-@query("C5_model_fit")
 def c5(spark, sf):
     c = _std_churn(spark, sf)
     fit_, _ = cox.cox_multivariate(c, UNI_VARS)
@@ -254,7 +253,7 @@ def c6_zero(spark, sf):
     return round_doubles(cox.ph_test(c, fit0, ["n_orders"]))
 
 
-def _multi_newton_sql(steps: int = NEWTON_STEPS) -> str:
+def _multi_newton_sql(steps: int = NEWTON_STEPS, model_fit: bool = False) -> str:
     """Efron Newton-Raphson for the 3-covariate model, unrolled, with the
     3 x 3 system solved by an unrolled Cholesky factorisation."""
     xs = UNI_VARS
@@ -290,6 +289,7 @@ def _multi_newton_sql(steps: int = NEWTON_STEPS) -> str:
         terms = [f"sum(e1_{j} - {_efron('d', f'{s1(j)} / {s0}')}) AS U{j}" for j in range(p)]
         terms += [f"sum({_efron('d', f'{s2(j, l)} / {s0} - {s1(j)} * {s1(l)} / ({s0} * {s0})')}) AS I{j}{l}"
                   for j, l in pairs]
+        terms += [f"sum(el - {_efron('d', f'ln({s0})')}) AS ll"]
         ctes.append(f"u{k} AS (SELECT {', '.join(terms)} FROM c{k} WHERE d > 0)")
         ctes.append(f"""l{k} AS (SELECT *, sqrt(I00) AS L00 FROM u{k})""")
         ctes.append(f"""m{k} AS (SELECT *, I01 / L00 AS L10, I02 / L00 AS L20 FROM l{k})""")
@@ -320,8 +320,17 @@ def _multi_newton_sql(steps: int = NEWTON_STEPS) -> str:
         parts.append(f"""SELECT '{v}' AS variable, {r(f'b{j}', 'coef')}, {r(f'se{j}', 'se_coef')}, {r(f'exp(b{j})', 'hr')},
   {r(f'exp(b{j} - {z} * se{j})', 'hr_low')}, {r(f'exp(b{j} + {z} * se{j})', 'hr_high')}, {r(zval, 'z')},
   {r(pv, 'p_value')}, {pv} < 0.05 AS significant FROM est""")
+    if model_fit:
+        from riskset.functions.stats import chi2_sf_sql
+        lr = "(2.0 * (f.ll - z.ll))"
+        return "WITH " + ", ".join(ctes) + f""" SELECT 'model' AS model, (SELECT count(*) FROM zc) AS n,
+  (SELECT CAST(sum(event) AS BIGINT) FROM zc) AS n_events, {p} AS n_params, {r('z.ll', 'loglik_null')},
+  {r('f.ll', 'loglik')}, {r(lr, 'lr_statistic')}, {r(chi2_sf_sql(lr, p), 'lr_p_value')},
+  {r(f'-2.0 * f.ll + {2 * p}', 'aic_partial')}
+FROM u1 z, u{last} f"""
     return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(parts)
 
 
 # Registered here: the oracle text is generated by the function above.
 query("C2_cox_multivariate", _multi_newton_sql())(c2)
+query("C5_model_fit", _multi_newton_sql(model_fit=True))(c5)
