@@ -216,7 +216,6 @@ def c4b(spark, sf):
     return round_doubles(cc.concordance(c, "risk"))
 
 
-@query("C4_concordance_fitted")
 def c4_fit(spark, sf):
     c = _std_churn(spark, sf)
     fit_, _ = cox.cox_multivariate(c, UNI_VARS)
@@ -253,7 +252,7 @@ def c6_zero(spark, sf):
     return round_doubles(cox.ph_test(c, fit0, ["n_orders"]))
 
 
-def _multi_newton_sql(steps: int = NEWTON_STEPS, model_fit: bool = False) -> str:
+def _multi_newton_sql(steps: int = NEWTON_STEPS, model_fit: bool = False, concordance: bool = False) -> str:
     """Efron Newton-Raphson for the 3-covariate model, unrolled, with the
     3 x 3 system solved by an unrolled Cholesky factorisation."""
     xs = UNI_VARS
@@ -320,6 +319,15 @@ def _multi_newton_sql(steps: int = NEWTON_STEPS, model_fit: bool = False) -> str
         parts.append(f"""SELECT '{v}' AS variable, {r(f'b{j}', 'coef')}, {r(f'se{j}', 'se_coef')}, {r(f'exp(b{j})', 'hr')},
   {r(f'exp(b{j} - {z} * se{j})', 'hr_low')}, {r(f'exp(b{j} + {z} * se{j})', 'hr_high')}, {r(zval, 'z')},
   {r(pv, 'p_value')}, {pv} < 0.05 AS significant FROM est""")
+    if concordance:
+        return "WITH " + ", ".join(ctes) + f""", sc AS (
+  SELECT duration AS t, event AS e, est.b0 * x0 + est.b1 * x1 + est.b2 * x2 AS risk FROM zc, est)
+SELECT CAST(sum(CASE WHEN a.risk > b.risk THEN 1 ELSE 0 END) AS BIGINT) AS concordant,
+       CAST(sum(CASE WHEN a.risk < b.risk THEN 1 ELSE 0 END) AS BIGINT) AS discordant,
+       CAST(sum(CASE WHEN a.risk = b.risk THEN 1 ELSE 0 END) AS BIGINT) AS tied_risk,
+       CAST(count(*) AS BIGINT) AS comparable,
+       {r('(sum(CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END)) / count(*)', 'c_index')}
+FROM sc a JOIN sc b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0))"""
     if model_fit:
         from riskset.functions.stats import chi2_sf_sql
         lr = "(2.0 * (f.ll - z.ll))"
@@ -334,3 +342,4 @@ FROM u1 z, u{last} f"""
 # Registered here: the oracle text is generated by the function above.
 query("C2_cox_multivariate", _multi_newton_sql())(c2)
 query("C5_model_fit", _multi_newton_sql(model_fit=True))(c5)
+query("C4_concordance_fitted", _multi_newton_sql(concordance=True))(c4_fit)
