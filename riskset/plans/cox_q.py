@@ -181,7 +181,6 @@ def c6_resid(spark, sf):
     return round_doubles(cox.schoenfeld_residuals(cohorts.churn(spark, sf), ["n_orders"], [0.0]))
 
 
-@query("C6_ph_test")
 def c6(spark, sf):
     c = _std_churn(spark, sf)
     fit_, _ = cox.cox_multivariate(c, UNI_VARS)
@@ -252,7 +251,8 @@ def c6_zero(spark, sf):
     return round_doubles(cox.ph_test(c, fit0, ["n_orders"]))
 
 
-def _multi_newton_sql(steps: int = NEWTON_STEPS, model_fit: bool = False, concordance: bool = False) -> str:
+def _multi_newton_sql(steps: int = NEWTON_STEPS, model_fit: bool = False, concordance: bool = False,
+                      ph_test: bool = False) -> str:
     """Efron Newton-Raphson for the 3-covariate model, unrolled, with the
     3 x 3 system solved by an unrolled Cholesky factorisation."""
     xs = UNI_VARS
@@ -281,7 +281,8 @@ def _multi_newton_sql(steps: int = NEWTON_STEPS, model_fit: bool = False, concor
               for j, l in pairs]
         ctes.append(f"a{k} AS (SELECT duration AS t, {', '.join(a)} FROM (SELECT zc.*, {lin} AS lin "
                     f"FROM zc, b{k - 1} b) z GROUP BY duration)")
-        runs = ["sum(a0) OVER w AS s0"] + [f"sum(a1_{j}) OVER w AS s1_{j}" for j in range(p)] + \
+        runs = ["sum(a0) OVER w AS s0", "sum(d) OVER w AS rd", "sum(d) OVER () AS dtot"] + \
+            [f"sum(a1_{j}) OVER w AS s1_{j}" for j in range(p)] + \
             [f"sum(a2_{j}_{l}) OVER w AS s2_{j}_{l}" for j, l in pairs]
         ctes.append(f"c{k} AS (SELECT *, {', '.join(runs)} FROM a{k} "
                     f"WINDOW w AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))")
@@ -319,6 +320,24 @@ def _multi_newton_sql(steps: int = NEWTON_STEPS, model_fit: bool = False, concor
         parts.append(f"""SELECT '{v}' AS variable, {r(f'b{j}', 'coef')}, {r(f'se{j}', 'se_coef')}, {r(f'exp(b{j})', 'hr')},
   {r(f'exp(b{j} - {z} * se{j})', 'hr_low')}, {r(f'exp(b{j} + {z} * se{j})', 'hr_high')}, {r(zval, 'z')},
   {r(pv, 'p_value')}, {pv} < 0.05 AS significant FROM est""")
+    if ph_test:
+        from riskset.functions.stats import chi2_sf_sql
+        # V = M'M with M = L^-1 (lower triangular); per-time residual sums at the fit
+        v = {(0, 0): "M00 * M00 + M10 * M10 + M20 * M20", (1, 1): "M11 * M11 + M21 * M21", (2, 2): "M22 * M22",
+             (0, 1): "M10 * M11 + M20 * M21", (0, 2): "M20 * M22", (1, 2): "M21 * M22"}
+        resid = ", ".join(f"sum((dtot - rd + (d + 1) / 2.0 - (dtot + 1) / 2.0) * (e1_{j} - d * s1_{j} / s0)) AS R{j}"
+                          for j in range(p))
+        gg = "sum(d * power(dtot - rd + (d + 1) / 2.0 - (dtot + 1) / 2.0, 2)) AS gg"
+        extra = (f", vv AS (SELECT {', '.join(f'{e} AS V{j}{k}' for (j, k), e in v.items())} FROM inv3), "
+                 f"rs AS (SELECT {resid}, {gg}, any_value(dtot) AS nev FROM c{last} WHERE d > 0)")
+        parts = []
+        for j, name in enumerate(xs):
+            num = " + ".join(f"V{min(j, k)}{max(j, k)} * R{k}" for k in range(p))
+            stat = f"(nev * ({num}) * ({num}) / (V{j}{j} * gg))"
+            parts.append(f"SELECT '{name}' AS variable, {r(stat, 'test_statistic')}, "
+                         f"{r(chi2_sf_sql(stat, 1), 'p_value')}, {r(f'-log2({chi2_sf_sql(stat, 1)})', 'neg_log2_p')} "
+                         f"FROM vv, rs")
+        return "WITH " + ", ".join(ctes) + extra + " " + " UNION ALL ".join(parts)
     if concordance:
         return "WITH " + ", ".join(ctes) + f""", sc AS (
   SELECT duration AS t, event AS e, est.b0 * x0 + est.b1 * x1 + est.b2 * x2 AS risk FROM zc, est)
@@ -343,3 +362,4 @@ FROM u1 z, u{last} f"""
 query("C2_cox_multivariate", _multi_newton_sql())(c2)
 query("C5_model_fit", _multi_newton_sql(model_fit=True))(c5)
 query("C4_concordance_fitted", _multi_newton_sql(concordance=True))(c4_fit)
+query("C6_ph_test", _multi_newton_sql(ph_test=True))(c6)
