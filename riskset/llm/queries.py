@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 import corpus_pipeline
-from riskset.llm import host_rules, phrase_index, reply_trees, systematic
+from riskset.llm import host_rules, huffman, phrase_index, reply_trees, systematic, token_counts
 from riskset.llm.common import load
 from riskset.llm.oracles import ORACLES
 
@@ -20,11 +22,21 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.token_files(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 @query
 def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.assess(load(spark, sf_dir, "documents"))
 
 
+@query
+def op3_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return systematic.plan(load(spark, sf_dir, "documents"))
