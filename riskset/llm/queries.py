@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from riskset.llm import doubling, host_rules, huffman, phrase_index, reply_trees, systematic, token_counts
+from riskset.llm import doubling, host_rules, huffman, odd_sketch, phrase_index, reply_trees, systematic, token_counts
 from riskset.llm.common import load
 from riskset.llm.oracles import ORACLES
 
@@ -37,6 +37,11 @@ def op3_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op4_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.digest_rows(load(spark, sf_dir, "documents"))
+
+
 @query
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return systematic.plan(load(spark, sf_dir, "documents"))
