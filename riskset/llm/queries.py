@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from riskset.llm import doubling, host_rules, huffman, odd_sketch, phrase_index, reply_trees, systematic, token_counts
+from riskset.llm import ctw, doubling, host_rules, huffman, odd_sketch, phrase_index, reply_trees, systematic, token_counts
 from riskset.llm.common import load
 from riskset.llm.oracles import ORACLES
 
@@ -47,6 +47,11 @@ def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return systematic.plan(load(spark, sf_dir, "documents"))
 
 
+@query
+def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(load(spark, sf_dir, "documents"))
+
+
 @query
 def op7_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.assess(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
