@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskset.llm import host_rules, phrase_index, systematic
+from riskset.llm import host_rules, huffman, odd_sketch, phrase_index, systematic
 from riskset.llm.common import load, stored
 
 
@@ -13,6 +14,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return host_rules.keep_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return odd_sketch.keep_one(docs, percent=80)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a phrase of a benchmark item."""
     return phrase_index.keep_clean(docs, load(spark, sf_dir, "benchmark"))
@@ -23,7 +29,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return systematic.mix(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("decontaminate", decontaminate), ("mix_sources", mix_sources)]
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write Huffman-coded token files and read them back: a row per document of the mix."""
+    return huffman.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontaminate", decontaminate),
+          ("mix_sources", mix_sources), ("token_files", token_files)]
 
 # Near-duplicate removal and the token files are not SQL.
 ORACLE_SQL = None

@@ -103,3 +103,15 @@ def key_id(name: str = "doc_id") -> Column:
 
 def plain_id(name: str = "doc_id") -> Column:
     return F.when(F.col(name) != F.lit(NO_ID).cast("long"), F.col(name)).alias(name)
+
+
+def later_copies(texts: DataFrame) -> DataFrame:
+    """(doc_id, _th, text) -> stored (doc_id, _th) of texts that a smaller doc_id has as a whole.
+
+    Only digests are shuffled; a group of copies is one row of the aggregate.
+    """
+    own = texts.select("doc_id", "_th", F.md5(F.coalesce("text", F.lit(""))).alias("_md5"))
+    first = own.groupBy("_md5").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    copies = stored(first.where("first < last").select("_md5", "first"), "copies")
+    side = F.broadcast(copies) if is_small(copies) else copies
+    return stored(own.join(side, "_md5").where("doc_id > first").select("doc_id", "_th").distinct(), "later")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskset.llm import pieces
-from riskset.llm.common import is_small, key_id, plain_id, stored
+from riskset.llm.common import is_small, key_id, later_copies, plain_id, stored
 
 LENGTH = 50
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)     # odd: a changed word always changes the hash
@@ -146,10 +146,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     ``bounds`` are the sorted starts of the first and last window of each run
     of windows that touch or overlap; an empty list means the whole text.
     """
-    own = texts.select("doc_id", "_th", F.md5(F.coalesce("text", F.lit(""))).alias("_md5"))
-    copies = own.groupBy("_md5").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = stored(copies.select("_md5", "first"), "copies")
-    later = stored(own.join(_hinted(copies), "_md5").where("doc_id > first").select(*KEY).distinct(), "later")
+    later = later_copies(texts)
     once = texts.join(_hinted(later), KEY, "left_anti")
     found = stored(once.mapInArrow(_anchor_rows(length), "h long, doc_id long, _th long, pos int"), "anchors")
     again = found.join(_repeated(found, ["h"]), "h")

@@ -3,14 +3,14 @@
 A document's set is its distinct five-word shingles. Texts with equal sets are
 one node, so a group of copies costs one node whatever its size. Each node has
 ``BANDS * ROWS`` MinHash values. Nodes that agree on all rows of a band meet in
-a bucket; at similarity 0.85 a pair is missed by all bands with probability
-(1 - 0.85**ROWS)**BANDS, 3e-7 here.
+a bucket; at similarity s a pair is missed by all bands with probability
+(1 - s**ROWS)**BANDS, 3e-10 for 0.85 and 3e-7 for 0.8.
 
 The values are also folded into an odd sketch, a bitmap in which bit
 ``hash(i, value_i)`` is flipped once per value. The population count of the
 XOR of two sketches estimates their similarity, most precisely when it is
-high; pairs are verified only if the estimate is at least ``ESTIMATE``, more
-than five standard deviations below the threshold.
+high; pairs are verified only if the estimate is at most ``MARGIN`` below the
+threshold, more than five standard deviations.
 
 Buckets are not expanded into pairs. First every node is compared with the
 smallest node of its bucket; links that full sets confirm give components.
@@ -44,9 +44,9 @@ from riskset.llm.common import is_small, key_id, plain_id, stored
 from riskset.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 38, 5
 SKETCH_BITS = 512
-ESTIMATE = 0.69
+MARGIN = 0.16
 BLOCK = 4096
 BASE = 0x9E3779B97F4A7C15
 _RNG = np.random.default_rng(20240607)
@@ -55,7 +55,7 @@ TIMES = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 SLICE = 4096                 # shingles hashed at once
 
 
-def max_odd_bits(estimate: float = ESTIMATE) -> int:
+def max_odd_bits(estimate: float) -> int:
     """Odd bits that two sketches have at the estimated similarity."""
     samples = BANDS * ROWS
     return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * samples * (1 - estimate) / SKETCH_BITS)))
@@ -206,8 +206,7 @@ def _verify(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int,
     return stored(both.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
 
 
-def classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
-            estimate: float = ESTIMATE) -> DataFrame:
+def classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and node: a row per document."""
     texts = docs.select(key_id(), F.col("text").cast("string"))
     rows = stored(texts.mapInArrow(_features(shingle), "doc_id long, n_shingles long, node long, "
@@ -215,7 +214,7 @@ def classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     nodes = stored(rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch")), "nodes")
-    max_odd = max_odd_bits(estimate)
+    max_odd = max_odd_bits(percent / 100 - MARGIN)
     banded = nodes.select("node", F.explode("bands").alias("band"))
     hubs = stored(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_last"))
                   .where("hub < _last").drop("_last"), "hubs")
@@ -262,12 +261,12 @@ def digest_rows(docs: DataFrame) -> DataFrame:
     return classes(docs).select(plain_id(), "n_shingles", plain_id("component_id"), "kept")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each component, its smallest doc_id, all columns as they were.
 
     Of rows that agree in this doc_id and in the text one is kept.
     """
-    judged = stored(classes(docs).select("doc_id", "kept"), "judged")
+    judged = stored(classes(docs, percent).select("doc_id", "kept"), "judged")
     gone = stored(judged.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     twice = stored(judged.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
                    .select("doc_id", F.lit(True).alias("_twice")), "twice")

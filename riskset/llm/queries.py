@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from riskset.llm import ctw, doubling, host_rules, huffman, odd_sketch, phrase_index, reply_trees, systematic, token_counts
+from riskset.llm import ctw, doubling, host_rules, huffman, odd_sketch, patience, phrase_index, reply_trees, systematic, token_counts
 from riskset.llm.common import load
 from riskset.llm.oracles import ORACLES
 
@@ -57,6 +57,12 @@ def op7_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.assess(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+@query
+def op8_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = patience.dedup(load(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_partners", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_doubling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = doubling.dedup(load(spark, sf_dir, "documents"))
