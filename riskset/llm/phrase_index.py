@@ -31,6 +31,7 @@ from riskset.llm.common import is_small, key_id, lower_az, plain_id, stored, wor
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SLOP = 3
+CELL = 64
 
 
 def _tokens(df: DataFrame, key: str) -> DataFrame:
@@ -41,10 +42,11 @@ def windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]
     """Stored (win, terms) with distinct terms, and (win, item_id), its owners."""
     toks = _tokens(items, "item_id").where(F.size("_words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (size - 1), F.lit(1)))
-    wins = toks.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("_words", s, size))).alias("terms"))
-    wins = wins.select("item_id", "terms", F.sha2(F.concat_ws(" ", "terms"), 256).alias("win")).distinct()
-    wins = stored(wins, "windows")
-    return wins.select("win", "terms").distinct(), wins.select("win", "item_id")
+    cut = stored(toks.select("item_id", F.explode(F.transform(
+        starts, lambda s: F.slice("_words", s, size))).alias("terms")).distinct(), "cut")
+    # Short numbers, as they are shuffled with every posting; fixed once stored.
+    wins = stored(cut.select("terms").distinct().withColumn("win", F.monotonically_increasing_id()), "windows")
+    return wins.select("win", "terms"), stored(cut.join(wins, "terms").select("win", "item_id"), "owners")
 
 
 def _hinted(df: DataFrame) -> DataFrame:
@@ -52,11 +54,10 @@ def _hinted(df: DataFrame) -> DataFrame:
 
 
 def search(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, start, win, n, exact) matches, stored, and the windows' owners.
+    """(doc_id, start, win, n) matches, stored, and the windows' owners.
 
-    ``start`` counts words from 0; exact matches are phrases, the others
-    places where the window's two rarest words stand within ``slop`` words of
-    their distance in the window.
+    ``start`` counts words from 0. Rows with a window are phrases; rows
+    without are proximity matches, at the place of the rarest word.
     """
     wins, owners = windows(items, size)
     terms = wins.select("win", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
@@ -65,44 +66,55 @@ def search(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SL
     counts = (toks.select(F.explode("_words").alias("term")).join(_hinted(vocabulary), "term")
               .groupBy("term").agg(F.count(F.lit(1)).alias("freq")))
     # The two rarest places of each window; a window with a word that no
-    # document has cannot occur.
+    # document has cannot occur. Windows of one passage mostly share them, so
+    # lists are intersected per pair of words and distance, not per window.
     counted = terms.join(stored(counts, "counts"), "term", "left")
     rarest = Window.partitionBy("win").orderBy("freq", "off")
     whole = Window.partitionBy("win")
-    anchors = stored(counted.withColumn("rank", F.row_number().over(rarest))
-                     .withColumn("_seen", F.count("freq").over(whole))
-                     .where((F.col("rank") <= 2) & (F.col("_seen") == F.col("n")))
-                     .select("win", "n", "off", "term", "rank"), "anchors")
+    ranked = (counted.withColumn("_rank", F.row_number().over(rarest)).withColumn("_seen", F.count("freq").over(whole))
+              .where((F.col("_rank") <= 2) & (F.col("_seen") == F.col("n"))))
+    at = F.collect_list(F.struct("_rank", "term", "off"))
+    places = ranked.groupBy("win", "n").agg(F.sort_array(at).alias("_at")).select(
+        "win", "n", F.col("_at")[0]["term"].alias("term"), F.col("_at")[0]["off"].alias("off"),
+        F.get("_at", F.lit(1))["term"].alias("term2"),
+        (F.get("_at", F.lit(1))["off"] - F.col("_at")[0]["off"]).alias("delta"))
+    pairs = places.join(wins, "win").groupBy("term", "term2", "delta").agg(
+        F.collect_list(F.struct("win", "n", "off", "terms")).alias("wins"))
+    pairs = stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs")
     # The index: places of the rare words, with what stands around each.
-    rare = stored(anchors.select("term").distinct(), "rare")
-    places = toks.select("doc_id", "_words", F.posexplode("_words").alias("pos", "term")).join(_hinted(rare), "term")
+    rare = stored(pairs.select("term").union(pairs.select("term2").where("term2 is not null")).distinct(), "rare")
+    seen = toks.select("doc_id", "_words", F.posexplode("_words").alias("pos", "term")).join(_hinted(rare), "term")
     low = F.greatest(F.col("pos") - (size - 1), F.lit(0))
-    postings = stored(places.select("term", "doc_id", "pos", low.alias("low"),
-                                    F.slice("_words", low + 1, 2 * size - 1).alias("around")), "postings")
-    looked = postings.join(_hinted(anchors), "term").withColumn("start", F.col("pos") - F.col("off"))
-    looked = looked.where(F.col("start") >= F.col("low"))
-    first = looked.where("rank = 1").join(_hinted(wins.withColumnRenamed("terms", "_terms")), "win")
-    lists = first.select(
-        "win", "doc_id", "start", "n",
-        (F.slice("around", F.col("start") - F.col("low") + 1, F.col("n")) == F.col("_terms")).alias("phrase"))
-    lists = stored(lists.distinct(), "first")
-    second = looked.where("rank = 2").select("win", "doc_id", F.col("start").alias("start2")).distinct()
-    # Intersect on the start, or on neighbouring cells of slop + 1 starts.
-    width = slop + 1
-    near = second.select("win", "doc_id", "start2", F.explode(F.array(*[
-        F.floor(F.col("start2") / width) + d for d in (-1, 0, 1)])).alias("_cell"))
-    both = lists.where("n > 1").withColumn("_cell", F.floor(F.col("start") / width)).join(
-        near, ["win", "doc_id", "_cell"]).where(F.abs(F.col("start") - F.col("start2")) <= slop)
-    met = both.groupBy("win", "doc_id", "start", "n").agg(
-        F.max(F.col("phrase") & (F.col("start") == F.col("start2"))).alias("exact"))
-    alone = lists.where("n = 1").select("win", "doc_id", "start", "n", F.col("phrase").alias("exact"))
-    return stored(met.unionByName(alone), "matches"), owners
+    postings = stored(seen.select("term", "doc_id", "pos", low.alias("low"),
+                                  F.slice("_words", low + 1, 2 * size - 1).alias("around")), "postings")
+    # First lists: with the windows that stand here word by word.
+    inside = F.filter("wins", lambda w: (F.col("pos") - w["off"] >= F.col("low")) & (F.slice(
+        "around", F.greatest(F.col("pos") - w["off"] - F.col("low"), F.lit(0)) + 1, w["n"]) == w["terms"]))
+    first = postings.join(_hinted(pairs), "term").select(
+        "pair", "doc_id", "pos", F.col("term2").isNull().alias("alone"),
+        F.transform(inside, lambda w: F.struct(w["win"].alias("win"), (F.col("pos") - w["off"]).alias("start"),
+                                               w["n"].alias("n"))).alias("found"))
+    first = stored(first, "first")
+    second = postings.select("term", "doc_id", "pos").join(
+        _hinted(pairs.select(F.col("term2").alias("term"), "pair", "delta")), "term").select(
+        "pair", "doc_id", (F.col("pos") - F.col("delta")).alias("pos2"))
+    # Intersect in cells of CELL words; places near an edge are in two.
+    cells = F.array_distinct(F.array(*[F.floor((F.col("pos2") + d) / CELL) for d in (-slop, slop)]))
+    near = second.withColumn("cell", F.explode(cells))
+    met = first.where(~F.col("alone")).withColumn("cell", F.floor(F.col("pos") / CELL)).join(
+        near, ["pair", "doc_id", "cell"]).where(F.abs(F.col("pos") - F.col("pos2")) <= slop)
+    phrase = (F.size("found") > 0) & (F.col("pos") == F.col("pos2"))
+    met = met.withColumn("_phrase", phrase).where("_phrase or size(found) = 0")
+    both = met.select("doc_id", F.explode(F.when(F.col("_phrase"), F.col("found")).otherwise(F.array(F.struct(
+        F.lit(None).cast("long").alias("win"), F.col("pos").alias("start"), F.lit(0).alias("n"))))).alias("_m"))
+    alone = first.where("alone").select("doc_id", F.explode("found").alias("_m"))
+    return stored(both.unionByName(alone).select("doc_id", "_m.*").distinct(), "matches"), owners
 
 
 def assess(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """A row per document: words, hit words, items with their ids, near matches."""
     matches, owners = search(docs, items, size, slop)
-    exact = matches.where("exact")
+    exact = matches.where("win is not null")
     # Hit words: the union of the windows, summed along each document.
     ordered = Window.partitionBy("doc_id").orderBy("start", "end")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +123,7 @@ def assess(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SL
         F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "_seen"))).alias("n_hit"))
     ids = exact.select("doc_id", "win").distinct().join(owners, "win").groupBy("doc_id").agg(
         F.sort_array(F.collect_set(plain_id("item_id").cast("string"))).alias("_ids"))
-    close = matches.where("not exact").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_near"))
+    close = matches.where("win is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_near"))
     found = stored(hits.join(ids, "doc_id", "left").join(close, "doc_id", "full"), "found")
     sizes = _tokens(docs, "doc_id").select("doc_id", F.size("_words").cast("long").alias("n_words"))
     out = sizes.join(_hinted(found), "doc_id", "left")
@@ -125,6 +137,6 @@ def assess(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SL
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents without an exact match, all columns as they were."""
     matches, _ = search(docs, items, size)
-    hit = stored(matches.where("exact").select("doc_id").distinct(), "hit")
+    hit = stored(matches.where("win is not null").select("doc_id").distinct(), "hit")
     packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), key_id())
     return packed.join(_hinted(hit), "doc_id", "left_anti").select("_row.*")
