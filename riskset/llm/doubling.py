@@ -40,18 +40,19 @@ KEY = ["doc_id", "_th"]
 
 
 def _windows(words: np.ndarray, length: int, base: int) -> np.ndarray:
-    """Polynomial hashes of all windows of ``length`` words, from halves of halves."""
-    known = {1: words}
-
-    def at(n: int) -> np.ndarray:
-        if n not in known:
-            left, right = at((n + 1) // 2), at(n // 2)
-            shift = np.uint64(pow(base, n // 2, 1 << 64))
-            size = max(0, len(words) - n + 1)
-            known[n] = left[:size] * shift + right[(n + 1) // 2:][:size]
-        return known[n]
-
-    return at(length)
+    """Polynomial hashes of all windows of ``length`` words, joined from windows of 1, 2, 4, ... words."""
+
+    def joined(left: np.ndarray, n: int, right: np.ndarray, m: int) -> np.ndarray:
+        size = max(0, len(words) - n - m + 1)
+        return left[:size] * np.uint64(pow(base, m, 1 << 64)) + right[n:][:size]
+
+    power, n, done, m = words, 1, None, 0
+    while True:
+        if length & n:
+            done, m = (power, n) if done is None else (joined(done, m, power, n), m + n)
+        if 2 * n > length:
+            return done
+        power, n = joined(power, n, power, n), 2 * n
 
 
 def _slide(x: np.ndarray, width: int, op: Callable) -> np.ndarray:

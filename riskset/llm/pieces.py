@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 
 # Bytes of text that one step works on; longer texts come alone.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 
 
 class Cache(dict):
