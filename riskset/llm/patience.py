@@ -129,8 +129,11 @@ def overlaps(texts: DataFrame) -> DataFrame:
     full = F.filter(_lines(F.col("text")), _with_word)
     lines = stored(once.select(*KEY, F.posexplode(F.transform(full, lambda x: F.xxhash64(x))).alias("pos", "h")), "lines")
     me = F.struct(*KEY)
-    firsts = lines.groupBy("h").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first <> last")
-    repeated = stored(lines.join(firsts.select("h", "first"), "h"), "repeated")
+    # Stored before the join, whose sides are then plain shuffles: adaptive
+    # execution can split a line that a third of all documents hold.
+    firsts = stored(lines.groupBy("h").agg(F.min(me).alias("first"), F.max(me).alias("last"))
+                    .where("first <> last").select("h", "first"), "firsts")
+    repeated = stored(lines.join(firsts, "h"), "repeated")
     pairs = repeated.where(F.col("first.doc_id") < F.col("doc_id")).select(
         *KEY, F.col("first.doc_id").alias("o_doc"), F.col("first._th").alias("o_th")).distinct()
     lists = stored(repeated.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("own")), "lists")
