@@ -17,16 +17,25 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskset.operators.prefix import dense_rank, running_sums
 from riskset.session import materialize
 
 
+# Pair counts pass 2**63 at some four billion subjects.
+COUNT = "decimal(38,0)"
+
+
+def _pairs(events: str, others: Column) -> Column:
+    return F.col(events).cast("decimal(19,0)") * others.cast("decimal(19,0)")
+
+
 def concordance(df: DataFrame, risk: str, duration: str = "duration", event: str = "event") -> DataFrame:
     """(concordant, discordant, tied_risk, comparable, c_index) for a risk score
-    where a higher value predicts an earlier event."""
+    where a higher value predicts an earlier event; the counts are decimals,
+    and the index is null where no pair is comparable."""
     base = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
                      F.col(risk).cast("double").alias("risk")).where(
         F.col("t").isNotNull() & F.col("e").isNotNull() & F.col("risk").isNotNull())
@@ -37,7 +46,7 @@ def concordance(df: DataFrame, risk: str, duration: str = "duration", event: str
     per_t = base.groupBy("t").agg(F.count(F.lit(1)).alias("m"),
                                   F.sum("e").cast("long").alias("d"))
     later = running_sums(per_t, [], "t", {"later": "m"}, reverse=True, inclusive=False)
-    comparable = later.agg(F.sum(F.col("d") * (F.col("later") + F.col("m") - F.col("d"))).alias("comparable"))
+    comparable = later.agg(F.sum(_pairs("d", F.col("later") + F.col("m") - F.col("d"))).alias("comparable"))
 
     # tied risks: same computation inside each rank
     per_rt = ranked.groupBy("rank", "t").agg(F.count(F.lit(1)).alias("m"),
@@ -45,42 +54,38 @@ def concordance(df: DataFrame, risk: str, duration: str = "duration", event: str
     # one key per distinct risk on a common time axis: shared cut points
     later_r = running_sums(per_rt, ["rank"], "t", {"later": "m"}, reverse=True, inclusive=False,
                            shared_cuts=True)
-    tied = later_r.agg(F.sum(F.col("d") * (F.col("later") + F.col("m") - F.col("d"))).alias("tied_risk"))
+    tied = later_r.agg(F.sum(_pairs("d", F.col("later") + F.col("m") - F.col("d"))).alias("tied_risk"))
 
     # concordant: dyadic levels; the level count comes from the rank range.
     max_rank = ranked.agg(F.max("rank")).collect()[0][0] or 0
     levels = max(1, math.ceil(math.log2(max_rank + 1))) if max_rank > 0 else 1
     lv = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
-    tree = ranked.select("t", "e", "rank", lv).select(
-        "level", "t", "e",
+    tree = per_rt.select("t", "m", "d", "rank", lv).select(
+        "level", "t", "m", "d",
         F.expr("shiftright(rank, level + 1)").alias("node"),
         F.expr("shiftright(rank, level) & 1").alias("side"))
+    left, right = F.col("side") == 0, F.col("side") == 1
     per_node = tree.groupBy("level", "node", "t").agg(
-        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).cast("long").alias("m0"),
-        F.sum(F.when((F.col("side") == 0) & (F.col("e") == 0), 1).otherwise(0)).cast("long").alias("c0"),
-        F.sum(F.when((F.col("side") == 1) & (F.col("e") == 1), 1).otherwise(0)).cast("long").alias("d1"))
+        F.sum(F.when(left, F.col("m")).otherwise(0)).cast("long").alias("m0"),
+        F.sum(F.when(left, F.col("m") - F.col("d")).otherwise(0)).cast("long").alias("c0"),
+        F.sum(F.when(right, F.col("d")).otherwise(0)).cast("long").alias("d1"))
     # one key per tree node on a common time axis: shared cut points split the
     # large nodes near the root; the offsets table has one row per non-empty
     # (node, bucket), never more than the node table itself
     later_left = running_sums(per_node, ["level", "node"], "t", {"later0": "m0"}, reverse=True, inclusive=False,
                               shared_cuts=True)
-    concordant = later_left.agg(F.sum(F.col("d1") * (F.col("later0") + F.col("c0"))).alias("concordant"))
+    concordant = later_left.agg(F.sum(_pairs("d1", F.col("later0") + F.col("c0"))).alias("concordant"))
 
     # three one-row aggregates combined by a one-row union + max (no join)
-    parts = (concordant.select(F.col("concordant").cast("long").alias("concordant"),
-                               F.lit(None).cast("long").alias("tied_risk"),
-                               F.lit(None).cast("long").alias("comparable"))
-             .unionByName(tied.select(F.lit(None).cast("long").alias("concordant"),
-                                      F.col("tied_risk").cast("long").alias("tied_risk"),
-                                      F.lit(None).cast("long").alias("comparable")))
-             .unionByName(comparable.select(F.lit(None).cast("long").alias("concordant"),
-                                            F.lit(None).cast("long").alias("tied_risk"),
-                                            F.col("comparable").cast("long").alias("comparable"))))
-    tot = parts.agg(F.coalesce(F.max("concordant"), F.lit(0)).alias("concordant"),
-                    F.coalesce(F.max("tied_risk"), F.lit(0)).alias("tied_risk"),
-                    F.coalesce(F.max("comparable"), F.lit(0)).alias("comparable"))
+    null = F.lit(None).cast(COUNT)
+    names = ["concordant", "tied_risk", "comparable"]
+    parts = None
+    for one, own in ((concordant, "concordant"), (tied, "tied_risk"), (comparable, "comparable")):
+        row = one.select(*[(F.col(own).cast(COUNT) if n == own else null).alias(n) for n in names])
+        parts = row if parts is None else parts.unionByName(row)
+    tot = parts.agg(*[F.coalesce(F.max(n), F.lit(0).cast(COUNT)).alias(n) for n in names])
+    c, tie, comp = (F.col(n).cast("double") for n in names)
     return tot.select(
         "concordant",
-        (F.col("comparable") - F.col("concordant") - F.col("tied_risk")).alias("discordant"),
-        "tied_risk", "comparable",
-        ((F.col("concordant") + 0.5 * F.col("tied_risk")) / F.col("comparable")).alias("c_index"))
+        (F.col("comparable") - F.col("concordant") - F.col("tied_risk")).cast(COUNT).alias("discordant"),
+        "tied_risk", "comparable", F.try_divide(c + 0.5 * tie, comp).alias("c_index"))

@@ -5,14 +5,21 @@ The driver holds only beta (one vector per model); every Newton step is one
 Spark job over a checkpointed, time-bucketed cohort:
 
 1. per (model, bucket, t): sums of r = exp(beta'x), x r, x x' r over all rows
-   and over event rows (map-side partial aggregation);
+   and over event rows (map-side partial aggregation), persisted for the step
+   because the bucket totals and the running sums both read them;
 2. reverse running sums over t give the risk-set sums S0, S1, S2
-   (:func:`riskset.operators.prefix.running_sums`, buckets fixed once);
+   (:func:`riskset.operators.prefix.running_sums`, buckets fixed once, bucket
+   offsets joined as a small table);
 3. per event time the Efron (or Breslow) terms, folded over the tied events
-   with an array ``aggregate`` (no explode);
+   with an array ``aggregate``; tie groups over ``EFRON_CHUNK`` events are cut
+   into chunks that are dealt out anew;
 4. one row per model: log-likelihood, score vector, information matrix.
 
 Univariate batches are one long-form job for all variables at once.
+
+A fit that does not converge (step limit, 30 halvings without gain, a singular
+information matrix, or a coefficient that runs away on separable data) raises
+:class:`NotConverged`; no unfinished estimate is returned.
 """
 
 from __future__ import annotations
@@ -21,18 +28,25 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskset.functions.stats import Z95, chi2_sf, chi2_sf_col, norm_sf2_col
-from riskset.operators.prefix import BROADCAST_KEY_LIMIT, assign_buckets, running_sums
+from riskset.operators.prefix import assign_buckets, bucket_of, default_buckets, running_sums
 from riskset.session import materialize
 
 MAX_STEPS = 50
 STEP_TOL = 1e-10
+MAX_HALVINGS = 30
+DIVERGED = 20.0      # |beta| in standard deviations of its covariate: separable data
 EFRON_CHUNK = 4096   # tied events folded per row; larger tie groups are split
 
 
+class NotConverged(ValueError):
+    """The Newton iteration did not reach an optimum."""
+
+
 @dataclass
 class CoxFit:
     """Fitted parameters of one or many Cox models (bounded driver state)."""
@@ -92,23 +106,47 @@ def _fold(d: Column, ties: str, f) -> Column:
     return F.aggregate(seq, F.lit(0.0), lambda acc, l: acc + f(l / d))
 
 
-def _efron_chunks(rows: DataFrame, ties: str) -> DataFrame:
+def _efron_chunks(rows: DataFrame, ties: str, keys: Sequence[str], split: bool) -> DataFrame:
     """Split each event time's tie group into chunks of at most EFRON_CHUNK
-    events, so one time holding a third of all events is folded by many
-    tasks instead of one giant array. Terms outside the fold (counted once
-    per time) are taken on chunk 0 only (``_first``)."""
+    events. ``split`` (some tie group is larger than a chunk) deals the chunks
+    out over all tasks, so one time holding a third of all events is folded
+    by many of them. Terms outside the fold (counted once per time) are taken
+    on chunk 0 only (``_first``)."""
     if ties == "breslow":
         return rows.withColumn("_first", F.lit(True))
     d = F.col("d").cast("long")
     n_chunks = F.floor((d - 1) / EFRON_CHUNK).cast("int")
     out = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), n_chunks)))
+    if split:
+        out = out.repartition(*keys, "t", "_chunk")
     lo = F.col("_chunk").cast("long") * EFRON_CHUNK
     return out.withColumn("_lo", lo).withColumn("_hi", F.least(lo + EFRON_CHUNK, d)) \
         .withColumn("_first", F.col("_chunk") == 0)
 
 
+def _complete(xcols: Sequence[str]) -> Column:
+    cond = F.col("t").isNotNull() & F.col("e").isNotNull()
+    for x in xcols:
+        cond = cond & F.col(x).isNotNull() & ~F.isnan(x)
+    return cond
+
+
+@dataclass
+class Prepared:
+    """A cohort as the Newton steps read it."""
+    base: DataFrame
+    keys: list[str]
+    xcols: list[str]
+    spread: dict                          # model key -> standard deviations
+
+    def wide_ties(self) -> bool:
+        """Does some (model, time) hold more events than one chunk?"""
+        most = self.base.groupBy(*self.keys, "t").agg(F.sum("e").alias("d")).agg(F.max("d")).first()[0]
+        return (most or 0) > EFRON_CHUNK
+
+
 def prepare(cohort: DataFrame, covariates: Sequence[str], duration: str = "duration",
-            event: str = "event", univariate: bool = False) -> tuple[DataFrame, list[str], list[str]]:
+            event: str = "event", univariate: bool = False) -> Prepared:
     """Rows (keys..., t, e, x0..x{p-1}, _b), centred, bucketed and checkpointed.
 
     Univariate mode melts the covariates to long form keyed by ``variable``.
@@ -125,28 +163,38 @@ def prepare(cohort: DataFrame, covariates: Sequence[str], duration: str = "durat
         xcols = [f"x{j}" for j in range(len(covariates))]
         base = cohort.select(t, e, *[F.col(c).cast("double").alias(x) for c, x in zip(covariates, xcols)])
         keys = []
-    cond = F.col("t").isNotNull() & F.col("e").isNotNull()
-    for x in xcols:
-        cond = cond & F.col(x).isNotNull() & ~F.isnan(x)
-    base = materialize(base.where(cond))
-    # Centre x per model (beta and the partial likelihood are unchanged);
-    # the means are p numbers per model, read once.
-    mean_aggs = [F.avg(x).alias(x) for x in xcols]
+    base = base.where(_complete(xcols))
+    # One pass for the means and spreads (p numbers per model) and the cut
+    # points of the time axis; then the cohort is written once, centred (beta
+    # and the partial likelihood are unchanged) and bucketed.
+    buckets = default_buckets(cohort)
+    fractions = [i / buckets for i in range(1, buckets)]
+    stats = base.groupBy(*keys).agg(
+        *[F.avg(x).alias(f"m_{x}") for x in xcols], *[F.stddev_pop(x).alias(f"s_{x}") for x in xcols],
+        F.percentile_approx("t", fractions, 10000).alias("cuts")).collect()
     if keys:
-        means = {r[keys[0]]: [r[x] for x in xcols] for r in base.groupBy(*keys).agg(*mean_aggs).collect()}
-        shift = [F.create_map(*[v for k, m in means.items() for v in (F.lit(k), F.lit(float(m[j])))])[F.col(keys[0])]
-                 for j in range(len(xcols))]
+        shift = [F.create_map(*[v for r in stats for v in (F.lit(r[keys[0]]), F.lit(float(r[f"m_{x}"])))])[F.col(keys[0])]
+                 if stats else F.lit(0.0) for x in xcols]
+        spread = {r[keys[0]]: [r[f"s_{x}"] for x in xcols] for r in stats}
+        cuts = sorted({c for r in stats for c in r["cuts"]})
+        cuts = cuts[::max(1, len(cuts) // buckets)]          # one axis for all models
     else:
-        row = base.agg(*mean_aggs).collect()[0]
-        shift = [F.lit(float(row[x] or 0.0)) for x in xcols]
-    base = base.select(*keys, "t", "e", *[(F.col(x) - shift[j]).alias(x) for j, x in enumerate(xcols)])
-    few = len(covariates) <= BROADCAST_KEY_LIMIT          # keys = the covariate list
-    return materialize(assign_buckets(base, keys, "t", few_keys=few, verified=True)), keys, xcols
+        shift = [F.lit(float(stats[0][f"m_{x}"] or 0.0)) for x in xcols]
+        spread = {"model": [stats[0][f"s_{x}"] or 0.0 for x in xcols]}
+        cuts = sorted(set(stats[0]["cuts"] or []))
+    axis = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    base = base.select(*keys, "t", "e", *[(F.col(x) - shift[j]).alias(x) for j, x in enumerate(xcols)],
+                       bucket_of(axis, F.col("t"), len(cuts)).alias("_b"))
+    return Prepared(materialize(base), keys, xcols, spread)
 
 
 def step_sums(base: DataFrame, keys: list[str], xcols: list[str], lin: Column,
-              ties: str = "efron") -> DataFrame:
-    """One Newton evaluation: (keys..., n, n_events, ll, U{j}, I{j}_{k})."""
+              ties: str = "efron", split: bool = True, kept: list[DataFrame] | None = None) -> DataFrame:
+    """One Newton evaluation: (keys..., n, n_events, ll, U{j}, I{j}_{k}).
+
+    With ``kept`` the per-time sums are persisted and appended to it; the
+    caller releases them when the evaluation is done.
+    """
     p = len(xcols)
     x = [F.col(c) for c in xcols]
     r = F.exp(lin)
@@ -163,8 +211,10 @@ def step_sums(base: DataFrame, keys: list[str], xcols: list[str], lin: Column,
     per_t = rows.groupBy(*keys, "_b", "t").agg(*aggs)
     sums = {"s0": "a0", **{f"s1_{j}": f"a1_{j}" for j in range(p)},
             **{f"s2_{j}_{k}": f"a2_{j}_{k}" for j, k in _pairs(p)}}
-    # ``base`` is checkpointed and bucketed once per fit; re-aggregating it is
-    # cheaper than writing a checkpoint of ``per_t`` at every Newton step.
+    # One row per distinct time, read by the bucket totals and the running sums.
+    if kept is not None:
+        per_t = per_t.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(per_t)
     risk = running_sums(per_t, keys, "t", sums, reverse=True, bucket_col="_b",
                         totals={"n": "_cnt", "n_events": "d"}, few_keys=True, materialized=True,
                         keys_verified=True)  # keys = the driver's covariate list
@@ -179,7 +229,7 @@ def step_sums(base: DataFrame, keys: list[str], xcols: list[str], lin: Column,
     def s2(j, k, phi):
         return F.col(f"s2_{j}_{k}") - phi * F.col(f"d2_{j}_{k}")
 
-    ev = _efron_chunks(risk.where(d > 0), ties)
+    ev = _efron_chunks(risk.where(d > 0), ties, keys, split)
     once = F.col("_first")
 
     def first_only(c: Column) -> Column:
@@ -219,30 +269,35 @@ def fit(cohort: DataFrame, covariates: Sequence[str], duration: str = "duration"
     ``covariates`` in the same jobs (C1); otherwise one joint model (C2).
     """
     covariates = list(covariates)
-    base, keys, xcols = prepare(cohort, covariates, duration, event, univariate)
+    ready = prepare(cohort, covariates, duration, event, univariate)
+    base, keys, xcols = ready.base, ready.keys, ready.xcols
+    split = ties == "efron" and ready.wide_ties()
     p = len(xcols)
     model_keys = covariates if univariate else ["model"]
     beta = {k: np.zeros(p) for k in model_keys}
-    out = CoxFit(covariates=["x"] if univariate else covariates, keys=keys, ties=ties)
-    if univariate:
-        out.covariates = ["coef"]
+    out = CoxFit(covariates=["coef"] if univariate else covariates, keys=keys, ties=ties)
     prev_ll: dict = {}
     prev_beta: dict = {}
     done: set = set()
     halvings: dict = {k: 0 for k in model_keys}
     for step in range(max_steps):
-        rows = step_sums(base, keys, xcols, _linear(keys, xcols, beta), ties).collect()
+        kept: list[DataFrame] = []
+        rows = step_sums(base, keys, xcols, _linear(keys, xcols, beta), ties, split, kept).collect()
+        for df in kept:
+            df.unpersist()
         out.steps = step + 1
         for row in rows:
             key = row["variable"] if keys else "model"
-            if key in done:
+            if key in done or row["ll"] is None:
                 continue
             ll = row["ll"]
             if step == 0:
                 out.loglik_null[key] = ll
                 out.n[key], out.n_events[key] = row["n"], row["n_events"]
-            if key in prev_ll and ll < prev_ll[key] - 1e-9 and halvings[key] < 30:
+            if key in prev_ll and ll < prev_ll[key] - 1e-9 * max(1.0, abs(ll)):
                 halvings[key] += 1
+                if halvings[key] > MAX_HALVINGS:
+                    raise NotConverged(f"{key}: no step raises the likelihood")
                 beta[key] = (beta[key] + prev_beta[key]) / 2.0
                 continue
             halvings[key] = 0
@@ -253,30 +308,50 @@ def fit(cohort: DataFrame, covariates: Sequence[str], duration: str = "duration"
             try:
                 delta = np.linalg.solve(info, u)
             except np.linalg.LinAlgError as exc:
-                raise ValueError(f"singular information matrix for {key}: "
-                                 "separable data or a constant covariate") from exc
+                raise NotConverged(f"singular information matrix for {key}: "
+                                   "separable data or a constant covariate") from exc
             prev_ll[key], prev_beta[key] = ll, beta[key].copy()
             out.information[key], out.loglik[key] = info, ll
+            beta[key] = beta[key] + delta
+            size = np.abs(beta[key]) * np.array(ready.spread[key])
+            if not np.all(np.isfinite(size)) or np.max(size) > DIVERGED:
+                raise NotConverged(f"{key}: coefficient diverges, the data are separable")
             if np.max(np.abs(delta)) < STEP_TOL:
-                beta[key] = beta[key] + delta
                 done.add(key)
-            else:
-                beta[key] = beta[key] + delta
         if len(done) == len(model_keys):
             break
+    missing = [k for k in model_keys if k not in done]
+    if missing:
+        raise NotConverged(f"not converged after {out.steps} steps (or without events): {missing}")
     out.beta = {k: beta[k] for k in model_keys}
     return out
 
 
 def inference_table(coefs: DataFrame, alpha: float = 0.05, z: float = Z95) -> DataFrame:
-    """Coef, HR, 95% CI, Wald z and p, significance flag, sorted by p."""
+    """Coef, HR, 95% CI, Wald z and p, significance flag, ``rank`` by p
+    (then variable) and rows in that order. One row per coefficient."""
     c, se = F.col("coef"), F.col("se_coef")
     zval = c / se
     p = norm_sf2_col(zval)
-    return coefs.select(
+    table = coefs.select(
         "variable", "coef", "se_coef", F.exp(c).alias("hr"),
         F.exp(c - F.lit(z) * se).alias("hr_low"), F.exp(c + F.lit(z) * se).alias("hr_high"),
         zval.alias("z"), p.alias("p_value"), (p < alpha).alias("significant"))
+    order = Window.orderBy("p_value", "variable")
+    return table.withColumn("rank", F.row_number().over(order)).orderBy("rank")
+
+
+def forest_table(table: DataFrame, significant_only: bool = True) -> DataFrame:
+    """The forest plot's rows, significant ones by hazard ratio: log scale,
+    direction and row number."""
+    rows = table.where("significant") if significant_only else table
+    order = Window.orderBy("hr", "variable")           # one row per coefficient
+    names = [c for c in ("batch",) if c in table.columns]
+    return rows.select(
+        *names, "variable", "hr", "hr_low", "hr_high", F.log("hr").alias("log_hr"), F.log("hr_low").alias("log_hr_low"),
+        F.log("hr_high").alias("log_hr_high"), "significant",
+        F.when(F.col("hr") > 1, "risk").otherwise("protective").alias("direction"),
+        F.row_number().over(order).alias("row")).orderBy("row")
 
 
 def cox_univariate(cohort: DataFrame, variables: Sequence[str], duration: str = "duration",
@@ -349,13 +424,42 @@ def linear_predictor(cohort: DataFrame, fit_: CoxFit, covariates: Sequence[str])
 
 # ----------------------------------------------------------- Schoenfeld test
 
+def _risk_means(base: DataFrame, p: int, beta: Sequence[float], ties: str) -> DataFrame:
+    """Per event time: d, rd (events from here on), ex_j, m_j, the covariate
+    means that the d tied events are held against, and the event total.
+
+    Breslow: S1/S0. Efron: the average over l = 0..d-1 of
+    (S1 - l/d D1) / (S0 - l/d D0), so that the residuals sum to the score.
+    """
+    lin = F.lit(0.0)
+    for j in range(p):
+        lin = lin + F.lit(float(beta[j])) * F.col(f"x{j}")
+    r = F.exp(lin)
+    per_t = base.groupBy("t").agg(
+        F.sum(r).alias("a0"), F.sum("e").cast("double").alias("d"), F.sum(F.col("e") * r).alias("d0"),
+        *[F.sum(F.col(f"x{j}") * r).alias(f"a1_{j}") for j in range(p)],
+        *[F.sum(F.col("e") * F.col(f"x{j}") * r).alias(f"d1_{j}") for j in range(p)],
+        *[F.sum(F.col("e") * F.col(f"x{j}")).alias(f"ex_{j}") for j in range(p)])
+    risk = running_sums(per_t, [], "t", {"s0": "a0", "rd": "d", **{f"s1_{j}": f"a1_{j}" for j in range(p)}},
+                        reverse=True, totals={"_d_total": "d"})
+    most = risk.agg(F.max("d")).first()[0] or 0.0
+    ev = _efron_chunks(risk.where(F.col("d") > 0), ties, [], most > EFRON_CHUNK)
+    d = F.col("d")
+    shares = [(_fold(d, ties, lambda phi, j=j: (F.col(f"s1_{j}") - phi * F.col(f"d1_{j}"))
+                     / (F.col("s0") - phi * F.col("d0"))) / d).alias(f"m{j}") for j in range(p)]
+    cols = ["t", "d", "rd", "_d_total", *[f"ex_{j}" for j in range(p)]]
+    out = ev.select(*cols, *shares)
+    if most > EFRON_CHUNK and ties != "breslow":
+        out = out.groupBy(*cols).agg(*[F.sum(f"m{j}").alias(f"m{j}") for j in range(p)])
+    return out
+
+
 def schoenfeld_residuals(cohort: DataFrame, covariates: Sequence[str], beta: Sequence[float],
                          duration: str = "duration", event: str = "event",
-                         id_col: str = "subject_id") -> DataFrame:
-    """Per event subject: x - S1/S0 at its event time (Breslow form).
-
-    The risk-set means come from one grouped running sum per time; event rows
-    join them on t (equi-join, no per-subject risk-set scan).
+                         id_col: str = "subject_id", ties: str = "efron") -> DataFrame:
+    """Per event subject: x minus the covariate means at its event time, in
+    the form of ``ties`` (see :func:`_risk_means`); the residuals sum to the
+    score of the same likelihood. Event rows join one row per time on t.
     Returns (id, t, r{j}...).
     """
     p = len(covariates)
@@ -363,19 +467,8 @@ def schoenfeld_residuals(cohort: DataFrame, covariates: Sequence[str], beta: Seq
     base = cohort.select(F.col(id_col).alias("id"), F.col(duration).cast("double").alias("t"),
                          F.col(event).cast("int").alias("e"),
                          *[F.col(c).cast("double").alias(x) for c, x in zip(covariates, xcols)])
-    cond = F.col("t").isNotNull() & F.col("e").isNotNull()
-    for x in xcols:
-        cond = cond & F.col(x).isNotNull()
-    base = base.where(cond)
-    lin = F.lit(0.0)
-    for j, x in enumerate(xcols):
-        lin = lin + F.lit(float(beta[j])) * F.col(x)
-    r = F.exp(lin)
-    per_t = base.groupBy("t").agg(F.sum(r).alias("a0"), *[F.sum(F.col(x) * r).alias(f"a1_{j}")
-                                                           for j, x in enumerate(xcols)])
-    risk = running_sums(per_t, [], "t", {"s0": "a0", **{f"s1_{j}": f"a1_{j}" for j in range(p)}},
-                        reverse=True)
-    means = risk.select("t", *[(F.col(f"s1_{j}") / F.col("s0")).alias(f"m{j}") for j in range(p)])
+    base = base.where(_complete(xcols))
+    means = _risk_means(base, p, beta, ties).select("t", *[f"m{j}" for j in range(p)])
     events = base.where(F.col("e") == 1)
     return events.join(means, "t").select(
         "id", "t", *[(F.col(f"x{j}") - F.col(f"m{j}")).alias(f"r{j}") for j in range(p)])
@@ -387,7 +480,8 @@ def ph_test(cohort: DataFrame, fit_: CoxFit, covariates: Sequence[str], duration
 
     Scaled residuals r* = d * Var(beta) r; per covariate
     T = (sum (g - gbar) r*_j)^2 / (d * Var_jj * sum (g - gbar)^2), g = average
-    rank of the event time among event times; chi-square with 1 df.
+    rank of the event time among event times; chi-square with 1 df. The
+    residuals take the fit's form of ties.
 
     Events at one time share g and the risk-set mean, so every sum is taken
     per distinct time: sum_i (g_i - gbar) r_ij = sum_t (g_t - gbar)
@@ -395,30 +489,15 @@ def ph_test(cohort: DataFrame, fit_: CoxFit, covariates: Sequence[str], duration
     time holding a large share of all events is just one aggregated row.
     """
     p = len(covariates)
-    b = fit_.beta["model"]
     var = fit_.covariance("model")
     xcols = [f"x{j}" for j in range(p)]
     base = cohort.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
                          *[F.col(c).cast("double").alias(x) for c, x in zip(covariates, xcols)])
-    cond = F.col("t").isNotNull() & F.col("e").isNotNull()
-    for x in xcols:
-        cond = cond & F.col(x).isNotNull()
-    base = base.where(cond)
-    lin = F.lit(0.0)
-    for j, x in enumerate(xcols):
-        lin = lin + F.lit(float(b[j])) * F.col(x)
-    r = F.exp(lin)
-    per_t = base.groupBy("t").agg(
-        F.sum(r).alias("a0"), F.sum("e").cast("double").alias("d"),
-        *[F.sum(F.col(x) * r).alias(f"a1_{j}") for j, x in enumerate(xcols)],
-        *[F.sum(F.col("e") * F.col(x)).alias(f"ex_{j}") for j, x in enumerate(xcols)])
-    risk = running_sums(per_t, [], "t", {"s0": "a0", "rd": "d", **{f"s1_{j}": f"a1_{j}" for j in range(p)}},
-                        reverse=True, totals={"_d_total": "d"})
-    ev = risk.where(F.col("d") > 0)
+    ev = _risk_means(base.where(_complete(xcols)), p, fit_.beta["model"], fit_.ties)
     n_ev = float(fit_.n_events["model"])
     gbar = (n_ev + 1.0) / 2.0
     g = F.col("_d_total") - F.col("rd") + (F.col("d") + 1.0) / 2.0   # average rank among event times
-    resid = [F.col(f"ex_{j}") - F.col("d") * F.col(f"s1_{j}") / F.col("s0") for j in range(p)]
+    resid = [F.col(f"ex_{j}") - F.col("d") * F.col(f"m{j}") for j in range(p)]
     sums = ev.agg(F.sum(F.col("d") * (g - gbar) ** 2).alias("_gg"),
                   *[F.sum((g - gbar) * resid[j]).alias(f"_r{j}") for j in range(p)])
     scaled = [sum((F.col(f"_r{k}") * float(var[k, j]) for k in range(p)), F.lit(0.0)) * n_ev for j in range(p)]

@@ -33,14 +33,18 @@ _CONST_KEY = "_rs_all"
 # Per-key side tables (cut points, bucket offsets) are broadcast only when
 # the number of keys is checked to be at most this many.
 BROADCAST_KEY_LIMIT = 4096
+BROADCAST_ROW_LIMIT = 1 << 18    # rows of a side table: keys x buckets
 
 
-def keys_bounded(df: DataFrame, keys: Sequence[str], limit: int = BROADCAST_KEY_LIMIT) -> bool:
-    """True when ``df`` has at most ``limit`` distinct key tuples.
+def keys_bounded(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
+    """True when ``df`` has at most ``limit`` distinct key tuples; by default as
+    many as keep keys x buckets within ``BROADCAST_ROW_LIMIT`` rows.
 
     The check reads at most ``limit + 1`` distinct keys, so its cost does
     not grow with the data beyond one pass over an already reduced table.
     """
+    if limit is None:
+        limit = min(BROADCAST_KEY_LIMIT, BROADCAST_ROW_LIMIT // default_buckets(df))
     return df.select(*keys).distinct().limit(limit + 1).count() <= limit
 
 
@@ -156,10 +160,6 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
 
     per_bucket = df.groupBy(*keys, "_b").agg(
         *[F.sum(f"_v_{out}").alias(f"_bt_{out}") for out in src])
-    if const:
-        # One key: at most ``buckets`` totals; offsets are prefix sums of a
-        # bounded list, inlined as literal maps (no global window).
-        return _running_sums_one_key(df, per_bucket, base_cols, order, sums, totals, reverse, inclusive)
     wb = Window.partitionBy(*keys).orderBy("_b")
     before = (wb.rowsBetween(1, Window.unboundedFollowing) if reverse
               else wb.rowsBetween(Window.unboundedPreceding, -1))
@@ -169,8 +169,9 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
         *[F.coalesce(F.sum(f"_bt_{out}").over(before), F.lit(0)).alias(f"_off_{out}")
           for out in sums],
         *[F.sum(f"_bt__tot_src_{out}").over(whole).alias(out) for out in totals])
-    # keys x buckets rows: bounded by ``buckets`` times the checked key count.
-    offsets = F.broadcast(offsets) if few_keys else offsets
+    # One key: as many rows as buckets. More keys: keys x buckets rows, checked
+    # by the callers' key list or by keys_bounded above.
+    offsets = F.broadcast(offsets) if few_keys or const else offsets
 
     joined = df.join(offsets, keys + ["_b"])
     wr = Window.partitionBy(*keys, "_b").orderBy(order)
@@ -183,31 +184,6 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str,
     return joined.select(*base_cols, *out_cols, *[F.col(out) for out in totals])
 
 
-def _running_sums_one_key(df: DataFrame, per_bucket: DataFrame, base_cols: list[str], order: str,
-                          sums: Mapping, totals: Mapping, reverse: bool, inclusive: bool) -> DataFrame:
-    rows = sorted(per_bucket.collect(), key=lambda r: r["_b"])
-    cols = []
-    for out in sums:
-        vals = [r[f"_bt_{out}"] or 0 for r in rows]
-        offs, acc = [], 0
-        for v in (reversed(vals) if reverse else vals):
-            offs.append(acc)
-            acc = acc + v
-        if reverse:
-            offs.reverse()
-        m = F.create_map(*[x for r, o in zip(rows, offs) for x in (F.lit(r["_b"]), F.lit(o))])
-        cols.append((out, m[F.col("_b")]))
-    tot_cols = [F.lit(sum((r[f"_bt__tot_src_{out}"] or 0) for r in rows)).alias(out) for out in totals]
-    wr = Window.partitionBy("_b").orderBy(order)
-    if reverse:
-        frame = wr.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
-    else:
-        frame = wr.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out_cols = [(F.coalesce(F.sum(f"_v_{out}").over(frame), F.lit(0)) + off).alias(out) for out, off in cols]
-    return df.select(*base_cols, "_b", *[f"_v_{o}" for o in list(sums)]).select(
-        *base_cols, *out_cols, *tot_cols)
-
-
 def dense_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """1-based dense rank of ``value`` within ``keys`` without a global sort task."""
     distinct = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()

@@ -72,51 +72,54 @@ SELECT b.variable, b.beta AS coef, {se} AS se_coef, exp(b.beta) AS hr,
 FROM b{NEWTON_STEPS} b JOIN u{last} u ON b.variable = u.variable"""
 
 
+LOG10_P = "CASE WHEN p_value > 0 THEN round(log10(p_value), 6) END AS log10_p"
+
+
+def _with_log10_p(table):
+    """log10 of the p-value: small p-values would all round to 0."""
+    return table.withColumn("log10_p", F.when(F.col("p_value") > 0, F.log10("p_value")))
+
+
 def _c1_sql() -> str:
     cols = ", ".join(r(c, c) for c in ["coef", "se_coef", "hr", "hr_low", "hr_high", "z", "p_value"])
-    return f"SELECT variable, {cols}, significant FROM ({_c1_core_sql()}) q"
+    return (f"SELECT variable, {cols}, significant, {LOG10_P}, "
+            f"CAST(row_number() OVER (ORDER BY p_value, variable) AS INTEGER) AS rank FROM ({_c1_core_sql()}) q")
 
 
 @query("C1_cox_univariate", _c1_sql())
 def c1(spark, sf):
-    return round_doubles(cox.cox_univariate(_std_churn(spark, sf), UNI_VARS))
+    return round_doubles(_with_log10_p(cox.cox_univariate(_std_churn(spark, sf), UNI_VARS)))
 
 
 @query("C3_cox_inference_significant", f"""WITH q AS ({_c1_core_sql()})
 SELECT variable, {r('coef', 'coef')}, {r('hr', 'hr')}, {r('hr_low', 'hr_low')}, {r('hr_high', 'hr_high')},
-       {r('p_value', 'p_value')}, CASE WHEN hr > 1 THEN 'risk' ELSE 'protective' END AS direction
+       {r('p_value', 'p_value')}, CASE WHEN hr > 1 THEN 'risk' ELSE 'protective' END AS direction,
+       CAST(row_number() OVER (ORDER BY p_value, variable) AS INTEGER) AS rank
 FROM q WHERE significant""")
 def c3(spark, sf):
     t = cox.cox_univariate(_std_churn(spark, sf), UNI_VARS)
     return round_doubles(t.where("significant").select(
         "variable", "coef", "hr", "hr_low", "hr_high", "p_value",
-        F.when(F.col("hr") > 1, "risk").otherwise("protective").alias("direction")))
+        F.when(F.col("hr") > 1, "risk").otherwise("protective").alias("direction"), "rank")).orderBy("rank")
 
 
 def _c7_sql() -> str:
-    # Two univariate batches stacked (J2), then the forest-plot rows.
+    # Two univariate batches stacked (J2), the significant rows by hazard ratio.
     return f"""WITH q AS ({_c1_core_sql()})
-SELECT 'batch_a' AS batch, variable, {r('hr', 'hr')}, {r('hr_low', 'hr_low')}, {r('hr_high', 'hr_high')},
+SELECT CASE WHEN variable = 'mean_price' THEN 'batch_b' ELSE 'batch_a' END AS batch, variable,
+       {r('hr', 'hr')}, {r('hr_low', 'hr_low')}, {r('hr_high', 'hr_high')},
        {r('ln(hr)', 'log_hr')}, {r('ln(hr_low)', 'log_hr_low')}, {r('ln(hr_high)', 'log_hr_high')},
-       significant, CASE WHEN hr > 1 THEN 'risk' ELSE 'protective' END AS direction
-FROM q WHERE variable IN ('n_orders', 'acctbal')
-UNION ALL
-SELECT 'batch_b' AS batch, variable, {r('hr', 'hr')}, {r('hr_low', 'hr_low')}, {r('hr_high', 'hr_high')},
-       {r('ln(hr)', 'log_hr')}, {r('ln(hr_low)', 'log_hr_low')}, {r('ln(hr_high)', 'log_hr_high')},
-       significant, CASE WHEN hr > 1 THEN 'risk' ELSE 'protective' END AS direction
-FROM q WHERE variable IN ('mean_price')"""
+       significant, CASE WHEN hr > 1 THEN 'risk' ELSE 'protective' END AS direction,
+       CAST(row_number() OVER (ORDER BY hr, variable) AS INTEGER) AS row
+FROM q WHERE significant"""
 
 
 @query("C7_forest_table", _c7_sql())
 def c7(spark, sf):
     c = _std_churn(spark, sf)
-    a = cox.cox_univariate(c, ["n_orders", "acctbal"]).withColumn("batch", F.lit("batch_a"))
-    b = cox.cox_univariate(c, ["mean_price"]).withColumn("batch", F.lit("batch_b"))
-    stacked = a.unionByName(b)                      # J2
-    return round_doubles(stacked.select(
-        "batch", "variable", "hr", "hr_low", "hr_high",
-        F.log("hr").alias("log_hr"), F.log("hr_low").alias("log_hr_low"), F.log("hr_high").alias("log_hr_high"),
-        "significant", F.when(F.col("hr") > 1, "risk").otherwise("protective").alias("direction")))
+    both = cox.cox_univariate(c, UNI_VARS)           # one job set for both batches
+    batch = F.when(F.col("variable") == "mean_price", "batch_b").otherwise("batch_a")
+    return round_doubles(cox.forest_table(both.withColumn("batch", batch)))
 
 
 def _c2_score_sql() -> str:
@@ -156,13 +159,14 @@ def c2_score(spark, sf):
 def c2(spark, sf):
     c = _std_churn(spark, sf)
     _, table = cox.cox_multivariate(c, UNI_VARS)
-    return round_doubles(table)
+    return round_doubles(_with_log10_p(table))
 
 
 def c5(spark, sf):
     c = _std_churn(spark, sf)
     fit_, _ = cox.cox_multivariate(c, UNI_VARS)
-    return round_doubles(fit_.model_table(spark))
+    table = fit_.model_table(spark)
+    return round_doubles(table.withColumn("lr_log10_p", F.when(F.col("lr_p_value") > 0, F.log10("lr_p_value"))))
 
 
 @query("C5_loglik_null", f"WITH q AS ({_c2_score_sql()}) SELECT value AS loglik_null FROM q WHERE term = 'll'")
@@ -172,11 +176,13 @@ def c5_null(spark, sf):
 
 
 @query("C6_schoenfeld_at_zero", f"""WITH {CHURN},
-a AS (SELECT duration AS t, CAST(count(*) AS DOUBLE) AS a0, sum(CAST(n_orders AS DOUBLE)) AS a1 FROM churn GROUP BY duration),
-c AS (SELECT t, sum(a0) OVER w AS s0, sum(a1) OVER w AS s1 FROM a
-      WINDOW w AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT ch.subject_id AS id, {r('ch.duration', 't')}, {r('ch.n_orders - c.s1 / c.s0', 'r0')}
-FROM churn ch JOIN c ON ch.duration = c.t WHERE ch.event = 1""")
+a AS (SELECT duration AS t, CAST(count(*) AS DOUBLE) AS a0, sum(CAST(n_orders AS DOUBLE)) AS a1,
+             CAST(sum(event) AS DOUBLE) AS d, CAST(sum(event * n_orders) AS DOUBLE) AS d1 FROM churn GROUP BY duration),
+c AS (SELECT t, d, d1, sum(a0) OVER w AS s0, sum(a1) OVER w AS s1 FROM a
+      WINDOW w AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT t, {_efron('d', '(s1 - PHI * d1) / (s0 - PHI * d)')} / d AS mean FROM c WHERE d > 0)
+SELECT ch.subject_id AS id, {r('ch.duration', 't')}, {r('ch.n_orders - m.mean', 'r0')}
+FROM churn ch JOIN m ON ch.duration = m.t WHERE ch.event = 1""")
 def c6_resid(spark, sf):
     return round_doubles(cox.schoenfeld_residuals(cohorts.churn(spark, sf), ["n_orders"], [0.0]))
 
@@ -203,23 +209,29 @@ SELECT CAST(sum(CASE WHEN a.risk > b.risk THEN 1 ELSE 0 END) AS BIGINT) AS conco
 FROM s a JOIN s b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0))"""
 
 
+def _counts(table):
+    """Pair counts of a fixture fit 64 bits; the operator's are decimals."""
+    names = ["concordant", "discordant", "tied_risk", "comparable"]
+    return round_doubles(table.withColumns({c: F.col(c).cast("long") for c in names}))
+
+
 @query("C4_concordance", _c4_sql("CAST(n_orders AS DOUBLE)"))
 def c4(spark, sf):
     c = cohorts.churn(spark, sf).withColumn("risk", F.col("n_orders").cast("double"))
-    return round_doubles(cc.concordance(c, "risk"))
+    return _counts(cc.concordance(c, "risk"))
 
 
 @query("C4_concordance_acctbal", _c4_sql("-acctbal"))
 def c4b(spark, sf):
     c = cohorts.churn(spark, sf).withColumn("risk", -F.col("acctbal"))
-    return round_doubles(cc.concordance(c, "risk"))
+    return _counts(cc.concordance(c, "risk"))
 
 
 def c4_fit(spark, sf):
     c = _std_churn(spark, sf)
     fit_, _ = cox.cox_multivariate(c, UNI_VARS)
     scored = c.withColumn("risk", cox.linear_predictor(c, fit_, UNI_VARS))
-    return round_doubles(cc.concordance(scored, "risk"))
+    return _counts(cc.concordance(scored, "risk"))
 
 
 def _c6_zero_sql() -> str:
@@ -238,7 +250,7 @@ c AS (SELECT *, sum(a0) OVER w AS s0, sum(a1) OVER w AS s1, sum(a2) OVER w AS s2
 i AS (SELECT sum({info}) AS I FROM c WHERE d > 0),
 ev AS (SELECT *, dtot - rd + (d + 1) / 2.0 AS g FROM c WHERE d > 0),
 s AS (SELECT sum(d * power(g - (dtot + 1) / 2.0, 2)) AS gg,
-             sum((g - (dtot + 1) / 2.0) * (ex - d * s1 / s0)) AS r, any_value(dtot) AS dtot FROM ev)
+             sum((g - (dtot + 1) / 2.0) * (ex - {_efron('d', f'{s1} / {s0}')})) AS r, any_value(dtot) AS dtot FROM ev)
 SELECT 'n_orders' AS variable, {r(stat, 'test_statistic')}, {r(chi2_sf_sql(stat, 1), 'p_value')},
        {r(f'-log2({chi2_sf_sql(stat, 1)})', 'neg_log2_p')}
 FROM s, i"""
@@ -317,15 +329,14 @@ def _multi_newton_sql(steps: int = NEWTON_STEPS, model_fit: bool = False, concor
     for j, v in enumerate(xs):
         zval = f"(b{j} / se{j})"
         pv = norm_sf2_sql(zval)
-        parts.append(f"""SELECT '{v}' AS variable, {r(f'b{j}', 'coef')}, {r(f'se{j}', 'se_coef')}, {r(f'exp(b{j})', 'hr')},
-  {r(f'exp(b{j} - {z} * se{j})', 'hr_low')}, {r(f'exp(b{j} + {z} * se{j})', 'hr_high')}, {r(zval, 'z')},
-  {r(pv, 'p_value')}, {pv} < 0.05 AS significant FROM est""")
+        parts.append(f"""SELECT '{v}' AS variable, b{j} AS coef, se{j} AS se_coef, exp(b{j}) AS hr,
+  exp(b{j} - {z} * se{j}) AS hr_low, exp(b{j} + {z} * se{j}) AS hr_high, {zval} AS z, {pv} AS p_value FROM est""")
     if ph_test:
         from riskset.functions.stats import chi2_sf_sql
         # V = M'M with M = L^-1 (lower triangular); per-time residual sums at the fit
         v = {(0, 0): "M00 * M00 + M10 * M10 + M20 * M20", (1, 1): "M11 * M11 + M21 * M21", (2, 2): "M22 * M22",
              (0, 1): "M10 * M11 + M20 * M21", (0, 2): "M20 * M22", (1, 2): "M21 * M22"}
-        resid = ", ".join(f"sum((dtot - rd + (d + 1) / 2.0 - (dtot + 1) / 2.0) * (e1_{j} - d * s1_{j} / s0)) AS R{j}"
+        resid = ", ".join(f"sum((dtot - rd + (d + 1) / 2.0 - (dtot + 1) / 2.0) * (e1_{j} - {_efron('d', f'{s1(j)} / {s0}')})) AS R{j}"
                           for j in range(p))
         gg = "sum(d * power(dtot - rd + (d + 1) / 2.0 - (dtot + 1) / 2.0, 2)) AS gg"
         extra = (f", vv AS (SELECT {', '.join(f'{e} AS V{j}{k}' for (j, k), e in v.items())} FROM inv3), "
@@ -353,13 +364,106 @@ FROM sc a JOIN sc b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0))"""
         return "WITH " + ", ".join(ctes) + f""" SELECT 'model' AS model, (SELECT count(*) FROM zc) AS n,
   (SELECT CAST(sum(event) AS BIGINT) FROM zc) AS n_events, {p} AS n_params, {r('z.ll', 'loglik_null')},
   {r('f.ll', 'loglik')}, {r(lr, 'lr_statistic')}, {r(chi2_sf_sql(lr, p), 'lr_p_value')},
+  CASE WHEN {chi2_sf_sql(lr, p)} > 0 THEN round(log10({chi2_sf_sql(lr, p)}), 6) END AS lr_log10_p,
   {r(f'-2.0 * f.ll + {2 * p}', 'aic_partial')}
 FROM u1 z, u{last} f"""
-    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(parts)
+    return "WITH " + ", ".join(ctes) + f", tab AS ({' UNION ALL '.join(parts)}) " + _INFERENCE
+
+
+_INFERENCE = ("SELECT variable, " + ", ".join(r(c, c) for c in ["coef", "se_coef", "hr", "hr_low", "hr_high", "z", "p_value"])
+              + f", p_value < 0.05 AS significant, {LOG10_P}, "
+              + "CAST(row_number() OVER (ORDER BY p_value, variable) AS INTEGER) AS rank FROM tab")
+
+# The ten-covariate model: three standardised covariates, their products and
+# the segments but the first.
+SEGMENTS = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+PRODUCTS = [(0, 1), (0, 2), (1, 2)]
+TEN = [*UNI_VARS, *[f"{UNI_VARS[a]}_x_{UNI_VARS[b]}" for a, b in PRODUCTS], *[f"segment_{x}" for x in SEGMENTS]]
+TEN_STEPS = 7
+
+
+def _ten_sql(steps: int = TEN_STEPS) -> str:
+    """Efron Newton steps for the ten-covariate model; the 10 x 10 systems are
+    solved by a Cholesky factorisation, one column a CTE."""
+    p = len(TEN)
+    pairs = [(j, k) for j in range(p) for k in range(j, p)]
+    stats = ", ".join(f"avg({v}) AS m_{v}, stddev_pop({v}) AS s_{v}" for v in UNI_VARS)
+    z = [f"(CAST({v} AS DOUBLE) - m_{v}) / s_{v}" for v in UNI_VARS]
+    xs = z + [f"({z[a]}) * ({z[b]})" for a, b in PRODUCTS] + [
+        f"CASE WHEN segment = '{x}' THEN 1.0 ELSE 0.0 END" for x in SEGMENTS]
+    ctes = [CHURN, f"stats AS (SELECT {stats} FROM churn)",
+            "zc AS MATERIALIZED (SELECT duration, event, " + ", ".join(f"CAST({x} AS DOUBLE) AS x{j}" for j, x in enumerate(xs))
+            + " FROM churn, stats)",
+            "b0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS b{j}" for j in range(p)) + ")"]
+    s0 = "(s0 - PHI * d0)"
+
+    def s1(j):
+        return f"(s1_{j} - PHI * d1_{j})"
+
+    def s2(j, k):
+        return f"(s2_{j}_{k} - PHI * d2_{j}_{k})"
+
+    for k in range(1, steps + 2):
+        lin = " + ".join(f"b.b{j} * x{j}" for j in range(p))
+        a = ["sum(w) AS a0", "CAST(sum(event) AS DOUBLE) AS d", "sum(event * w) AS d0"]
+        a += [f"sum(x{j} * w) AS a1_{j}, sum(event * x{j}) AS e1_{j}, sum(event * x{j} * w) AS d1_{j}" for j in range(p)]
+        a += [f"sum(x{j} * x{m} * w) AS a2_{j}_{m}, sum(event * x{j} * x{m} * w) AS d2_{j}_{m}" for j, m in pairs]
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT duration AS t, {', '.join(a)} FROM (SELECT zc.*, exp({lin}) AS w "
+                    f"FROM zc, b{k - 1} b) q GROUP BY duration)")
+        runs = ["sum(a0) OVER w AS s0"] + [f"sum(a1_{j}) OVER w AS s1_{j}" for j in range(p)] + \
+            [f"sum(a2_{j}_{m}) OVER w AS s2_{j}_{m}" for j, m in pairs]
+        ctes.append(f"c{k} AS MATERIALIZED (SELECT *, {', '.join(runs)} FROM a{k} "
+                    f"WINDOW w AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))")
+        terms = [f"sum(e1_{j} - {_efron('d', f'{s1(j)} / {s0}')}) AS U{j}" for j in range(p)]
+        terms += [f"sum({_efron('d', f'{s2(j, m)} / {s0} - {s1(j)} * {s1(m)} / ({s0} * {s0})')}) AS I{j}_{m}"
+                  for j, m in pairs]
+        ctes.append(f"f{k}_0 AS MATERIALIZED (SELECT {', '.join(terms)} FROM c{k} WHERE d > 0)")
+        n = 0
+
+        def add(cols):
+            nonlocal n
+            ctes.append(f"f{k}_{n + 1} AS MATERIALIZED (SELECT *, {', '.join(cols)} FROM f{k}_{n})")
+            n += 1
+
+        for j in range(p):
+            add([f"sqrt(I{j}_{j}" + "".join(f" - L{j}_{m} * L{j}_{m}" for m in range(j)) + f") AS L{j}_{j}"])
+            if j + 1 < p:
+                add([f"(I{j}_{i}" + "".join(f" - L{i}_{m} * L{j}_{m}" for m in range(j)) + f") / L{j}_{j} AS L{i}_{j}"
+                     for i in range(j + 1, p)])
+        for j in range(p):
+            add([f"(U{j}" + "".join(f" - L{j}_{m} * y{m}" for m in range(j)) + f") / L{j}_{j} AS y{j}"])
+        for j in reversed(range(p)):
+            add([f"(y{j}" + "".join(f" - L{m}_{j} * g{m}" for m in range(j + 1, p)) + f") / L{j}_{j} AS g{j}"])
+        if k <= steps:
+            ctes.append(f"b{k} AS MATERIALIZED (SELECT " + ", ".join(f"b.b{j} + s.g{j} AS b{j}" for j in range(p))
+                        + f" FROM b{k - 1} b, f{k}_{n} s)")
+    # Diagonal of the inverse information: columns of M = L^-1, one row of M a CTE.
+    src = f"f{steps + 1}_{n}"
+    for i in range(p):
+        cols = [f"1.0 / L{i}_{i} AS M{i}_{i}"] + [
+            "-(" + " + ".join(f"L{i}_{m} * M{m}_{j}" for m in range(j, i)) + f") / L{i}_{i} AS M{i}_{j}" for j in range(i)]
+        ctes.append(f"inv{i} AS MATERIALIZED (SELECT *, {', '.join(cols)} FROM {src})")
+        src = f"inv{i}"
+    parts = []
+    for j, v in enumerate(TEN):
+        se = "sqrt(" + " + ".join(f"M{i}_{j} * M{i}_{j}" for i in range(j, p)) + ")"
+        parts.append(f"SELECT '{v}' AS variable, b{j} AS coef, {se} AS se_coef FROM b{steps}, {src}")
+    ctes.append(f"est AS MATERIALIZED ({' UNION ALL '.join(parts)})")
+    ctes.append(f"tab AS (SELECT *, exp(coef) AS hr, exp(coef - {Z95} * se_coef) AS hr_low, "
+                f"exp(coef + {Z95} * se_coef) AS hr_high, coef / se_coef AS z, {norm_sf2_sql('(coef / se_coef)')} AS p_value FROM est)")
+    return "WITH " + ", ".join(ctes) + " " + _INFERENCE
+
+
+def c2_ten(spark, sf):
+    c = _std_churn(spark, sf)
+    c = c.withColumns({f"{UNI_VARS[a]}_x_{UNI_VARS[b]}": F.col(UNI_VARS[a]) * F.col(UNI_VARS[b]) for a, b in PRODUCTS})
+    c = c.withColumns({f"segment_{x}": (F.col("segment") == x).cast("double") for x in SEGMENTS})
+    return round_doubles(_with_log10_p(cox.cox_multivariate(c, TEN)[1]))
 
 
 # Registered here: the oracle text is generated by the function above.
 query("C2_cox_multivariate", _multi_newton_sql())(c2)
+query("C2_cox_ten_covariates", _ten_sql())(c2_ten)
 query("C5_model_fit", _multi_newton_sql(model_fit=True))(c5)
 query("C4_concordance_fitted", _multi_newton_sql(concordance=True))(c4_fit)
 query("C6_ph_test", _multi_newton_sql(ph_test=True))(c6)

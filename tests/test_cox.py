@@ -98,3 +98,37 @@ def test_ph_test_per_time_equals_per_event(spark):
     for j, name in enumerate(["x0", "x1"]):
         ref = (gg @ scaled[:, j]) ** 2 / (d * var[j, j] * (gg ** 2).sum())
         assert abs(got[name] - ref) < 1e-9 * max(1.0, ref)
+
+
+def test_efron_residuals_sum_to_the_score(spark):
+    df, *_ = _data(spark, n=150, seed=9)
+    beta = [0.3, -0.2]
+    score = {r["term"]: r["value"] for r in cox.score_at(df, ["x0", "x1"], beta).collect()}
+    res = cox.schoenfeld_residuals(df, ["x0", "x1"], beta, id_col="id").agg(F.sum("r0"), F.sum("r1")).first()
+    assert np.allclose(res, [score["U0"], score["U1"]], atol=1e-8)
+
+
+def test_separable_data_raise(spark):
+    rows = [(float(i + 1), 1, float(i < 20)) for i in range(40)]
+    df = spark.createDataFrame(rows, "duration double, event int, x double")
+    with pytest.raises(cox.NotConverged):
+        cox.cox_multivariate(df, ["x"])
+
+
+def test_step_limit_raises(spark):
+    df, *_ = _data(spark, seed=1)
+    with pytest.raises(cox.NotConverged):
+        cox.fit(df, ["x0", "x1"], max_steps=2)
+
+
+def test_tie_chunks_are_dealt_out(spark):
+    df, *_ = _data(spark, n=60)
+    ready = cox.prepare(df, ["x0", "x1"])
+    plan = cox.step_sums(ready.base, [], ready.xcols, F.lit(0.0) * F.col("x0"), split=True)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in text
+
+
+def test_concordance_without_pairs(spark):
+    df = spark.createDataFrame([(1.0, 0, 1.0), (2.0, 0, 2.0)], "duration double, event int, risk double")
+    assert concordance(df, "risk").first()["c_index"] is None
