@@ -14,15 +14,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskset.functions.stats import Z95, chi2_sf_col
-from riskset.operators.prefix import BROADCAST_KEY_LIMIT, running_sums
+from riskset.operators.prefix import (
+    BROADCAST_KEY_LIMIT, BROADCAST_ROW_LIMIT, assign_buckets, keys_bounded, running_sums)
 from riskset.session import materialize
 
-MAX_GROUPS = 256  # a log-rank test builds a k x k covariance; k is a level count
+BLOCK_CELLS = 1 << 21  # cells of a time x level block in a task's memory
 
 
 def _strata(strata: str | Sequence[str] | None) -> list[str]:
@@ -146,75 +147,118 @@ def _melt_strata(cohort: DataFrame, variables: Sequence[str], duration: str, eve
             .where(F.col("t").isNotNull() & F.col("_e").isNotNull() & F.col("level").isNotNull()))
 
 
-def _logrank_sums(cohort: DataFrame, variables: Sequence[str], duration: str, event: str,
-                  ignore_censoring: bool):
-    """Observed, expected and covariance sums per variable.
+def _logrank_blocks(cohort: DataFrame, variables: Sequence[str], duration: str, event: str,
+                    ignore_censoring: bool):
+    """The (variable, level, t) counts cut into time buckets, what each bucket
+    has later in time, and the numbered levels.
 
-    Levels are read once (a bounded list) to index them; the time x group
-    grid is a conditional aggregate per distinct time, not a join.
+    Everything is linear in the rows and the levels: a bucket's at-risk
+    counts are its own reverse sums plus one vector per bucket.
     """
     long = _melt_strata(cohort, variables, duration, event, ignore_censoring)
     # One pass over the cohort: counts per (variable, level, t), kept once.
     reduced = materialize(long.groupBy("variable", "level", "t").agg(
         F.sum("_e").cast("double").alias("_d"), F.count(F.lit(1)).cast("double").alias("_m")))
-    # Read at most MAX_GROUPS levels per variable (+1 to detect overflow).
-    cap = MAX_GROUPS * len(variables)
-    rows = reduced.select("variable", "level").distinct().limit(cap + 1).collect()
-    if len(rows) > cap:
-        raise ValueError(f"more than {MAX_GROUPS} levels per variable: stratify on a coarser variable")
-    levels = sorted((r["variable"], r["level"]) for r in rows)
-    by_var: dict[str, list[str]] = {}
-    for v, lv in levels:
-        by_var.setdefault(v, []).append(lv)
-    k = max((len(v) for v in by_var.values()), default=0)
-    if k > MAX_GROUPS:
-        raise ValueError(f"log-rank over {k} groups: stratify on a coarser variable")
-    index = F.create_map(*[x for v, lvs in by_var.items() for i, lv in enumerate(lvs)
-                           for x in (F.lit(f"{v}\u0000{lv}"), F.lit(i))])
-    idx = index[F.concat(F.col("variable"), F.lit("\u0000"), F.col("level"))]
-    per_t = reduced.withColumn("_g", idx).groupBy("variable", "t").agg(
-        F.sum("_d").alias("_d"), F.sum("_m").alias("_m"),
-        *[F.sum(F.when(F.col("_g") == j, F.col("_d")).otherwise(0.0)).alias(f"_d{j}") for j in range(k)],
-        *[F.sum(F.when(F.col("_g") == j, F.col("_m")).otherwise(0.0)).alias(f"_m{j}") for j in range(k)])
-    # per_t is a cheap aggregate of the checkpointed ``reduced`` table.
-    risk = running_sums(per_t, ["variable"], "t",
-                        {"_n": "_m", **{f"_n{j}": f"_m{j}" for j in range(k)}}, reverse=True,
-                        few_keys=len(by_var) <= BROADCAST_KEY_LIMIT, keys_verified=True, materialized=True)
-    n, d = F.col("_n"), F.col("_d")
-    w = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(F.lit(0.0))
-    aggs = []
-    for j in range(k):
-        nj = F.col(f"_n{j}")
-        aggs += [F.sum(f"_d{j}").alias(f"O{j}"), F.sum(d * nj / n).alias(f"E{j}"),
-                 F.sum(f"_m{j}").alias(f"N{j}")]
-        for l in range(j, k):
-            nl = F.col(f"_n{l}")
-            delta = 1.0 if j == l else 0.0
-            aggs.append(F.sum(w * (nj / n) * (F.lit(delta) - nl / n)).alias(f"V{j}_{l}"))
-    sums = risk.groupBy("variable").agg(*aggs)
-    return sums, by_var, k, risk
-
-
-def _solve_statistic(k: int):
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for _, row in pdf.iterrows():
-                present = [j for j in range(k) if row[f"N{j}"] > 0]
-                g = len(present)
-                if g < 2:
-                    out.append((row["variable"], g, None, None))
-                    continue
-                use = present[:-1]
-                zvec = np.array([row[f"O{j}"] - row[f"E{j}"] for j in use])
-                vmat = np.array([[row[f"V{min(a, b)}_{max(a, b)}"] for b in use] for a in use])
-                try:
-                    stat = float(zvec @ np.linalg.solve(vmat, zvec))
-                except np.linalg.LinAlgError:
-                    stat = float(zvec @ np.linalg.pinv(vmat) @ zvec)
-                out.append((row["variable"], g, stat, g - 1))
-            yield pd.DataFrame(out, columns=["variable", "n_groups", "statistic", "dof"])
-    return solve
+    order = Window.partitionBy("variable").orderBy("level")        # one row per level
+    levels = materialize(reduced.select("variable", "level").distinct().withColumn(
+        "_g", F.row_number().over(order) - 1))
+    small = keys_bounded(levels, ["variable", "level"], BROADCAST_ROW_LIMIT)
+    few = len(variables) <= BROADCAST_KEY_LIMIT                     # keys = the variable list
+    rows = assign_buckets(reduced, ["variable"], "t", few_keys=few, verified=True).join(
+        F.broadcast(levels) if small else levels, ["variable", "level"]).drop("level")
+    totals = rows.groupBy("variable", "_b", "_g").agg(F.sum("_m").alias("_m"))
+    later = totals.groupBy("variable").applyInPandas(_later, "variable string, _b int, _later array<double>")
+    return rows, later, levels
+
+
+def _later(totals: pd.DataFrame) -> pd.DataFrame:
+    """Per bucket, the subjects of each level in the buckets after it."""
+    buckets = np.unique(totals["_b"])
+    own = np.zeros((len(buckets), int(totals["_g"].max()) + 1))
+    own[np.searchsorted(buckets, totals["_b"]), totals["_g"]] = totals["_m"]
+    after = own[::-1].cumsum(axis=0)[::-1] - own
+    return pd.DataFrame({"variable": totals["variable"].iloc[0], "_b": buckets, "_later": list(after)})
+
+
+def _blocks(rows: pd.DataFrame, later: pd.DataFrame):
+    """Times, events and at-risk counts (time x level) of a bucket, latest
+    times first, in blocks of bounded size."""
+    risk = np.array(later["_later"].iloc[0])
+    times, at = np.unique(rows["t"], return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    at, g = at[order], rows["_g"].to_numpy()[order]
+    d, m = rows["_d"].to_numpy()[order], rows["_m"].to_numpy()[order]
+    step = max(1, BLOCK_CELLS // len(risk))
+    for hi in range(len(times), 0, -step):
+        lo = max(0, hi - step)
+        a, b = np.searchsorted(at, [lo, hi])
+        events, own = np.zeros((hi - lo, len(risk))), np.zeros((hi - lo, len(risk)))
+        events[at[a:b] - lo, g[a:b]] = d[a:b]
+        own[at[a:b] - lo, g[a:b]] = m[a:b]
+        n = own[::-1].cumsum(axis=0)[::-1] + risk
+        risk = n[0]
+        yield times[lo:hi], events, own, n
+
+
+def _partial_sums(rows: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's observed, expected and covariance sums."""
+    if not len(rows):
+        return pd.DataFrame({"variable": [], "size": [], "observed": [], "expected": [], "cov": []})
+    k = len(later["_later"].iloc[0])
+    size, observed, expected, cov = np.zeros(k), np.zeros(k), np.zeros(k), np.zeros((k, k))
+    for _, events, own, n in _blocks(rows, later):
+        total, d = n.sum(axis=1), events.sum(axis=1)
+        w = np.where(total > 1, d * (total - d) / np.maximum(total - 1, 1), 0.0)
+        share = n / total[:, None]
+        size += own.sum(axis=0)
+        observed += events.sum(axis=0)
+        expected += d @ share
+        cov += np.diag(w @ share) - (share * w[:, None]).T @ share
+    return pd.DataFrame({"variable": [rows["variable"].iloc[0]], "size": [size], "observed": [observed],
+                         "expected": [expected], "cov": [cov.ravel()]})
+
+
+def _grid_rows(rows: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
+    parts = [pd.DataFrame({"variable": [], "_g": [], "t": [], "n_at_risk": [], "n_event": []})]
+    for times, events, _, n in _blocks(rows, later) if len(rows) else ():
+        k = n.shape[1]
+        parts.append(pd.DataFrame({"variable": rows["variable"].iloc[0], "_g": np.tile(np.arange(k), len(times)),
+                                   "t": np.repeat(times, k), "n_at_risk": n.ravel(), "n_event": events.ravel()}))
+    return pd.concat(parts[1:] or parts)
+
+
+def _solve_statistic(batches):
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            k = len(row.observed)
+            if k < 2:
+                out.append((row.variable, k, None, None))
+                continue
+            z = (np.array(row.observed) - np.array(row.expected))[:-1]
+            cov = np.array(row.cov).reshape(k, k)[:-1, :-1]
+            try:
+                stat = float(z @ np.linalg.solve(cov, z))
+            except np.linalg.LinAlgError:
+                stat = float(z @ np.linalg.pinv(cov) @ z)
+            out.append((row.variable, k, stat, k - 1))
+        yield pd.DataFrame(out, columns=["variable", "n_groups", "statistic", "dof"])
+
+
+def _logrank_sums(cohort: DataFrame, variables: Sequence[str], duration: str, event: str, ignore_censoring: bool):
+    """(variable, size, observed, expected, cov) arrays summed over the buckets, and the levels."""
+    rows, later, levels = _logrank_blocks(cohort, variables, duration, event, ignore_censoring)
+    names = ["size", "observed", "expected", "cov"]
+    parts = rows.groupBy("variable", "_b").cogroup(later.groupBy("variable", "_b")).applyInPandas(
+        _partial_sums, "variable string, " + ", ".join(f"{c} array<double>" for c in names))
+    # Element-wise sums, map-side first: no task holds all buckets' matrices.
+    def entries(c: str) -> Column:
+        return F.transform(c, lambda x, i: F.struct(F.lit(c).alias("what"), i.alias("i"), x.alias("x")))
+
+    cells = parts.select("variable", F.explode(F.concat(*map(entries, names))).alias("_c")).select("variable", "_c.*").groupBy("variable", "what", "i").agg(F.sum("x").alias("x"))
+    arrays = [F.transform(F.sort_array(F.collect_list(F.when(F.col("what") == c, F.struct("i", "x")))),
+                          lambda s: s["x"]).alias(c) for c in names]
+    return cells.groupBy("variable").agg(*arrays), levels
 
 
 def logrank(cohort: DataFrame, by: str | Sequence[str], duration: str = "duration",
@@ -223,15 +267,16 @@ def logrank(cohort: DataFrame, by: str | Sequence[str], duration: str = "duratio
 
     Returns (variable, n_groups, statistic, dof, p_value). With
     ``ignore_censoring=True`` every row counts as an event, reproducing the
-    reference's mis-keyed k-sample call (SURVEY D2).
+    reference's mis-keyed k-sample call (SURVEY D2). The k x k covariance is a
+    sum of one matrix product per time bucket; any number of levels is taken,
+    as far as their k x k matrix fits in a task.
     """
-    variables = _strata(by)
-    sums, _, k, _ = _logrank_sums(cohort, variables, duration, event, ignore_censoring)
+    sums, _ = _logrank_sums(cohort, _strata(by), duration, event, ignore_censoring)
     schema = T.StructType([T.StructField("variable", T.StringType()),
                            T.StructField("n_groups", T.IntegerType()),
                            T.StructField("statistic", T.DoubleType()),
                            T.StructField("dof", T.IntegerType())])
-    tested = sums.mapInPandas(_solve_statistic(k), schema)
+    tested = sums.mapInPandas(_solve_statistic, schema)
     return tested.select("variable", "n_groups", "statistic", "dof",
                          chi2_sf_col(F.col("statistic"), F.col("dof")).alias("p_value"))
 
@@ -239,18 +284,11 @@ def logrank(cohort: DataFrame, by: str | Sequence[str], duration: str = "duratio
 def logrank_groups(cohort: DataFrame, by: str | Sequence[str], duration: str = "duration",
                    event: str = "event", ignore_censoring: bool = False) -> DataFrame:
     """Per-group size, observed and expected events (variable, level, n, observed, expected)."""
-    variables = _strata(by)
-    sums, by_var, k, _ = _logrank_sums(cohort, variables, duration, event, ignore_censoring)
-    names = F.create_map(*[x for v, lvs in by_var.items() for i, lv in enumerate(lvs)
-                           for x in (F.lit(f"{v}\u0000{i}"), F.lit(lv))])
-    rows = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"N{j}").alias("n"),
-                              F.col(f"O{j}").alias("observed"), F.col(f"E{j}").alias("expected"))
-                     for j in range(k)])
-    out = sums.select("variable", F.inline(rows))
-    level = names[F.concat(F.col("variable"), F.lit("\u0000"), F.col("j").cast("string"))]
-    return out.where(F.col("n") > 0).select(
-        "variable", level.alias("level"), F.col("n").cast("long").alias("n"),
-        F.col("observed").cast("long").alias("observed"), "expected")
+    sums, levels = _logrank_sums(cohort, _strata(by), duration, event, ignore_censoring)
+    rows = sums.select("variable", F.posexplode(F.arrays_zip("size", "observed", "expected")).alias("_g", "_s"))
+    return rows.join(levels, ["variable", "_g"]).select(
+        "variable", "level", F.col("_s.size").cast("long").alias("n"),
+        F.col("_s.observed").cast("long").alias("observed"), F.col("_s.expected").alias("expected"))
 
 
 def logrank_grid(cohort: DataFrame, by: str | Sequence[str], duration: str = "duration",
@@ -258,16 +296,11 @@ def logrank_grid(cohort: DataFrame, by: str | Sequence[str], duration: str = "du
     """The time x group grid behind the test (J3): for every pooled time and
     every level, the level's at-risk and event counts
     (variable, level, t, n_at_risk, n_event)."""
-    variables = _strata(by)
-    _, by_var, k, risk = _logrank_sums(cohort, variables, duration, event, False)
-    names = F.create_map(*[x for v, lvs in by_var.items() for i, lv in enumerate(lvs)
-                           for x in (F.lit(f"{v}\u0000{i}"), F.lit(lv))])
-    cells = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"_n{j}").alias("n_at_risk"),
-                               F.col(f"_d{j}").alias("n_event")) for j in range(k)])
-    grid = risk.select("variable", "t", F.inline(cells))
-    level = names[F.concat(F.col("variable"), F.lit("\u0000"), F.col("j").cast("string"))]
-    return grid.where(level.isNotNull()).select(
-        "variable", level.alias("level"), "t", F.col("n_at_risk").cast("long").alias("n_at_risk"),
+    rows, later, levels = _logrank_blocks(cohort, _strata(by), duration, event, False)
+    grid = rows.groupBy("variable", "_b").cogroup(later.groupBy("variable", "_b")).applyInPandas(
+        _grid_rows, "variable string, _g int, t double, n_at_risk double, n_event double")
+    return grid.join(levels, ["variable", "_g"]).select(
+        "variable", "level", "t", F.col("n_at_risk").cast("long").alias("n_at_risk"),
         F.col("n_event").cast("long").alias("n_event"))
 
 

@@ -68,8 +68,7 @@ km AS (
   FROM acc)"""
 
 
-def quadform_sql(z: list[str], v: dict[tuple[int, int], str], src: str, name: str,
-                 carry: list[str]) -> tuple[list[str], str]:
+def quadform_sql(z: list[str], v: dict[tuple[int, int], str], src: str, name: str) -> tuple[list[str], str]:
     """CTEs computing z' V^-1 z by an unrolled Cholesky factorisation.
 
     ``z`` are column names of the score vector, ``v[(i, j)]`` (i <= j) column
@@ -78,7 +77,6 @@ def quadform_sql(z: list[str], v: dict[tuple[int, int], str], src: str, name: st
     """
     k = len(z)
     ctes, prev = [], src
-    keep = ", ".join(carry)
 
     def add(cols: list[str]):
         nonlocal prev
@@ -103,7 +101,6 @@ def quadform_sql(z: list[str], v: dict[tuple[int, int], str], src: str, name: st
         add([f"({num}) / {name}_l{i}_{i} AS {name}_y{i}"])
     stat = " + ".join(f"{name}_y{i} * {name}_y{i}" for i in range(k))
     add([f"{stat} AS {name}_stat"])
-    _ = keep
     return ctes, prev
 
 
@@ -134,5 +131,5 @@ def logrank_sql(source: str, group_expr: str, levels: list[str], name: str,
         f"{name}_z AS (SELECT *, {', '.join(f'o{j} - e{j} AS z{j}' for j in use)} FROM {name}_s)",
     ]
     qctes, last = quadform_sql([f"z{j}" for j in use], {(i, j): f"v{i}_{j}" for i in use for j in use if i <= j},
-                               f"{name}_z", name, [])
+                               f"{name}_z", name)
     return ctes + qctes, last, f"{name}_stat"

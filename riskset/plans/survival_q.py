@@ -74,11 +74,17 @@ def _logrank_query_sql(source_cte: str, source: str, variable: str, group_expr:
     dof = len(levels) - 1
     return (f"WITH {source_cte}, {', '.join(ctes)} SELECT '{variable}' AS variable, "
             f"{len(levels)} AS n_groups, {r(stat, 'statistic')}, {dof} AS dof, "
-            f"{r(chi2_sf_sql(stat, dof), 'p_value')} FROM {last}")
+            f"{r(chi2_sf_sql(stat, dof), 'p_value')}, {_log10_sql(chi2_sf_sql(stat, dof))} FROM {last}")
+
+
+def _log10_sql(p: str) -> str:
+    return f"CASE WHEN {p} > 0 THEN round(log10({p}), 6) END AS log10_p"
 
 
 def _lr_finish(df):
-    return round_doubles(df.select("variable", "n_groups", "statistic", "dof", "p_value"))
+    """With log10(p): small p-values would all round to 0."""
+    return round_doubles(df.select("variable", "n_groups", "statistic", "dof", "p_value", F.when(
+        F.col("p_value") > 0, F.log10("p_value")).alias("log10_p")))
 
 
 @query("K6_logrank_two_sample", _logrank_query_sql(
@@ -99,6 +105,16 @@ def k7(spark, sf):
     return _lr_finish(sv.logrank(cohorts.churn(spark, sf), "order_band"))
 
 
+MANY = 16
+
+
+@query("K7_logrank_many_groups", _logrank_query_sql(
+    ITEM, "item", "bin", f"CAST(l_orderkey % {MANY} AS VARCHAR)", sorted(str(i) for i in range(MANY))))
+def k7_many(spark, sf):
+    c = cohorts.item(spark, sf).withColumn("bin", (F.col("l_orderkey") % MANY).cast("string"))
+    return _lr_finish(sv.logrank(c, "bin"))
+
+
 @query("K7_logrank_ignore_censoring", _logrank_query_sql(
     CHURN, "churn", "order_band", "order_band", ["9to11", "gt11", "le8"], ignore_censoring=True))
 def k7_ic(spark, sf):
@@ -113,7 +129,7 @@ def _k8_sql() -> str:
         ctes += c
         dof = len(levels) - 1
         parts.append(f"SELECT '{var}' AS variable, {len(levels)} AS n_groups, {r(stat, 'statistic')}, "
-                     f"{dof} AS dof, {r(chi2_sf_sql(stat, dof), 'p_value')} FROM {last}")
+                     f"{dof} AS dof, {r(chi2_sf_sql(stat, dof), 'p_value')}, {_log10_sql(chi2_sf_sql(stat, dof))} FROM {last}")
     return f"WITH {CHURN}, {', '.join(ctes)} " + " UNION ALL ".join(parts)
 
 

@@ -104,3 +104,17 @@ def test_curve_crossings(spark):
     g = ["a"] * 6 + ["b"] * 6
     got = sv.curve_crossings(_cohort(spark, t, e, g), "grp", "a", "b").first()
     assert got["n_crossings"] == 1
+
+
+def test_empty_cohort_gives_empty_curves(spark):
+    empty = spark.createDataFrame([], "duration double, event int, grp string")
+    assert sv.kaplan_meier(empty).count() == 0
+    assert sv.logrank(empty, "grp").count() == 0
+
+
+def test_logrank_many_groups_matches_brute(spark):
+    rng = np.random.default_rng(12)
+    t, e, g = rng.integers(1, 40, 400).astype(float), rng.integers(0, 2, 400), [f"g{k:02d}" for k in rng.integers(0, 25, 400)]
+    got = sv.logrank(_cohort(spark, t, e, g), "grp").first()
+    stat, dof = logrank(t, e, g)
+    assert got["dof"] == dof and abs(got["statistic"] - stat) < 1e-8 * stat
