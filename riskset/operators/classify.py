@@ -1,14 +1,15 @@
 """Landmark classification (M1-M12, S5): split, weights, models, metrics, scoring.
 
-Splits and metrics are exact and distributed: the stratified split ranks
-rows by a seeded md5 within each class with bucketed running counts (no
-class-wide sort in one task), AUC and ROC come from one group-by-score and
+Splits and metrics are exact and distributed: the stratified split finds the
+cut of each class in the order of a seeded md5 and compares every row with it
+(no join, no class-wide sort), AUC and ROC come from one group-by-score and
 one running sum. Models are MLlib pipelines (trees are trained by MLlib's
 distributed learners), persisted with the feature order in the assembler.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,14 +19,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskset.operators.prefix import attach_one_row, running_sums
-from riskset.session import materialize
+from riskset.operators.prefix import attach_one_row, keys_bounded, running_sums
 
 # Fixed values of the scoring page: verdict at 0.5, gauge bands 0-40-60-100.
 VERDICT_CUT = 0.5
 BANDS = ((0, 40, "unfavorable"), (40, 60, "intermediate"), (60, 101, "favorable"))
 
 
+HASH_RANGE = 1 << 60
+BAND_WIDTH = 8.0     # half width of the band around a cut, in sqrt(n) rows
+
+
 def _hash_key(id_col: str, seed: int) -> tuple[Column, Column]:
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
     h60 = F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
@@ -35,25 +39,46 @@ def _hash_key(id_col: str, seed: int) -> tuple[Column, Column]:
 def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: float = 0.2,
                      seed: int = 42, out: str = "split") -> DataFrame:
     """M1: exact stratified allocation: in each class the round(f * n_y) rows
-    with the smallest md5(id || '-' || seed) form the test set.
+    with the smallest (md5(id || '-' || seed), id) form the test set.
 
-    Ranks come from running counts over the 60-bit hash prefix per class
-    (bucketed, so a class never sorts in one task); the rare prefix ties are
-    ordered by the full hash and the id.
+    The input is read for the class counts, then for the rows around each
+    class's cut, then compared row by row with the exact cut: no join, no
+    shuffle and no copy of its columns. Hashes are uniform, so the cut of rank
+    k lies within a few standard deviations of k / n; only rows in that band
+    (a share of 1 / sqrt(n)) are ordered, and the rows below it are counted.
     """
     h, h60 = _hash_key(id_col, seed)
-    rows = materialize(df.withColumn("_h", h).withColumn("_h60", h60))   # counted, then joined back
-    per = rows.groupBy(label, "_h60").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sums(per, [label], "_h60", {"_cum": "_n"}, totals={"_ny": "_n"}, few_keys=True)
-    joined = rows.join(ranked, [label, "_h60"])
-    single = joined.where(F.col("_n") == 1).withColumn("_rank", F.col("_cum"))
-    tie_w = Window.partitionBy(label, "_h60").orderBy("_h", id_col)   # only tied prefixes
-    multi = joined.where(F.col("_n") > 1).withColumn(
-        "_rank", F.col("_cum") - F.col("_n") + F.row_number().over(tie_w))
-    both = single.unionByName(multi)
-    k = F.round(F.lit(test_fraction) * F.col("_ny"))
-    return both.withColumn(out, F.when(F.col("_rank") <= k, "test").otherwise("train")).drop(
-        "_h", "_h60", "_n", "_cum", "_ny", "_rank")
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}   # one row per class
+    rank = {y: math.floor(test_fraction * n + 0.5) for y, n in counts.items()}
+    cuts: dict = {}
+    todo, width = {y: k for y, k in rank.items() if k}, BAND_WIDTH
+    while todo:
+        bands = {}
+        for y, k in todo.items():
+            n = counts[y]
+            reach = width * math.sqrt(n) + width
+            bands[y] = (max(0, math.floor((k - reach) / n * HASH_RANGE)), min(HASH_RANGE, math.ceil((k + reach) / n * HASH_RANGE)))
+        inside, below = F.lit(False), []
+        for y, (lo, hi) in bands.items():
+            own = F.col(label).eqNullSafe(F.lit(y))
+            inside = inside | (own & (h60 >= lo) & (h60 <= hi))
+            below.append(F.sum(F.when(own & (h60 < lo), 1).otherwise(0)))
+        n_below = df.agg(*below).first()
+        ranked = Window.partitionBy("_y").orderBy("_h", "_id")
+        wanted = F.lit(None).cast("long")
+        for (y, k), under in zip(todo.items(), n_below):
+            wanted = F.when(F.col("_y").eqNullSafe(F.lit(y)), F.lit(k - under)).otherwise(wanted)
+        found = (df.where(inside).select(F.col(label).alias("_y"), h.alias("_h"), F.col(id_col).alias("_id"))
+                 .withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") == wanted).collect())
+        for r in found:
+            cuts[r["_y"]] = (r["_h"], r["_id"])
+        todo = {y: k for y, k in todo.items() if y not in cuts}
+        width *= 8                                     # a cut outside its band: a wider one
+    test = F.lit(False)
+    for y, (cut, last) in cuts.items():
+        test = test | (F.col(label).eqNullSafe(F.lit(y)) & ((h < F.lit(cut)) | (
+            (h == F.lit(cut)) & (F.col(id_col) <= F.lit(last)))))
+    return df.withColumn(out, F.when(test, "test").otherwise("train"))
 
 
 def majority_class(train: DataFrame, label: str) -> int:
@@ -75,12 +100,13 @@ def class_weights(train: DataFrame, label: str) -> DataFrame:
                   F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0)).alias("_pos"))
     return attach_one_row(per, tot).select(
         label, "n", (F.col("_t") / (F.col("_k") * F.col("n"))).alias("weight"),
-        (F.col("_neg") / F.col("_pos")).alias("neg_pos_ratio"))
+        F.try_divide(F.col("_neg"), F.col("_pos")).alias("neg_pos_ratio"))
 
 
 def with_weights(df: DataFrame, weights: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach class weights (one row per class: bounded, broadcast)."""
-    return df.join(F.broadcast(weights.select(label, F.col("weight").alias(out))), label)
+    """Attach class weights; broadcast if a bounded count finds few classes."""
+    side = weights.select(label, F.col("weight").alias(out))
+    return df.join(F.broadcast(side) if keys_bounded(side, [label]) else side, label)
 
 
 def _assembler(features: Sequence[str]) -> VectorAssembler:
@@ -88,10 +114,14 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
 
 
 def random_forest(train: DataFrame, features: Sequence[str], label: str, weight: str | None = "weight",
-                  trees: int = 200, depth: int = 10, seed: int = 42) -> PipelineModel:
-    """M4: balanced random forest (sqrt features per split)."""
+                  trees: int = 200, depth: int = 30, max_bins: int = 32, seed: int = 42) -> PipelineModel:
+    """M4: balanced random forest (sqrt features per split).
+
+    ``depth`` 30 is the most that MLlib's node numbers allow; splits are taken
+    from ``max_bins`` quantile bins per feature.
+    """
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
-                                featureSubsetStrategy="sqrt", seed=seed)
+                                maxBins=max_bins, featureSubsetStrategy="sqrt", seed=seed)
     if weight:
         rf.setWeightCol(weight)
     return Pipeline(stages=[_assembler(features), rf]).fit(train)
@@ -163,11 +193,11 @@ def _score_counts(df: DataFrame, label: str, score_col: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str = "label", score_col: str = "prob") -> DataFrame:
-    """M7: exact ROC-AUC with ties = P(s+ > s-) + P(s+ = s-) / 2."""
+    """M7: exact ROC-AUC with ties = P(s+ > s-) + P(s+ = s-) / 2; null unless both classes occur."""
     per = _score_counts(df, label, score_col)
     cum = running_sums(per, [], "score", {"neg_below": "neg"}, inclusive=False)
-    return cum.agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)) /
-                    (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
+    return cum.agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score_col: str = "prob",
@@ -190,8 +220,8 @@ def roc_curve(df: DataFrame, label: str = "label", score_col: str = "prob",
         bend = ((F.col("_fp_next") - 2 * F.col("fp") + F.col("_fp_prev")) != 0) | \
                ((F.col("_tp_next") - 2 * F.col("tp") + F.col("_tp_prev")) != 0)
         cum = both.where(F.col("_fp_prev").isNull() | F.col("_fp_next").isNull() | bend)
-    pts = cum.select(F.col("score").alias("threshold"), (F.col("fp") / F.col("N")).alias("fpr"),
-                     (F.col("tp") / F.col("P")).alias("tpr"))
+    pts = cum.select(F.col("score").alias("threshold"), F.try_divide("fp", "N").alias("fpr"),
+                     F.try_divide("tp", "P").alias("tpr"))
     origin = per.agg(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(origin)
 

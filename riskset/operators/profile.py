@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riskset.functions.stats import chi2_sf_col, round_half_up_col
 from riskset.operators.prefix import attach_one_row, quantile_columns
+from riskset.session import materialize
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -173,12 +174,13 @@ def missing_by_group(df: DataFrame, col: str, group: str) -> DataFrame:
     independence on the (group x missing) table (SURVEY D11)."""
     base = df.where(_c(group).isNotNull()).select(_c(group).alias("group"), _c(col).isNull().cast("long").alias("m"))
     per = base.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("n_missing"))
-    tot = base.agg(F.count(F.lit(1)).alias("_tn"), F.sum("m").alias("_tm"),
-                   F.countDistinct("group").alias("_g"))
-    j = attach_one_row(per, tot)
+    # Totals come from the per-group rows; a margin of 0 leaves the test undefined.
+    per = materialize(per)
+    tot = per.agg(F.sum("n").alias("_tn"), F.sum("n_missing").alias("_tm"), F.count(F.lit(1)).alias("_g"))
     exp_m = F.col("n") * F.col("_tm") / F.col("_tn")
     exp_p = F.col("n") * (F.col("_tn") - F.col("_tm")) / F.col("_tn")
-    cell = (F.col("n_missing") - exp_m) ** 2 / exp_m + ((F.col("n") - F.col("n_missing")) - exp_p) ** 2 / exp_p
+    cell = F.try_divide((F.col("n_missing") - exp_m) ** 2, exp_m) + F.try_divide(
+        ((F.col("n") - F.col("n_missing")) - exp_p) ** 2, exp_p)
     chi = attach_one_row(per, attach_one_row(per, tot).agg(F.sum(cell).alias("chi2"), F.first("_g").alias("_g")))
     return chi.select("group", "n", "n_missing", (100.0 * F.col("n_missing") / F.col("n")).alias("pct_missing"),
                       "chi2", (F.col("_g") - 1).cast("int").alias("dof"),

@@ -137,6 +137,67 @@ def s5(spark, sf):
     return round_doubles(cl.score(loaded, table.where("split = 'test'"), ["subject_id", "label"]))
 
 
+_TEST_ROWS = f"WITH {SPLIT_SQL} SELECT subject_id, label, true AS in_range, true AS cut_at_half FROM split WHERE split = 'test'"
+
+
+def _contract(scored):
+    """What holds for any fitted model: keys and labels of the test rows, probabilities in [0, 1], the 0.5 cut."""
+    return scored.select("subject_id", "label", F.col("prob").between(0.0, 1.0).alias("in_range"),
+                         ((F.col("prob") > 0.5) == (F.col("prediction") == 1)).alias("cut_at_half"))
+
+
+@query("M4_forest_contract", _TEST_ROWS)
+def m4_contract(spark, sf):
+    table, _, model = _rf(spark, sf)
+    return _contract(cl.score(model, table.where("split = 'test'"), ["subject_id", "label"]))
+
+
+@query("M10_importances_contract", "SELECT 1.0::DOUBLE AS total, true AS ranked, true AS not_negative")
+def m10_contract(spark, sf):
+    _, features, model = _rf(spark, sf)
+    return cl.importances(model, features).agg(
+        F.round(F.sum("importance"), 6).alias("total"),
+        (F.max("rank") == F.count(F.lit(1))).alias("ranked"), (F.min("importance") >= 0).alias("not_negative"))
+
+
+@query("S5_reloaded_equals_saved", f"WITH {SPLIT_SQL} SELECT subject_id, label, true AS same FROM split WHERE split = 'test'")
+def s5_same(spark, sf):
+    table, _, model = _rf(spark, sf)
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    cl.save_model(model, path)
+    test = table.where("split = 'test'")
+    own = cl.score(model, test, ["subject_id", "label"])
+    again = cl.score(cl.load_model(path), test, ["subject_id"]).select("subject_id", F.col("prob").alias("prob2"))
+    return own.join(again, "subject_id").select("subject_id", "label", (F.col("prob") == F.col("prob2")).alias("same"))
+
+
+@query("M9_fitted_models", f"""WITH {SPLIT_SQL},
+top AS (SELECT label FROM split WHERE split = 'train' GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+base AS (SELECT {r('avg(CASE WHEN s.label = top.label THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM split s, top WHERE s.split = 'test')
+SELECT 'forest' AS model, true AS auc_in_range, NULL::DOUBLE AS accuracy
+UNION ALL SELECT 'majority', true, accuracy FROM base""")
+def m9_fitted(spark, sf):
+    """The fitted forest and the majority baseline on one test set."""
+    table, _, model = _rf(spark, sf)
+    test = table.where("split = 'test'")
+    scored = {"forest": materialize(cl.score(model, test, ["subject_id", "label"])),
+              "majority": cl.baseline_scores(test.select("subject_id", "label"),
+                                             cl.majority_class(table.where("split = 'train'"), "label"))}
+    out = cl.compare_models(scored)
+    return round_doubles(out.select("model", F.coalesce(F.col("auc").between(0.0, 1.0), F.lit(True)).alias("auc_in_range"),
+                                    F.when(F.col("model") == "majority", F.col("accuracy")).alias("accuracy")))
+
+
+@query("M11_scored_profiles", f"""WITH {SPLIT_SQL} SELECT subject_id, true AS in_range, true AS verdict_fits FROM split
+  WHERE split = 'test'""")
+def m11_scored(spark, sf):
+    """Verdicts of the fitted model on the test rows, from probability to gauge band."""
+    table, _, model = _rf(spark, sf)
+    out = cl.verdicts(cl.score(model, table.where("split = 'test'"), ["subject_id"]))
+    return out.select("subject_id", F.col("prob").between(0.0, 1.0).alias("in_range"),
+                      ((F.col("prob") >= 0.5) == (F.col("verdict") == "Favorable profile")).alias("verdict_fits"))
+
+
 @query("M6_classification_report", f"""WITH {DOC_SCORE_SQL},
 cm AS (SELECT label AS actual, prediction AS predicted, count(*) AS n FROM docs GROUP BY 1, 2),
 cls AS (SELECT actual AS c FROM cm UNION SELECT predicted FROM cm),

@@ -78,3 +78,25 @@ def test_profile_helpers(spark):
     assert [(r["column"], r["n_missing"]) for r in miss] == [("b", 2)]
     hist = pf.histogram(df, "a", bins=3).orderBy("bin").collect()
     assert [r["n"] for r in hist] == [3, 0, 1]
+
+
+def test_one_class_and_empty_give_null(spark):
+    from riskset.operators import classify as cl
+    from riskset.operators import profile as pf
+    one = spark.createDataFrame([(1, 0.2), (1, 0.7)], "label int, prob double")
+    assert cl.roc_auc(one).first()["auc"] is None
+    assert cl.roc_curve(one).where("threshold is not null and fpr is null").count() == 2
+    assert cl.class_weights(one.withColumn("label", cl.F.lit(0)), "label").first()["neg_pos_ratio"] is None
+    assert cl.roc_auc(one.limit(0)).first()["auc"] is None
+    full = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "g string, x int")
+    got = pf.missing_by_group(full, "x", "g").collect()
+    assert len(got) == 2 and all(r["chi2"] is None and r["n_missing"] == 0 for r in got)
+
+
+def test_split_reads_any_class_size(spark):
+    from riskset.operators.classify import stratified_split
+    rows = [(i, i % 7 == 0) for i in range(500)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "id long, y boolean")
+    out = stratified_split(df, "y", "id")
+    counts = {(r["y"], r["split"]): r["count"] for r in out.groupBy("y", "split").count().collect()}
+    assert counts[(True, "test")] == round(0.2 * 72) and counts[(False, "test")] == round(0.2 * 428)
