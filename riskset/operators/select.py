@@ -14,6 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskset.operators.prefix import keys_bounded
+from riskset.session import materialize
+
+MAX_COLUMNS = 2000           # feature columns of a wide table
+
 
 def feature_variance(long: DataFrame, threshold: float = 0.01, feature: str = "feature",
                      value: str = "value") -> DataFrame:
@@ -54,17 +59,30 @@ def selection_funnel(long: DataFrame, target: str, threshold: float, ks: Sequenc
 
 def assemble(long: DataFrame, selected: DataFrame, id_col: str, extra: Sequence[str] = (),
              feature: str = "feature", value: str = "value") -> DataFrame:
-    """F5 (long form): rows of the selected features only, via a semi-join
-    on the (bounded) selection list."""
-    return long.join(F.broadcast(selected.select(feature)), feature, "left_semi").select(
+    """F5 (long form): rows of the selected features only, via a semi-join;
+    the selection is broadcast if a bounded count finds it small."""
+    names = materialize(selected.select(feature))
+    small = keys_bounded(names, [feature])
+    return long.join(F.broadcast(names) if small else names, feature, "left_semi").select(
         id_col, *extra, feature, value)
 
 
 def assemble_wide(long: DataFrame, selected: DataFrame, id_col: str, extra: Sequence[str] = (),
                   feature: str = "feature", value: str = "value", prefix: str = "f_") -> DataFrame:
-    """F5 (wide): one column per selected feature; the pivot values are the
-    collected top-k names (k is a parameter, so the list is bounded)."""
-    names = [r[0] for r in selected.select(feature).collect()]
-    rows = assemble(long, selected, id_col, extra, feature, value)
+    """F5 (wide): one column per selected feature. A column per name needs the
+    names on the driver: more than ``MAX_COLUMNS`` of them are refused (use the
+    long form). The selection is evaluated once."""
+    names = [r[0] for r in selected.select(feature).limit(MAX_COLUMNS + 1).collect()]
+    if len(names) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} selected features: use the long form")
+    rows = long.where(F.col(feature).isin(names)).select(id_col, *extra, feature, value)
     wide = rows.groupBy(id_col, *extra).pivot(feature, names).agg(F.first(value))
     return wide.select(id_col, *extra, *[F.col(f"`{n}`").alias(f"{prefix}{n}") for n in names])
+
+
+def model_table(clinical: DataFrame, wide: DataFrame, id_col: str, targets: Sequence[str]) -> DataFrame:
+    """clinical columns, selected features and targets, joined on the subject
+    (never by row position); subjects without features are left out."""
+    features = [c for c in wide.columns if c not in clinical.columns]
+    first = [c for c in clinical.columns if c not in targets]
+    return clinical.join(wide.select(id_col, *features), id_col).select(*first, *features, *targets)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from riskset.operators import select as fs
 from riskset.plans.registry import query, round_doubles
-from riskset.plans.sql import WIDE, r
+from riskset.plans.sql import CHURN, WIDE, r
+from riskset.session import ensure_checkpoint_dir
 from riskset.sources import cohorts
+from riskset.sources.io import export_many
 
 THRESHOLD = 0.01          # the reference's variance threshold
 THRESHOLD_STRICT = 0.016  # a cut that actually removes part of these features
@@ -65,7 +71,44 @@ def f5(spark, sf):
     return round_doubles(fs.assemble(long, top, "vec_id", ["label"]))
 
 
-@query("F5_assemble_wide")
+_WIDE_ROWS = """s AS (SELECT w.vec_id, w.label, 'f_' || w.feature AS f, round(w.value, 6) AS value
+  FROM wide w JOIN top t ON t.feature = w.feature)"""
+
+
+@query("F5_assemble_wide", f"{_TOPK_SQL}, {_WIDE_ROWS} PIVOT s ON f USING first(value) GROUP BY vec_id, label")
 def f5w(spark, sf):
     long, top = _selected(spark, sf)
     return round_doubles(fs.assemble_wide(long, top, "vec_id", ["label"]))
+
+
+TABLES = {"survival_table": 5, "ml_table": 10}
+
+
+def _read_back_sql() -> str:
+    parts = [f"""SELECT '{name}' AS name, count(*) AS n_rows, {k + 3} AS n_columns, {r('avg(n_orders)', 'mean_orders')}
+FROM churn JOIN (SELECT DISTINCT vec_id FROM wide) v ON v.vec_id = churn.subject_id""" for name, k in TABLES.items()]
+    return f"WITH {CHURN}, {WIDE} " + " UNION ALL ".join(parts)
+
+
+@query("F5_model_tables", _read_back_sql())
+def f5_tables(spark, sf):
+    """Clinical columns, the top features and the event, joined on the subject and
+    exported as two tables, read back."""
+    long = cohorts.wide_long(spark, sf)
+    kept = fs.feature_variance(long, THRESHOLD_STRICT).where("keep").select("feature")
+    corr = fs.target_correlation(long.join(kept, "feature", "left_semi"), "label")
+    best = [row["feature"] for row in fs.top_k(corr, max(TABLES.values())).collect()]
+    clinical = cohorts.churn(spark, sf).select("subject_id", "n_orders", "event")
+    folder = f"{ensure_checkpoint_dir(spark)}/exports/{uuid.uuid4().hex}"
+    tables = {}
+    for name, k in TABLES.items():
+        chosen = spark.createDataFrame([(f,) for f in best[:k]], "feature int")
+        wide = fs.assemble_wide(long, chosen, "vec_id").withColumnRenamed("vec_id", "subject_id")
+        tables[name] = fs.model_table(clinical, wide, "subject_id", ["event"])
+    out = None
+    for name, path in export_many(tables, folder).items():
+        back = spark.read.parquet(path)
+        row = back.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"),
+                       F.lit(len(back.columns)).alias("n_columns"), F.avg("n_orders").alias("mean_orders"))
+        out = row if out is None else out.unionByName(row)
+    return round_doubles(out)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,14 +52,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the configured checkpoint folder; set a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Local runs (tests, bench) get a fresh temporary folder.
+    as is; without it this raises, as executors could not read a folder of
+    the driver's machine. Local runs (tests, bench) get a fresh temporary
+    folder, which is removed when Python ends.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         current = current.get() if current.isDefined() else None
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set on {master}: name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="riskset-ckpt-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
