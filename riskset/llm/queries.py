@@ -54,7 +54,7 @@ def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrase_index.assess(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return phrase_index.assess(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("n_near")
 
 
 @query
