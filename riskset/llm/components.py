@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b")))
-    return stored(out.where("a <> b").distinct(), "stars")
+    return out.where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("a", "b").where("a <> b").distinct(), "links")
     before = None
     for _ in range(MAX_ROUNDS):
-        edges = _star(_star(edges, large=True), large=False)
+        edges = stored(_star(_star(edges, large=True), large=False), "stars")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(

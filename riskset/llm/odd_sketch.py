@@ -14,10 +14,12 @@ threshold, more than five standard deviations.
 
 Buckets are not expanded into pairs. First every node is compared with the
 smallest node of its bucket; links that full sets confirm give components.
-Then, where a bucket still holds several components, sketches are compared
-inside tasks in blocks of ``BLOCK`` nodes, and only pairs from different
-components that pass the estimate come out, are confirmed and join their
-components. Pairs inside one component need no link.
+Then, where a bucket still holds several components, its nodes are dealt out
+with their sets in blocks of bounded size. Inside a task, pairs from different
+components that pass the estimate are confirmed on the sets, best estimate
+first, in the block of the first band they share; a confirmed link joins two
+components, so a block gives fewer links than it has nodes. Pairs inside one
+component need no link.
 
 Node names are 64 bits of a 128-bit digest of the set.
 
@@ -47,7 +49,8 @@ SHINGLE = 5
 BANDS, ROWS = 38, 5
 SKETCH_BITS = 512
 MARGIN = 0.16
-BLOCK = 4096
+BLOCK = 4096                 # nodes of a bucket that are compared in one task
+BLOCK_SHINGLES = 2 << 20     # and shingles of them: 16 MB
 BASE = 0x9E3779B97F4A7C15
 _RNG = np.random.default_rng(20240607)
 FLIP = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -170,23 +173,37 @@ def _confirmed(percent: int):
     return run
 
 
-def _block_pairs(percent: int, max_odd: int):
-    """Pairs of a block of a bucket that are worth a look, from different components."""
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def _block_links(percent: int, max_odd: int):
+    """Links of a block that join different components: a spanning forest of them."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates("node")
         label, size, node = block["label"].to_numpy(), block["n_shingles"].to_numpy(), block["node"].to_numpy()
+        part, ordinal = block["_part"].to_numpy(), int(block["_ordinal"].iloc[0])
+        within = part.min() == part.max()
         sketch = np.array(block["sketch"].tolist(), np.int64).reshape(len(block), -1).view(np.uint64)
+        bands = np.array(block["bands"].tolist(), np.int64).reshape(len(block), -1)
+        sets_ = [np.frombuffer(x, np.uint64) for x in block["set"]]
+        # Component of each node, as far as this task knows.
+        _, own, counts = np.unique(label, return_inverse=True, return_counts=True)
+        links = []
         # Nodes of the largest component are met from the others' side.
-        names, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
-        found = []
-        for i in np.flatnonzero(inverse != counts.argmax()):
+        for i in np.flatnonzero(own != counts.argmax()):
             odd = np.bitwise_count(sketch ^ sketch[i]).sum(axis=1)
-            near = (odd <= max_odd) & (label != label[i])
+            near = (odd <= max_odd) & (own != own[i])
             near &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
-            found.append(np.stack([np.full(int(near.sum()), node[i]), node[near]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": pairs.min(axis=0), "b": pairs.max(axis=0)}).drop_duplicates()
+            near &= (part != part[i]) | within
+            close = np.flatnonzero(near)
+            close = close[(bands[close] == bands[i]).argmax(axis=1) == ordinal]
+            for j in close[np.argsort(odd[close], kind="stable")].tolist():
+                if own[j] != own[i] and _similar(sets_[i], sets_[j], percent):
+                    links.append((min(node[i], node[j]), max(node[i], node[j])))
+                    own[own == own[j]] = own[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
     return run
 
 
@@ -194,16 +211,12 @@ def _hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
-def _verify(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The pairs whose full sets are similar enough, stored."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stored(nodes.join(ends, "node").groupBy("first").agg(F.collect_list("node").alias("wanted"))
-                    .withColumnRenamed("first", "doc_id"), "wanted")
-    own = stored(texts.join(_hinted(wanted), "doc_id").mapInArrow(_node_sets(shingle), "node long, set binary")
-                 .dropDuplicates(["node"]), "sets")
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(
-        own.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return stored(both.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
+def _full_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """Stored (node, set) of the wanted nodes, from the text of each node's first document."""
+    first = stored(nodes.select("node", "first").join(wanted, "node").groupBy("first").agg(
+        F.collect_list("node").alias("wanted")).withColumnRenamed("first", "doc_id"), "wanted")
+    return stored(texts.join(_hinted(first), "doc_id").mapInArrow(_node_sets(shingle), "node long, set binary")
+                  .dropDuplicates(["node"]), "sets")
 
 
 def classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
@@ -215,7 +228,7 @@ def classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataF
         F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch")), "nodes")
     max_odd = max_odd_bits(percent / 100 - MARGIN)
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("ordinal", "band"))
     hubs = stored(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_last"))
                   .where("hub < _last").drop("_last"), "hubs")
     members = stored(banded.join(_hinted(hubs), "band"), "members")
@@ -229,23 +242,32 @@ def classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataF
         odd = odd + F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k]))
     pairs = stored(seen.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (odd <= max_odd))
                    .select("a", "b"), "stars")
-    links = _verify(texts, nodes, pairs, percent, shingle)
-    # Buckets that still hold several components: all pairs across them.
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = _full_sets(texts, nodes, ends, shingle)
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(
+        own.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    links = stored(both.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
+    # Buckets that still hold several components: links across them.
     labels = stored(components(links), "labels")
     labelled = members.join(_hinted(labels), "node", "left").select(
-        "band", "node", F.coalesce("label", "node").alias("label"))
-    split = stored(labelled.groupBy("band").agg(F.min("label").alias("_a"), F.max("label").alias("_b"),
-                                                F.count(F.lit(1)).alias("_m")).where("_a < _b")
-                   .select("band", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_blocks")), "split")
-    left = labelled.join(_hinted(split), "band").join(info, "node")
+        "band", "ordinal", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
+    split = stored(labelled.groupBy("band").agg(
+        F.min("label").alias("_a"), F.max("label").alias("_b"),
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
+        .where("_a < _b").select("band", "_blocks"), "split")
+    left = stored(labelled.join(_hinted(split), "band"), "left")
+    payload = nodes.select("node", "sketch", "bands").join(
+        _full_sets(texts, nodes, left.select("node").distinct(), shingle), "node")
     mine = F.pmod(F.col("node"), F.col("_blocks")).cast("int")
     block = F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(
         F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))).alias("_block")
-    dealt = left.select("band", "node", "label", "n_shingles", "sketch", block)
-    more = stored(dealt.groupBy("band", "_block").applyInPandas(_block_pairs(percent, max_odd), "a long, b long")
-                  .distinct(), "pairs")
-    links = links.unionByName(_verify(texts, nodes, more, percent, shingle))
-    labels = stored(components(links), "labels")
+    dealt = left.join(payload, "node").select(
+        "band", F.col("ordinal").alias("_ordinal"), "node", "label", "n_shingles", "sketch", "bands", "set",
+        mine.alias("_part"), block)
+    more = dealt.groupBy("band", "_block").applyInPandas(_block_links(percent, max_odd), "a long, b long")
+    # Labelled nodes stand for their confirmed links.
+    known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    labels = stored(components(known.unionByName(stored(more, "more"))), "labels")
     member = nodes.select("node", "first").join(_hinted(labels), "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     smallest = member.groupBy("label").agg(F.min("first").alias("component_id"))
