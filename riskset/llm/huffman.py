@@ -39,7 +39,7 @@ from riskset.llm.common import shared_path, stored
 MAX_BITS = 16
 STRIDE = 128
 BLOCK_IDS = 1 << 16
-WORKER_CACHE = 400_000       # entries of one cache generation
+WORKER_CACHE = 600_000       # entries of one cache generation
 _CACHES: dict[str, pieces.Cache] = {}
 
 
@@ -53,13 +53,16 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             for part in pieces.steps(batch):
                 values, counts = pieces.chunks(part.column("text"))
                 index, own = pieces.distinct(values)
-                found = [cache.find(w) for w in own]
-                missing = [i for i, x in enumerate(found) if x is None]
-                for a in range(0, len(missing), 50_000):
-                    some = missing[a:a + 50_000]
-                    for i, ids in zip(some, pieces.encoded([own[i] for i in some], path), strict=True):
-                        found[i] = np.array(ids, "<u2").tobytes()
-                        cache.put(own[i], found[i])
+                found = list(map(cache.get, own))
+                missing = {}
+                for i, x in enumerate(found):
+                    if x is None:
+                        found[i] = cache.find(own[i])
+                        if found[i] is None:
+                            missing[own[i]] = i
+                for w, ids in pieces.byte_level(list(missing), path):
+                    found[missing[w]] = ids
+                    cache.put(w, ids)
                 # The end id is one more piece behind each text's last.
                 found.append(end)
                 order = np.insert(index.astype(np.int64), np.cumsum(counts), len(own))

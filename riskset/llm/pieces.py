@@ -7,6 +7,7 @@ column-wise. Per-string Python runs only over a batch's distinct strings.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -105,6 +106,37 @@ def encoded(strings: list[str], path: str) -> list[list[int]]:
     return [e.ids for e in tokenizer(path).encode_batch_fast(strings, add_special_tokens=False)]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself
+    if it is printable, else the next one from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def byte_level(strings: list[str], path: str) -> Iterator[tuple[str, bytes]]:
+    """Each string with its ids as uint16 in the machine's (little-endian) order.
+
+    A run of letters, with or without one space before it, is one piece for
+    such a tokenizer and goes straight to its merges; other strings take the
+    whole way.
+    """
+    model = tokenizer(path).model
+    other = []
+    for x in strings:
+        if (x[1:] if x[:1] == " " else x).isalpha():
+            letters = x.replace(" ", BYTE_LETTERS[ord(" ")]) if x.isascii() else \
+                x.encode().decode("latin-1").translate(BYTE_LETTERS)
+            yield x, array("H", [t.id for t in model.tokenize(letters)]).tobytes()
+        else:
+            other.append(x)
+    for x, ids in zip(other, encoded(other, path), strict=True):
+        yield x, array("H", ids).tobytes()
+
+
 # A byte-level tokenizer of this family starts a new piece at a single space
 # between two characters that are not blank; what lies between two such spaces
 # is encoded alone. Python's blanks include all that the tokenizer counts.
