@@ -11,7 +11,8 @@ training never saw says one half.
 
 Training counts are one aggregate over (DEPTH + 1)-byte stretches and words of
 all training texts: the shorter contexts' counts are sums of the longest
-ones'. Tree nodes are DataFrame rows, a level is one group-by. Scoring ships
+ones'. Tree nodes are DataFrame rows, a level is one group-by; the longest contexts
+are rows with the list of bytes seen after them. Scoring ships
 the probabilities of trained stretches as a hash table, in shards of at most
 ``SHARD`` stretches, a pass over the documents each; stretches that training
 never saw are written out per document and answered by joins with the tree.
@@ -123,7 +124,9 @@ def _counter(depth: int):
 def _log2_gamma_shift(x: Column) -> Column:
     """log2 of Gamma(x), x at least one half: Stirling's series eight steps up."""
     up = x + 8
-    series = (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi) + 1 / (12 * up) - 1 / (360 * up * up * up)
+    sq = up * up
+    series = (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi) \
+        + (1.0 / 12 - (1.0 / 360 - (1.0 / 1260 - 1.0 / (1680 * sq)) / sq) / sq) / up
     steps = x
     for k in range(1, 8):
         steps = steps * (x + k)
@@ -147,16 +150,74 @@ def _bits(rows: DataFrame, *more: str) -> DataFrame:
                        F.expr("cast(shiftright(key, 7 - _k) & 1 as int)").alias("bit"))
 
 
-def tree(counts: DataFrame, depth: int) -> list[DataFrame]:
+def _mask(depth: int) -> Column:
+    return F.lit((1 << (8 * depth)) - 1).cast("long")
+
+
+def contexts(counts: DataFrame, depth: int) -> DataFrame:
+    """Stored (near, ctx, next): the bytes seen after each longest context (256 at
+    most), with their counts; ``near`` is the context but its farthest byte.
+
+    Contexts of one ``near`` are written together, so that the level above is
+    mostly summed before its shuffle.
+    """
+    rows = counts.select(F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(255).cast("int").alias("sym"), "n")
+    rows = rows.withColumn("near", F.col("ctx").bitwiseAND(_mask(depth - 1))).repartition("near")
+    return stored(rows.groupBy("near", "ctx").agg(F.collect_list(F.struct("sym", "n")).alias("next")), "contexts")
+
+
+def _nodes(batch: pa.RecordBatch):
+    """Places (row * 256 + node) of a batch's decisions with their counts, and for
+    each byte seen its row, its eight places (as indexes) and bits."""
+    lists = batch.column("next")
+    flat = lists.flatten()
+    sym, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sym", "n"))
+    row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+    k = np.arange(8)
+    node, bit = (256 | sym[:, None]) >> (8 - k), (sym[:, None] >> (7 - k)) & 1
+    place, at = np.unique((row[:, None] * 256 + node).ravel(), return_inverse=True)
+    n1 = np.bincount(at, (bit * n[:, None]).ravel(), len(place))
+    n0 = np.bincount(at, ((1 - bit) * n[:, None]).ravel(), len(place))
+    return place, n0, n1, row, sym, at.reshape(bit.shape), bit
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, len(batch), 2000):
+            yield batch.slice(a, 2000)
+
+
+def _deepest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        place, n0, n1, *_ = _nodes(batch)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("ctx").take(pa.array(place >> 8)), pa.array((place & 255).astype(np.int32)),
+             pa.array(n0.astype(np.int64)), pa.array(n1.astype(np.int64))], names=["ctx", "node", "n0", "n1"])
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, lp of every trained stretch: its own counts under what stands above."""
+    for batch in _slices(batches):
+        place, n0, n1, row, sym, at, bit = _nodes(batch)
+        above = batch.column("above")
+        flat = above.flatten()
+        over = np.repeat(np.arange(len(batch)), np.diff(above.offsets.to_numpy())) * 256 + flat.field("node").to_numpy()
+        order = np.argsort(over)
+        mine = order[np.searchsorted(over[order], place)]
+        part, rest = (flat.field(c).to_numpy(zero_copy_only=False)[mine] for c in ("part", "rest"))
+        one = part + rest * (n1 + 0.5) / (n0 + n1 + 1)
+        lp = np.log2(np.where(bit == 1, one[at], 1 - one[at])).sum(axis=1)
+        key = (batch.column("ctx").to_numpy()[row] << 8) | sym
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lp)], names=["key", "lp"])
+
+
+def tree(seen: DataFrame, depth: int) -> list[DataFrame]:
     """Stored levels, deepest first: ctx, node, n0, n1, stop (the weight of stopping here)."""
-    bits = _bits(counts.select("key", "n"), "n")
-    level = bits.groupBy("ctx", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"),
-                                            F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
+    level = seen.select("ctx", "next").mapInArrow(_deepest, "ctx long, node int, n0 long, n1 long")
     own = _log2_kt(F.col("n0"), F.col("n1"))
     levels = [stored(level.withColumns({"pw": own, "stop": F.lit(1.0)}), "level")]
     for d in range(depth - 1, -1, -1):
-        mask = (1 << (8 * d)) - 1
-        up = levels[-1].withColumn("ctx", F.col("ctx").bitwiseAND(F.lit(mask).cast("long")))
+        up = levels[-1].withColumn("ctx", F.col("ctx").bitwiseAND(_mask(d)))
         level = up.groupBy("ctx", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),
                                               F.sum("pw").alias("below"))
         # log2((P_e + below) / 2), around the larger of the two.
@@ -168,16 +229,44 @@ def tree(counts: DataFrame, depth: int) -> list[DataFrame]:
     return levels
 
 
+def trained_answers(seen: DataFrame, levels: list[DataFrame], depth: int) -> DataFrame:
+    """Stored (key, lp) for every trained stretch.
+
+    From the root down each node gets what the levels to it contribute
+    (``part``) and the weight left for the levels below (``rest``); the
+    longest contexts meet theirs in one row per context.
+    """
+    kt = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
+    above = None
+    for d, level in zip(range(depth), reversed(levels[1:]), strict=True):
+        rows = level.select("ctx", "node", (F.col("stop") * kt).alias("_here"), (1 - F.col("stop")).alias("_go"))
+        if above is None:
+            above = rows.select("ctx", "node", F.col("_here").alias("part"), F.col("_go").alias("rest"))
+            continue
+        rows = rows.withColumn("_up", F.col("ctx").bitwiseAND(_mask(d - 1)))
+        over = above.select(F.col("ctx").alias("_up"), "node", "part", "rest")
+        above = stored(rows.join(_hinted(over), ["_up", "node"]).select(
+            "ctx", "node", (F.col("part") + F.col("rest") * F.col("_here")).alias("part"),
+            (F.col("rest") * F.col("_go")).alias("rest")), "above")
+    lists = above.groupBy(F.col("ctx").alias("near")).agg(F.collect_list(F.struct("node", "part", "rest")).alias("above"))
+    return stored(seen.join(lists, "near").select("ctx", "next", "above").mapInArrow(
+        _answers, "key long, lp double"), "trained")
+
+
 def _hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
 def log2_probability(keys: DataFrame, levels: list[DataFrame], depth: int) -> DataFrame:
     """key -> (key, lp): log2 of the last byte's probability after the bytes before it."""
-    rows = _bits(keys.select("key")).withColumn("q", F.lit(0.5))
+    keys = stored(keys.select("key"), "keys")
+    rows = _bits(keys).withColumn("q", F.lit(0.5))
+    wanted = stored(keys.select(F.shiftright("key", 8).alias("ctx")).distinct(), "wanted")
     for i, level in enumerate(levels):
         d = depth - i
-        mask = F.lit((1 << (8 * d)) - 1).cast("long")
+        mask = _mask(d)
+        if not i:                                   # the largest level, of which few contexts are asked for
+            level = level.join(_hinted(wanted), "ctx", "left_semi")
         side = level.select(F.col("ctx").alias("_ctx"), F.col("node").alias("_node"),
                             ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("_kt"),
                             F.col("stop").alias("_stop"))
@@ -293,8 +382,9 @@ def score(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT, shard_s
     trained = counts.where(F.col("kind") == STRETCHES).select("key", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     norm = math.log10(total + 0.5 * (kinds + 1))
-    levels = tree(trained, depth)
-    known = stored(log2_probability(trained, levels, depth), "trained")
+    seen = contexts(trained, depth)
+    levels = tree(seen, depth)
+    known = trained_answers(seen, levels, depth)
     n_known = known.count()
     top = words.where(F.col("key") != END_HASH).orderBy(F.desc("n"), "key").limit(frequent).toArrow()
     top_keys = top.column("key").to_numpy().view(np.uint64)
