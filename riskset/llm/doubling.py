@@ -136,9 +136,10 @@ def _hinted(df: DataFrame) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, first): what occurs in more than one document."""
-    return rows.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")) \
-        .where("first < last").drop("last")
+    """(keys, first): what occurs in more than one document. Stored, so that the
+    join back has a plain shuffle on both sides and hot keys can be split."""
+    return stored(rows.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                  .where("first < last").drop("last"), "repeated")
 
 
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
