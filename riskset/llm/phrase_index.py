@@ -14,7 +14,8 @@ windows are broadcast after they are counted against the broadcast bound;
 beyond it they are joined by shuffle, where adaptive execution splits the
 partitions of frequent words.
 
-Defined cases: null text has no words; items without words match nothing;
+Defined cases: null text has no words; items without words match nothing; an
+item without an id is counted but has no place among the listed ids;
 equal windows of several items are one window owned by all of them; repeated
 document rows are counted as one document by doc_id and give equal rows;
 empty tables give rows without hits.
@@ -122,6 +123,7 @@ def assess(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SL
     hits = spans.withColumn("_seen", F.coalesce(F.max("end").over(before), F.lit(0))).groupBy("doc_id").agg(
         F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "_seen"))).alias("n_hit"))
     ids = exact.select("doc_id", "win").distinct().join(owners, "win").groupBy("doc_id").agg(
+        F.size(F.collect_set("item_id")).alias("_items"),
         F.sort_array(F.collect_set(plain_id("item_id").cast("string"))).alias("_ids"))
     close = matches.where("win is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_near"))
     found = stored(hits.join(ids, "doc_id", "left").join(close, "doc_id", "full"), "found")
@@ -129,7 +131,8 @@ def assess(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SL
     out = sizes.join(_hinted(found), "doc_id", "left")
     ids = F.coalesce("_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select(plain_id(), "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+    return out.select(plain_id(), "n_words", n_hit.alias("n_hit"),
+                      F.coalesce("_items", F.lit(0)).cast("long").alias("n_items"),
                       F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
                       F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
