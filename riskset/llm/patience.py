@@ -9,6 +9,13 @@ the strict sense, once in either document, and keep their order (a longest
 increasing subsequence) anchor the alignment, which goes on between anchors
 and along equal neighbours. Aligned blocks are deleted from the later document.
 
+``every_holder`` goes on until each line was aligned with all its earlier
+holders or is deleted, so that the result is that of aligning all overlapping
+pairs. Documents with one sequence of repeated lines are a class: the later
+ones align as a whole with its first, and only firsts are compared. Holders of
+a line that is left are numbered and asked for in growing steps, so a pair is
+made only while a line of it is left.
+
 Texts equal as a whole are one text: the later copies lose all their lines.
 Lines that no other document holds cannot align and are left out of the
 alignment's input, which keeps it small; their places still separate blocks.
@@ -16,7 +23,8 @@ alignment's input, which keeps it small; their places still separate blocks.
 Defined cases: null text has no lines; lines without a word are kept and not
 counted; a null doc_id is smaller than all others; rows with the same doc_id
 are not later than each other; lines repeated within one document are deleted
-only where they align; an empty table gives an empty result.
+only where they align; ``n_partners`` counts the first holders a document is
+paired with; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +34,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskset.llm.common import BLANKS, is_small, key_id, later_copies, plain_id, stored
 
 KEY = ["doc_id", "_th"]
 MIN_BLOCK = 1                # lines in a block that is deleted
+STEP, WIDER = 2, 4           # holders of a line that are asked for at first, and growth by round
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -122,7 +131,64 @@ def _hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
-def overlaps(texts: DataFrame) -> DataFrame:
+def _places(found: DataFrame, *more: Column) -> DataFrame:
+    return found.groupBy(*KEY).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), *more)
+
+
+def _numbered(holders: DataFrame) -> DataFrame:
+    """(h, m, cls) -> stored (h, m, cls, r): numbers from 0 in the order of (m, cls) for each h.
+
+    Dealt by ranges of all three, so that a line's holders are spread over tasks.
+    """
+    dealt = stored(holders.repartitionByRange("h", "m", "cls").withColumn("part", F.spark_partition_id()), "dealt")
+    inside = Window.partitionBy("h", "part").orderBy("m", "cls")
+    ahead = Window.partitionBy("h").orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("m", "cls")).alias("least"))
+    parts = stored(parts.select("h", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead")), "parts")
+    r = (F.row_number().over(inside) - 1 + F.col("ahead")).cast("long")
+    return stored(dealt.join(_hinted(parts), ["h", "part"]).select("h", "m", "cls", r.alias("r")), "numbered")
+
+
+def _all_holders(lists: DataFrame, own: DataFrame) -> DataFrame:
+    """Documents with lines left by ``own`` -> (doc_id, _th, places) after all their earlier holders.
+
+    With blocks of one line the places between repeated lines do not matter,
+    so one document of each class answers for all of it.
+    """
+    named = stored(lists.withColumn("cls", F.xxhash64(F.transform("own", lambda x: x["h"]))), "named")
+    classes = stored(named.groupBy("cls").agg(F.min("doc_id").alias("m"), F.first("own").alias("own")), "classes")
+    rest = named.join(own.select(*KEY, "places"), KEY).where(F.size("own") > F.size("places"))
+    rest = stored(rest.join(_hinted(stored(classes.select("cls", "m"), "least")), "cls"), "rest")
+    whole = rest.where("doc_id > m").select(*KEY, F.transform("own", lambda x: x["pos"]).alias("places"))
+    docs = rest.where("doc_id = m").select(*KEY, "cls", "own", "places")
+
+    def lines_left(df: DataFrame) -> DataFrame:
+        return df.select(*KEY, "cls", F.explode(F.array_distinct(F.transform(F.filter(
+            "own", lambda x: ~F.array_contains("places", x["pos"])), lambda x: x["h"]))).alias("h"))
+
+    left = stored(lines_left(docs), "left")
+    asked = _hinted(stored(left.select("h").distinct(), "asked"))
+    holders = classes.select("m", "cls", F.explode(F.array_distinct(F.transform("own", lambda x: x["h"]))).alias("h"))
+    numbered = _numbered(holders.join(asked, "h"))
+    left = stored(left.join(numbered.select("h", "cls", F.col("r").alias("end")), ["h", "cls"]), "left")
+    other = classes.select(F.col("cls").alias("o_cls"), F.col("own").alias("other"))
+    at, step = 0, STEP
+    while not (left := left.where(F.col("end") > at)).isEmpty():
+        upto = F.least(F.col("end"), F.lit(at + step)) - 1
+        next_ = left.withColumn("r", F.explode(F.sequence(F.lit(at).cast("long"), upto)))
+        pairs = next_.join(numbered.select("h", "r", "m", F.col("cls").alias("o_cls")), ["h", "r"]).where(
+            "m < doc_id").select(*KEY, "o_cls").distinct()
+        met = pairs.join(docs.select(*KEY, "own"), KEY).join(other, "o_cls").select(*KEY, "own", "other")
+        found = met.mapInArrow(_aligned, "doc_id long, _th long, places array<int>")
+        more = _places(found).withColumnRenamed("places", "_more")
+        docs = stored(docs.join(more, KEY, "left").withColumn("places", F.array_union(
+            "places", F.coalesce("_more", F.array().cast("array<int>")))).drop("_more"), "docs")
+        at, step = at + step, step * WIDER
+        left = stored(left.where(F.col("end") > at).join(lines_left(docs), [*KEY, "cls", "h"]), "left")
+    return whole.unionByName(docs.select(*KEY, "places"))
+
+
+def overlaps(texts: DataFrame, every_holder: bool = False) -> DataFrame:
     """(doc_id, _th, text) -> stored (doc_id, _th, places, partners); no places: the whole text."""
     later = later_copies(texts)
     once = texts.join(_hinted(later), KEY, "left_anti")
@@ -140,17 +206,23 @@ def overlaps(texts: DataFrame) -> DataFrame:
     other = lists.select(F.col("doc_id").alias("o_doc"), F.col("_th").alias("o_th"), F.col("own").alias("other"))
     met = pairs.join(lists, KEY).join(other, ["o_doc", "o_th"]).select(*KEY, "own", "other")
     found = met.mapInArrow(_aligned, "doc_id long, _th long, places array<int>")
-    own = found.groupBy(*KEY).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"),
-                                  F.count(F.lit(1)).alias("partners"))
+    own = _places(found, F.count(F.lit(1)).alias("partners"))
+    if every_holder:
+        own = stored(own, "own")
+        all_ = stored(_all_holders(lists, own).withColumnRenamed("places", "_all"), "all")
+        own = own.join(all_, KEY, "left").select(*KEY, F.coalesce("_all", "places").alias("places"), "partners")
     whole = later.select(*KEY, F.lit(None).cast("array<int>").alias("places"), F.lit(1).cast("long").alias("partners"))
     return stored(own.unionByName(whole), "overlaps")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_partners, kept: the text without its deleted lines."""
+def dedup(docs: DataFrame, every_holder: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_removed, n_partners, kept: the text without its deleted lines.
+
+    Aligned with the first holders of its lines, or with ``every_holder``.
+    """
     texts = docs.select(key_id(), F.col("text").cast("string"),
                         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"))
-    found = overlaps(texts).withColumn("_hit", F.lit(True))
+    found = overlaps(texts, every_holder).withColumn("_hit", F.lit(True))
     rows = texts.join(_hinted(found), KEY, "left").withColumn("_lines", _lines(F.col("text")))
     # Place of each line among those with a word: what was deleted goes.
     n = F.size(F.filter("_lines", _with_word)).cast("long")

@@ -59,7 +59,7 @@ def op7_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = patience.dedup(load(spark, sf_dir, "documents"))
+    kept = patience.dedup(load(spark, sf_dir, "documents"), every_holder=True)
     return kept.select("doc_id", "n_lines", "n_removed", "n_partners", F.sha2("kept", 256).alias("kept_sha256"))
 
 

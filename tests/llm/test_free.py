@@ -1,6 +1,7 @@
 """Operators that SQL does not express, against plain Python."""
 
 import random
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -171,3 +172,34 @@ def test_line_dedup(spark, tables, empty):
     docs = tables["documents"]
     assert rows_of(patience.dedup(spark.createDataFrame(docs, SCHEMA))) == sorted(brute.line_dedup(docs), key=repr)
     assert patience.dedup(empty).count() == 0
+
+
+def all_pairs(rows):
+    """doc_id, removed lines of (doc_id, text) rows without copies: aligned with all earlier texts that share a line."""
+    lines = [[x for x in (text or "").split("\n") if brute.WORD.search(x)] for _, text in rows]
+    held = Counter(x for own in lines for x in set(own))
+    lines = [[x for x in own if held[x] > 1] for own in lines]
+    out = []
+    for (doc, _), own in zip(rows, lines, strict=True):
+        gone = set()
+        for (other, _), theirs in zip(rows, lines, strict=True):
+            if other < doc and set(own) & set(theirs):
+                gone |= {i for i, _ in brute._patience(own, theirs)}
+        out.append((doc, len(gone)))
+    return sorted(out)
+
+
+def test_line_dedup_every_holder(spark, empty):
+    """Lines that do not align with their first holder are compared with the others."""
+    block = [(i, f"own {i}\nA\nB\nC\nend {i}") for i in range(2, 30)]
+    hot = [(40, "H\nL\nL2\nL\nF"), (41, "p\nL\nq"), (42, "p\nr\nL\nq\nF\nH"), (43, "q\nL\nr\np"), (44, "r\nL2\nF\nL\nx 44\nH")]
+    rng = random.Random(3)
+    mixed = {"\n".join(rng.choice("stuvwyz") for _ in range(rng.randrange(1, 9))) for _ in range(60)}
+    rows = [(1, "C\nB\nA"), *block, *hot, *((100 + i, t) for i, t in enumerate(sorted(mixed)))]
+    rows += [(105, "u\nunlike\ns\nt"), (105, "t\ns\nu\nmore")]
+    got = patience.dedup(clashing(spark, rows), every_holder=True).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == all_pairs(rows)
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert kept[2].count("\n") == 3
+    assert kept[29] == "own 29\nend 29"
+    assert patience.dedup(empty, every_holder=True).count() == 0
