@@ -17,7 +17,9 @@ Defined cases: null role or text is empty; a parent that is missing makes its
 child a root; repeated (tree, msg) rows and cycles are an error of the input:
 of repeated rows the first by (parent, role, text) counts, and messages on or
 below a cycle have no root and belong to no path; ties in score go to the
-longer path, then the smaller leaf; an empty table gives no conversation. One
+longer path, then the smaller leaf; a null tree is a tree of its own; a message
+without an id is a message that nothing answers, each row one of its own; an
+empty table gives no conversation. One
 conversation is one value, so its turns meet in one task; nothing else does.
 """
 
@@ -46,10 +48,17 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     ``top`` paths a tree, or all of them if None.
     """
     first = Window.partitionBy("tree", "msg").orderBy("parent", "role", "text")
-    nodes = stored(messages.select("tree", "msg", "parent", F.coalesce("role", F.lit("")).alias("role"),
+    # Keys in structs, so that null equals null; messages without an id are told apart by their number.
+    of = messages.schema["msg"].dataType
+    nodes = stored(messages.select("tree", "msg", F.col("parent").cast(of).alias("parent"),
+                                   F.coalesce("role", F.lit("")).alias("role"),
                                    F.coalesce("text", F.lit("")).alias("text"),
                                    F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-                   .withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), "nodes")
+                   .withColumn("_n", F.row_number().over(first)).where("_n = 1 or msg is null").select(
+        F.struct("tree").alias("tree"),
+        F.struct(F.col("msg").alias("id"), F.when(F.col("msg").isNull(), F.col("_n")).otherwise(0).alias("n")).alias("msg"),
+        F.when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("id"), F.lit(0).alias("n"))).alias("parent"),
+        "role", "text", "score"), "nodes")
     known = nodes.select("tree", F.col("msg").alias("parent"), F.lit(True).alias("_known"))
     links = nodes.drop("role", "text").join(known, ["tree", "parent"], "left").select(
         "tree", "msg", F.when(F.col("_known"), F.col("parent")).alias("up"), F.col("score").alias("sum"),
@@ -90,7 +99,8 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
         higher = found.join(levels[k], ["tree", "msg"]).select(
             "tree", "leaf", "path_score", F.col("up").alias("msg"), (F.col("pos") - (1 << k)).alias("pos"))
         found = stored(found.unionByName(higher), "path")
-    return found.join(nodes.select("tree", "msg", "role", "text"), ["tree", "msg"]).drop("msg")
+    return found.join(nodes.select("tree", "msg", "role", "text"), ["tree", "msg"]).select(
+        "tree.tree", F.col("leaf.id").alias("leaf"), "path_score", "pos", "role", "text")
 
 
 def render(turns: DataFrame, keys: list[str], learn: str = "assistant") -> DataFrame:

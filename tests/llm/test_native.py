@@ -144,6 +144,26 @@ def test_chat_edges(spark, tmp_path):
     assert rows[0]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_chat_null_keys(spark, tmp_path):
+    """A null conversation is one of its own, as in the SQL; so are messages without an id."""
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (5, 0, "user", "x"), (5, None, "assistant", "y"),
+            (None, 2, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = queries.QUERIES["op10_reply_tree_chats"](spark, str(tmp_path))
+    null = [tuple(r) for r in got.where("conv_id is null").collect()]
+    want = con.execute(queries.ORACLES["op10_reply_tree_chats"]).fetchall()
+    assert null == [r for r in want if r[0] is None] and null[0][1] == 3 and got.count() == len(want) == 3
+    df = spark.createDataFrame([(None, 1, None, "user", "q", 1.0), (None, None, 1, "user", "b", 2.0),
+                                (None, None, 1, "user", "c", 3.0), (2, None, None, "user", "r", 1.0)],
+                               "tree long, msg long, parent int, role string, text string, score double")
+    every = rows_of(reply_trees.paths(df, top=None).select("tree", "leaf", "path_score", "pos", "text"))
+    assert every == sorted([(None, None, 3.0, 1, "q"), (None, None, 3.0, 2, "b"), (None, None, 4.0, 1, "q"),
+                            (None, None, 4.0, 2, "c"), (2, None, 1.0, 1, "r")], key=repr)
+
+
 def test_pipeline_against_plain_python(spark):
     """The stages one after the other; the mix follows its own SQL oracle, which test_oracle checks."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
