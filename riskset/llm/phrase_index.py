@@ -16,14 +16,15 @@ partitions of frequent words.
 
 Defined cases: null text has no words; items without words match nothing; an
 item without an id is counted but has no place among the listed ids;
-equal windows of several items are one window owned by all of them; repeated
-document rows are counted as one document by doc_id and give equal rows;
+equal windows of several items are one window owned by all of them; a
+document is its doc_id and its text, so texts that share an id, or have none,
+are judged each by itself and repeated rows give equal rows;
 empty tables give rows without hits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskset.llm.common import is_small, key_id, lower_az, plain_id, stored, words
@@ -33,10 +34,15 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SLOP = 3
 CELL = 64
+KEY = ["doc_id", "_th"]
+
+
+def _hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th")
 
 
 def _tokens(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key_id(key), words(lower_az(F.col("text")), SEPARATORS).alias("_words"))
+    return df.select(key_id(key), _hash(), words(lower_az(F.col("text")), SEPARATORS).alias("_words"))
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +61,7 @@ def _hinted(df: DataFrame) -> DataFrame:
 
 
 def search(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, start, win, n) matches, stored, and the windows' owners.
+    """(doc_id, _th, start, win, n) matches, stored, and the windows' owners.
 
     ``start`` counts words from 0. Rows with a window are phrases; rows
     without are proximity matches, at the place of the rarest word.
@@ -84,32 +90,32 @@ def search(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SL
     pairs = stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs")
     # The index: places of the rare words, with what stands around each.
     rare = stored(pairs.select("term").union(pairs.select("term2").where("term2 is not null")).distinct(), "rare")
-    seen = toks.select("doc_id", "_words", F.posexplode("_words").alias("pos", "term")).join(_hinted(rare), "term")
+    seen = toks.select(*KEY, "_words", F.posexplode("_words").alias("pos", "term")).join(_hinted(rare), "term")
     low = F.greatest(F.col("pos") - (size - 1), F.lit(0))
-    postings = stored(seen.select("term", "doc_id", "pos", low.alias("low"),
+    postings = stored(seen.select("term", *KEY, "pos", low.alias("low"),
                                   F.slice("_words", low + 1, 2 * size - 1).alias("around")), "postings")
     # First lists: with the windows that stand here word by word.
     inside = F.filter("wins", lambda w: (F.col("pos") - w["off"] >= F.col("low")) & (F.slice(
         "around", F.greatest(F.col("pos") - w["off"] - F.col("low"), F.lit(0)) + 1, w["n"]) == w["terms"]))
     first = postings.join(_hinted(pairs), "term").select(
-        "pair", "doc_id", "pos", F.col("term2").isNull().alias("alone"),
+        "pair", *KEY, "pos", F.col("term2").isNull().alias("alone"),
         F.transform(inside, lambda w: F.struct(w["win"].alias("win"), (F.col("pos") - w["off"]).alias("start"),
                                                w["n"].alias("n"))).alias("found"))
     first = stored(first, "first")
-    second = postings.select("term", "doc_id", "pos").join(
+    second = postings.select("term", *KEY, "pos").join(
         _hinted(pairs.select(F.col("term2").alias("term"), "pair", "delta")), "term").select(
-        "pair", "doc_id", (F.col("pos") - F.col("delta")).alias("pos2"))
+        "pair", *KEY, (F.col("pos") - F.col("delta")).alias("pos2"))
     # Intersect in cells of CELL words; places near an edge are in two.
     cells = F.array_distinct(F.array(*[F.floor((F.col("pos2") + d) / CELL) for d in (-slop, slop)]))
     near = second.withColumn("cell", F.explode(cells))
     met = first.where(~F.col("alone")).withColumn("cell", F.floor(F.col("pos") / CELL)).join(
-        near, ["pair", "doc_id", "cell"]).where(F.abs(F.col("pos") - F.col("pos2")) <= slop)
+        near, ["pair", *KEY, "cell"]).where(F.abs(F.col("pos") - F.col("pos2")) <= slop)
     phrase = (F.size("found") > 0) & (F.col("pos") == F.col("pos2"))
     met = met.withColumn("_phrase", phrase).where("_phrase or size(found) = 0")
-    both = met.select("doc_id", F.explode(F.when(F.col("_phrase"), F.col("found")).otherwise(F.array(F.struct(
+    both = met.select(*KEY, F.explode(F.when(F.col("_phrase"), F.col("found")).otherwise(F.array(F.struct(
         F.lit(None).cast("long").alias("win"), F.col("pos").alias("start"), F.lit(0).alias("n"))))).alias("_m"))
-    alone = first.where("alone").select("doc_id", F.explode("found").alias("_m"))
-    return stored(both.unionByName(alone).select("doc_id", "_m.*").distinct(), "matches"), owners
+    alone = first.where("alone").select(*KEY, F.explode("found").alias("_m"))
+    return stored(both.unionByName(alone).select(*KEY, "_m.*").distinct(), "matches"), owners
 
 
 def assess(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
@@ -117,18 +123,18 @@ def assess(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SL
     matches, owners = search(docs, items, size, slop)
     exact = matches.where("win is not null")
     # Hit words: the union of the windows, summed along each document.
-    ordered = Window.partitionBy("doc_id").orderBy("start", "end")
+    ordered = Window.partitionBy(*KEY).orderBy("start", "end")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    spans = exact.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
-    hits = spans.withColumn("_seen", F.coalesce(F.max("end").over(before), F.lit(0))).groupBy("doc_id").agg(
+    spans = exact.select(*KEY, "start", (F.col("start") + F.col("n")).alias("end")).distinct()
+    hits = spans.withColumn("_seen", F.coalesce(F.max("end").over(before), F.lit(0))).groupBy(*KEY).agg(
         F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "_seen"))).alias("n_hit"))
-    ids = exact.select("doc_id", "win").distinct().join(owners, "win").groupBy("doc_id").agg(
+    ids = exact.select(*KEY, "win").distinct().join(owners, "win").groupBy(*KEY).agg(
         F.size(F.collect_set("item_id")).alias("_items"),
         F.sort_array(F.collect_set(plain_id("item_id").cast("string"))).alias("_ids"))
-    close = matches.where("win is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_near"))
-    found = stored(hits.join(ids, "doc_id", "left").join(close, "doc_id", "full"), "found")
-    sizes = _tokens(docs, "doc_id").select("doc_id", F.size("_words").cast("long").alias("n_words"))
-    out = sizes.join(_hinted(found), "doc_id", "left")
+    close = matches.where("win is null").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_near"))
+    found = stored(hits.join(ids, KEY, "left").join(close, KEY, "full"), "found")
+    sizes = _tokens(docs, "doc_id").select(*KEY, F.size("_words").cast("long").alias("n_words"))
+    out = sizes.join(_hinted(found), KEY, "left")
     ids = F.coalesce("_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(plain_id(), "n_words", n_hit.alias("n_hit"),
@@ -140,6 +146,6 @@ def assess(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SL
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents without an exact match, all columns as they were."""
     matches, _ = search(docs, items, size)
-    hit = stored(matches.where("win is not null").select("doc_id").distinct(), "hit")
-    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), key_id())
-    return packed.join(_hinted(hit), "doc_id", "left_anti").select("_row.*")
+    hit = stored(matches.where("win is not null").select(*KEY).distinct(), "hit")
+    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), key_id(), _hash())
+    return packed.join(_hinted(hit), KEY, "left_anti").select("_row.*")

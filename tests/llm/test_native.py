@@ -95,6 +95,18 @@ def test_phrases_edges(spark):
     assert phrase_index.assess(docs(spark, rows), none).where("contaminated").count() == 0
 
 
+def test_phrases_shared_ids(spark):
+    """Texts without an id, or that share one, are judged each by itself."""
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    rows = [(None, "x alpha beta gamma", "s"), (None, "clean one", "s"), (4, "alpha beta gamma", "s"),
+            (4, "alpha beta gamma alpha beta gamma", "s"), (4, "clean two", "s"), (None, None, "s")]
+    got = rows_of(phrase_index.assess(docs(spark, rows), items).select("doc_id", "n_words", "n_hit", "contaminated"))
+    assert got == sorted([(None, 4, 3, True), (None, 2, 0, False), (4, 3, 3, True), (4, 6, 6, True), (4, 2, 0, False),
+                          (None, 0, 0, False)], key=repr)
+    clean = phrase_index.keep_clean(docs(spark, rows), items).select("doc_id", "text")
+    assert rows_of(clean) == sorted([(None, "clean one"), (4, "clean two"), (None, None)], key=repr)
+
+
 def test_reply_trees(spark):
     """All paths, ranked by score: a tree with three leaves, a lone root, an orphan and a cycle."""
     rows = [(1, 1, None, "user", "q", 1.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 5.0),
