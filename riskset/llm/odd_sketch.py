@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskset.llm import pieces
@@ -46,6 +46,7 @@ from riskset.llm.common import is_small, key_id, plain_id, stored
 from riskset.llm.components import components
 
 SHINGLE = 5
+KEY = ["doc_id", "_th"]
 BANDS, ROWS = 38, 5
 SKETCH_BITS = 512
 MARGIN = 0.16
@@ -138,9 +139,9 @@ def _features(shingle: int):
                     bands.append(seen[digest][0])
                     sketch.append(seen[digest][1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
+                    [part.column("doc_id"), part.column("_th"), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
                      pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "node", "bands", "sketch"])
+                    names=["doc_id", "_th", "n_shingles", "node", "bands", "sketch"])
     return run
 
 
@@ -207,6 +208,10 @@ def _block_links(percent: int, max_odd: int):
     return run
 
 
+def _hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th")
+
+
 def _hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
@@ -220,12 +225,15 @@ def _full_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: i
 
 
 def classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and node: a row per document."""
-    texts = docs.select(key_id(), F.col("text").cast("string"))
-    rows = stored(texts.mapInArrow(_features(shingle), "doc_id long, n_shingles long, node long, "
+    """doc_id, n_shingles, component_id, kept, node, _th (hash of the text) and chosen: a row per document.
+
+    ``kept`` goes by the doc_id; ``chosen`` is one (doc_id, _th) of each component.
+    """
+    texts = docs.select(key_id(), F.col("text").cast("string"), _hash())
+    rows = stored(texts.mapInArrow(_features(shingle), "doc_id long, _th long, n_shingles long, node long, "
                                    "bands array<long>, sketch array<long>"), "features")
     nodes = stored(rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
+        F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "_th")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch")), "nodes")
     max_odd = max_odd_bits(percent / 100 - MARGIN)
     banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("ordinal", "band"))
@@ -268,14 +276,16 @@ def classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataF
     # Labelled nodes stand for their confirmed links.
     known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
     labels = stored(components(known.unionByName(stored(more, "more"))), "labels")
-    member = nodes.select("node", "first").join(_hinted(labels), "node", "left").withColumn(
+    member = nodes.select("node", "one").join(_hinted(labels), "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
-    smallest = member.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = stored(member.join(smallest, "label").select("node", "component_id"), "named")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    smallest = member.groupBy("label").agg(F.min("one").alias("_one"))
+    named = stored(member.join(smallest, "label").select(
+        "node", F.col("_one.doc_id").alias("component_id"), F.col("_one._th").alias("_own")), "named")
+    out = rows.select(*KEY, "n_shingles", "node").join(named, "node", "left")
     component = F.coalesce("component_id", "doc_id")
+    same = (F.col("doc_id") == component) & (F.col("_th") == F.coalesce("_own", "_th"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      (F.col("doc_id") == component).alias("kept"), "node")
+                      (F.col("doc_id") == component).alias("kept"), "node", "_th", same.alias("chosen"))
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
@@ -284,17 +294,16 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each component, its smallest doc_id, all columns as they were.
+    """One document of each component, all columns as they were: the smallest doc_id, of its texts the smallest hash.
 
     Of rows that agree in this doc_id and in the text one is kept.
     """
-    judged = stored(classes(docs, percent).select("doc_id", "kept"), "judged")
-    gone = stored(judged.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    twice = stored(judged.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-                   .select("doc_id", F.lit(True).alias("_twice")), "twice")
-    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), key_id(),
-                         F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_md5"))
-    left = packed.join(_hinted(gone), "doc_id", "left_anti").join(_hinted(twice), "doc_id", "left")
+    judged = stored(classes(docs, percent).select(*KEY, "chosen"), "judged")
+    gone = stored(judged.where(~F.col("chosen")).select(*KEY).distinct(), "gone")
+    twice = stored(judged.where("chosen").groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+                   .select(*KEY, F.lit(True).alias("_twice")), "twice")
+    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), key_id(), _hash())
+    left = packed.join(_hinted(gone), KEY, "left_anti").join(_hinted(twice), KEY, "left")
     once = left.where("_twice is null").select("_row.*")
-    first = left.where("_twice").dropDuplicates(["doc_id", "_md5"]).select("_row.*")
+    first = left.where("_twice").dropDuplicates(KEY).select("_row.*")
     return once.unionByName(first)

@@ -105,6 +105,17 @@ def test_near_keep_one_repeated_rows(spark):
         rows_of(odd_sketch.keep_one(df)) == [(1, "a b"), (None, "")]
 
 
+def test_near_keep_one_shared_ids(spark):
+    """One document of a component is kept, also where ids are shared or missing."""
+    long = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"v{i}" for i in range(100))
+    rows = [(3, long), (7, long + " more"), (7, "a text of its own entirely"), (None, other), (None, other + " x"),
+            (None, other + "  X"), (9, "A b"), (9, "a  b")]
+    got = odd_sketch.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 4 and {(3, long), (7, "a text of its own entirely")} <= {tuple(r) for r in got}
+    assert sorted(str(r["doc_id"]) for r in got) == ["3", "7", "9", "None"]
+
+
 def test_near_fixture(spark, tables):
     got = rows_of(queries.QUERIES["op4_odd_sketch_near_dedup"](spark, "/root/testdata/sf0.001"))
     assert got == sorted(brute.near_classes(tables["documents"]), key=repr)
