@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from riskset.llm import ctw, doubling, host_rules, huffman, odd_sketch, patience, phrase_index, reply_trees, systematic, token_counts
+from riskset.llm import ctw, doubling, hash_forest, host_rules, huffman, odd_sketch, patience, phrase_index, reply_trees, systematic, token_counts
 from riskset.llm.common import load
 from riskset.llm.oracles import ORACLES
 
@@ -82,3 +82,9 @@ def op10_reply_tree_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query
+def op11_hash_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return hash_forest.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
