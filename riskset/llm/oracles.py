@@ -99,3 +99,24 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+ORACLES["op12_bit_sliced_ranking"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+g AS (SELECT count(*) FILTER (len(ws) > 0)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d),
+q AS (SELECT iid, item_id, term, count(*)::BIGINT AS qn FROM (SELECT iid, item_id, unnest(ws) AS term FROM i)
+      GROUP BY iid, item_id, term),
+t AS (SELECT rid, doc_id, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, unnest(ws) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY rid, doc_id, term),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM t, g GROUP BY term),
+m AS (SELECT rid, 100 - 75 + ((75 * len(ws)::BIGINT * n_docs) // n_terms) AS m FROM d, g WHERE len(ws) > 0),
+s AS (SELECT iid, item_id, rid, doc_id, sum(qn * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM t JOIN q USING (term) JOIN f USING (term) JOIN m USING (rid) GROUP BY iid, item_id, rid, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
+"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from riskset.llm import ctw, doubling, hash_forest, host_rules, huffman, odd_sketch, patience, phrase_index, reply_trees, systematic, token_counts
+from riskset.llm import bit_slices, ctw, doubling, hash_forest, host_rules, huffman, odd_sketch, patience, phrase_index, reply_trees, systematic, token_counts
 from riskset.llm.common import load
 from riskset.llm.oracles import ORACLES
 
@@ -88,3 +88,8 @@ def op10_reply_tree_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_hash_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
     return hash_forest.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op12_bit_sliced_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_slices.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

@@ -1,11 +1,16 @@
 """Nearest neighbours, ranked search and collocations against plain Python."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from riskset.llm import hash_forest
+from brute_llm import AZ
+from riskset.llm import bit_slices, hash_forest
 
 VECTORS = "vec_id long, embedding array<float>, rank int, tree string, h long"
 
@@ -89,3 +94,75 @@ def test_forest_prefixes(seed):
         assert hash_forest.shared_bits(np.array([a]), np.array([c]))[0] in (same, same - 1)
         lo, hi = hash_forest.node(np.array([a]), same)
         assert lo[0] <= c <= hi[0]
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k=10):
+    """(item_id, rank, doc_id, score) by scoring every document for every item."""
+    held = [(doc, Counter(TERM.findall((text or "").translate(AZ)))) for doc, text in docs]
+    lengths = [sum(c.values()) for _, c in held]
+    n_docs, total = sum(n > 0 for n in lengths), sum(lengths)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for (doc, c), n in zip(held, lengths, strict=True):
+            if n:
+                m = 100 - 75 + (75 * n * n_docs) // total
+                s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (
+                    (1000000000 * c[t]) // (1000 * c[t] + 8 * m)) for t in TERM.findall((text or "").translate(AZ)) if c[t])
+                if s > 0:
+                    scored.append((-s, doc is None, doc))
+        out += [(item, r + 1, doc, -s) for r, (s, _, doc) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
+    return sorted(out, key=repr)
+
+
+DOCS, ITEMS = "doc_id long, text string, a string, term long, score int, rank int", "item_id long, text string, n int, item string"
+
+
+def rank(spark, docs, items, **more):
+    got = bit_slices.search(spark.createDataFrame([(*r, "x", 1, 2, 3) for r in docs], DOCS),
+                            spark.createDataFrame([(*r, 1, "y") for r in items], ITEMS), **more)
+    return sorted((tuple(r) for r in got.collect()), key=repr)
+
+
+@pytest.mark.parametrize("batch", [50_000, 40])
+def test_ranked_search(spark, monkeypatch, batch):
+    """Skewed terms, copies, ties, long texts and items in one batch and in many."""
+    monkeypatch.setattr(bit_slices, "BATCH_TERMS", batch)
+    monkeypatch.setattr(bit_slices, "CELLS", 1 << 13)
+    rng = random.Random(11)
+    known = [f"w{int(rng.paretovariate(.7))}é{i % 7}" for i in range(3000)]
+    docs = [(i, " ".join(rng.choices(known, k=rng.choice([0, 1, 5, 40, 300])))) for i in range(400)]
+    hot = " ".join(known[:20])
+    docs += [(1000 - i, hot) for i in range(150)] + [(2000 + i, f"{hot} own{i}") for i in range(60)]
+    docs += [(3, docs[3][1]), (3, "another text of W1é1 w1É1"), (None, hot), (None, None), (5, ""), (6, " ,.\x7f"),
+             (7, (" ".join(known) + " ") * 40), (8, "ab1-2C.d_e\x1cf é"), (9, "　x y")]
+    items = [(i, " ".join(rng.choices(known, k=rng.choice([1, 3, 12, 30])))) for i in range(25)]
+    items += [(30, hot), (30, "w1É1, AB1 2c!"), (31, None), (32, ""), (33, "nowhere"), (None, f"{hot} {hot}"), (34, "x y é f")]
+    assert rank(spark, docs, items) == ranked(docs, items)
+
+
+def test_ranked_search_edges(spark):
+    assert rank(spark, [], [(1, "a")]) == []
+    assert rank(spark, [(1, "a")], []) == []
+    assert rank(spark, [(1, None), (2, "--")], [(1, "a")]) == []
+    assert rank(spark, [(2, "A b"), (1, "a"), (1, "a")], [(1, "a a")]) == ranked([(2, "A b"), (1, "a"), (1, "a")], [(1, "a a")])
+
+
+def test_bounds_hold():
+    """No bound is below the exact score, whatever the counts."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcdefghij", k=rng.choice([1, 4, 20, 200]))) for _ in range(60)]
+    block = [b for b in bit_slices._signatures([])(iter([pa.RecordBatch.from_pydict(
+        {"text": texts, "a": list(range(60)), "b": [0] * 60})])) if b.column("bits").null_count == 0]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    want = {(r[0], r[2]): r[3] for r in ranked(docs, [(0, "a b c a"), (1, "j")], k=99)}
+    df = Counter(t for x in texts for t in set(x.split()))
+    terms = [[{"term": t, "n": n, "df": df[t]} for t, n in own] for own in ((("a", 2), ("b", 1), ("c", 1)), (("j", 1),))]
+    queries = bit_slices.Queries([{"item": i, "terms": own} for i, own in enumerate(terms)], 60, sum(len(x.split()) for x in texts))
+    bounds = {(q, a): float(x) for b in block for row in b.to_pylist() for q, own in queries.bounds(row)
+              for a, x in zip(row["a"], own, strict=True)}
+    assert all(bounds[key] >= score for key, score in want.items())
