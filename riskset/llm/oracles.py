@@ -120,3 +120,30 @@ s AS (SELECT iid, item_id, rid, doc_id, sum(qn * w * ((1000000000 * tf) // (1000
 r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+ORACLES["op13_gram_automata_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1),
+                                       lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT lang, k, phrase, a, j, array_to_string(s[1:j], ' ') AS head, array_to_string(s[j + 1:k], ' ') AS tail
+        FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+sc AS (SELECT cut.lang, cut.k, cut.phrase, a, h.f AS l, t.f AS r, j,
+              ((1000000::HUGEINT * a * a) // (h.f::HUGEINT * t.f))::BIGINT AS score
+       FROM cut JOIN f h ON h.lang = cut.lang AND h.phrase = head AND h.k = j
+                JOIN f t ON t.lang = cut.lang AND t.phrase = tail AND t.k = cut.k - j),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, part, max(a) AS longer FROM (
+             SELECT lang, a, unnest([s[1] || ' ' || s[2], s[2] || ' ' || s[3]]) AS part FROM c WHERE k = 3) GROUP BY lang, part),
+kept AS (SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND part = phrase AND k = 2
+         WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from riskset.llm import bit_slices, ctw, doubling, hash_forest, host_rules, huffman, odd_sketch, patience, phrase_index, reply_trees, systematic, token_counts
+from riskset.llm import (bit_slices, ctw, doubling, gram_automata, hash_forest, host_rules, huffman, odd_sketch, patience,
+                         phrase_index, reply_trees, systematic, token_counts)
 from riskset.llm.common import load
 from riskset.llm.oracles import ORACLES
 
@@ -93,3 +94,8 @@ def op11_hash_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_bit_sliced_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_slices.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_gram_automata_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gram_automata.mine(load(spark, sf_dir, "documents"))

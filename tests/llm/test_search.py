@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from brute_llm import AZ
-from riskset.llm import bit_slices, hash_forest
+from riskset.llm import bit_slices, gram_automata, hash_forest
 
 VECTORS = "vec_id long, embedding array<float>, rank int, tree string, h long"
 
@@ -166,3 +166,86 @@ def test_bounds_hold():
     bounds = {(q, a): float(x) for b in block for row in b.to_pylist() for q, own in queries.bounds(row)
               for a, x in zip(row["a"], own, strict=True)}
     assert all(bounds[key] >= score for key, score in want.items())
+
+
+def collocations(rows, min_count=10, share=50, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) by counting every sequence."""
+    f = {}
+    for lang, text in rows:
+        own = f.setdefault("und" if lang is None else lang, Counter())
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(AZ)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for k in (1, 2, 3):
+                own.update(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, own in f.items():
+        n = sum(c for g, c in own.items() if len(g) == 1)
+        longer = Counter()
+        for g, c in own.items():
+            if len(g) == 3 and c >= min_count:
+                for part in (g[:2], g[1:]):
+                    longer[part] = max(longer[part], c)
+        found = []
+        for g, a in own.items():
+            if len(g) > 1 and a >= min_count and not (len(g) == 2 and longer[g] and 100 * longer[g] >= share * a):
+                score, _, l, r = min((10 ** 6 * a * a // (own[g[:k]] * own[g[k:]]), k, own[g[:k]], own[g[k:]])
+                                     for k in range(1, len(g)))
+                found.append((-score, -a, " ".join(g).encode(), l, r))
+        out += [(lang, i + 1, p.decode(), -a, l, r, n, -s) for i, (s, a, p, l, r) in enumerate(sorted(found)[:top])]
+    return sorted(out)
+
+
+def mined(spark, rows, **more):
+    df = spark.createDataFrame([(1, t, g, "x", 5, 6) for g, t in rows],
+                               "doc_id long, text string, lang string, phrase string, n int, range int").repartition(5)
+    return sorted(tuple(r) for r in gram_automata.mine(df, **more).collect())
+
+
+def test_collocations(spark, monkeypatch):
+    monkeypatch.setattr(gram_automata, "RANGE_BYTES", 2000)
+    rng = random.Random(9)
+    known = ["the", "The", "of", "é", "naïve", "x\x01y", "\x00", "a-b", "zz"] + [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        text = ""
+        for _ in range(rng.choice([0, 1, 4, 60])):
+            text += rng.choice(known[:rng.choice([3, 10, 49])]) + rng.choice([" ", " ", " ", "\t ", ", ", ".", "\n", "\r\n", " ; "])
+        rows.append((rng.choice(["en", "en", "en", "de", None, "und", ""]), text))
+    rows += [("en", "new york city " * 2000), ("fr", None), ("fr", ""), ("fr", " . "), ("de", "q " * 500)] + [("es", "uno dos")] * 30
+    assert mined(spark, rows) == collocations([(g, t) for g, t in rows])
+    assert mined(spark, rows, min_count=3, top=7, share=80) == collocations(rows, 3, 80, 7)
+    assert mined(spark, []) == []
+    assert mined(spark, [("en", None)]) == []
+
+
+def test_automaton_paths_and_states():
+    """Paths come back as they were, equal states are one, and walks give the weights."""
+    rng = random.Random(1)
+    for size, many in ((3, 30), (6, 200), (2, 9), (40, 3000)):
+        held = {}
+        for _ in range(many):
+            path = tuple(rng.randrange(size) for _ in range(rng.choice([2, 3, 4])))
+            held[path] = rng.choice([1, 1, 1, 2, 50])
+        paths = sorted(held)
+        symbols = [np.array([p[d] if d < len(p) else -1 for p in paths], np.int64) for d in range(4)]
+        row = gram_automata.build(pa.array([f"s{i:03}" for i in range(size)]), symbols, np.array([held[p] for p in paths]))
+        automaton = gram_automata.Automaton(dict(zip(gram_automata.FIELDS, [pa.array(x) for x in row], strict=True)))
+        back = {tuple(int(s[i]) for s in path): int(weight[i]) for path, weight in automaton.paths() for i in range(len(weight))}
+        assert back == held
+
+        def state(prefix, held=held):
+            return frozenset((p[len(prefix):], n) for p, n in held.items() if p[:len(prefix)] == prefix and len(p) > len(prefix))
+
+        different = {(len(p[:d]), state(p[:d])) for p in held for d in range(len(p)) if state(p[:d])}
+        assert len(row[1]) - 1 == len(different)
+        for k in (2, 3, 4):
+            asked = [tuple(rng.randrange(-1, size) for _ in range(k)) for _ in range(300)] + [p for p in paths if len(p) == k]
+            got = automaton.walk([np.array([p[d] for p in asked]) for d in range(k)])
+            assert got.tolist() == [held.get(p, 0) for p in asked]
+
+
+def test_weakest_cut_is_exact():
+    big = np.array([3_000_000_000_000, 7])
+    l, r, score = gram_automata.weakest_cut(big, [(big + 1, big), (big + 2, big)])
+    assert score.tolist() == [10 ** 6 * int(a) ** 2 // ((int(a) + 2) * int(a)) for a in big]
+    assert l.tolist()[1] == 9 and r.tolist() == big.tolist()
