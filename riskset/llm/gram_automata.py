@@ -49,7 +49,7 @@ TOP = 2000
 UNIT = 1_000_000            # of scores
 RANGE_BYTES = 8 << 20       # bytes of text for each prefix range
 MAX_RANGES = 1 << 16
-SHARD_WORDS = 1 << 22       # words held before their automata are written
+SHARD_WORDS = 1 << 20       # words held before their automata are written
 BUCKETS = 64                # of ranges, ranked before their languages are
 
 WORD, BLANK, BREAK = 0, 1, 2
@@ -297,6 +297,7 @@ class _Shard:
         pair_at = np.full(len(one), -1)
         pair_at[two] = rank[len(single):][at]
         triple, triple_n = np.unique(pair_at[three] * (size + 1) + w[three + 2] + 1, return_counts=True)
+        del lang, w, piece, one, two, three, at, pair_at, pair, coded
         keys = np.concatenate([np.arange(len(prefix)) * (size + 1), triple])
         weights = np.concatenate([np.concatenate([single_n, pair_n])[turn], triple_n])
         turn = np.argsort(keys, kind="stable")
@@ -305,13 +306,14 @@ class _Shard:
         head, second = own // (size + 1), own % (size + 1) - 1
         hashes = word_hashes(symbols.to_pylist())
         number = ranges_of(hashes[head // size], hashes[head % size], np.where(second >= 0, hashes[second], 0), self.ranges)
-        row = keys // (size + 1)
-        by_range = np.argsort(number[row].astype(np.uint16 if self.ranges <= 1 << 16 else np.int64), kind="stable")
-        cuts = np.searchsorted(number[row][by_range], np.arange(self.ranges + 1))
-        path = [(head // size)[row], (head % size)[row], second[row], keys % (size + 1) - 1]
+        by_range = np.argsort(number[keys // (size + 1)].astype(np.uint16), kind="stable")
+        keys, weights = keys[by_range], weights[by_range]
+        cuts = np.searchsorted(number[keys // (size + 1)], np.arange(self.ranges + 1))
         for r in np.flatnonzero(np.diff(cuts)):
-            some = by_range[cuts[r]:cuts[r + 1]]
-            yield _automaton_row(int(r), compact(symbols, [p[some] for p in path], weights[some]))
+            key = keys[cuts[r]:cuts[r + 1]]
+            row = key // (size + 1)
+            path = [head[row] // size, head[row] % size, second[row], key % (size + 1) - 1]
+            yield _automaton_row(int(r), compact(symbols, path, weights[cuts[r]:cuts[r + 1]]))
 
 
 def compact(symbols: pa.Array, path: list[np.ndarray], weight: np.ndarray) -> list:
