@@ -96,11 +96,51 @@ def ranges_of(lang: np.ndarray, first: np.ndarray, second: np.ndarray, ranges: i
     return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-# An automaton as a row: states' first arcs; an arc's word, weight (0: no sequence
-# ends there) and next state (leaf arcs, the last ones, have none).
-AUTOMATON = "words array<string>, start array<int>, label array<int>, weight array<long>, next array<int>"
+# An automaton: sorted words; states' first arcs; an arc's word, weight (0: no
+# sequence ends there) and next state (leaf arcs, the last ones, have none).
 FIELDS = ["words", "start", "label", "weight", "next"]
-TYPES = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+CODEC = pa.Codec("zstd", compression_level=3)
+
+
+def _narrow(values: np.ndarray) -> tuple[int, bytes]:
+    """Bytes a value, and the values in as few bytes as the largest needs."""
+    most = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1))
+    return width, values.astype(f"<u{width}").tobytes()
+
+
+def pack(automaton: list) -> bytes:
+    """One compressed string: numbers in narrow types, next states as steps from the highest so far."""
+    words, start, label, weight, follow = automaton
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    text = words.buffers()[2].to_pybytes()[offsets[0]:offsets[-1]] if len(words) and words.buffers()[2] else b""
+    highest = np.maximum.accumulate(np.concatenate([[0], follow]))[:-1]
+    parts = [_narrow(x) for x in (np.diff(offsets), np.diff(start), label, weight, np.where(follow < 0, 0, highest + 2 - follow))]
+    sizes = [len(words), max(0, len(start) - 1), len(label), len(weight), len(follow)]
+    head = np.array([*sizes, *(w for w, _ in parts), len(text)], "<i8").tobytes()
+    plain = head + b"".join(x for _, x in parts) + text
+    return len(plain).to_bytes(8, "little") + CODEC.compress(plain, asbytes=True)
+
+
+def unpack(packed: bytes) -> dict:
+    plain = CODEC.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+    head = np.frombuffer(plain, "<i8", 11)
+    at, parts = head.nbytes, []
+    for size, width in zip(head[:5].tolist(), head[5:10].tolist(), strict=True):
+        parts.append(np.frombuffer(plain, f"<u{width}", size, at).astype(np.int64))
+        at += size * width
+    lengths, counts, label, weight, steps = parts
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(plain[at:])])
+    return {"words": words, "start": np.concatenate([[0], np.cumsum(counts)]), "label": label, "weight": weight,
+            "next": _follows(steps)}
+
+
+def _follows(steps: np.ndarray) -> np.ndarray:
+    """Next states from steps: 0 none, 1 the first new state, s > 1 the one s - 2 below the highest so far."""
+    # A new state is always the highest so far and one.
+    fresh = np.cumsum(steps == 1)
+    return np.where(steps == 0, -1, fresh + 2 - steps - (steps == 1))
 
 
 def _same_states(parent: np.ndarray, states: int, arcs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,9 +221,7 @@ class Automaton:
     """A stored automaton: list its paths, or walk many requests at once."""
 
     def __init__(self, row: dict):
-        self.words = row["words"]
-        self.start, self.label, self.weight = (row[c].to_numpy(zero_copy_only=False) for c in ("start", "label", "weight"))
-        follow = row["next"].to_numpy(zero_copy_only=False)
+        self.words, self.start, self.label, self.weight, follow = (row[c] for c in FIELDS)
         self.next = np.concatenate([follow, np.full(len(self.label) - len(follow), -1, follow.dtype)]).astype(np.int64)
         self.arcs = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start)) * len(self.words) + self.label
 
@@ -214,22 +252,9 @@ class Automaton:
         return weight
 
 
-def _rows_of(table: pa.Table | pa.RecordBatch) -> Iterator[dict]:
-    for batch in table.to_batches() if isinstance(table, pa.Table) else [table]:
-        for i in range(batch.num_rows):
-            yield {c: batch.column(c)[i].values if c in FIELDS else batch.column(c)[i].as_py() for c in batch.schema.names}
-
-
-def _one_row(values: dict[str, tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v.tolist() if isinstance(v, np.ndarray) else v], t) if not isinstance(v, pa.Array)
-                                       else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-                                       for v, t in values.values()], names=list(values))
-
-
-def _automaton_row(number: int, automaton: list, **more: tuple) -> pa.RecordBatch:
-    arrays = {c: (a if isinstance(a, pa.Array) else pa.array(a, t.value_type), t)
-              for c, a, t in zip(FIELDS, automaton, TYPES, strict=True)}
-    return _one_row({"range": (number, pa.int32()), **arrays, **more})
+def _rows_of(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, Automaton]]:
+    for number, packed in zip(table["range"].to_pylist(), table["automaton"].to_pylist(), strict=True):
+        yield number, Automaton(unpack(packed))
 
 
 def summed(lang: np.ndarray, w: list[np.ndarray], weight: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -313,7 +338,8 @@ class _Shard:
             key = keys[cuts[r]:cuts[r + 1]]
             row = key // (size + 1)
             path = [head[row] // size, head[row] % size, second[row], key % (size + 1) - 1]
-            yield _automaton_row(int(r), compact(symbols, path, weights[cuts[r]:cuts[r + 1]]))
+            packed = pack(compact(symbols, path, weights[cuts[r]:cuts[r + 1]]))
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([packed])], names=["range", "automaton"])
 
 
 def compact(symbols: pa.Array, path: list[np.ndarray], weight: np.ndarray) -> list:
@@ -338,17 +364,16 @@ def _shards(ranges: int):
     return run
 
 
-MERGED = f"range int, {AUTOMATON}, langs array<string>, totals array<long>"
+MERGED = "range int, automaton binary, langs array<string>, totals array<long>"
 
 
 def _united(min_count: int):
     """The union of a range's automata, without rare sequences, and each language's words in the range."""
-    schema = pa.schema([("range", pa.int32()), *zip(FIELDS, TYPES, strict=True), ("langs", pa.list_(pa.string())),
+    schema = pa.schema([("range", pa.int32()), ("automaton", pa.binary()), ("langs", pa.list_(pa.string())),
                         ("totals", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
-        number = table["range"][0].as_py()
-        automata = [Automaton(row) for row in _rows_of(table)]
+        automata = [a for _, a in _rows_of(table)]
         symbols = pa.concat_arrays([a.words for a in automata]).unique()
         symbols = symbols.take(pc.sort_indices(symbols))
         lists: list[list[np.ndarray]] = [[] for _ in range(5)]
@@ -367,10 +392,9 @@ def _united(min_count: int):
         langs = np.flatnonzero(words)
         some = total >= min_count
         automaton = compact(symbols, [p[some] for p in path], total[some]) if some.any() else [
-            pa.array([], pa.string()), *(np.zeros(0, np.int64) for _ in range(4))]
-        row = _automaton_row(number, automaton, langs=(symbols.take(pa.array(langs)), pa.list_(pa.string())),
-                             totals=(pa.array(words[langs]), pa.list_(pa.int64())))
-        return pa.Table.from_batches([row]).cast(schema)
+            pa.array([], pa.string()), np.zeros(1, np.int64), *(np.zeros(0, np.int64) for _ in range(3))]
+        return pa.table([table["range"][:1], pa.array([pack(automaton)]), pa.array([symbols.take(pa.array(langs)).to_pylist()]),
+                         pa.array([words[langs].tolist()])], schema=schema)
 
     return run
 
@@ -391,8 +415,7 @@ def _requests(ranges: int):
     """Each part that a range's candidates have, once, addressed to the part's range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _rows_of(batch):
-                a = Automaton(row)
+            for number, a in _rows_of(batch):
                 (two, _), (three, n) = _candidates(a)
                 size = len(a.words)
                 if not len(two[0]) and not len(n):
@@ -410,7 +433,7 @@ def _requests(ranges: int):
                 hashes = word_hashes(a.words.to_pylist())
                 target = ranges_of(hashes[lang], hashes[first], np.where(second >= 0, hashes[second], 0), ranges)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(target.astype(np.int32)), pa.array(np.full(len(lang), row["range"], np.int32)),
+                    [pa.array(target.astype(np.int32)), pa.array(np.full(len(lang), number, np.int32)),
                      a.words.take(pa.array(lang)), a.words.take(pa.array(first)),
                      a.words.take(pa.array(second, mask=second < 0)),
                      pa.array(np.concatenate([np.zeros(len(alone), np.int64), longer]))], schema=REQUEST)
@@ -427,8 +450,7 @@ def _answers(merged: pa.Table, requests: pa.Table) -> pa.Table:
     schema = pa.schema([("range", pa.int32()), *list(REQUEST)[2:5], ("n", pa.int64()), ("longer", pa.int64())])
     if not merged.num_rows or not requests.num_rows:
         return schema.empty_table()
-    row = next(_rows_of(merged))
-    a = Automaton(row)
+    number, a = next(_rows_of(merged))
     lang, first, second = _symbols(a, requests, ["lang", "first", "second"])
     single = pc.is_null(requests["second"]).to_numpy()
     n = np.where(single, a.walk([lang, first]), a.walk([lang, first, second]))
@@ -439,7 +461,7 @@ def _answers(merged: pa.Table, requests: pa.Table) -> pa.Table:
     np.maximum.at(most, at, longer[~single])
     counts = pa.table([requests["source"], requests["lang"], requests["first"], requests["second"], pa.array(n),
                        pa.nulls(len(n), pa.int64())], schema=schema)
-    told = pa.table([pa.array(np.full(len(pair), row["range"], np.int32)), a.words.take(pa.array(pair // size // size)),
+    told = pa.table([pa.array(np.full(len(pair), number, np.int32)), a.words.take(pa.array(pair // size // size)),
                      a.words.take(pa.array(pair // size % size)), a.words.take(pa.array(pair % size)),
                      pa.nulls(len(pair), pa.int64()), pa.array(most)], schema=schema)
     return pa.concat_tables([counts, told])
@@ -472,8 +494,7 @@ def _scored(top: int, share: int):
     def run(merged: pa.Table, answers: pa.Table) -> pa.Table:
         if not merged.num_rows or not answers.num_rows:
             return schema.empty_table()
-        row = next(_rows_of(merged))
-        a = Automaton(row)
+        number, a = next(_rows_of(merged))
         size = len(a.words)
         lang, first, second = _symbols(a, answers, ["lang", "first", "second"])
         key = (lang * size + first) * (size + 1) + second + 1
@@ -506,7 +527,7 @@ def _scored(top: int, share: int):
             best.append(at if len(at) <= top else np.array(sorted(
                 at.tolist(), key=lambda i: (-score[i], -f[i], phrase[i].as_py().encode()))[:top], np.int64))
         at = np.concatenate(best)
-        return pa.table([pa.array(np.full(len(at), row["range"], np.int32)), a.words.take(pa.array(lang[at])),
+        return pa.table([pa.array(np.full(len(at), number, np.int32)), a.words.take(pa.array(lang[at])),
                          phrase.take(pa.array(at)), *(pa.array(x[at]) for x in (f, l, r, score))], schema=schema)
 
     return run
@@ -518,7 +539,7 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, share: int = SHARE, top: i
                         F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(min(MAX_RANGES, max(1, size // RANGE_BYTES)))
-    shards = texts.mapInArrow(_shards(ranges), f"range int, {AUTOMATON}")
+    shards = texts.mapInArrow(_shards(ranges), "range int, automaton binary")
     merged = stored(shards.groupBy("range").applyInArrow(_united(min_count), MERGED), "automata")
     requests = merged.mapInArrow(_requests(ranges), REQUESTS)
     automata = merged.drop("langs", "totals")

@@ -229,7 +229,7 @@ def test_automaton_paths_and_states():
         paths = sorted(held)
         symbols = [np.array([p[d] if d < len(p) else -1 for p in paths], np.int64) for d in range(4)]
         row = gram_automata.build(pa.array([f"s{i:03}" for i in range(size)]), symbols, np.array([held[p] for p in paths]))
-        automaton = gram_automata.Automaton(dict(zip(gram_automata.FIELDS, [pa.array(x) for x in row], strict=True)))
+        automaton = gram_automata.Automaton(gram_automata.unpack(gram_automata.pack(row)))
         back = {tuple(int(s[i]) for s in path): int(weight[i]) for path, weight in automaton.paths() for i in range(len(weight))}
         assert back == held
 
