@@ -374,11 +374,15 @@ def _united(min_count: int):
 
     def run(table: pa.Table) -> pa.Table:
         automata = [a for _, a in _rows_of(table)]
-        symbols = pa.concat_arrays([a.words for a in automata]).unique()
-        symbols = symbols.take(pc.sort_indices(symbols))
+        coded = pa.concat_arrays([a.words for a in automata]).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        symbols = coded.dictionary.take(pa.array(order))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        places, at = rank[coded.indices.to_numpy()], 0
         lists: list[list[np.ndarray]] = [[] for _ in range(5)]
         for a in automata:
-            place = pc.index_in(a.words, symbols).to_numpy(zero_copy_only=False).astype(np.int64)
+            place, at = places[at:at + len(a.words)], at + len(a.words)
             for path, weight in a.paths():
                 if len(path) > 1:
                     none = np.full(len(weight), -1)
