@@ -1,8 +1,8 @@
 """Landmark classification (M1-M12, S5): split, weights, models, metrics, scoring.
 
 Splits and metrics are exact and distributed: the stratified split finds the
-cut of each class in the order of a seeded md5 and compares every row with it
-(no join, no class-wide sort), AUC and ROC come from one group-by-score and
+cut of each class in the order of a seeded md5 by refining histograms and compares
+every row with it (no shuffle of the input, no class-wide sort), AUC and ROC come from one group-by-score and
 one running sum. Models are MLlib pipelines (trees are trained by MLlib's
 distributed learners), persisted with the feature order in the assembler.
 """
@@ -18,6 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskset.operators.prefix import attach_one_row, keys_bounded, running_sums
 
@@ -27,13 +28,16 @@ BANDS = ((0, 40, "unfavorable"), (40, 60, "intermediate"), (60, 101, "favorable"
 
 
 HASH_RANGE = 1 << 60
-BAND_WIDTH = 8.0     # half width of the band around a cut, in sqrt(n) rows
+BANDS_OF_HASH = 256  # into which a class's wanted range of hashes is cut
+CUT_ROWS = 50_000    # rows of a class around its cut that are ordered at last
+CLASS_LIMIT = 4096   # classes whose cuts the driver holds
 
 
 def _hash_key(id_col: str, seed: int) -> tuple[Column, Column]:
-    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
-    h60 = F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
-    return h, h60
+    """md5 of the id and the seed, and its first 60 bits. A missing id is hashed as a text that no id has."""
+    text = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00no id"))
+    h = F.md5(F.concat(text, F.lit(f"-{seed}")))
+    return h, F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: float = 0.2,
@@ -41,43 +45,67 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
     """M1: exact stratified allocation: in each class the round(f * n_y) rows
     with the smallest (md5(id || '-' || seed), id) form the test set.
 
-    The input is read for the class counts, then for the rows around each
-    class's cut, then compared row by row with the exact cut: no join, no
-    shuffle and no copy of its columns. Hashes are uniform, so the cut of rank
-    k lies within a few standard deviations of k / n; only rows in that band
-    (a share of 1 / sqrt(n)) are ordered, and the rows below it are counted.
+    The hash of the cut of each class is found by refining histograms: one
+    pass counts a class's rows in ``BANDS_OF_HASH`` bands of its range of
+    hashes, and the band that holds the wanted rank is the next range, until
+    it holds few rows or a single hash. Then every row is compared with the
+    cut: no join, no shuffle and no copy of the input's columns; passes grow
+    with the logarithm of a class.
+
+    Defined cases: rows without a label are a class of their own; rows without
+    an id share one hash; where rows share the id (or have none) at a cut, all
+    of them go to the test set, as nothing tells them apart. Raises for more
+    than ``CLASS_LIMIT`` classes: such a label is no class.
     """
     h, h60 = _hash_key(id_col, seed)
-    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}   # one row per class
-    rank = {y: math.floor(test_fraction * n + 0.5) for y, n in counts.items()}
-    cuts: dict = {}
-    todo, width = {y: k for y, k in rank.items() if k}, BAND_WIDTH
-    while todo:
-        bands = {}
-        for y, k in todo.items():
-            n = counts[y]
-            reach = width * math.sqrt(n) + width
-            bands[y] = (max(0, math.floor((k - reach) / n * HASH_RANGE)), min(HASH_RANGE, math.ceil((k + reach) / n * HASH_RANGE)))
-        inside, below = F.lit(False), []
-        for y, (lo, hi) in bands.items():
-            own = F.col(label).eqNullSafe(F.lit(y))
-            inside = inside | (own & (h60 >= lo) & (h60 <= hi))
-            below.append(F.sum(F.when(own & (h60 < lo), 1).otherwise(0)))
-        n_below = df.agg(*below).first()
-        ranked = Window.partitionBy("_y").orderBy("_h", "_id")
-        wanted = F.lit(None).cast("long")
-        for (y, k), under in zip(todo.items(), n_below):
-            wanted = F.when(F.col("_y").eqNullSafe(F.lit(y)), F.lit(k - under)).otherwise(wanted)
-        found = (df.where(inside).select(F.col(label).alias("_y"), h.alias("_h"), F.col(id_col).alias("_id"))
-                 .withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") == wanted).collect())
-        for r in found:
-            cuts[r["_y"]] = (r["_h"], r["_id"])
-        todo = {y: k for y, k in todo.items() if y not in cuts}
-        width *= 8                                     # a cut outside its band: a wider one
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(CLASS_LIMIT + 1).collect()
+    if len(rows) > CLASS_LIMIT:
+        raise ValueError(f"{label} has more than {CLASS_LIMIT} classes")
+    base = df.select(F.col(label).alias("_y"), h.alias("_h"), h60.alias("_p"), F.col(id_col).alias("_id"))
+    # Per class: the range of hashes with the cut, the rows below it and in it, and the wanted number.
+    state = {r[0]: (0, HASH_RANGE, 0, r[1], math.floor(test_fraction * r[1] + 0.5)) for r in rows}
+    state = {y: s for y, s in state.items() if s[4]}
+
+    def width(lo: int, hi: int) -> int:
+        return max(1, -(-(hi - lo) // BANDS_OF_HASH))
+
+    def ranges(classes: dict) -> DataFrame:
+        side = base.sparkSession.createDataFrame(
+            [(y, s[0], s[1], width(s[0], s[1])) for y, s in classes.items()],
+            T.StructType([T.StructField("_c", base.schema["_y"].dataType), *(
+                T.StructField(c, T.LongType()) for c in ("_lo", "_hi", "_w"))]))
+        inside = F.col("_y").eqNullSafe(F.col("_c")) & (F.col("_p") >= F.col("_lo")) & (F.col("_p") < F.col("_hi"))
+        return base.join(F.broadcast(side), inside)             # a row for each of at most CLASS_LIMIT classes
+
+    while wide := {y: s for y, s in state.items() if s[3] > CUT_ROWS and s[1] - s[0] > 1}:
+        bands: dict = {}
+        counted = ranges(wide).groupBy("_y", F.floor((F.col("_p") - F.col("_lo")) / F.col("_w")).alias("_b")).agg(
+            F.count(F.lit(1)).alias("n"))
+        for r in counted.collect():                             # classes x BANDS_OF_HASH rows at most
+            bands.setdefault(r["_y"], []).append((r["_b"], r["n"]))
+        for y, (lo, hi, below, _, k) in wide.items():
+            step = width(lo, hi)
+            for b, n in sorted(bands[y]):
+                if below + n >= k:
+                    state[y] = (lo + b * step, min(hi, lo + (b + 1) * step), below, n, k)
+                    break
+                below += n
+    cuts = {}
+    if state:
+        wanted = base.sparkSession.createDataFrame(
+            [(y, s[4] - s[2]) for y, s in state.items()],
+            T.StructType([T.StructField("_c", base.schema["_y"].dataType), T.StructField("_k", T.LongType())]))
+        # Rows that share hash and id are one row of counts; a class has few others here.
+        near = ranges(state).groupBy("_y", "_h", "_id").agg(F.count(F.lit(1)).alias("n"))
+        order = Window.partitionBy("_y").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = (near.withColumn("_sum", F.sum("n").over(order))
+                 .join(F.broadcast(wanted), F.col("_y").eqNullSafe(F.col("_c")))
+                 .where((F.col("_sum") >= F.col("_k")) & (F.col("_sum") - F.col("n") < F.col("_k"))).collect())
+        cuts = {r["_y"]: (r["_h"], r["_id"]) for r in found}
     test = F.lit(False)
     for y, (cut, last) in cuts.items():
-        test = test | (F.col(label).eqNullSafe(F.lit(y)) & ((h < F.lit(cut)) | (
-            (h == F.lit(cut)) & (F.col(id_col) <= F.lit(last)))))
+        same = F.col(id_col).isNull() if last is None else F.coalesce(F.col(id_col) <= F.lit(last), F.lit(True))
+        test = test | (F.col(label).eqNullSafe(F.lit(y)) & ((h < F.lit(cut)) | ((h == F.lit(cut)) & same)))
     return df.withColumn(out, F.when(test, "test").otherwise("train"))
 
 

@@ -4,8 +4,12 @@ A pair (i, j) is comparable when i has the event and j is still under
 observation after it: t_j > t_i, or t_j = t_i with j censored. It is
 concordant when risk_i > risk_j, tied when the risks are equal.
 
-Counting pairs directly is quadratic. Instead risks are dense-ranked and
-each subject is placed on the log2(R) levels of a binary tree over ranks:
+Subjects are cut into time and risk ranges, and pairs are counted inside the
+ranges' tasks and from a table of range counts (:mod:`merge_count`): nothing but
+the subjects themselves is shuffled, once by each axis.
+
+Where so many subjects share a time or a risk that a range would not fit a task,
+:func:`_by_levels` counts with rows alone: risks are dense-ranked and each subject is placed on the log2(R) levels of a binary tree over ranks:
 a pair with rank_j < rank_i separates at exactly one level, where j sits in
 the left child and i in the right child of the same node. Per (level, node,
 t) the table holds left-side counts and right-side events; one reverse
@@ -16,11 +20,14 @@ as n log2(R); all running sums are bucketed (no single-task window).
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskset.operators import merge_count
 from riskset.operators.prefix import dense_rank, running_sums
+from riskset.operators.selection import reused
 from riskset.session import materialize
 
 
@@ -35,10 +42,24 @@ def _pairs(events: str, others: Column) -> Column:
 def concordance(df: DataFrame, risk: str, duration: str = "duration", event: str = "event") -> DataFrame:
     """(concordant, discordant, tied_risk, comparable, c_index) for a risk score
     where a higher value predicts an earlier event; the counts are decimals,
-    and the index is null where no pair is comparable."""
+    and the index is null where no pair is comparable. Rows with a null or NaN
+    are left out."""
+    t, r = F.col("t"), F.col("risk")
     base = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
                      F.col(risk).cast("double").alias("risk")).where(
-        F.col("t").isNotNull() & F.col("e").isNotNull() & F.col("risk").isNotNull())
+        t.isNotNull() & ~F.isnan(t) & F.col("e").isNotNull() & r.isNotNull() & ~F.isnan(r))
+    with reused(base) as kept:
+        counted = merge_count.count(kept)
+    if counted is None:
+        return _index(_by_levels(base))
+    return _index(df.sparkSession.createDataFrame([tuple(map(Decimal, counted))], ", ".join(f"{n} {COUNT}" for n in NAMES)))
+
+
+NAMES = ["concordant", "tied_risk", "comparable"]
+
+
+def _by_levels(base: DataFrame) -> DataFrame:
+    """One row of counts by dyadic levels of the risk."""
     base = materialize(base)          # read by three branches below
     ranked = materialize(dense_rank(base, [], "risk", "rank").select("t", "e", (F.col("rank") - 1).alias("rank")))
 
@@ -78,13 +99,15 @@ def concordance(df: DataFrame, risk: str, duration: str = "duration", event: str
 
     # three one-row aggregates combined by a one-row union + max (no join)
     null = F.lit(None).cast(COUNT)
-    names = ["concordant", "tied_risk", "comparable"]
     parts = None
     for one, own in ((concordant, "concordant"), (tied, "tied_risk"), (comparable, "comparable")):
-        row = one.select(*[(F.col(own).cast(COUNT) if n == own else null).alias(n) for n in names])
+        row = one.select(*[(F.col(own).cast(COUNT) if n == own else null).alias(n) for n in NAMES])
         parts = row if parts is None else parts.unionByName(row)
-    tot = parts.agg(*[F.coalesce(F.max(n), F.lit(0).cast(COUNT)).alias(n) for n in names])
-    c, tie, comp = (F.col(n).cast("double") for n in names)
+    return parts.agg(*[F.coalesce(F.max(n), F.lit(0).cast(COUNT)).alias(n) for n in NAMES])
+
+
+def _index(tot: DataFrame) -> DataFrame:
+    c, tie, comp = (F.col(n).cast("double") for n in NAMES)
     return tot.select(
         "concordant",
         (F.col("comparable") - F.col("concordant") - F.col("tied_risk")).cast(COUNT).alias("discordant"),

@@ -1,8 +1,15 @@
 """Cox proportional hazards: univariate batches, multivariate fits,
 inference tables, model fit statistics and the Schoenfeld PH test.
 
-The driver holds only beta (one vector per model); every Newton step is one
-Spark job over a checkpointed, time-bucketed cohort:
+The driver holds only beta (one vector per model). The cohort is packed once
+into blocks of the time axis, and every Newton step is a pass over the blocks
+without a shuffle: matrix products inside a block, a few numbers and a p x p
+matrix a block outside (:mod:`riskset.operators.cox_blocks`). Univariate batches
+share the blocks.
+
+Where tied times would make a block too large for a task, or there are more
+blocks than the driver should hold, a step is one Spark job over a checkpointed,
+time-bucketed cohort instead:
 
 1. per (model, bucket, t): sums of r = exp(beta'x), x r, x x' r over all rows
    and over event rows (map-side partial aggregation), persisted for the step
@@ -15,7 +22,7 @@ Spark job over a checkpointed, time-bucketed cohort:
    into chunks that are dealt out anew;
 4. one row per model: log-likelihood, score vector, information matrix.
 
-Univariate batches are one long-form job for all variables at once.
+Univariate batches are then one long-form job for all variables at once.
 
 A fit that does not converge (step limit, 30 halvings without gain, a singular
 information matrix, or a coefficient that runs away on separable data) raises
@@ -24,6 +31,7 @@ information matrix, or a coefficient that runs away on separable data) raises
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -33,7 +41,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskset.functions.stats import Z95, chi2_sf, chi2_sf_col, norm_sf2_col
+from riskset.operators import cox_blocks, gram
 from riskset.operators.prefix import assign_buckets, bucket_of, default_buckets, running_sums
+from riskset.operators.selection import reused
 from riskset.session import materialize
 
 MAX_STEPS = 50
@@ -125,7 +135,7 @@ def _efron_chunks(rows: DataFrame, ties: str, keys: Sequence[str], split: bool)
 
 
 def _complete(xcols: Sequence[str]) -> Column:
-    cond = F.col("t").isNotNull() & F.col("e").isNotNull()
+    cond = F.col("t").isNotNull() & ~F.isnan("t") & F.col("e").isNotNull()
     for x in xcols:
         cond = cond & F.col(x).isNotNull() & ~F.isnan(x)
     return cond
@@ -269,10 +279,82 @@ def fit(cohort: DataFrame, covariates: Sequence[str], duration: str = "duration"
     ``covariates`` in the same jobs (C1); otherwise one joint model (C2).
     """
     covariates = list(covariates)
+    packed = _packed(cohort, covariates, duration, event, univariate)
+    if packed is not None:
+        return _newton(covariates, ["variable"] if univariate else [], 1 if univariate else len(covariates), packed.spread, ties,
+                       max_steps, lambda beta: packed.evaluate(beta, ties))
     ready = prepare(cohort, covariates, duration, event, univariate)
-    base, keys, xcols = ready.base, ready.keys, ready.xcols
     split = ties == "efron" and ready.wide_ties()
-    p = len(xcols)
+    p = len(ready.xcols)
+
+    def evaluate(beta: dict) -> dict:
+        kept: list[DataFrame] = []
+        rows = step_sums(ready.base, ready.keys, ready.xcols, _linear(ready.keys, ready.xcols, beta), ties, split, kept).collect()
+        for df in kept:
+            df.unpersist()
+        out = {}
+        for row in rows:
+            if row["ll"] is not None:
+                info = np.zeros((p, p))
+                for j, k in _pairs(p):
+                    info[j, k] = info[k, j] = row[f"I{j}_{k}"]
+                out[row["variable"] if ready.keys else "model"] = {
+                    "n": row["n"], "n_events": row["n_events"], "ll": row["ll"], "u": np.array([row[f"U{j}"] for j in range(p)]),
+                    "i": info}
+        return out
+
+    return _newton(covariates, ready.keys, p, ready.spread, ties, max_steps, evaluate)
+
+
+@dataclass
+class Packed:
+    """A centred cohort in blocks."""
+    blocks: DataFrame
+    covariates: list[str]
+    univariate: bool
+    single: bool
+    spread: dict
+
+    def evaluate(self, beta: dict, ties: str) -> dict:
+        names = self.covariates if self.univariate else ["model"]
+        found = cox_blocks.evaluate(self.blocks, len(self.covariates), self.univariate, [beta[k] for k in names], ties, self.single)
+        return {names[m]: x for m, x in found.items() if x["n_events"]}
+
+
+def _packed(cohort: DataFrame, covariates: Sequence[str], duration: str, event: str, univariate: bool) -> Packed | None:
+    """The cohort in blocks, or None if they would not fit their tasks.
+
+    One pass gives the covariates' means and spreads and the quantiles of the
+    time; a univariate batch keeps rows that lack some covariates, as NaN.
+    """
+    p = len(covariates)
+    xcols = [f"x{j}" for j in range(p)]
+    base = cohort.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
+                         *[F.col(c).cast("double").alias(x) for c, x in zip(covariates, xcols)])
+    base = base.where(_complete([])) if univariate else base.where(_complete(xcols))
+    with reused(base) as kept:
+        found = gram.moments(kept, xcols)
+        n = max((m[0] for m in found), default=0)
+        blocks = cox_blocks.blocks_for(n, p)
+        if not n or blocks > cox_blocks.MAX_BLOCKS:
+            return None
+        own: list[float] = []
+        if blocks > 1:
+            own = kept.agg(F.percentile_approx("t", [i / blocks for i in range(1, blocks)], 10000)).first()[0]
+        if not cox_blocks.fits(n, p, own, blocks):
+            return None
+        axis = sorted(set(own))
+        x = [F.coalesce(F.col(c), F.lit(float("nan"))) - F.lit(float(m[1] or 0.0)) for c, m in zip(xcols, found)]
+        place = bucket_of(F.array(*[F.lit(c) for c in axis]), F.col("t"), len(axis)) if axis else F.lit(0)
+        rows = kept.select(place.cast("int").alias("_b"), "t", "e", F.array(*x).alias("x"))
+        packed = materialize(cox_blocks.pack(rows, p, len(axis) + 1))
+    spread = [math.sqrt(m2 / k) if k else 0.0 for k, _, m2 in found]
+    return Packed(packed, list(covariates), univariate, not axis,
+                  {c: [s] for c, s in zip(covariates, spread)} if univariate else {"model": spread})
+
+
+def _newton(covariates: list[str], keys: list[str], p: int, spread: dict, ties: str, max_steps: int, evaluate) -> CoxFit:
+    univariate = bool(keys)
     model_keys = covariates if univariate else ["model"]
     beta = {k: np.zeros(p) for k in model_keys}
     out = CoxFit(covariates=["coef"] if univariate else covariates, keys=keys, ties=ties)
@@ -281,14 +363,9 @@ def fit(cohort: DataFrame, covariates: Sequence[str], duration: str = "duration"
     done: set = set()
     halvings: dict = {k: 0 for k in model_keys}
     for step in range(max_steps):
-        kept: list[DataFrame] = []
-        rows = step_sums(base, keys, xcols, _linear(keys, xcols, beta), ties, split, kept).collect()
-        for df in kept:
-            df.unpersist()
         out.steps = step + 1
-        for row in rows:
-            key = row["variable"] if keys else "model"
-            if key in done or row["ll"] is None:
+        for key, row in evaluate(beta).items():
+            if key in done:
                 continue
             ll = row["ll"]
             if step == 0:
@@ -301,10 +378,7 @@ def fit(cohort: DataFrame, covariates: Sequence[str], duration: str = "duration"
                 beta[key] = (beta[key] + prev_beta[key]) / 2.0
                 continue
             halvings[key] = 0
-            u = np.array([row[f"U{j}"] for j in range(p)])
-            info = np.zeros((p, p))
-            for j, k in _pairs(p):
-                info[j, k] = info[k, j] = row[f"I{j}_{k}"]
+            u, info = row["u"], row["i"]
             try:
                 delta = np.linalg.solve(info, u)
             except np.linalg.LinAlgError as exc:
@@ -313,7 +387,7 @@ def fit(cohort: DataFrame, covariates: Sequence[str], duration: str = "duration"
             prev_ll[key], prev_beta[key] = ll, beta[key].copy()
             out.information[key], out.loglik[key] = info, ll
             beta[key] = beta[key] + delta
-            size = np.abs(beta[key]) * np.array(ready.spread[key])
+            size = np.abs(beta[key]) * np.array(spread[key])
             if not np.all(np.isfinite(size)) or np.max(size) > DIVERGED:
                 raise NotConverged(f"{key}: coefficient diverges, the data are separable")
             if np.max(np.abs(delta)) < STEP_TOL:
@@ -377,10 +451,7 @@ def score_at(cohort: DataFrame, covariates: Sequence[str], beta: Sequence[float]
     e = F.col(event).cast("int").alias("e")
     xcols = [f"x{j}" for j in range(len(covariates))]
     base = cohort.select(t, e, *[F.col(c).cast("double").alias(x) for c, x in zip(covariates, xcols)])
-    cond = F.col("t").isNotNull() & F.col("e").isNotNull()
-    for x in xcols:
-        cond = cond & F.col(x).isNotNull()
-    base = assign_buckets(base.where(cond), [], "t")
+    base = assign_buckets(base.where(_complete(xcols)), [], "t")
     p = len(xcols)
     sums = step_sums(base, [], xcols, _linear([], xcols, {"m": np.array(beta, dtype=float)}), ties)
     names = ["ll"] + [f"U{j}" for j in range(p)] + [f"I{j}_{k}" for j, k in _pairs(p)]
@@ -397,10 +468,7 @@ def fixed_fit(cohort: DataFrame, covariates: Sequence[str], beta: Sequence[float
     e = F.col(event).cast("int").alias("e")
     xcols = [f"x{j}" for j in range(len(covariates))]
     base = cohort.select(t, e, *[F.col(c).cast("double").alias(x) for c, x in zip(covariates, xcols)])
-    cond = F.col("t").isNotNull() & F.col("e").isNotNull()
-    for x in xcols:
-        cond = cond & F.col(x).isNotNull()
-    base = assign_buckets(base.where(cond), [], "t")
+    base = assign_buckets(base.where(_complete(xcols)), [], "t")
     b = np.array(beta, dtype=float)
     row = step_sums(base, [], xcols, _linear([], xcols, {"model": b}), ties).collect()[0]
     p = len(xcols)

@@ -8,14 +8,14 @@ is a single narrow ``select`` - no shuffle, no Python on rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskset.operators.prefix import quantile_columns
-from riskset.session import materialize
+from riskset.operators import gram, selection
 
 
 @dataclass
@@ -89,11 +89,8 @@ def binarise_columns(df: DataFrame, cols: Sequence[str], null_as: int | None = N
 # ------------------------------------------------------------------ E3, E4
 
 def fit_median(df: DataFrame, cols: Sequence[str]) -> Params:
-    """E3 fit: exact medians (interpolated), one distributed job per column set."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _c(c).cast("double").alias("value"))
-                                         for c in cols])).alias("_p")).select("_p.*")
-    med = quantile_columns(long, ["column"], "value", {"median": 0.5}, keys_verified=True).collect()
-    return Params([(r["column"], "impute", "fill", r["median"]) for r in med])
+    """E3 fit: exact medians (interpolated) by distributed selection."""
+    return Params([(x["column"], "impute", "fill", x["quantiles"][0.5]) for x in selection.summaries(df, cols, [0.5])])
 
 
 def fit_mode(df: DataFrame, cols: Sequence[str]) -> Params:
@@ -136,15 +133,11 @@ def impute(df: DataFrame, params: Params) -> DataFrame:
 # ------------------------------------------------------------------ E5, E11
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], ddof: int = 0) -> Params:
-    """E5/E11 fit: mean and sd (population for ddof=0, sample for ddof=1)."""
-    sd = F.stddev_pop if ddof == 0 else F.stddev_samp
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.avg(_c(c)).alias(f"m{i}"), sd(_c(c)).alias(f"s{i}")]
-    row = df.agg(*aggs).collect()[0]
+    """E5/E11 fit: mean and sd (population for ddof=0, sample for ddof=1), one
+    scan with the same plan for any number of columns."""
     rows = []
-    for i, c in enumerate(cols):
-        rows += [(c, "scale", "mean", row[f"m{i}"]), (c, "scale", "sd", row[f"s{i}"])]
+    for c, (n, mean, m2) in zip(cols, gram.moments(df, cols), strict=True):
+        rows += [(c, "scale", "mean", mean), (c, "scale", "sd", math.sqrt(m2 / (n - ddof)) if n > ddof else None)]
     return Params(rows)
 
 
@@ -246,18 +239,25 @@ class ColumnPlan:
 def fit_columns(df: DataFrame, plan: ColumnPlan) -> Params:
     """Fit every step of the plan: medians, modes, scaler, levels.
 
-    The input is read by four fits, so it is checkpointed once first.
+    Only the plan's columns are read; a derived input is kept while its scans
+    last. The scaler's mean and spread after imputation follow from the moments
+    of the present values and the number of filled ones, without another scan.
     """
-    df = materialize(df)
-    params = Params()
-    if plan.median_scale:
-        params = params.merge(fit_median(df, plan.median_scale))
-        params = params.merge(fit_scaler(impute(df, params), plan.median_scale))
     cat = list(plan.ordinal) + list(plan.onehot_if_binary) + list(plan.onehot_all)
-    if cat:
-        params = params.merge(fit_mode(df, cat))
-    if plan.onehot_if_binary or plan.onehot_all:
-        params = params.merge(fit_levels(df, list(plan.onehot_if_binary) + list(plan.onehot_all)))
+    with selection.reused(df.select(*[_c(c) for c in dict.fromkeys([*plan.median_scale, *cat])])) as own:
+        params = Params()
+        if plan.median_scale:
+            rows = own.count()
+            for x in selection.summaries(own, plan.median_scale, [0.5]):
+                fill, n, missing = x["quantiles"][0.5], x["n"], rows - x["n"]
+                mean = (x["mean"] * n + fill * missing) / (n + missing)
+                m2 = x["m2"] + n * (x["mean"] - mean) ** 2 + missing * (fill - mean) ** 2
+                params.rows += [(x["column"], "impute", "fill", fill), (x["column"], "scale", "mean", mean),
+                                (x["column"], "scale", "sd", math.sqrt(m2 / (n + missing)))]
+        if cat:
+            params = params.merge(fit_mode(own, cat))
+        if plan.onehot_if_binary or plan.onehot_all:
+            params = params.merge(fit_levels(own, list(plan.onehot_if_binary) + list(plan.onehot_all)))
     return params
 
 

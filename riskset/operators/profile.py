@@ -1,20 +1,26 @@
 """Cohort profiling (A1-A23): shapes, types, summaries, quantiles, outliers,
 missingness, correlations, counts and histograms.
 
-Wide inputs are melted to long form (column, value) with one ``explode`` so
-that every statistic is one grouped aggregate whatever the column count
-(a 600-aggregate wide plan would overrun code generation limits).
-Quantiles are exact and distributed (:func:`prefix.exact_quantiles`).
+Statistics of many columns come from scans over Arrow batches whose plans do
+not grow with the number of columns: exact quantiles and moments by distributed
+selection (:mod:`riskset.operators.selection`), correlations and null counts by
+matrix sums (:mod:`riskset.operators.gram`). Groups too many for the driver
+(``selection.GROUP_LIMIT``) are counted in long form instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskset.functions.stats import chi2_sf_col, round_half_up_col
+from riskset.operators import gram, selection
 from riskset.operators.prefix import attach_one_row, quantile_columns
 from riskset.session import materialize
 
@@ -38,44 +44,77 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def column_info(df: DataFrame) -> DataFrame:
-    """A2: (column, dtype, non_null) in one aggregate, stacked to long."""
-    counts = df.agg(*[F.count(_c(c)).alias(f"_n{i}") for i, c in enumerate(df.columns)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(f"_n{i}").alias("non_null"))
-                     for i, (c, t) in enumerate(df.dtypes)])
-    return counts.select(F.inline(rows))
+    """A2: (column, dtype, non_null) from one scan of null flags."""
+    rows, nulls = gram.null_counts(df, df.columns)
+    return df.sparkSession.createDataFrame([(c, t, rows - n) for (c, t), n in zip(df.dtypes, nulls, strict=True)],
+                                           "column string, dtype string, non_null long")
+
+
+def _spread(own: dict) -> float | None:
+    return math.sqrt(own["m2"] / (own["n"] - 1)) if own["n"] > 1 else None
 
 
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """A3/A4: n, mean, sd (sample), min, q1, median, q3, max per column
-    (and per group). Quantiles are exact (linear interpolation).
-
-    Two passes over the input: moments come from the raw values (so the
-    mean is the plain floating average every engine computes), quartiles
-    from the (group, column, value, count) table.
-    """
+    (and per group). Quantiles are exact (linear interpolation); columns
+    without a value, and null groups, have no row."""
     keys = list(by)
-    long = melt(df, cols, keys).where(F.col("value").isNotNull())
+    found = selection.summaries(df, cols, list(QUARTILES.values()), keys)
+    if found is None:
+        return _describe_long(df, cols, keys)
+    rows = [(*x["key"], x["column"], x["n"], x["mean"], _spread(x), x["min"],
+             *(x["quantiles"][p] for p in QUARTILES.values()), x["max"]) for x in found]
+    fields = [T.StructField(k, df.schema[k].dataType) for k in keys] + [
+        T.StructField("column", T.StringType()), T.StructField("n", T.LongType()),
+        *(T.StructField(c, T.DoubleType()) for c in ("mean", "sd", "min", *QUARTILES, "max"))]
+    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
+
+
+def _describe_long(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """:func:`describe` for groups too many for the driver."""
+    long = melt(df, cols, keys).where(F.col("value").isNotNull() & ~F.isnan("value"))
     for k in keys:
         long = long.where(F.col(k).isNotNull())
     stats = long.groupBy(*keys, "column").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    # Without groups the keys are the driver's own column list: a proven bound.
-    qs = quantile_columns(long, keys + ["column"], "value", QUARTILES, keys_verified=not keys)
-    return stats.join(qs, keys + ["column"]).select(
+    qs = quantile_columns(long, [*keys, "column"], "value", QUARTILES)
+    return stats.join(qs, [*keys, "column"]).select(
         *keys, "column", "n", "mean", "sd", "min", "q1", "median", "q3", "max")
 
 
 def examples(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:
     """A5: type and up to ``k`` example values per column (smallest distinct
-    values as text, so the choice is deterministic). The ``rank <= k`` filter
-    lets Spark insert a partial window group limit before the shuffle."""
+    values as text, so the choice is deterministic).
+
+    A task keeps the ``k`` smallest distinct texts it has seen of each column
+    and sends on those only; one merge a column takes the smallest of them.
+    """
+    cols = list(cols)
     types = dict(df.dtypes)
-    long = melt(df, cols, value_type="string").where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    top = long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    tmap = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
-    return top.select("column", tmap[F.col("column")].alias("dtype"), F.col("rank").cast("int").alias("rank"), "value")
+    schema = pa.schema([("at", pa.int32()), ("value", pa.string())])
+
+    def smallest(values: pa.Array) -> pa.Array:
+        own = pc.drop_null(values).unique()
+        return own.take(pc.array_sort_indices(own)[:k])         # UTF-8 byte order, as Spark sorts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [pa.array([], pa.string())] * len(cols)
+        for batch in batches:
+            for i in range(len(cols)):
+                held[i] = smallest(pa.concat_arrays([held[i], batch.column(i).cast(pa.string())]))
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, h in enumerate(held) for _ in h], pa.int32()), pa.concat_arrays(held)],
+                                         schema=schema)
+
+    def merge(table: pa.Table) -> pa.Table:
+        own = smallest(table["value"].combine_chunks())
+        i, n = table["at"][0].as_py(), len(own)
+        return pa.table([pa.array([cols[i]] * n, pa.string()), pa.array([types[cols[i]]] * n, pa.string()),
+                         pa.array(range(1, n + 1), pa.int32()), own], names=["column", "dtype", "rank", "value"])
+
+    texts = df.select(*[_c(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+    return texts.mapInArrow(run, "at int, value string").groupBy("at").applyInArrow(
+        merge, "column string, dtype string, rank int, value string")
 
 
 def event_summary(cohort: DataFrame, duration: str = "duration", event: str = "event") -> DataFrame:
@@ -84,17 +123,19 @@ def event_summary(cohort: DataFrame, duration: str = "duration", event: str = "e
     base = cohort.where(F.col(duration).isNotNull() & F.col(event).isNotNull())
     counts = base.agg(F.count(F.lit(1)).alias("n"), F.sum(e).alias("n_event"),
                       F.max(F.col(duration).cast("double")).alias("max_follow_up"))
-    med = quantile_columns(base, [], duration, {"median_follow_up": 0.5})
-    return attach_one_row(counts, med).select(
+    found = selection.summaries(base, [duration], [0.5])
+    median = F.lit(found[0]["quantiles"][0.5] if found else None).cast("double")
+    return counts.select(
         "n", "n_event", (F.col("n") - F.col("n_event")).alias("n_censor"),
-        (100.0 * F.col("n_event") / F.col("n")).alias("pct_event"),
-        (100.0 * (F.col("n") - F.col("n_event")) / F.col("n")).alias("pct_censor"),
-        "median_follow_up", "max_follow_up")
+        F.try_divide(100.0 * F.col("n_event"), F.col("n")).alias("pct_event"),
+        F.try_divide(100.0 * (F.col("n") - F.col("n_event")), F.col("n")).alias("pct_censor"),
+        median.alias("median_follow_up"), "max_follow_up")
 
 
 def iqr_fence(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> DataFrame:
     """(column, q1, q3, iqr, upper_fence = q3 + k*iqr, lower_fence)."""
-    q = quantile_columns(melt(df, cols), ["column"], "value", {"q1": 0.25, "q3": 0.75}, keys_verified=True)
+    rows = [(x["column"], x["quantiles"][0.25], x["quantiles"][0.75]) for x in selection.summaries(df, cols, [0.25, 0.75])]
+    q = df.sparkSession.createDataFrame(rows, "column string, q1 double, q3 double")
     iqr = F.col("q3") - F.col("q1")
     return q.select("column", "q1", "q3", iqr.alias("iqr"), (F.col("q3") + k * iqr).alias("upper_fence"),
                     (F.col("q1") - k * iqr).alias("lower_fence"))
@@ -152,21 +193,15 @@ def missingness(df: DataFrame, cols: Sequence[str] | None = None, only_missing:
     """A10: (column, n_missing, pct_missing), only columns with missing values,
     sorted by count (descending) then name."""
     cols = list(cols or df.columns)
-    counts = df.agg(F.count(F.lit(1)).alias("_n"),
-                    *[F.sum(_c(c).isNull().cast("long")).alias(f"_m{i}") for i, c in enumerate(cols)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_m{i}").alias("n_missing"))
-                     for i, c in enumerate(cols)])
-    out = counts.select("_n", F.inline(rows)).select(
-        "column", "n_missing", (100.0 * F.col("n_missing") / F.col("_n")).alias("pct_missing"))
-    if only_missing:
-        out = out.where(F.col("n_missing") > 0)
+    n, nulls = gram.null_counts(df, cols)
+    rows = [(c, k, 100.0 * k / n if n else None) for c, k in zip(cols, nulls, strict=True) if k or not only_missing]
+    out = df.sparkSession.createDataFrame(rows, "column string, n_missing long, pct_missing double")
     return out.orderBy(F.desc("n_missing"), "column")
 
 
 def total_missing(df: DataFrame) -> DataFrame:
     """Total number of missing cells."""
-    return df.agg(sum((F.sum(_c(c).isNull().cast("long")) for c in df.columns), F.lit(0)).cast("long")
-                  .alias("n_missing_cells"))
+    return df.sparkSession.createDataFrame([(sum(gram.null_counts(df, df.columns)[1]),)], "n_missing_cells long")
 
 
 def missing_by_group(df: DataFrame, col: str, group: str) -> DataFrame:
@@ -188,12 +223,9 @@ def missing_by_group(df: DataFrame, col: str, group: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation for every pair, pairwise-complete rows."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(_c(a).cast("double"), _c(b).cast("double")).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_r{i}").alias("corr"))
-                     for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(rows))
+    """(col_a, col_b, corr), Pearson's r of every pair over pairwise-complete
+    rows; null for fewer than two rows or a constant column."""
+    return gram.correlation_rows(df, cols)
 
 
 def group_mean(df: DataFrame, by: str, col: str, digits: int = 2) -> DataFrame:
@@ -204,7 +236,12 @@ def group_mean(df: DataFrame, by: str, col: str, digits: int = 2) -> DataFrame:
 
 def group_median(df: DataFrame, by: str, col: str, digits: int = 2) -> DataFrame:
     """Exact median per group, rounded."""
-    q = quantile_columns(df.where(_c(by).isNotNull()), [by], col, {"median": 0.5})
+    found = selection.summaries(df, [col], [0.5], [by])
+    if found is None:
+        q = quantile_columns(df.where(_c(by).isNotNull()), [by], col, {"median": 0.5})
+    else:
+        fields = [T.StructField(by, df.schema[by].dataType), T.StructField("median", T.DoubleType())]
+        q = df.sparkSession.createDataFrame([(x["key"][0], x["quantiles"][0.5]) for x in found], T.StructType(fields))
     return q.select(by, round_half_up_col(F.col("median"), digits).alias(f"median_{col}"))
 
 

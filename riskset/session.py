@@ -23,6 +23,14 @@ _DEFAULTS = {
 }
 
 
+def share_package() -> None:
+    """Let Python workers of a JVM that is started from here import this package."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = os.environ.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "riskset") -> SparkSession:
     """Return the active session or build one with the defaults above.
@@ -34,6 +42,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
+    share_package()
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
