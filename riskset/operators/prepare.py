@@ -12,10 +12,12 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskset.operators import gram, selection
+from riskset.operators.prefix import BROADCAST_ROW_LIMIT, keys_bounded
+from riskset.session import materialize
 
 
 @dataclass
@@ -53,7 +55,7 @@ class Params:
         return Params(rows)
 
 
-MAX_LEVELS = 10000   # one-hot output columns per input column
+MAX_LEVELS = 10000   # wide one-hot columns per input column
 
 
 def _c(name: str) -> Column:
@@ -193,15 +195,67 @@ def ordinal_encode(col: str, categories: Sequence[str], strict: bool = True) ->
     return F.when(pos > 0, (pos - 1).cast("double")).alias(col)
 
 
+def level_dictionary(df: DataFrame, cols: Sequence[str], drop: str | None = None) -> DataFrame:
+    """E7/E8 fit: (column, level, index, size), a row per level that gets a place.
+
+    Places are numbered from 0 over all columns, in the order of ``cols`` and
+    then of the level; ``size`` is their number. ``drop='if_binary'`` gives the
+    first level of a two-level column no place (its rows are all zeros).
+    Levels stay in a table: a column's levels are numbered inside the ranges of
+    their first two bytes, so no task orders all of them and none come to the
+    driver, but for one count a column and range.
+    """
+    names = {c: i for i, c in enumerate(cols)}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("at"), _c(c).cast("string").alias("level"))
+                                         for c, i in names.items()])).alias("_p")).select("_p.*").where(F.col("level").isNotNull())
+    head = F.conv(F.hex(F.substring(F.encode("level", "UTF-8"), 1, 2)), 16, 10).cast("int")
+    short = F.length(F.encode("level", "UTF-8")) < 2               # of one byte: before all that begin with it
+    part = F.coalesce(F.when(short, head * 256).otherwise(head), F.lit(-1))
+    levels = materialize(long.distinct().withColumn("part", part))
+    ranges = sorted(tuple(r) for r in levels.groupBy("at", "part").agg(F.count(F.lit(1))).collect())
+    sizes: dict[int, int] = {}
+    for at, _, n in ranges:
+        sizes[at] = sizes.get(at, 0) + n
+    starts, base, total = [], {}, 0
+    for at, n in sorted(sizes.items()):
+        skipped = int(drop == "if_binary" and n == 2)
+        base[at], place = total, total - skipped
+        for own, count in ((p, k) for a, p, k in ranges if a == at):
+            starts.append((at, own, place, base[at]))
+            place += count
+        total += n - skipped
+    side = df.sparkSession.createDataFrame(starts, "at int, part int, start long, base long")
+    order = Window.partitionBy("at", "part").orderBy("level")
+    numbered = levels.join(F.broadcast(side), ["at", "part"]).withColumn(
+        "index", F.col("start") + F.row_number().over(order) - 1).where(F.col("index") >= F.col("base"))
+    column = F.create_map(*[x for c, i in names.items() for x in (F.lit(i), F.lit(c))])[F.col("at")]
+    return numbered.select(column.alias("column"), "level", F.col("index").cast("int").alias("index"), F.lit(total).alias("size"))
+
+
+def one_hot_sparse(df: DataFrame, dictionary: DataFrame, cols: Sequence[str], out: str = "places") -> DataFrame:
+    """E7/E8 for any number of levels: the places of a row's ones, ascending, as an array.
+
+    Each column's levels are joined to its part of the dictionary (a broadcast
+    if it is counted to be small); unknown, dropped and null levels have no place.
+    """
+    dictionary = materialize(dictionary)
+    got = df
+    for i, c in enumerate(cols):
+        own = dictionary.where(F.col("column") == c).select(F.col("level").alias(f"_l{i}"), F.col("index").alias(f"_i{i}"))
+        own = F.broadcast(own) if keys_bounded(own, [f"_l{i}"], BROADCAST_ROW_LIMIT) else own
+        got = got.join(own, _c(c).cast("string") == F.col(f"_l{i}"), "left")
+    places = F.array_sort(F.array_compact(F.array(*[F.col(f"_i{i}") for i in range(len(cols))])))
+    return got.select(*[_c(c) for c in df.columns if c not in cols], places.alias(out))
+
+
 def fit_levels(df: DataFrame, cols: Sequence[str]) -> Params:
-    """Distinct levels per column, ascending (a bounded list per column)."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _c(c).cast("string").alias("level"))
-                                         for c in cols])).alias("_p")).select("_p.*").where(F.col("level").isNotNull())
-    cap = MAX_LEVELS * len(cols)
-    levels = long.distinct().limit(cap + 1).collect()
-    if len(levels) > cap:
-        raise ValueError(f"more than {MAX_LEVELS} levels per column: not a categorical to one-hot encode")
-    rows = sorted((r["column"], r["level"]) for r in levels)
+    """Levels per column, ascending, for wide one-hot columns. A column with more
+    than ``MAX_LEVELS`` is refused by name (encode it by :func:`one_hot_sparse`)."""
+    dictionary = materialize(level_dictionary(df, cols))
+    for r in dictionary.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect():
+        if r["n"] > MAX_LEVELS:
+            raise ValueError(f"{r['column']} has {r['n']} levels: more than {MAX_LEVELS} columns, use one_hot_sparse")
+    rows = sorted((r["column"], r["level"]) for r in dictionary.select("column", "level").collect())
     return Params([(c, "onehot", "level", lv) for c, lv in rows])
 
 

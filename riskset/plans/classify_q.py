@@ -113,12 +113,12 @@ def m4(spark, sf):
 
 
 @query("M5_boosting")
-def m5(spark, sf):
+def m5(spark, sf, rounds: int = 200):
     table, features = _model_frame(spark, sf)
     train = table.where("split = 'train'")
     ratio = cl.class_weights(train, "label").select("neg_pos_ratio").first()[0]
     weighted = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(ratio))).otherwise(1.0))
-    model = cl.boosting(weighted, features, "label")
+    model = cl.boosting(weighted, features, "label", rounds=rounds)
     return round_doubles(cl.score(model, table.where("split = 'test'"), ["subject_id", "label"]))
 
 
@@ -152,6 +152,11 @@ def m4_contract(spark, sf):
     return _contract(cl.score(model, table.where("split = 'test'"), ["subject_id", "label"]))
 
 
+@query("M5_boosting_contract", _TEST_ROWS)
+def m5_contract(spark, sf):
+    return _contract(m5(spark, sf, rounds=20))
+
+
 @query("M10_importances_contract", "SELECT 1.0::DOUBLE AS total, true AS ranked, true AS not_negative")
 def m10_contract(spark, sf):
     _, features, model = _rf(spark, sf)

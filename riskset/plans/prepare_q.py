@@ -114,6 +114,19 @@ def e8(spark, sf):
     return pp.one_hot(c, params, ["order_band", "acct_band"], drop=None)
 
 
+@query("E8_one_hot_sparse", """WITH lv AS (SELECT DISTINCT 0 AS col, CAST(o_custkey AS VARCHAR) AS level FROM orders
+  UNION ALL SELECT DISTINCT 1, o_orderpriority FROM orders UNION ALL SELECT DISTINCT 2, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'other' END FROM orders),
+n AS (SELECT *, row_number() OVER (ORDER BY col, level) - 1 AS place FROM lv WHERE NOT (col = 2 AND level = 'F'))
+SELECT o_orderkey, CAST(place AS INTEGER) AS place FROM orders JOIN n ON (col = 0 AND level = CAST(o_custkey AS VARCHAR))
+  OR (col = 1 AND level = o_orderpriority) OR (col = 2 AND level = CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'other' END)""")
+def e8s(spark, sf):
+    cols = ["o_custkey", "o_orderpriority", "is_f"]
+    o = driver_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.when(
+        F.col("o_orderstatus") == "F", "F").otherwise("other").alias("is_f"))
+    places = pp.one_hot_sparse(o, pp.level_dictionary(o, cols, drop="if_binary"), cols)
+    return places.select("o_orderkey", F.explode("places").alias("place"))
+
+
 E9_PLAN = pp.ColumnPlan(median_scale=NUM, ordinal={"order_band": ["le8", "9to11", "gt11"]},
                         onehot_if_binary=["acct_band"], onehot_all=["segment"],
                         passthrough=["subject_id", "duration", "event"])
@@ -139,6 +152,31 @@ def e9(spark, sf):
     return round_doubles(pp.transform_columns(c, E9_PLAN, params))
 
 
+MISSING_PLAN = pp.ColumnPlan(median_scale=["quality", "toxic", "n_chars"], ordinal={"lang": ["de", "en", "es", "fr"]},
+                             onehot_all=["toxic_text"], passthrough=["doc_id"])
+
+
+def _missing_plan_sql() -> str:
+    num = MISSING_PLAN.median_scale
+    fills = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM miss)) AS f_{c}" for c in num)
+    stats = ", ".join(f"avg(f_{c}) AS m_{c}, stddev_pop(f_{c}) AS s_{c}" for c in num)
+    scaled = ", ".join(r(f"(f_{c} - m_{c}) / (CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END)", c) for c in num)
+    return f"""WITH {MISS}, t AS (SELECT *, CAST(toxic AS VARCHAR) AS txt FROM miss),
+md AS (SELECT txt FROM t WHERE txt IS NOT NULL GROUP BY txt ORDER BY count(*) DESC, txt LIMIT 1),
+filled AS (SELECT *, {fills}, coalesce(txt, (SELECT txt FROM md)) AS f_txt FROM t), st AS (SELECT {stats} FROM filled)
+SELECT {scaled}, CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS DOUBLE) AS lang,
+  CASE WHEN f_txt = '0' THEN 1.0 ELSE 0.0 END AS toxic_text_0, CASE WHEN f_txt = '1' THEN 1.0 ELSE 0.0 END AS toxic_text_1, doc_id
+FROM filled, st"""
+
+
+@query("E9_plan_with_missing", _missing_plan_sql())
+def e9_missing(spark, sf):
+    m = cohorts.missing(spark, sf).withColumn("toxic_text", F.col("toxic").cast("string")).withColumn(
+        "quality", F.col("quality").cast("double")).withColumn("toxic", F.col("toxic").cast("double")).withColumn(
+        "n_chars", F.col("n_chars").cast("double"))
+    return round_doubles(pp.transform_columns(m, MISSING_PLAN, pp.fit_columns(m, MISSING_PLAN)))
+
+
 @query("E9_verify_no_missing", "SELECT CAST(0 AS BIGINT) AS n_missing")
 def e9v(spark, sf):
     c = cohorts.churn(spark, sf)

@@ -8,7 +8,7 @@ from riskset.functions.stats import round_half_up_sql
 from riskset.operators import profile as pf
 from riskset.operators.prefix import attach_one_row
 from riskset.plans.registry import query, round_doubles
-from riskset.plans.sql import CHURN, MISS, r
+from riskset.plans.sql import CHURN, MISS, WIDE, r
 from riskset.sources import cohorts
 from riskset.sources.io import driver_table
 
@@ -200,6 +200,16 @@ def a13(spark, sf):
     return round_doubles(pf.correlation_matrix(driver_table(spark, sf, "lineitem"), LINE_NUM))
 
 
+@query("A13_correlation_wide", f"""WITH {WIDE}
+SELECT 'f' || a.feature AS col_a, 'f' || b.feature AS col_b, {r('corr(a.value, b.value)', 'corr')}
+FROM wide a JOIN wide b ON a.vec_id = b.vec_id AND a.feature < b.feature GROUP BY a.feature, b.feature""")
+def a13_wide(spark, sf):
+    e = driver_table(spark, sf, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    wide = e.select(*[F.get("embedding", F.lit(i)).alias(f"f{i + 1}") for i in range(width)])
+    return round_doubles(pf.correlation_matrix(wide, wide.columns))
+
+
 @query("A13_correlation_pairwise", f"WITH {MISS} " + _corr_sql("miss", MISS_NUM))
 def a13b(spark, sf):
     return round_doubles(pf.correlation_matrix(cohorts.missing(spark, sf), MISS_NUM))

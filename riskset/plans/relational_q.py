@@ -30,6 +30,18 @@ def _scratch(spark) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "exports", uuid.uuid4().hex)
 
 
+@query("S1_csv_inferred", """SELECT c_custkey + 1 AS next_key, c_name, c_nationkey % 5 AS nation, round(c_acctbal / 2, 6) AS half,
+  c_mktsegment FROM customer""")
+def s1_csv(spark, sf):
+    """A delimited file with a header, types inferred from all of it: the numbers can be computed with."""
+    path = _scratch(spark)
+    export(driver_table(spark, sf, "customer"), path, fmt="csv")
+    back = read_table(spark, path, fmt="csv")
+    return back.select((F.col("c_custkey") + 1).cast("long").alias("next_key"), "c_name",
+                       (F.col("c_nationkey") % 5).cast("int").alias("nation"), F.round(F.col("c_acctbal") / 2, 6).alias("half"),
+                       "c_mktsegment")
+
+
 @query("S3_export_roundtrip", f"""WITH {CHURN}
 SELECT subject_id, {r('duration', 'duration')}, event, segment, acct_band, order_band, n_orders,
        {r('acctbal', 'acctbal')}, {r('mean_price', 'mean_price')} FROM churn""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskset.operators import select as fs
@@ -81,6 +82,30 @@ def f5w(spark, sf):
     return round_doubles(fs.assemble_wide(long, top, "vec_id", ["label"]))
 
 
+_LONG_SQL = f"""{_TOPK_SQL}
+SELECT w.vec_id, w.label, w.feature, {r('w.value', 'value')} FROM wide w JOIN top t ON t.feature = w.feature"""
+
+
+@query("F5_wide_unpivoted", _LONG_SQL)
+def f5_unpivoted(spark, sf):
+    """The wide table, taken apart again, is the long one."""
+    long, top = _selected(spark, sf)
+    wide = fs.assemble_wide(long, top, "vec_id", ["label"])
+    cells = F.array(*[F.struct(F.lit(int(c[2:])).alias("feature"), F.col(f"`{c}`").alias("value"))
+                      for c in wide.columns if c.startswith("f_")])
+    return round_doubles(wide.select("vec_id", "label", F.inline(cells)))
+
+
+@query("F5_feature_vectors", _LONG_SQL)
+def f5_vectors(spark, sf):
+    """Vectors of all features in long form, cut down to the selected ones by their numbers."""
+    long, top = _selected(spark, sf)
+    vectors, numbers = fs.feature_vectors(long, long.select("feature"), "vec_id", ["label"])
+    cells = vectors.select("vec_id", "label", F.posexplode(vector_to_array("features")).alias("index", "value"))
+    return round_doubles(cells.join(numbers, "index").join(top.select("feature"), "feature").select(
+        "vec_id", "label", "feature", "value"))
+
+
 TABLES = {"survival_table": 5, "ml_table": 10}
 
 
