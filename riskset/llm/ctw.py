@@ -43,6 +43,7 @@ from riskset.llm.common import is_small, stored
 
 DEPTH = 5
 SHARD = 1 << 21              # trained stretches shipped at once: at most 64 MB as a hash table
+SCORED_BYTES = 1 << 19       # bytes of text scored at once: some fifteen numbers are held for each
 FREQUENT = 1 << 16           # words in the shipped table
 MERGE = 16                   # batches of counts held before they are merged
 END = b"\n"
@@ -327,7 +328,7 @@ def _scorer(tables, words, depth: int, shard: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, (known, logs) = tables.value, words.value
         for batch in batches:
-            for part in pieces.steps(batch):
+            for part in pieces.steps(batch, size=SCORED_BYTES):
                 rid, n = part.column("rid").to_numpy(), len(part)
                 keys, size = stretches(_normal(part.column("text")), depth)
                 row = np.repeat(np.arange(n), size)

@@ -40,12 +40,12 @@ class Cache(dict):
         self[key] = value
 
 
-def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch where the bytes of ``column`` pass ``STEP_BYTES``."""
+def steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where the bytes of ``column`` pass multiples of ``size``."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     if not len(lengths):
         return
-    group = np.cumsum(lengths, dtype=np.int64) // STEP_BYTES
+    group = np.cumsum(lengths, dtype=np.int64) // size
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(lengths)], strict=True):
         yield batch.slice(int(a), int(b - a))
