@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from brute_llm import AZ
-from riskset.llm import bit_slices, gram_automata, hash_forest
+from riskset.llm import bit_slices, gram_automata, hash_forest, queries
 
 VECTORS = "vec_id long, embedding array<float>, rank int, tree string, h long"
 
@@ -249,3 +249,14 @@ def test_weakest_cut_is_exact():
     l, r, score = gram_automata.weakest_cut(big, [(big + 1, big), (big + 2, big)])
     assert score.tolist() == [10 ** 6 * int(a) ** 2 // ((int(a) + 2) * int(a)) for a in big]
     assert l.tolist()[1] == 9 and r.tolist() == big.tolist()
+
+
+def test_forest_query_on_the_fixture(spark):
+    """The registered query against all pairs: every query, whole ranks, recall, exact scores."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    got = [tuple(r) for r in queries.QUERIES["op11_hash_forest_neighbours"](spark, "/root/testdata/sf0.001").collect()]
+    want = nearest(rows, 20)
+    assert len(got) == len(want) and {r[:2] for r in got} == {r[:2] for r in want}
+    assert len({(q, j) for q, _, j, _ in got} & {(q, j) for q, _, j, _ in want}) >= .9 * len(want)
+    exact = {i: np.array(v) for i, v in rows}
+    assert all(s == float((exact[q] * exact[j]).sum()) for q, _, j, s in got)
