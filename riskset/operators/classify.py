@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskset.operators import survival
 from riskset.operators.prefix import attach_one_row, keys_bounded, running_sums
 
 # Fixed values of the scoring page: verdict at 0.5, gauge bands 0-40-60-100.
@@ -272,6 +273,17 @@ def compare_models(scored: dict[str, DataFrame], label: str = "label", score_col
     return out.orderBy(F.desc("auc"), "model")
 
 
+def kpi_row(cohort: DataFrame, scored: DataFrame, duration: str = "duration", event: str = "event",
+            label: str = "label", score_col: str = "prob") -> DataFrame:
+    """(n, event_rate, median_survival, n_scored, auc): the cohort's head figures
+    with the AUC of a model's scores. The AUC is null unless both classes were scored."""
+    head = cohort.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(event).cast("double")).alias("event_rate"))
+    curve = survival.kaplan_meier(cohort, duration=duration, event=event)
+    med = survival.survival_quantile(curve, None, 0.5, "median_survival")
+    n = scored.agg(F.count(F.lit(1)).alias("n_scored"))
+    return attach_one_row(attach_one_row(attach_one_row(head, med), n), roc_auc(scored, label, score_col))
+
+
 def importances(model: PipelineModel, features: Sequence[str], top: int | None = None) -> DataFrame:
     """(rank, feature, importance, mean_importance) from the fitted trees."""
     imp = model.stages[-1].featureImportances.toArray().tolist()

@@ -56,6 +56,7 @@ class Params:
 
 
 MAX_LEVELS = 10000   # wide one-hot columns per input column
+ROUNDING = 1e-13     # relative to the mean: below it a spread is a rounding error
 
 
 def _c(name: str) -> Column:
@@ -144,14 +145,15 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], ddof: int = 0) -> Params:
 
 
 def scale(df: DataFrame, params: Params, suffix: str = "") -> DataFrame:
-    """(x - mean) / sd with a zero (or undefined) sd treated as 1."""
+    """(x - mean) / sd with a zero (or undefined) sd treated as 1. An sd within
+    the mean's rounding error is that of a constant column: zero."""
     cols = {c for c, s, _, _ in params.rows if s == "scale"}
     out = []
     for c in df.columns:
         if c in cols:
             mean = params.get(c, "scale", "mean")
             sd = params.get(c, "scale", "sd")
-            sd = 1.0 if sd is None or sd == 0 else sd
+            sd = 1.0 if sd is None or sd <= ROUNDING * abs(mean) else sd
             expr = ((_c(c).cast("double") - F.lit(mean)) / F.lit(sd)).alias(c + suffix)
             out.append(expr)
             if suffix:

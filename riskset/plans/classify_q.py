@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from riskset.operators import classify as cl
 from riskset.operators import prepare as pp
 from riskset.operators import profile as pf
+from riskset.operators import serving
 from riskset.operators import survival as sv
 from riskset.operators.prefix import attach_one_row
 from riskset.plans.prepare_q import E9_PLAN
@@ -203,6 +205,117 @@ def m11_scored(spark, sf):
                       ((F.col("prob") >= 0.5) == (F.col("verdict") == "Favorable profile")).alias("verdict_fits"))
 
 
+PROFILE_PLAN = serving.ProfilePlan(numeric=["n_orders", "mean_price", "acctbal"], log1p=["n_orders", "mean_price"],
+                                   ordinal={"order_band": ["le8", "9to11", "gt11"]},
+                                   onehot_if_binary=["acct_band"], onehot_all=["segment"])
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+OPEN_PROFILES = """profiles AS (
+  SELECT c.c_custkey AS subject_id, c.c_mktsegment AS segment,
+    CASE WHEN c.c_acctbal >= 5000 THEN 'high' ELSE 'low' END AS acct_band,
+    CASE WHEN o.n_orders <= 8 THEN 'le8' WHEN o.n_orders <= 11 THEN '9to11' WHEN o.n_orders > 11 THEN 'gt11' END AS order_band,
+    o.n_orders, c.c_acctbal AS acctbal, o.mean_price
+  FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, avg(o_totalprice) AS mean_price FROM orders
+    WHERE o_orderdate >= TIMESTAMP '2000-09-01' GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey)"""
+
+
+def _raw_train(spark, sf):
+    """Raw training rows of the split with balanced weights, read by every fit."""
+    train = materialize(_land_split(spark, sf).where("split = 'train'").drop("split"))
+    return cl.with_weights(train, cl.class_weights(train, "label"), "label")
+
+
+def _prepared_sql() -> str:
+    logged = {"n_orders": "ln(1 + CAST(n_orders AS DOUBLE))", "mean_price": "ln(1 + mean_price)", "acctbal": "acctbal"}
+    stats = ", ".join(f"avg({x}) AS m_{c}, stddev_samp({x}) AS s_{c}" for c, x in logged.items())
+    cells = ", ".join(r(f"(coalesce({x}, m_{c}) - m_{c}) / (CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END)", c)
+                      for c, x in logged.items())
+    hot = ", ".join(f"CASE WHEN segment = '{s}' THEN 1.0 ELSE 0.0 END AS \"segment_{s}\"" for s in _SEGMENTS)
+    return f"""WITH {SPLIT_SQL}, {OPEN_PROFILES}, st AS (SELECT {stats} FROM split WHERE split = 'train'),
+common AS (SELECT order_band AS band FROM split WHERE split = 'train' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT subject_id, {cells},
+  CAST(list_position(['le8', '9to11', 'gt11'], coalesce(order_band, band)) - 1 AS DOUBLE) AS order_band,
+  CASE WHEN acct_band = 'low' THEN 1.0 ELSE 0.0 END AS acct_band_low, {hot}
+FROM profiles, st, common"""
+
+
+@query("E10_E11_prepared_profiles", _prepared_sql())
+def prepared_profiles(spark, sf):
+    """Raw profiles through the stored preparation: saved, loaded, applied."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    cl.save_model(serving.fit_preparation(_raw_train(spark, sf), PROFILE_PLAN), path)
+    return round_doubles(cl.load_model(path).transform(cohorts.open_profiles(spark, sf)))
+
+
+@query("M11_raw_profiles", f"""WITH {OPEN_PROFILES}
+SELECT subject_id, true AS same, true AS verdict_fits, true AS band_fits FROM profiles""")
+def m11_raw(spark, sf):
+    """Raw profiles to verdicts by the stored model, held against the same steps taken one by one."""
+    train = _raw_train(spark, sf)
+    model = serving.fit_profile_model(train, PROFILE_PLAN, "label", "weight")
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    cl.save_model(model, path)
+    raw = cohorts.open_profiles(spark, sf)
+    out = cl.verdicts(cl.score(cl.load_model(path), raw, ["subject_id"]))
+    # Step by step: the preparation's functions on their own, then assembler and forest as fitted.
+    logged = pp.log1p_columns(train, PROFILE_PLAN.log1p)
+    sc = pp.fit_scaler(logged, PROFILE_PLAN.numeric, ddof=1)
+    kinds = list(PROFILE_PLAN.ordinal) + PROFILE_PLAN.onehot_if_binary + PROFILE_PLAN.onehot_all
+    levels = pp.fit_levels(train, PROFILE_PLAN.onehot_if_binary + PROFILE_PLAN.onehot_all)
+    one = pp.fill_with_means(pp.log1p_columns(raw, PROFILE_PLAN.log1p), sc, PROFILE_PLAN.numeric)
+    one = pp.scale(pp.impute(one, pp.fit_mode(train, kinds)), sc)
+    one = one.withColumn("order_band", pp.ordinal_encode("order_band", PROFILE_PLAN.ordinal["order_band"]))
+    one = pp.one_hot(one, levels, PROFILE_PLAN.onehot_if_binary, "if_binary")
+    one = pp.one_hot(one, levels, PROFILE_PLAN.onehot_all)
+    again = cl.score(PipelineModel(model.stages[-2:]), one, ["subject_id"]).select(
+        "subject_id", F.col("prob").alias("prob2"))
+    low, high = F.col("pct") < 40, F.col("pct") >= 60
+    fits = F.when(low, "unfavorable").when(high, "favorable").otherwise("intermediate")
+    return out.join(again, "subject_id").select(
+        "subject_id", (F.abs(F.col("prob") - F.col("prob2")) < 1e-9).alias("same"),
+        ((F.col("prob") >= 0.5) == (F.col("verdict") == "Favorable profile")).alias("verdict_fits"),
+        (F.col("band") == fits).alias("band_fits"))
+
+
+@query("M9_all_models", f"""WITH {SPLIT_SQL}, t AS (SELECT count(*) AS n_test, CAST(sum(label) AS BIGINT) AS n_positive
+  FROM split WHERE split = 'test'), maj AS (SELECT label AS m FROM split WHERE split = 'train' GROUP BY label
+  ORDER BY count(*) DESC, label LIMIT 1),
+b AS (SELECT {r('avg(CASE WHEN label = m THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM split, maj WHERE split = 'test')
+SELECT name AS model, n_test, n_positive, CASE WHEN name = 'majority' AND n_positive BETWEEN 1 AND n_test - 1 THEN 0.5::DOUBLE END AS base_auc,
+  CASE WHEN name = 'majority' THEN accuracy END AS base_accuracy, true AS auc_agrees, true AS accuracy_agrees
+FROM t, b, (VALUES ('majority'), ('forest'), ('boosting')) v(name)""")
+def m9_all(spark, sf):
+    """Baseline, forest and boosting on one test set. The numbers of the comparison are
+    held against plain SQL over the stored scores: mid-ranks for the AUC, a count for the accuracy."""
+    table, features = _model_frame(spark, sf)
+    train, test = table.where("split = 'train'"), table.where("split = 'test'")
+    weights = cl.class_weights(train, "label")
+    forest = cl.random_forest(cl.with_weights(train, weights, "label"), features, "label")
+    ratio = weights.select("neg_pos_ratio").first()[0]
+    boosted = cl.boosting(train.withColumn("weight", F.when(F.col("label") == 1, F.lit(ratio)).otherwise(1.0)),
+                          features, "label", rounds=20)
+    keep = ["subject_id", "label"]
+    scored = {"majority": cl.baseline_scores(test.select(*keep), cl.majority_class(train, "label")),
+              "forest": materialize(cl.score(forest, test, keep)), "boosting": materialize(cl.score(boosted, test, keep))}
+    found = cl.compare_models(scored)
+    rows = None
+    for name, df in scored.items():
+        part = df.select(F.lit(name).alias("model"), "label", "prob", "prediction")
+        rows = part if rows is None else rows.unionByName(part)
+    rows.createOrReplaceTempView("riskset_scores")
+    plain = spark.sql("""WITH c AS (SELECT model, prob, count(*) n, sum(label) pos, sum(if(label = prediction, 1, 0)) hit
+        FROM riskset_scores GROUP BY model, prob),
+      k AS (SELECT *, sum(n) OVER (PARTITION BY model ORDER BY prob) - n + (n + 1) / 2.0D AS mid FROM c)
+      SELECT model, sum(n) n_test, sum(pos) n_positive, sum(hit) / sum(n) AS acc,
+        try_divide(sum(pos * mid) - sum(pos) * (sum(pos) + 1) / 2.0D, cast(sum(pos) AS double) * (sum(n) - sum(pos))) AS area
+      FROM k GROUP BY model""")
+    near = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) < 1e-9, F.col(a).isNull() & F.col(b).isNull())
+    base = F.col("model") == "majority"
+    return round_doubles(found.join(plain, "model").select(
+        "model", F.col("n_test").cast("long").alias("n_test"), F.col("n_positive").cast("long").alias("n_positive"),
+        F.when(base, F.col("auc")).alias("base_auc"), F.when(base, F.col("accuracy")).alias("base_accuracy"),
+        near("auc", "area").alias("auc_agrees"), near("accuracy", "acc").alias("accuracy_agrees")))
+
+
 @query("M6_classification_report", f"""WITH {DOC_SCORE_SQL},
 cm AS (SELECT label AS actual, prediction AS predicted, count(*) AS n FROM docs GROUP BY 1, 2),
 cls AS (SELECT actual AS c FROM cm UNION SELECT predicted FROM cm),
@@ -295,3 +408,18 @@ def a23(spark, sf):
     med = sv.survival_quantile(sv.kaplan_meier(c), None, 0.5, "median_survival")
     auc = cl.roc_auc(c.select(F.col("event").alias("label"), F.col("n_orders").cast("double").alias("prob")))
     return round_doubles(attach_one_row(attach_one_row(head, med), auc))
+
+
+@query("A23_kpi_model_auc", f"""WITH {SPLIT_SQL}, {km_sql('churn', [])}
+SELECT (SELECT count(*) FROM churn) AS n, {r('(SELECT avg(event) FROM churn)', 'event_rate')},
+       {r('(SELECT min(CASE WHEN survival <= 0.5 THEN t END) FROM km)', 'median_survival')},
+       (SELECT count(*) FROM split WHERE split = 'test') AS n_scored, true AS auc_in_range""")
+def a23_model(spark, sf):
+    """The KPI row with the AUC of the fitted forest on the test rows."""
+    c = cohorts.churn(spark, sf)
+    model = serving.fit_profile_model(_raw_train(spark, sf), PROFILE_PLAN, "label", "weight")
+    test = _land_split(spark, sf).where("split = 'test'")
+    scored = materialize(cl.score(model, test, ["subject_id", "label"]))
+    row = cl.kpi_row(c, scored)
+    return round_doubles(row.select("n", "event_rate", "median_survival", "n_scored",
+                                    F.coalesce(F.col("auc").between(0.0, 1.0), F.lit(True)).alias("auc_in_range")))

@@ -20,6 +20,7 @@ ACCTBAL_SPLIT = 5000.0               # c_acctbal >= 5000 -> 'high'
 ORDER_BANDS = ("le8", "9to11", "gt11")  # n_orders <= 8, 9..11, > 11
 ITEM_ORIGIN = "1995-01-01"           # X_ITEM durations count days from here
 LANDMARK_DAYS = 1825                 # five years
+PROFILE_FROM = "2000-09-01"          # open profiles know the orders since then
 
 
 def churn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,3 +86,21 @@ def landmark(spark: SparkSession, sf_dir: str, mode: str = "as_documented",
     from riskset.operators.relational import landmark_eligible, landmark_label
     c = landmark_eligible(churn(spark, sf_dir), days)
     return c.withColumn("label", landmark_label(days, mode))
+
+
+def open_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw profiles to score: every customer, with what their late orders tell.
+
+    Without an order since ``PROFILE_FROM``, the number, mean price and band of
+    orders are unknown (null), as on a form that was filled in part.
+    """
+    late = (driver_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+            .where(F.col("o_orderdate") >= F.lit(PROFILE_FROM).cast("timestamp")).groupBy("o_custkey").agg(
+        F.count(F.lit(1)).cast("long").alias("n_orders"), F.avg("o_totalprice").alias("mean_price")))
+    customer = driver_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return customer.join(late, customer.c_custkey == late.o_custkey, "left").select(
+        F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("segment"),
+        F.when(F.col("c_acctbal") >= ACCTBAL_SPLIT, "high").otherwise("low").alias("acct_band"),
+        F.when(F.col("n_orders") <= 8, ORDER_BANDS[0]).when(F.col("n_orders") <= 11, ORDER_BANDS[1])
+         .when(F.col("n_orders") > 11, ORDER_BANDS[2]).alias("order_band"),
+        "n_orders", F.col("c_acctbal").alias("acctbal"), "mean_price")
