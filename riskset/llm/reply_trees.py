@@ -106,21 +106,22 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
 def render(turns: DataFrame, keys: list[str], learn: str = "assistant") -> DataFrame:
     """(keys, pos, role, text) -> (keys, formatted, loss_spans): a row per conversation.
 
-    ``loss_spans`` are (start, length) in code points of the formatted text.
+    ``loss_spans`` are (start, length, turn, within): code points of the
+    formatted text, and the same start as a turn (from 0) and a place in it.
+    The work is linear in the turns: starts are a running sum of their lengths.
     """
-    each = F.struct("pos", F.replace(_escape(F.col("role")), F.lit("\n"), F.lit("\\2")).alias("role"),
-                    _escape(F.col("text")).alias("text"), (F.col("role") == learn).alias("learn"))
-    df = turns.groupBy(*keys).agg(F.sort_array(F.collect_list(each)).alias("_t"))
-    df = df.withColumn("_parts", F.transform("_t", lambda t: F.concat(
-        F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE))))
-    # Start of each turn: running sum of the lengths before it.
-    df = df.withColumn("_starts", F.aggregate(
-        "_parts", F.array(F.lit(0).cast("long")),
-        lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p)))))
-    spans = F.filter(F.zip_with("_t", "_starts", lambda t, s: F.when(t["learn"], F.struct(
-        (s + len(OPEN) + F.length(t["role"]) + 1).alias("start"), F.length(t["text"]).cast("long").alias("length")))),
-        lambda x: x.isNotNull())
-    return df.select(*keys, F.concat_ws("", "_parts").alias("formatted"), spans.alias("loss_spans"))
+    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    role = F.replace(_escape(F.col("role")), F.lit("\n"), F.lit("\\2"))
+    parts = turns.select(*keys, "pos", F.concat(F.lit(OPEN), role, F.lit("\n"), _escape(F.col("text")), F.lit(CLOSE)).alias("part"),
+                         (F.length(role) + len(OPEN) + 1).alias("within"), (F.col("role") == learn).alias("learn"))
+    parts = parts.withColumn("at", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)).cast("long"))
+    each = F.struct("pos", "at", "within", "learn", "part")
+    df = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(each)).alias("_t"))
+    spans = F.filter(F.transform("_t", lambda t, i: F.when(t["learn"], F.struct(
+        (t["at"] + t["within"]).alias("start"),
+        (F.length(t["part"]) - t["within"] - len(CLOSE)).cast("long").alias("length"),
+        i.alias("turn"), t["within"].alias("within")))), lambda x: x.isNotNull())
+    return df.select(*keys, F.concat_ws("", F.col("_t.part")).alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -137,9 +138,15 @@ def read_back(formatted: Column) -> Column:
 
 
 def under_mask(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.concat_ws("", F.transform(spans, lambda s: _unescape(
-        F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))))
+    """All text under the loss mask, unescaped, nothing between.
+
+    The text is split into its turns once; a span is cut out of its turn.
+    """
+    def cut(pieces: Column) -> Column:
+        return F.concat_ws("", F.transform(spans, lambda s: _unescape(
+            F.substr(F.get(pieces, s["turn"]), s["within"] + 1, s["length"].cast("int")))))
+
+    return F.transform(F.array(F.split(formatted, CLOSE, -1)), cut)[0]     # the split is bound, not repeated
 
 
 def linear(conversations: DataFrame) -> DataFrame:

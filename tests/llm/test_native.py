@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import brute_llm as brute
 import corpus_pipeline
@@ -176,6 +177,38 @@ def test_chat_null_keys(spark, tmp_path):
                             (None, None, 4.0, 2, "c"), (2, None, 1.0, 1, "r")], key=repr)
 
 
+def test_chat_long_conversation(spark):
+    """80,000 turns in linear time; spans name the same text by place and by turn."""
+    n = 80_000
+    turns = spark.range(1, n + 1, numPartitions=4).select(
+        F.lit(9).alias("conv_id"), F.col("id").alias("pos"),
+        F.when(F.col("id") % 2 == 0, "assistant").otherwise("user").alias("role"),
+        F.concat(F.lit("\\ <\u00fc\U0001f600> \n"), F.col("id").cast("string")).alias("text"))
+    chats = reply_trees.render(turns, ["conv_id"])
+    row = chats.select("formatted", "loss_spans", reply_trees.read_back(F.col("formatted")).alias("turns"),
+                       reply_trees.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [t["text"] for t in row["turns"]] == [f"\\ <\u00fc\U0001f600> \n{i}" for i in range(1, n + 1)]
+    want = [f"\\ <\u00fc\U0001f600> \n{i}" for i in range(2, n + 1, 2)]
+    assert row["loss"] == "".join(want)
+    plain = [row["formatted"][s["start"]:s["start"] + s["length"]].replace("\\1", "<").replace("\\0", "\\")
+             for s in row["loss_spans"]]
+    assert plain == want
+
+
+def test_chat_ties_clashing_columns_and_null_texts(spark, tmp_path):
+    """Repeated rows, turns that share a number, a null text, and columns named as the operator's own."""
+    rows = [(1, 0, "user", "q", 1, "x"), (1, 0, "user", "q", 2, "y"), (1, 1, "assistant", None, 3, "z"),
+            (1, 1, "assistant", "b", 4, "z"), (2, 5, None, "<turn>", 5, "z"), (2, 5, "assistant", "", 6, "z")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pos int, part string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = queries.QUERIES["op10_reply_tree_chats"](spark, str(tmp_path))
+    want = con.execute(queries.ORACLES["op10_reply_tree_chats"])
+    names = [d[0] for d in want.description]
+    assert rows_of(got.select(*names)) == sorted(want.fetchall(), key=repr)
+
+
 def test_pipeline_against_plain_python(spark):
     """The stages one after the other; the mix follows its own SQL oracle, which test_oracle checks."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
