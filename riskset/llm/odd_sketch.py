@@ -21,7 +21,8 @@ first, in the block of the first band they share; a confirmed link joins two
 components, so a block gives fewer links than it has nodes. Pairs inside one
 component need no link.
 
-Node names are 64 bits of a 128-bit digest of the set.
+A node is the 128-bit digest of its set. Its name is one half of it; where two
+sets share that half, both are renamed by the whole digest.
 
 Defined cases: null text, or a text without words, has the empty set, is
 linked with nothing and is its own component; fewer words than five are one
@@ -115,19 +116,20 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _node(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+def _halves(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _features(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces.steps(batch):
-                size, node, bands, sketch, seen = [], [], [], [], {}
+                size, node, rest, bands, sketch, seen = [], [], [], [], [], {}
                 for s in sets(part.column("text"), shingle):
                     size.append(len(s))
                     if not len(s):
                         node.append(None)
+                        rest.append(None)
                         bands.append(None)
                         sketch.append(None)
                         continue
@@ -135,30 +137,26 @@ def _features(shingle: int):
                     if digest not in seen:                    # copies within the batch
                         values = minhash(s)
                         seen[digest] = band_keys(values), odd_sketch(values)
-                    node.append(_node(digest))
+                    low, high = _halves(digest)
+                    node.append(low)
+                    rest.append(high)
                     bands.append(seen[digest][0])
                     sketch.append(seen[digest][1])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("_th"), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
-                     pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                    names=["doc_id", "_th", "n_shingles", "node", "bands", "sketch"])
+                     pa.array(rest, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                    names=["doc_id", "_th", "n_shingles", "node", "_rest", "bands", "sketch"])
     return run
 
 
 def _node_sets(shingle: int):
-    """The sets of the texts whose node is asked for."""
+    """(node, text) -> (node, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces.steps(batch):
-                node, own = [], []
-                for s, want in zip(sets(part.column("text"), shingle), part.column("wanted").to_pylist(), strict=True):
-                    name = _node(_digest(s)) if len(s) else None
-                    if name in want:
-                        node.append(name)
-                        own.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(own, pa.binary())],
-                                                 names=["node", "set"])
+                own = [s.tobytes() for s in sets(part.column("text"), shingle)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.binary())], names=["node", "set"])
     return run
 
 
@@ -218,10 +216,16 @@ def _hinted(df: DataFrame) -> DataFrame:
 
 def _full_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """Stored (node, set) of the wanted nodes, from the text of each node's first document."""
-    first = stored(nodes.select("node", "first").join(wanted, "node").groupBy("first").agg(
-        F.collect_list("node").alias("wanted")).withColumnRenamed("first", "doc_id"), "wanted")
-    return stored(texts.join(_hinted(first), "doc_id").mapInArrow(_node_sets(shingle), "node long, set binary")
-                  .dropDuplicates(["node"]), "sets")
+    one = stored(nodes.join(wanted, "node").select("one.*", "node"), "wanted")
+    found = texts.join(_hinted(one), KEY).select("node", "text").dropDuplicates(["node"])
+    return stored(found.mapInArrow(_node_sets(shingle), "node long, set binary"), "sets")
+
+
+def _named(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows whose node name several digests share are renamed by the whole digest."""
+    side = _hinted(shared).withColumn("_shared", F.lit(True))
+    name = F.when(F.col("_shared"), F.xxhash64("node", "_rest")).otherwise(F.col("node"))
+    return rows.join(side, "node", "left").withColumn("node", name).drop("_shared", "_rest")
 
 
 def classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
@@ -230,11 +234,13 @@ def classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataF
     ``kept`` goes by the doc_id; ``chosen`` is one (doc_id, _th) of each component.
     """
     texts = docs.select(key_id(), F.col("text").cast("string"), _hash())
-    rows = stored(texts.mapInArrow(_features(shingle), "doc_id long, _th long, n_shingles long, node long, "
+    rows = stored(texts.mapInArrow(_features(shingle), "doc_id long, _th long, n_shingles long, node long, _rest long, "
                                    "bands array<long>, sketch array<long>"), "features")
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "_th")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
+    digests = stored(rows.where("node is not null").groupBy("node", "_rest").agg(
+        F.min(F.struct("doc_id", "_th")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch")), "nodes")
+    shared = stored(digests.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("node"), "shared")
+    nodes, rows = _named(digests, shared), _named(rows, shared)
     max_odd = max_odd_bits(percent / 100 - MARGIN)
     banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("ordinal", "band"))
     hubs = stored(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_last"))
@@ -296,7 +302,7 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each component, all columns as they were: the smallest doc_id, of its texts the smallest hash.
 
-    Of rows that agree in this doc_id and in the text one is kept.
+    Of rows that agree in this doc_id and in the text one is kept, the first by a digest of all columns.
     """
     judged = stored(classes(docs, percent).select(*KEY, "chosen"), "judged")
     gone = stored(judged.where(~F.col("chosen")).select(*KEY).distinct(), "gone")
@@ -305,5 +311,5 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), key_id(), _hash())
     left = packed.join(_hinted(gone), KEY, "left_anti").join(_hinted(twice), KEY, "left")
     once = left.where("_twice is null").select("_row.*")
-    first = left.where("_twice").dropDuplicates(KEY).select("_row.*")
+    first = left.where("_twice").groupBy(*KEY).agg(F.min_by("_row", F.md5(F.to_json("_row"))).alias("_row")).select("_row.*")
     return once.unionByName(first)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import brute_llm as brute
 from riskset.llm import ctw, doubling, huffman, odd_sketch, patience, queries, token_counts
@@ -116,6 +117,43 @@ def test_near_keep_one_shared_ids(spark):
     assert sorted(str(r["doc_id"]) for r in got) == ["3", "7", "9", "None"]
 
 
+def test_near_keep_one_is_settled(spark):
+    """Rows that agree in id and text, but not in the source: the same one however they are dealt."""
+    rows = [(1, "one text of a few words", f"s{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {tuple(map(str, odd_sketch.keep_one(df.repartition(n).orderBy(F.rand(n))).first())) for n in (1, 5, 9)}
+    assert len(kept) == 1
+
+
+def test_near_shared_halves(spark, monkeypatch):
+    """Sets whose digests agree in the half that names them stay apart."""
+    plain = odd_sketch._digest
+    monkeypatch.setattr(odd_sketch, "_digest", lambda s: b"12345678" + plain(s)[8:])
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(f"{w}x{i // 3}" for w in base) + (f" end{i}" if i % 3 else "")) for i in range(12)]
+    rows += [(40, rows[0][1]), (41, "a b"), (42, "A B")]
+    got = rows_of(odd_sketch.digest_rows(spark.createDataFrame(rows, SCHEMA)))
+    assert got == sorted(brute.near_classes(rows), key=repr) and {r[2] for r in got} == {0, 3, 6, 9, 41}
+
+
+def test_near_many_null_ids(spark):
+    """Documents without an id are nodes of their own: links between them as between others."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(600):
+        w = list(base)
+        w[rng.randrange(80)] = f"z{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(w))
+    with_ids = odd_sketch.classes(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
+    without = odd_sketch.classes(spark.createDataFrame([(None, t) for t in texts], SCHEMA))
+
+    def shape(df):
+        joined = df.groupBy("node").count()
+        return sorted(map(tuple, joined.collect()))
+    assert shape(with_ids) == shape(without) and without.where("chosen").count() == with_ids.where("chosen").count()
+
+
 def test_near_fixture(spark, tables):
     got = rows_of(queries.QUERIES["op4_odd_sketch_near_dedup"](spark, "/root/testdata/sf0.001"))
     assert got == sorted(brute.near_classes(tables["documents"]), key=repr)
