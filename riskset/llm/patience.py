@@ -1,20 +1,22 @@
 """Line dedup by pairwise alignment.
 
-Lines with a word are hashed. A line that several documents hold points each
-of them to the first document that holds it, so every overlapping document is
-paired with the document its lines come from, and a line held by thousands of
-documents makes one pair for each of them, not a pair for every two. Pairs are
-aligned with patience diff over their repeated lines: lines that are rare in
-the strict sense, once in either document, and keep their order (a longest
-increasing subsequence) anchor the alignment, which goes on between anchors
-and along equal neighbours. Aligned blocks are deleted from the later document.
+Lines with a word are named by 128 bits. A line that several documents hold
+points each of them to the first document that holds it, so every overlapping
+document is paired with the document its lines come from, and a line held by
+thousands of documents makes one pair for each of them, not a pair for every
+two. Pairs are aligned with patience diff over their repeated lines: those that
+are once in either document and keep their order (a longest increasing
+subsequence) anchor the alignment, which goes on between anchors and along
+equal neighbours. Aligned blocks are deleted from the later document.
 
 ``every_holder`` goes on until each line was aligned with all its earlier
 holders or is deleted, so that the result is that of aligning all overlapping
 pairs. Documents with one sequence of repeated lines are a class: the later
-ones align as a whole with its first, and only firsts are compared. Holders of
-a line that is left are numbered and asked for in growing steps, so a pair is
-made only while a line of it is left.
+ones align as a whole with its first, and only firsts are compared. Lines that
+are left find further documents through rare lines first: a line of at most
+``RARE`` holders asks for all of them at once. Common lines that no such pair
+explained then ask for their holders in growing chunks, dealt by the holder's
+hash, so a pair is made only while a line of it is left; none is ever skipped.
 
 Texts equal as a whole are one text: the later copies lose all their lines.
 Lines that no other document holds cannot align and are left out of the
@@ -34,14 +36,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskset.llm.common import BLANKS, is_small, key_id, later_copies, plain_id, stored
 
 KEY = ["doc_id", "_th"]
 MIN_BLOCK = 1                # lines in a block that is deleted
-STEP, WIDER = 2, 4           # holders of a line that are asked for at first, and growth by round
+RARE = 64                    # holders of a rare line; of a common line, holders asked for at first
+WIDER = 8                    # growth of that by round
+LINE = ["h", "g"]            # a line's name: 128 bits of two hashes
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -65,7 +69,7 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def align(a: list, b: list) -> list[tuple[int, int]]:
     """Patience diff: pairs of places of equal lines, increasing in both."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -91,10 +95,10 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def deleted(own: list[tuple[int, int]], other: list[tuple[int, int]], least: int = MIN_BLOCK) -> list[int]:
+def deleted(own: list[tuple], other: list[tuple], least: int = MIN_BLOCK) -> list[int]:
     """Places of the lines of ``own`` in aligned blocks of at least ``least`` lines.
 
-    Both are (place, hash) lists; a block is a run of aligned lines that are
+    Both are (place, name) lists; a block is a run of aligned lines that are
     neighbours in both documents.
     """
     pairs = [(own[i][0], other[j][0]) for i, j in align([h for _, h in own], [h for _, h in other])]
@@ -112,7 +116,7 @@ def deleted(own: list[tuple[int, int]], other: list[tuple[int, int]], least: int
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        places = [deleted([(x["pos"], x["h"]) for x in own], [(x["pos"], x["h"]) for x in other])
+        places = [deleted(*([(x["pos"], (x["h"], x["g"])) for x in side] for side in (own, other)))
                   for own, other in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("_th"), pa.array(places, pa.list_(pa.int32()))],
@@ -131,60 +135,72 @@ def _hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
-def _places(found: DataFrame, *more: Column) -> DataFrame:
-    return found.groupBy(*KEY).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), *more)
+def _places(found: DataFrame) -> DataFrame:
+    return found.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
 
-def _numbered(holders: DataFrame) -> DataFrame:
-    """(h, m, cls) -> stored (h, m, cls, r): numbers from 0 in the order of (m, cls) for each h.
+def _names(own: Column) -> Column:
+    return F.transform(own, lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g")))
+
+
+def _left(docs: DataFrame) -> DataFrame:
+    """(doc_id, _th, h, g): the lines of ``docs`` that are not deleted yet."""
+    rest = F.filter("own", lambda x: ~F.array_contains("places", x["pos"]))
+    return docs.where(F.size("own") > F.size("places")).select(
+        *KEY, F.explode(F.array_distinct(_names(rest))).alias("_l")).select(*KEY, "_l.*")
 
-    Dealt by ranges of all three, so that a line's holders are spread over tasks.
-    """
-    dealt = stored(holders.repartitionByRange("h", "m", "cls").withColumn("part", F.spark_partition_id()), "dealt")
-    inside = Window.partitionBy("h", "part").orderBy("m", "cls")
-    ahead = Window.partitionBy("h").orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("m", "cls")).alias("least"))
-    parts = stored(parts.select("h", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead")), "parts")
-    r = (F.row_number().over(inside) - 1 + F.col("ahead")).cast("long")
-    return stored(dealt.join(_hinted(parts), ["h", "part"]).select("h", "m", "cls", r.alias("r")), "numbered")
+
+def _compared(docs: DataFrame, pairs: DataFrame, other: DataFrame) -> DataFrame:
+    """``docs`` with the places that align in ``pairs`` (doc_id, _th, own, o_doc, o_th) added, stored."""
+    met = pairs.join(other, ["o_doc", "o_th"]).select(*KEY, "own", "other")
+    found = met.mapInArrow(_aligned, "doc_id long, _th long, places array<int>")
+    # Added by one grouping of the documents with what was found.
+    rows = docs.select(*KEY, "own", "places").unionByName(found, allowMissingColumns=True)
+    return stored(rows.groupBy(*KEY).agg(F.first("own", ignorenulls=True).alias("own"), F.array_distinct(
+        F.flatten(F.collect_list("places"))).alias("places")), "docs")
 
 
-def _all_holders(lists: DataFrame, own: DataFrame) -> DataFrame:
-    """Documents with lines left by ``own`` -> (doc_id, _th, places) after all their earlier holders.
+def _all_holders(lists: DataFrame) -> DataFrame:
+    """(doc_id, _th, own, firsts) -> (doc_id, _th, places) after all earlier holders of each line.
 
     With blocks of one line the places between repeated lines do not matter,
-    so one document of each class answers for all of it.
+    so the first document of each class answers for all of it.
     """
-    named = stored(lists.withColumn("cls", F.xxhash64(F.transform("own", lambda x: x["h"]))), "named")
-    classes = stored(named.groupBy("cls").agg(F.min("doc_id").alias("m"), F.first("own").alias("own")), "classes")
-    rest = named.join(own.select(*KEY, "places"), KEY).where(F.size("own") > F.size("places"))
-    rest = stored(rest.join(_hinted(stored(classes.select("cls", "m"), "least")), "cls"), "rest")
-    whole = rest.where("doc_id > m").select(*KEY, F.transform("own", lambda x: x["pos"]).alias("places"))
-    docs = rest.where("doc_id = m").select(*KEY, "cls", "own", "places")
-
-    def lines_left(df: DataFrame) -> DataFrame:
-        return df.select(*KEY, "cls", F.explode(F.array_distinct(F.transform(F.filter(
-            "own", lambda x: ~F.array_contains("places", x["pos"])), lambda x: x["h"]))).alias("h"))
-
-    left = stored(lines_left(docs), "left")
-    asked = _hinted(stored(left.select("h").distinct(), "asked"))
-    holders = classes.select("m", "cls", F.explode(F.array_distinct(F.transform("own", lambda x: x["h"]))).alias("h"))
-    numbered = _numbered(holders.join(asked, "h"))
-    left = stored(left.join(numbered.select("h", "cls", F.col("r").alias("end")), ["h", "cls"]), "left")
-    other = classes.select(F.col("cls").alias("o_cls"), F.col("own").alias("other"))
-    at, step = 0, STEP
-    while not (left := left.where(F.col("end") > at)).isEmpty():
-        upto = F.least(F.col("end"), F.lit(at + step)) - 1
-        next_ = left.withColumn("r", F.explode(F.sequence(F.lit(at).cast("long"), upto)))
-        pairs = next_.join(numbered.select("h", "r", "m", F.col("cls").alias("o_cls")), ["h", "r"]).where(
-            "m < doc_id").select(*KEY, "o_cls").distinct()
-        met = pairs.join(docs.select(*KEY, "own"), KEY).join(other, "o_cls").select(*KEY, "own", "other")
-        found = met.mapInArrow(_aligned, "doc_id long, _th long, places array<int>")
-        more = _places(found).withColumnRenamed("places", "_more")
-        docs = stored(docs.join(more, KEY, "left").withColumn("places", F.array_union(
-            "places", F.coalesce("_more", F.array().cast("array<int>")))).drop("_more"), "docs")
+    classes = stored(lists.groupBy("cls").agg(F.min("doc_id").alias("m")), "classes")
+    named = lists.join(_hinted(classes), "cls")
+    whole = named.where("doc_id > m").select(*KEY, F.transform("own", lambda x: x["pos"]).alias("places"))
+    reps = stored(named.where("doc_id = m").select(*KEY, "own", "firsts"), "reps")
+    other = _hinted(stored(reps.select(F.col("doc_id").alias("o_doc"), F.col("_th").alias("o_th"), F.col("own").alias("other")),
+                           "others"))
+    nothing = F.array().cast("array<int>").alias("places")
+    first = reps.select(*KEY, "own", F.explode("firsts").alias("_f")).select(
+        *KEY, "own", F.col("_f.doc_id").alias("o_doc"), F.col("_f._th").alias("o_th"))
+    docs = _compared(reps.select(*KEY, "own", nothing), first, other)
+
+    # Holders of the lines that are left: each has a slot by its hash among as many as there are.
+    asked = _hinted(stored(_left(docs).select(*LINE).distinct(), "asked"))
+    lines = reps.select(F.col("doc_id").alias("o_doc"), F.col("_th").alias("o_th"),
+                        F.explode(F.array_distinct(_names(F.col("own")))).alias("_l")).select("o_doc", "o_th", "_l.*")
+    holders = stored(lines.join(asked, LINE), "holders")
+    counts = _hinted(stored(holders.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts"))
+    spread = F.pmod(F.xxhash64("o_doc", "o_th"), F.col("n"))
+    slots = _hinted(stored(holders.join(counts, LINE).select("o_doc", "o_th", *LINE, spread.alias("slot")), "slots"))
+
+    def ask(docs: DataFrame, left: DataFrame, at: int, upto: Column) -> DataFrame:
+        wanted = left.withColumn("slot", F.explode(F.sequence(F.lit(at).cast("long"), upto - 1)))
+        pairs = wanted.join(slots, [*LINE, "slot"]).where("o_doc < doc_id").select(*KEY, "o_doc", "o_th").distinct()
+        return _compared(docs, pairs.join(_hinted(docs.select(*KEY, "own")), KEY), other)
+
+    def waiting(docs: DataFrame) -> DataFrame:
+        return _left(docs).join(counts, LINE)
+
+    rare = waiting(docs).where(F.col("n") <= RARE)
+    if not rare.isEmpty():
+        docs = ask(docs, rare, 0, F.col("n"))
+    at, step = 0, RARE
+    while not (common := waiting(docs).where((F.col("n") > RARE) & (F.col("n") > at))).isEmpty():
+        docs = ask(docs, common, at, F.least("n", F.lit(at + step)))
         at, step = at + step, step * WIDER
-        left = stored(left.where(F.col("end") > at).join(lines_left(docs), [*KEY, "cls", "h"]), "left")
     return whole.unionByName(docs.select(*KEY, "places"))
 
 
@@ -193,24 +209,29 @@ def overlaps(texts: DataFrame, every_holder: bool = False) -> DataFrame:
     later = later_copies(texts)
     once = texts.join(_hinted(later), KEY, "left_anti")
     full = F.filter(_lines(F.col("text")), _with_word)
-    lines = stored(once.select(*KEY, F.posexplode(F.transform(full, lambda x: F.xxhash64(x))).alias("pos", "h")), "lines")
+    lines = stored(once.select(*KEY, F.posexplode(F.transform(full, lambda x: F.struct(
+        F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")))).alias("pos", "_l")).select(*KEY, "pos", "_l.*"), "lines")
     me = F.struct(*KEY)
     # Stored before the join, whose sides are then plain shuffles: adaptive
     # execution can split a line that a third of all documents hold.
-    firsts = stored(lines.groupBy("h").agg(F.min(me).alias("first"), F.max(me).alias("last"))
-                    .where("first <> last").select("h", "first"), "firsts")
-    repeated = stored(lines.join(firsts, "h"), "repeated")
-    pairs = repeated.where(F.col("first.doc_id") < F.col("doc_id")).select(
-        *KEY, F.col("first.doc_id").alias("o_doc"), F.col("first._th").alias("o_th")).distinct()
-    lists = stored(repeated.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("own")), "lists")
-    other = lists.select(F.col("doc_id").alias("o_doc"), F.col("_th").alias("o_th"), F.col("own").alias("other"))
-    met = pairs.join(lists, KEY).join(other, ["o_doc", "o_th"]).select(*KEY, "own", "other")
-    found = met.mapInArrow(_aligned, "doc_id long, _th long, places array<int>")
-    own = _places(found, F.count(F.lit(1)).alias("partners"))
+    firsts = stored(lines.groupBy(*LINE).agg(F.min(me).alias("first"), F.max(me).alias("last"))
+                    .where("first <> last").select(*LINE, "first"), "firsts")
+    earlier = F.when(F.col("first.doc_id") < F.col("doc_id"), F.col("first"))
+    lists = lines.join(_hinted(firsts), LINE).groupBy(*KEY).agg(
+        F.sort_array(F.collect_set(F.struct("pos", *LINE))).alias("own"), F.collect_set(earlier).alias("firsts"))
+    sequence = F.concat_ws(" ", F.transform("own", lambda x: F.concat_ws(":", x["h"].cast("string"), x["g"].cast("string"))))
+    lists = stored(lists.withColumn("cls", F.md5(sequence)) if every_holder else lists, "lists")
+    partners = lists.select(*KEY, F.size("firsts").cast("long").alias("partners")).where("partners > 0")
     if every_holder:
-        own = stored(own, "own")
-        all_ = stored(_all_holders(lists, own).withColumnRenamed("places", "_all"), "all")
-        own = own.join(all_, KEY, "left").select(*KEY, F.coalesce("_all", "places").alias("places"), "partners")
+        found = stored(_all_holders(lists), "all").where(F.size("places") > 0)
+    else:
+        other = lists.select(F.col("doc_id").alias("o_doc"), F.col("_th").alias("o_th"), F.col("own").alias("other"))
+        pairs = lists.select(*KEY, "own", F.explode("firsts").alias("_f")).select(
+            *KEY, "own", F.col("_f.doc_id").alias("o_doc"), F.col("_f._th").alias("o_th"))
+        found = _places(pairs.join(other, ["o_doc", "o_th"]).select(*KEY, "own", "other").mapInArrow(
+            _aligned, "doc_id long, _th long, places array<int>"))
+    own = partners.join(found, KEY, "left").select(
+        *KEY, F.coalesce("places", F.array().cast("array<int>")).alias("places"), "partners")
     whole = later.select(*KEY, F.lit(None).cast("array<int>").alias("places"), F.lit(1).cast("long").alias("partners"))
     return stored(own.unionByName(whole), "overlaps")
 

@@ -111,8 +111,8 @@ def _patience(a, b, ao=0, bo=0):
     return out
 
 
-def line_dedup(rows):
-    """Align each text with the first holders of its lines; lines that no other text holds are left out."""
+def line_dedup(rows, every=False):
+    """Align each text with the first (or with all earlier) holders of its lines; lines that no other text holds are left out."""
     once, later = {}, []
     for doc, text in sorted(rows, key=lambda r: r[0]):
         if once.get(text or "", doc) < doc:
@@ -131,10 +131,9 @@ def line_dedup(rows):
         mine = [x for x in own if x in shared]
         others = {min(holders[x], key=lambda h: h[0]) for x in mine}
         gone = set()
-        partners = 0
-        for o in others:
+        partners = sum(o[0] < t[0] for o in others)
+        for o in {h for x in mine for h in holders[x]} if every else others:
             if o[0] < t[0]:
-                partners += 1
                 kept = [i for i, x in enumerate(own) if x in shared]
                 theirs = [x for x in lines[o] if x in shared]
                 gone |= {kept[i] for i, _ in _patience(mine, theirs)}

@@ -252,3 +252,23 @@ def test_line_dedup_every_holder(spark, empty):
     assert kept[2].count("\n") == 3
     assert kept[29] == "own 29\nend 29"
     assert patience.dedup(empty, every_holder=True).count() == 0
+
+
+def test_line_dedup_registered_mode(spark, tables):
+    """Whole results, texts included, against aligning all overlapping pairs; rows that repeat count once."""
+    docs = tables["documents"]
+    got = patience.dedup(spark.createDataFrame(docs, SCHEMA), every_holder=True)
+    assert rows_of(got) == sorted(brute.line_dedup(docs, every=True), key=repr)
+    twice = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x\nb\na"), (2, "x\nb\na"), (3, None), (3, "")]
+    got = patience.dedup(clashing(spark, twice), every_holder=True)
+    assert rows_of(got) == sorted(brute.line_dedup(twice, every=True), key=repr)
+
+
+def test_line_dedup_common_lines(spark, monkeypatch):
+    """A line with more holders than a rare one has them all asked for, in chunks."""
+    monkeypatch.setattr(patience, "RARE", 2)
+    monkeypatch.setattr(patience, "WIDER", 2)
+    rng = random.Random(8)
+    rows = [(i, "\n".join([*(rng.sample("abcdefgh", 5)), f"own {i}", *rng.choices("abcdefgh", k=2)])) for i in range(60)]
+    got = patience.dedup(clashing(spark, rows), every_holder=True)
+    assert rows_of(got) == sorted(brute.line_dedup(rows, every=True), key=repr)
