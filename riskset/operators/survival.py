@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskset.functions.stats import Z95, chi2_sf_col
-from riskset.operators.prefix import (
-    BROADCAST_KEY_LIMIT, BROADCAST_ROW_LIMIT, assign_buckets, keys_bounded, running_sums)
+from riskset.operators import logrank_sparse
+from riskset.operators.prefix import BROADCAST_ROW_LIMIT, assign_buckets, default_buckets, keys_bounded, running_sums
 from riskset.session import materialize
 
 BLOCK_CELLS = 1 << 21  # cells of a time x level block in a task's memory
+DENSE_LEVELS = 512     # more levels of a variable are tested without a level x level matrix
 
 
 def _strata(strata: str | Sequence[str] | None) -> list[str]:
@@ -147,23 +148,32 @@ def _melt_strata(cohort: DataFrame, variables: Sequence[str], duration: str, eve
             .where(F.col("t").isNotNull() & F.col("_e").isNotNull() & F.col("level").isNotNull()))
 
 
-def _logrank_blocks(cohort: DataFrame, variables: Sequence[str], duration: str, event: str,
-                    ignore_censoring: bool):
+def _logrank_counts(cohort: DataFrame, variables: Sequence[str], duration: str, event: str,
+                    ignore_censoring: bool) -> DataFrame:
+    """Counts per (variable, level, t), kept once: one pass over the cohort."""
+    long = _melt_strata(cohort, variables, duration, event, ignore_censoring)
+    return materialize(long.groupBy("variable", "level", "t").agg(
+        F.sum("_e").cast("double").alias("_d"), F.count(F.lit(1)).cast("double").alias("_m")))
+
+
+def _wide_variables(counts: DataFrame, dense_levels: int) -> list[str]:
+    """The variables with more than ``dense_levels`` levels."""
+    per = counts.select("variable", "level").distinct().groupBy("variable").agg(F.count(F.lit(1)).alias("n"))
+    return [r["variable"] for r in per.where(F.col("n") > dense_levels).collect()]
+
+
+def _logrank_blocks(reduced: DataFrame, n_variables: int):
     """The (variable, level, t) counts cut into time buckets, what each bucket
     has later in time, and the numbered levels.
 
     Everything is linear in the rows and the levels: a bucket's at-risk
     counts are its own reverse sums plus one vector per bucket.
     """
-    long = _melt_strata(cohort, variables, duration, event, ignore_censoring)
-    # One pass over the cohort: counts per (variable, level, t), kept once.
-    reduced = materialize(long.groupBy("variable", "level", "t").agg(
-        F.sum("_e").cast("double").alias("_d"), F.count(F.lit(1)).cast("double").alias("_m")))
     order = Window.partitionBy("variable").orderBy("level")        # one row per level
     levels = materialize(reduced.select("variable", "level").distinct().withColumn(
         "_g", F.row_number().over(order) - 1))
     small = keys_bounded(levels, ["variable", "level"], BROADCAST_ROW_LIMIT)
-    few = len(variables) <= BROADCAST_KEY_LIMIT                     # keys = the variable list
+    few = n_variables * default_buckets(reduced) <= BROADCAST_ROW_LIMIT   # a row of cut points a variable
     rows = assign_buckets(reduced, ["variable"], "t", few_keys=few, verified=True).join(
         F.broadcast(levels) if small else levels, ["variable", "level"]).drop("level")
     totals = rows.groupBy("variable", "_b", "_g").agg(F.sum("_m").alias("_m"))
@@ -245,9 +255,9 @@ def _solve_statistic(batches):
         yield pd.DataFrame(out, columns=["variable", "n_groups", "statistic", "dof"])
 
 
-def _logrank_sums(cohort: DataFrame, variables: Sequence[str], duration: str, event: str, ignore_censoring: bool):
+def _logrank_sums(counts: DataFrame, n_variables: int):
     """(variable, size, observed, expected, cov) arrays summed over the buckets, and the levels."""
-    rows, later, levels = _logrank_blocks(cohort, variables, duration, event, ignore_censoring)
+    rows, later, levels = _logrank_blocks(counts, n_variables)
     names = ["size", "observed", "expected", "cov"]
     parts = rows.groupBy("variable", "_b").cogroup(later.groupBy("variable", "_b")).applyInPandas(
         _partial_sums, "variable string, " + ", ".join(f"{c} array<double>" for c in names))
@@ -262,21 +272,31 @@ def _logrank_sums(cohort: DataFrame, variables: Sequence[str], duration: str, ev
 
 
 def logrank(cohort: DataFrame, by: str | Sequence[str], duration: str = "duration",
-            event: str = "event", ignore_censoring: bool = False) -> DataFrame:
+            event: str = "event", ignore_censoring: bool = False, dense_levels: int | None = None) -> DataFrame:
     """k-sample log-rank test for one or many stratum variables (K6-K8).
 
     Returns (variable, n_groups, statistic, dof, p_value). With
     ``ignore_censoring=True`` every row counts as an event, reproducing the
-    reference's mis-keyed k-sample call (SURVEY D2). The k x k covariance is a
-    sum of one matrix product per time bucket; any number of levels is taken,
-    as far as their k x k matrix fits in a task.
+    reference's mis-keyed k-sample call (SURVEY D2). Up to ``dense_levels``
+    (``DENSE_LEVELS``) levels the k x k covariance is a sum of one matrix product per time bucket;
+    beyond, the same system is solved without a matrix (``logrank_sparse``).
     """
-    sums, _ = _logrank_sums(cohort, _strata(by), duration, event, ignore_censoring)
+    variables = _strata(by)
+    counts = _logrank_counts(cohort, variables, duration, event, ignore_censoring)
+    wide = _wide_variables(counts, DENSE_LEVELS if dense_levels is None else dense_levels)
     schema = T.StructType([T.StructField("variable", T.StringType()),
                            T.StructField("n_groups", T.IntegerType()),
                            T.StructField("statistic", T.DoubleType()),
                            T.StructField("dof", T.IntegerType())])
-    tested = sums.mapInPandas(_solve_statistic, schema)
+    parts = []
+    if len(wide) < len(variables):
+        sums, _ = _logrank_sums(counts.where(~F.col("variable").isin(wide)) if wide else counts, len(variables))
+        parts.append(sums.mapInPandas(_solve_statistic, schema))
+    if wide:
+        # Read once for each product with the matrix: the other variables' rows stay out.
+        own = counts if len(wide) == len(variables) else materialize(counts.where(F.col("variable").isin(wide)))
+        parts.append(logrank_sparse.statistics(own, len(wide)))
+    tested = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
     return tested.select("variable", "n_groups", "statistic", "dof",
                          chi2_sf_col(F.col("statistic"), F.col("dof")).alias("p_value"))
 
@@ -284,11 +304,11 @@ def logrank(cohort: DataFrame, by: str | Sequence[str], duration: str = "duratio
 def logrank_groups(cohort: DataFrame, by: str | Sequence[str], duration: str = "duration",
                    event: str = "event", ignore_censoring: bool = False) -> DataFrame:
     """Per-group size, observed and expected events (variable, level, n, observed, expected)."""
-    sums, levels = _logrank_sums(cohort, _strata(by), duration, event, ignore_censoring)
-    rows = sums.select("variable", F.posexplode(F.arrays_zip("size", "observed", "expected")).alias("_g", "_s"))
-    return rows.join(levels, ["variable", "_g"]).select(
-        "variable", "level", F.col("_s.size").cast("long").alias("n"),
-        F.col("_s.observed").cast("long").alias("observed"), F.col("_s.expected").alias("expected"))
+    variables = _strata(by)
+    counts = _logrank_counts(cohort, variables, duration, event, ignore_censoring)
+    sums, _ = logrank_sparse.level_sums(counts, len(variables))
+    return sums.select("variable", "level", F.col("size").cast("long").alias("n"),
+                       F.col("observed").cast("long").alias("observed"), "expected")
 
 
 def logrank_grid(cohort: DataFrame, by: str | Sequence[str], duration: str = "duration",
@@ -296,7 +316,8 @@ def logrank_grid(cohort: DataFrame, by: str | Sequence[str], duration: str = "du
     """The time x group grid behind the test (J3): for every pooled time and
     every level, the level's at-risk and event counts
     (variable, level, t, n_at_risk, n_event)."""
-    rows, later, levels = _logrank_blocks(cohort, _strata(by), duration, event, False)
+    variables = _strata(by)
+    rows, later, levels = _logrank_blocks(_logrank_counts(cohort, variables, duration, event, False), len(variables))
     grid = rows.groupBy("variable", "_b").cogroup(later.groupBy("variable", "_b")).applyInPandas(
         _grid_rows, "variable string, _g int, t double, n_at_risk double, n_event double")
     return grid.join(levels, ["variable", "_g"]).select(

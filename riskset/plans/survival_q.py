@@ -115,6 +115,13 @@ def k7_many(spark, sf):
     return _lr_finish(sv.logrank(c, "bin"))
 
 
+@query("K7_logrank_matrix_free", _logrank_query_sql(
+    ITEM, "item", "bin", f"CAST(l_orderkey % {MANY} AS VARCHAR)", sorted(str(i) for i in range(MANY))))
+def k7_matrix_free(spark, sf):
+    c = cohorts.item(spark, sf).withColumn("bin", (F.col("l_orderkey") % MANY).cast("string"))
+    return _lr_finish(sv.logrank(c, "bin", dense_levels=0))
+
+
 @query("K7_logrank_ignore_censoring", _logrank_query_sql(
     CHURN, "churn", "order_band", "order_band", ["9to11", "gt11", "le8"], ignore_censoring=True))
 def k7_ic(spark, sf):
@@ -161,6 +168,21 @@ def k8_groups(spark, sf):
     return round_doubles(sv.logrank_groups(cohorts.churn(spark, sf), ["segment", "acct_band", "order_band"]))
 
 
+_LINES = "SELECT l_orderkey AS level, duration AS t, event AS e FROM item WHERE duration IS NOT NULL AND event IS NOT NULL"
+
+
+# Every order is a level: thousands of them, more with the data.
+@query("K7_logrank_order_groups", f"""WITH {ITEM}, li AS ({_LINES}),
+per AS (SELECT t, CAST(sum(e) AS DOUBLE) AS d, CAST(count(*) AS DOUBLE) AS m FROM li GROUP BY t),
+risk AS (SELECT t, d, sum(m) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM per),
+haz AS (SELECT t, sum(d / n) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM risk)
+SELECT 'order' AS variable, CAST(li.level AS VARCHAR) AS level, count(*) AS n, CAST(sum(e) AS BIGINT) AS observed,
+       {r('sum(h)', 'expected')} FROM li JOIN haz ON haz.t = li.t GROUP BY li.level""")
+def k7_orders(spark, sf):
+    c = cohorts.item(spark, sf).withColumn("order", F.col("l_orderkey").cast("string"))
+    return round_doubles(sv.logrank_groups(c, "order"))
+
+
 @query("J3_logrank_grid", f"""WITH {CHURN},
 tt AS (SELECT DISTINCT duration AS t FROM churn),
 lv AS (SELECT DISTINCT order_band AS level FROM churn),

@@ -73,6 +73,62 @@ def test_logrank_matches_brute_force(spark, k):
     assert abs(sv.logrank(relabeled, "grp").first()["statistic"] - stat) < 1e-9
 
 
+def test_logrank_without_a_matrix(spark, monkeypatch):
+    """The solve for many levels equals the dense one, for variables of different width at once."""
+    rng = np.random.default_rng(21)
+    n = 900
+    t, e = rng.integers(1, 40, n), rng.integers(0, 2, n)
+    wide, narrow = [f"g{x}" for x in rng.integers(0, 60, n)], [f"h{x}" for x in rng.integers(0, 3, n)]
+    rows = [(float(a), int(b), g, h) for a, b, g, h in zip(t, e, wide, narrow)]
+    # A level that leaves before any event, one null time, one null level.
+    rows += [(0.5, 0, "early", "h0"), (None, 1, "g1", "h1"), (3.0, 1, None, "h2")]
+    df = spark.createDataFrame(rows, "duration double, event int, wide string, narrow string")
+    dense = {r["variable"]: r for r in sv.logrank(df, ["wide", "narrow"]).collect()}
+    monkeypatch.setattr(sv, "DENSE_LEVELS", 10)
+    mixed = {r["variable"]: r for r in sv.logrank(df, ["wide", "narrow"]).collect()}
+    sparse = {r["variable"]: r for r in sv.logrank(df, ["wide", "narrow"], dense_levels=0).collect()}
+    for v in ("wide", "narrow"):
+        for got in (mixed[v], sparse[v]):
+            assert (got["n_groups"], got["dof"]) == (dense[v]["n_groups"], dense[v]["dof"])
+            assert got["statistic"] == pytest.approx(dense[v]["statistic"], rel=1e-9)
+    assert dense["wide"]["n_groups"] == 61
+
+
+def test_logrank_without_a_matrix_edges(spark, monkeypatch):
+    monkeypatch.setattr(sv, "DENSE_LEVELS", 0)
+    one = sv.logrank(_cohort(spark, [1, 2, 3], [1, 0, 1], "aaa"), "grp").first()
+    assert (one["n_groups"], one["statistic"], one["dof"]) == (1, None, None)
+    none = sv.logrank(_cohort(spark, [1, 2, 3], [0, 0, 0], "aba"), "grp").first()
+    assert (none["n_groups"], none["statistic"]) == (2, 0.0)
+    assert sv.logrank(spark.createDataFrame([], "duration double, event int, grp string"), "grp").count() == 0
+    assert sv.logrank_groups(spark.createDataFrame([], "duration double, event int, grp string"), "grp").count() == 0
+
+
+def test_logrank_of_very_many_levels(spark):
+    """100,000 levels against the low-rank form of the same system: as many unknowns as there are times."""
+    k, n, last = 100_000, 150_000, 200
+    cohort = spark.range(n).select(
+        (1 + F.pmod(F.xxhash64("id"), F.lit(last))).cast("double").alias("duration"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)) < 7).cast("int").alias("event"),
+        (F.col("id") % k).cast("string").alias("grp"))
+    got = sv.logrank(cohort, "grp").first()
+    assert got["n_groups"] == k and got["dof"] == k - 1
+    rows = cohort.toPandas()
+    t, e, g = rows["duration"].to_numpy().astype(int) - 1, rows["event"].to_numpy(), rows["grp"].astype(int).to_numpy()
+    total, d = np.bincount(t, minlength=last)[::-1].cumsum()[::-1], np.bincount(t, e, minlength=last)
+    w = np.where(total > 1, d * (total - d) / np.maximum(total - 1, 1), 0.0)
+    own = np.zeros((k, last))
+    np.add.at(own, (g, t), 1.0)
+    share = own[:, ::-1].cumsum(axis=1)[:, ::-1] / total
+    z = np.bincount(g, e, minlength=k) - share @ d
+    use = w > 0
+    share, w, diag = share[:, use], w[use], share @ w
+    y = z / diag
+    inner = np.diag(1 / w) - share.T @ (share / diag[:, None])
+    fix = np.linalg.lstsq(inner, share.T @ y, rcond=1e-12)[0]
+    assert got["statistic"] == pytest.approx(z @ y + (share.T @ y) @ fix, rel=1e-8)
+
+
 def test_logrank_groups_observed_equals_expected_in_total(spark):
     rng = np.random.default_rng(5)
     t, e = rng.integers(1, 20, 100), rng.integers(0, 2, 100)
