@@ -39,7 +39,8 @@ from riskset.llm.common import shared_path, stored
 MAX_BITS = 16
 STRIDE = 128
 BLOCK_IDS = 1 << 16
-WORKER_CACHE = 600_000       # entries of one cache generation
+STEP_BYTES = 6 << 20         # of text that is encoded at once
+WORKER_CACHE = 800_000       # entries of one cache generation
 _CACHES: dict[str, pieces.Cache] = {}
 
 
@@ -50,31 +51,29 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         cache = _CACHES.setdefault(path, pieces.Cache(WORKER_CACHE))
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            for part in pieces.steps(batch):
-                values, counts = pieces.chunks(part.column("text"))
-                index, own = pieces.distinct(values)
-                found = list(map(cache.get, own))
+            for part in pieces.steps(batch, size=STEP_BYTES):
+                strings, index, counts = pieces.chunks(part.column("text"))
+                used = np.zeros(len(strings), bool)
+                used[index] = True
+                found = list(map(cache.get, strings))
                 missing = {}
-                for i, x in enumerate(found):
-                    if x is None:
-                        found[i] = cache.find(own[i])
+                for i in np.flatnonzero(used).tolist():
+                    if found[i] is None:
+                        found[i] = cache.find(strings[i])
                         if found[i] is None:
-                            missing[own[i]] = i
-                for w, ids in pieces.byte_level(list(missing), path):
-                    found[missing[w]] = ids
-                    cache.put(w, ids)
+                            missing.setdefault(strings[i], []).append(i)
+                for x, ids in pieces.byte_level(list(missing), path, cache):
+                    for i in missing[x]:
+                        found[i] = ids
+                    cache.put(x, ids)
                 # The end id is one more piece behind each text's last.
                 found.append(end)
-                order = np.insert(index.astype(np.int64), np.cumsum(counts), len(own))
-                flat = np.frombuffer(b"".join(found), "<u2")
-                size = np.fromiter(map(len, found), np.int64, len(found)) // 2
-                base = np.cumsum(size) - size
-                lens = size[order]
-                ends = np.cumsum(lens)
-                ids = flat[np.repeat(base[order] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
-                tokens = pieces.sums(lens, counts + 1)
-                offsets = np.concatenate([[0], np.cumsum(2 * tokens)]).astype(np.int32)
-                binary = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                order = np.insert(index, np.cumsum(counts), len(strings))
+                taken = pa.array(found, pa.binary()).take(pa.array(order))
+                edges = np.concatenate([[0], np.cumsum(counts + 1)])
+                offsets = np.frombuffer(taken.buffers()[1], np.int32)[edges]
+                tokens = np.diff(offsets) // 2
+                binary = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), taken.buffers()[2]])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tokens.astype(np.int64)), binary],
                                                  names=["doc_id", "n", "ids"])
 

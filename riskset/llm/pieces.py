@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import xxhash
 
 # Bytes of text that one step works on; longer texts come alone.
@@ -66,7 +67,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
 def distinct(values: pa.Array) -> tuple[np.ndarray, list[str]]:
     """Index into the distinct strings for each value, and these strings."""
     coded = values.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -115,24 +116,42 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+# Fixed value: where a byte-level tokenizer cuts a text before its merges.
+CUTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-def byte_level(strings: list[str], path: str) -> Iterator[tuple[str, bytes]]:
+def byte_level(strings: list[str], path: str, cache: Cache) -> Iterator[tuple[str, bytes]]:
     """Each string with its ids as uint16 in the machine's (little-endian) order.
 
-    A run of letters, with or without one space before it, is one piece for
-    such a tokenizer and goes straight to its merges; other strings take the
-    whole way.
+    A run of letters, with or without one space before it, goes straight to
+    the tokenizer's merges; other strings are cut into such runs and the rest,
+    which are looked up in ``cache`` first. Strings with a special string of
+    the tokenizer take the whole way.
     """
     model = tokenizer(path).model
+    special = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
     other = []
+
+    def merged(x: str) -> bytes:
+        letters = x.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("H", [t.id for t in model.tokenize(letters)]).tobytes()
+
     for x in strings:
         if (x[1:] if x[:1] == " " else x).isalpha():
             letters = x.replace(" ", BYTE_LETTERS[ord(" ")]) if x.isascii() else \
                 x.encode().decode("latin-1").translate(BYTE_LETTERS)
             yield x, array("H", [t.id for t in model.tokenize(letters)]).tobytes()
-        else:
+        elif any(s in x for s in special):
             other.append(x)
+        else:
+            ids = []
+            for y in CUTS.findall(x):
+                own = cache.find(y)
+                if own is None:
+                    own = merged(y)
+                    cache.put(y, own)
+                ids.append(own)
+            yield x, b"".join(ids)
     for x, ids in zip(other, encoded(other, path), strict=True):
         yield x, array("H", ids).tobytes()
 
@@ -143,27 +162,36 @@ def byte_level(strings: list[str], path: str) -> Iterator[tuple[str, bytes]]:
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Strings that are encoded apart from each other, in order, and their number for each text.
+def chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Strings that are encoded apart from each other: (strings, index, counts).
 
-    All but a text's first begin with the space in front of them.
+    ``index`` names the strings of all texts in order, ``counts`` of them for
+    each text; not all strings need be named. All but a text's first begin
+    with the space in front of them.
     """
     texts = pc.fill_null(texts, "")
     lists = pc.split_pattern(texts, " ")
     values, counts = lists.flatten(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    index, words = distinct(values)
-    odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))[index]
-    first = np.zeros(len(values), bool)
+    coded = values.dictionary_encode()
+    index, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    trimmed = pc.binary_length(pc.utf8_trim_whitespace(words)).to_numpy(zero_copy_only=False)
+    odd = ((size == 0) | (size != trimmed))[index]
+    strings = pc.binary_join_element_wise("", words, " ").to_numpy(zero_copy_only=False).tolist()
     starts = np.cumsum(counts) - counts
-    first[starts] = True
-    spaced = pc.if_else(pa.array(first), values, pc.binary_join_element_wise("", values, " "))
+    firsts = values.take(pa.array(starts)).dictionary_encode()
+    index[starts] = len(strings) + firsts.indices.to_numpy(zero_copy_only=False)
+    strings += firsts.dictionary.to_pylist()
     if not odd.any():
-        return spaced, counts
+        return strings, index, counts
     # Texts with other blanks beside a space: cut by the exact rule.
     rows = np.unique(np.repeat(np.arange(len(counts)), counts)[odd])
+    place: dict[str, int] = {}
     parts, new_counts, at = [], counts.copy(), 0
     for r in rows.tolist():
-        own = INNER_SPACE.split(texts[r].as_py())
-        parts += [spaced.slice(at, int(starts[r]) - at), pa.array(own[:1] + [" " + x for x in own[1:]], spaced.type)]
+        first, *rest = INNER_SPACE.split(texts[r].as_py())
+        own = [first, *(" " + x for x in rest)]
+        parts += [index[at:int(starts[r])],
+                  np.array([place.setdefault(x, len(strings) + len(place)) for x in own], np.int64)]
         new_counts[r], at = len(own), int(starts[r] + counts[r])
-    return pa.concat_arrays([*parts, spaced.slice(at)]), new_counts
+    return [*strings, *place], np.concatenate([*parts, index[at:]]), new_counts
