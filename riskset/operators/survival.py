@@ -145,7 +145,7 @@ def _melt_strata(cohort: DataFrame, variables: Sequence[str], duration: str, eve
     return (cohort.select(F.col(duration).cast("double").alias("t"), e.alias("_e"),
                           F.explode(pairs).alias("_p"))
             .select("t", "_e", "_p.variable", "_p.level")
-            .where(F.col("t").isNotNull() & F.col("_e").isNotNull() & F.col("level").isNotNull()))
+            .where(F.col("t").isNotNull() & ~F.isnan("t") & F.col("_e").isNotNull() & F.col("level").isNotNull()))
 
 
 def _logrank_counts(cohort: DataFrame, variables: Sequence[str], duration: str, event: str,
@@ -277,7 +277,8 @@ def logrank(cohort: DataFrame, by: str | Sequence[str], duration: str = "duratio
 
     Returns (variable, n_groups, statistic, dof, p_value). With
     ``ignore_censoring=True`` every row counts as an event, reproducing the
-    reference's mis-keyed k-sample call (SURVEY D2). Up to ``dense_levels``
+    reference's mis-keyed k-sample call (SURVEY D2). Rows with a null or NaN
+    duration, or a null event or level, are left out. Up to ``dense_levels``
     (``DENSE_LEVELS``) levels the k x k covariance is a sum of one matrix product per time bucket;
     beyond, the same system is solved without a matrix (``logrank_sparse``).
     """

@@ -80,8 +80,9 @@ def test_logrank_without_a_matrix(spark, monkeypatch):
     t, e = rng.integers(1, 40, n), rng.integers(0, 2, n)
     wide, narrow = [f"g{x}" for x in rng.integers(0, 60, n)], [f"h{x}" for x in rng.integers(0, 3, n)]
     rows = [(float(a), int(b), g, h) for a, b, g, h in zip(t, e, wide, narrow)]
-    # A level that leaves before any event, one null time, one null level.
-    rows += [(0.5, 0, "early", "h0"), (None, 1, "g1", "h1"), (3.0, 1, None, "h2")]
+    # A level that leaves before any event; a null and a NaN time, a null level.
+    rows += [(0.5, 0, "early", "h0"), (None, 1, "g1", "h1"), (3.0, 1, None, "h2"), (float("nan"), 1, "g2", "h1")]
+    stat, dof = logrank(*zip(*[(a, b, h) for a, b, _, h in rows if a is not None and a == a]))
     df = spark.createDataFrame(rows, "duration double, event int, wide string, narrow string")
     dense = {r["variable"]: r for r in sv.logrank(df, ["wide", "narrow"]).collect()}
     monkeypatch.setattr(sv, "DENSE_LEVELS", 10)
@@ -92,6 +93,7 @@ def test_logrank_without_a_matrix(spark, monkeypatch):
             assert (got["n_groups"], got["dof"]) == (dense[v]["n_groups"], dense[v]["dof"])
             assert got["statistic"] == pytest.approx(dense[v]["statistic"], rel=1e-9)
     assert dense["wide"]["n_groups"] == 61
+    assert dense["narrow"]["statistic"] == pytest.approx(stat) and dense["narrow"]["dof"] == dof
 
 
 def test_logrank_without_a_matrix_edges(spark, monkeypatch):
