@@ -4,7 +4,7 @@ Splits and metrics are exact and distributed: the stratified split finds the
 cut of each class in the order of a seeded md5 by refining histograms and compares
 every row with it (no shuffle of the input, no class-wide sort), AUC and ROC come from one group-by-score and
 one running sum. Models are MLlib pipelines (trees are trained by MLlib's
-distributed learners), persisted with the feature order in the assembler.
+distributed learners, large forests by ``forest``), persisted with the feature order in the assembler.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskset.operators import survival
+from riskset.operators import forest, survival
 from riskset.operators.prefix import attach_one_row, keys_bounded, running_sums
 
 # Fixed values of the scoring page: verdict at 0.5, gauge bands 0-40-60-100.
@@ -32,6 +32,7 @@ HASH_RANGE = 1 << 60
 BANDS_OF_HASH = 256  # into which a class's wanted range of hashes is cut
 CUT_ROWS = 50_000    # rows of a class around its cut that are ordered at last
 CLASS_LIMIT = 4096   # classes whose cuts the driver holds
+MLLIB_ROWS = 4096    # training rows up to which MLlib grows the forest
 
 
 def _hash_key(id_col: str, seed: int) -> tuple[Column, Column]:
@@ -149,11 +150,20 @@ def random_forest(train: DataFrame, features: Sequence[str], label: str, weight:
     ``depth`` 30 is the most that MLlib's node numbers allow; splits are taken
     from ``max_bins`` quantile bins per feature.
     """
+    assembler = _assembler(features)
+    return PipelineModel([assembler, fit_forest(assembler.transform(train), label, weight, trees, depth, max_bins, seed)])
+
+
+def fit_forest(rows: DataFrame, label: str, weight: str | None, trees: int, depth: int, max_bins: int, seed: int) -> Model:
+    """The forest on the column ``features``: by MLlib, a pass per level, if a count finds few
+    rows; else by ``forest.fit``, as MLlib's time and driver memory grow with all nodes of all trees."""
+    if rows.count() > MLLIB_ROWS:
+        return forest.fit(rows, label, weight, trees, depth, max_bins, seed)
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
                                 maxBins=max_bins, featureSubsetStrategy="sqrt", seed=seed)
     if weight:
         rf.setWeightCol(weight)
-    return Pipeline(stages=[_assembler(features), rf]).fit(train)
+    return rf.fit(rows)
 
 
 def boosting(train: DataFrame, features: Sequence[str], label: str, weight: str | None = "weight",

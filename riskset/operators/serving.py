@@ -20,7 +20,6 @@ from dataclasses import dataclass, field
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params as MLParams, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskset.operators import prepare as pp
+from riskset.operators.classify import fit_forest
 
 
 class _Columns(MLParams):
@@ -205,10 +205,6 @@ def fit_profile_model(train: DataFrame, plan: ProfilePlan, label: str, weight: s
                       trees: int = 200, depth: int = 30, seed: int = 42) -> PipelineModel:
     """Raw training rows to one model of preparation, assembler and forest."""
     preparation = fit_preparation(train, plan)
-    forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
-                                    featureSubsetStrategy="sqrt", seed=seed)
-    if weight:
-        forest.setWeightCol(weight)
     assembler = VectorAssembler(inputCols=feature_columns(preparation, plan), outputCol="features")
     rows = assembler.transform(preparation.transform(train))
-    return PipelineModel([*preparation.stages, assembler, forest.fit(rows)])
+    return PipelineModel([*preparation.stages, assembler, fit_forest(rows, label, weight, trees, depth, 32, seed)])
