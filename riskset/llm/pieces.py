@@ -129,6 +129,7 @@ def byte_level(strings: list[str], path: str, cache: Cache) -> Iterator[tuple[st
     the tokenizer take the whole way.
     """
     model = tokenizer(path).model
+    model._resize_cache(0)      # its own cache of words is locked and copied, and sees no word twice here
     special = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
     other = []
 
